@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillveil.llm.common import table
+from quillveil.llm.chat import TRAINED, format_conversations, read_back
+from quillveil.llm.classifier import score_quality
+from quillveil.llm.common import crc_fold, table
+from quillveil.llm.langid import fit_languages, predict_languages
+from quillveil.llm.licenses import scan_licenses
+from quillveil.llm.media import UNIT, decode_media, encode_media
 from quillveil.llm.mixing import mix_sources
 from quillveil.llm.packing import pack_documents
+from quillveil.llm.rules import quality_rules
+from quillveil.llm.toxicity import score_toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,17 +26,107 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def learnable_labels(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(doc_id, label) of the rows that may be learned from: one fold of the ids is held out."""
+    mod, held = {"quality": (3, 1), "toxic": (5, 0)}[kind]
+    return table(spark, sf_dir, "labels").filter(crc_fold("doc_id", mod) != held).select("doc_id", F.col(kind).alias("label"))
+
+
+def _predicted(scored: DataFrame, mod: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (crc_fold("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words")
+
+
+def op2_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    formatted = format_conversations(rows.unionByName(more))
+    back = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = score_quality(table(spark, sf_dir, "documents"), learnable_labels(spark, sf_dir, "quality"))
+    return _predicted(scored, 3, 1)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), learnable_labels(spark, sf_dir, "toxic"))
+    return _predicted(scored, 5, 0)
+
+
+def op7_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = decode_media(encode_media(table(spark, sf_dir, "documents")))
+    payload = F.expr("substring(pixels, 1, cast(payload_bytes as int))")
+    return read.withColumn("payload", payload).select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr(f"substring(payload, length(payload) - {UNIT - 1}, {UNIT})")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.filter(crc_fold("doc_id", 3) != 1), tokenizer_path("piece_bpe_32k.model"))
+    found = predict_languages(docs, model)
+    return found.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_format_chat": op2_format_chat,
+    "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
+    "op7_webp_media": op7_webp_media,
+    "op8_license_scan": op8_license_scan,
+    "op9_language_id": op9_language_id,
     "op10_pack": op10_pack,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_format_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS previous FROM rows
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sized AS (
+  SELECT *, 13 + length(replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l'))
+    + CASE WHEN i = 1 OR role <> previous
+      THEN CASE WHEN i = 1 THEN 0 ELSE 1 END + 5 + length(replace(replace(replace(role, '\', '\\'), '#', '\h'), '<', '\l')) ELSE 0 END AS chars
+  FROM placed
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
+}
