@@ -1,14 +1,65 @@
-"""Corpus preparation: documents through five operators in a row."""
+"""Corpus preparation: documents through five operators in a row.
+
+Each stage takes all that the one before kept, and its decisions take effect:
+toxic and poor documents go, one document of each group of near copies stays,
+sources are repeated or thinned to their target weights, and what is left is
+packed into sequences. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillveil.llm.classifier import drop_poor
+from quillveil.llm.common import settle
+from quillveil.llm.mixing import mix_sources, repeat_rows
+from quillveil.llm.neardup import drop_near_copies
+from quillveil.llm.packing import pack_documents
+from quillveil.llm.queries import learnable_labels, tokenizer_path
+from quillveil.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score as toxic."""
+    return drop_toxic(docs, learnable_labels(spark, sf_dir, "toxic"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score as poor."""
+    return drop_poor(docs, learnable_labels(spark, sf_dir, "quality"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and thins documents to their sources' target weights."""
+    mixed = mix_sources(docs).filter("copies > 0")
+    # one entry for each id; rows that share an id take the copies of all of them in turn
+    mixed = mixed.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    mixed = settle(mixed)
+    taken = docs.join(mixed.select(F.col("doc_id").alias("taken_id"), "copies", "rows"), F.col("doc_id").eqNullSafe(F.col("taken_id"))).drop("taken_id", "rows")
+    if not mixed.filter("rows > 1").isEmpty():
+        taken = taken.dropDuplicates(["doc_id"])
+    return repeat_rows(taken).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality), ("near duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-STAGES: list = []
+#: SQL cannot express the learned models and the random rounding; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
 
-    A folder of our own is taken only where ``spark.checkpoint.dir`` is unset, as in tests.
+    ``batch_rows`` bounds the rows of an Arrow batch meanwhile, for wide rows. A folder of our own is taken only where ``spark.checkpoint.dir`` is unset, as in tests.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillveil-"))
-    return df.checkpoint()
+    if batch_rows is None:
+        return df.checkpoint()
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, str(batch_rows))
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

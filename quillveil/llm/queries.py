@@ -14,6 +14,7 @@ from quillveil.llm.langid import fit_languages, predict_languages
 from quillveil.llm.licenses import scan_licenses
 from quillveil.llm.media import UNIT, decode_media, encode_media
 from quillveil.llm.mixing import mix_sources
+from quillveil.llm.neardup import near_duplicates
 from quillveil.llm.packing import pack_documents
 from quillveil.llm.rules import quality_rules
 from quillveil.llm.toxicity import score_toxicity
@@ -36,6 +37,10 @@ def _predicted(scored: DataFrame, mod: int, held: int) -> DataFrame:
     return scored.select("doc_id", (crc_fold("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op2_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -96,6 +101,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_format_chat": op2_format_chat,
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
