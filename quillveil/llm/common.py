@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillveil import lineage
+
 #: What parts words, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def settle(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    ``batch_rows`` bounds the rows of an Arrow batch meanwhile, for wide rows. A folder of our own is taken only where ``spark.checkpoint.dir`` is unset, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillveil-"))
+    """Cuts the lineage; ``batch_rows`` bounds the rows of an Arrow batch meanwhile, for wide rows."""
     if batch_rows is None:
-        return df.checkpoint()
+        return lineage.settle(df)
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     before = conf.get(name)
     conf.set(name, str(batch_rows))
     try:
-        return df.checkpoint()
+        return lineage.settle(df)
     finally:
         conf.set(name, before)
 
