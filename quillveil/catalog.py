@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillveil.functions import text as tx
 from quillveil.lineage import settle
-from quillveil.operators import batch, detect, evaluate, identity, lines
+from quillveil.operators import batch, detect, evaluate, identity, lines, ocr
+from quillveil.sources import csv_source
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -37,7 +38,7 @@ def query(sql: str | None = None):
 
 _TYPES = ["EMAIL", "IP", "CREDIT_CARD"]
 _LUHN = "(SELECT sum(CASE WHEN i % 2 = 0 THEN d ELSE CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END END) FROM (SELECT unnest(range(length(ds))) AS i, unnest(list_transform(range(length(ds)), lambda k: CAST(substr(ds, length(ds) - k, 1) AS INTEGER))) AS d)) % 10 = 0"
-# a candidate's neighbours are looked at instead of being matched, as RE2 has no lookaround
+# RE2 has no lookaround, but its word bounds consume nothing either
 _FOUND = rf"""
 cand AS (
   SELECT doc_id, lang, 'EMAIL' AS type, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)*\.\p{{L}}{{2,}}')) AS v FROM documents
@@ -46,8 +47,8 @@ cand AS (
   UNION ALL
   SELECT doc_id, lang, 'CREDIT_CARD', v FROM (
     SELECT doc_id, lang, v, regexp_replace(v, '[^0-9]', '', 'g') AS ds FROM (
-      SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]*\d(?:[ -]?\d){{12,18}}[\p{{L}}\p{{N}}_]*')) AS v FROM documents
-    ) WHERE regexp_full_match(v, '\d(?:[ -]?\d){{12,18}}')
+      SELECT doc_id, lang, unnest(regexp_extract_all(text, '\b\d(?:[ -]?\d){{12,18}}\b')) AS v FROM documents
+    )
   ) WHERE {_LUHN}
 )"""
 
@@ -63,13 +64,13 @@ def finding_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FOUND} SELECT lang, type, count(*) AS findings FROM cand GROUP BY GROUPING SETS ((lang, type), (type), ())")
 def finding_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _found(spark, sf_dir).select("lang", F.explode("resolved.type").alias("type"))
+    spans = detect.exploded(_found(spark, sf_dir), "resolved", "lang").select("lang", "s.type")
     return spans.groupingSets([["lang", "type"], ["type"], []], "lang", "type").agg(F.count(F.lit(1)).alias("findings"))
 
 
 @query(f"WITH {_FOUND} SELECT doc_id, type, v AS text FROM cand")
 def identifier_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).select("doc_id", F.explode("resolved").alias("s")).select("doc_id", "s.type", "s.text")
+    return detect.exploded(_found(spark, sf_dir), "resolved", "doc_id").select("doc_id", "s.type", "s.text")
 
 
 @query(r"""
@@ -83,7 +84,7 @@ WITH parts AS (
 SELECT doc_id, start::INTEGER AS start, (start + length(text))::INTEGER AS "end", text FROM rows""")
 def email_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["EMAIL"])
-    return found.select("doc_id", F.explode("resolved").alias("s")).select("doc_id", "s.start", "s.end", "s.text")
+    return detect.exploded(found, "resolved", "doc_id").select("doc_id", "s.start", "s.end", "s.text")
 
 
 @query(r"""
@@ -136,7 +137,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT c_custkey AS doc_id, '{t}' AS type, {v} AS text FROM customer" for t, _, v in _RECORD))
 def labelled_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.redact(_records(spark, sf_dir))
-    return found.select("doc_id", F.explode("resolved").alias("s")).select("doc_id", "s.type", "s.text")
+    return detect.exploded(found, "resolved", "doc_id").select("doc_id", "s.type", "s.text")
 
 
 @query("SELECT c_custkey AS doc_id, 'Kontakt: [EMAIL_REDACTED]\nTelefon: [PHONE_REDACTED]\nKundennummer: [ID_REDACTED]\nSteuer-ID: [ID_REDACTED]\nGeburtsdatum: [DATE_REDACTED]\nKennzeichen: [ID_REDACTED]\nKonto [BANK_DATA_REDACTED]\nAdresse [IP_REDACTED]' AS redacted FROM customer")
@@ -254,6 +255,29 @@ def size_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", tx.size_class(F.col("n_chars") * 1000).alias("size_class"))
 
 
+# --- sources --------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT r_regionkey AS file_no, '| Land | Nummer | Land (2) |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' | a\\|b |', chr(10) ORDER BY n_nationkey) AS markdown, NULL::VARCHAR AS reason_code
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 0 GROUP BY 1
+UNION ALL SELECT 0, NULL, 'CSV_DELIMITER_AMBIGUOUS'""")
+def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat("n_name", F.lit(";"), F.col("n_nationkey").cast("string"), F.lit(';"a|b"')).alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    text = F.when(F.col("n_regionkey") == 0, F.lit("eins,zwei;drei")).otherwise(F.concat(F.lit("Land;Nummer;Land\n"), "lines"))
+    files = rows.select(F.col("n_regionkey").alias("file_no"), text.cast("binary").alias("content"))
+    return csv_source.csv_documents(files, keep=("file_no",))
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber AS word_no, l_partkey, l_shipmode_, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem))
+SELECT doc_id, CASE WHEN l_shipmode_ = 'N' THEN 'line n' ELSE 'line' END AS line, min(CASE WHEN l_partkey % 11 > 0 THEN (l_partkey % 100)::DOUBLE END) AS confidence, bool_or(l_partkey % 11 = 0) AS unknown,
+  coalesce(min(CASE WHEN l_partkey % 11 > 0 THEN (l_partkey % 100)::DOUBLE END) < 90, true) OR bool_or(l_partkey % 11 = 0) AS uncertain FROM w GROUP BY 1, 2""")
+def line_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_returnflag") == "N", "line n").otherwise("line").alias("line"), F.when(F.col("l_partkey") % 11 > 0, (F.col("l_partkey") % 100).cast("double")).alias("confidence"))
+    return ocr.line_certainty(words)
+
+
 # --- identities ----------------------------------------------------------------------------------------
 
 _KIND = "CASE WHEN c_custkey % 2 = 0 THEN 'person' ELSE 'unternehmen' END"

@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also where a lambda in ``use`` runs for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def find(text: Column, pattern: str, needs: str | None = None) -> Column:
     """All matches of a Java pattern with their positions: array<struct<start, end, text>>.
 
@@ -19,7 +24,7 @@ def find(text: Column, pattern: str, needs: str | None = None) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(F.slice(parts, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+    zipped = let(hits, lambda h: F.arrays_zip(F.slice(parts, F.lit(1), F.size(h)).alias("gap"), h.alias("hit")))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
@@ -38,12 +43,14 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def without_overlap(spans: Column, others: Column) -> Column:
     """The spans that overlap none of the others: an interval anti join inside the row."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: overlaps(s, o)))
+    both = F.struct(spans.alias("spans"), others.alias("others"))
+    return let(both, lambda b: F.filter(b["spans"], lambda s: ~F.exists(b["others"], lambda o: overlaps(s, o))))
 
 
 def within(spans: Column, covers: Column) -> Column:
     """The spans that one of the covers contains: an interval semi join inside the row."""
-    return F.filter(spans, lambda s: F.exists(covers, lambda c: (s["start"] >= c["start"]) & (s["end"] <= c["end"])))
+    both = F.struct(spans.alias("spans"), covers.alias("covers"))
+    return let(both, lambda b: F.filter(b["spans"], lambda s: F.exists(b["covers"], lambda c: (s["start"] >= c["start"]) & (s["end"] <= c["end"]))))
 
 
 def resolve(spans: Column, kind: str) -> Column:

@@ -142,10 +142,15 @@ def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
         found[f"_s{i}"] = _typed(spans, d, i)
     out = folded.withColumns(found).withColumn("_reserved", sp.find(F.col("text"), PLACEHOLDER, "["))
     spans = sp.without_overlap(F.concat(*[F.col(c) for c in found]), F.col("_reserved"))
-    out = out.withColumn("_spans", spans)
-    secrets = F.filter("_spans", lambda s: s["type"] == "CREDENTIAL")
-    safe = F.filter("_spans", lambda s: (s["type"] == "CREDENTIAL") | ~F.exists(secrets, lambda c: sp.overlaps(c, s)))
-    return out.withColumn("spans", safe).drop("_folded", "_reserved", "_spans", *found)
+    secret = lambda s: s["type"] == "CREDENTIAL"
+    with_secrets = sp.let(spans, lambda x: F.struct(x.alias("all"), F.filter(x, secret).alias("secrets")))
+    safe = sp.let(with_secrets, lambda b: F.filter(b["all"], lambda s: secret(s) | ~F.exists(b["secrets"], lambda c: sp.overlaps(c, s))))
+    return out.withColumn("spans", safe).drop("_folded", "_reserved", *found)
+
+
+def exploded(rows: DataFrame, spans: str, *keep: str) -> DataFrame:
+    """One row a span (in ``s``). The outer form, as the inner one would compute the spans a second time to see whether there are any."""
+    return rows.select(*keep, F.explode_outer(spans).alias("s")).filter(F.col("s").isNotNull())
 
 
 def redact(docs: DataFrame, types: list[str] | None = None, urls: bool = False) -> DataFrame:
@@ -156,14 +161,14 @@ def redact(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
 
 def findings(redacted: DataFrame) -> DataFrame:
     """(doc_id, type, value_hash) of the resolved spans; credentials carry no hash."""
-    spans = redacted.select("doc_id", F.explode("resolved").alias("s"))
+    spans = exploded(redacted, "resolved", "doc_id")
     return spans.select("doc_id", F.col("s.type").alias("type"), F.when(F.col("s.type") != "CREDENTIAL", short_hash(F.col("s.text"))).alias("value_hash"))
 
 
 def residual(docs: DataFrame, text_col: str = "redacted") -> DataFrame:
     """What the same detectors still find in a released text: (doc_id, type, start, end); credentials show no text."""
     again = detect(docs.select("doc_id", F.col(text_col).alias("text")))
-    return again.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.type", F.when(F.col("s.type") == "CREDENTIAL", "").otherwise(F.col("s.text")).alias("text"), "s.start", "s.end")
+    return exploded(again, "spans", "doc_id").select("doc_id", "s.type", F.when(F.col("s.type") == "CREDENTIAL", "").otherwise(F.col("s.text")).alias("text"), "s.start", "s.end")
 
 
 def release(docs: DataFrame, passes: int = 3) -> DataFrame:

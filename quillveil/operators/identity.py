@@ -102,6 +102,8 @@ def known_aliases(docs: DataFrame, aliases: DataFrame, longest: int = 4) -> Data
     """
     tokens = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "").alias("tokens"))
     firsts = aliases.select(F.split_part(F.lower("alias"), F.lit(" "), F.lit(1)).alias("first")).distinct()
-    placed = tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("i", "first")).join(firsts, "first", "left_semi")
-    grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - F.col("i"))), lambda n: F.array_join(F.slice("tokens", F.col("i") + 1, n), " "))
+    # each token with the few that follow it, not with the whole text
+    windows = F.transform("tokens", lambda t, i: F.slice("tokens", i + 1, F.lit(longest)))
+    placed = tokens.select("doc_id", F.explode_outer(windows).alias("window")).filter(F.col("window").isNotNull()).withColumn("first", F.element_at("window", 1)).join(firsts, "first", "left_semi")
+    grams = F.transform(F.sequence(F.lit(1), F.size("window")), lambda n: F.array_join(F.slice("window", F.lit(1), n), " "))
     return placed.select("doc_id", F.explode(grams).alias("gram")).join(aliases.select("alias", F.lower("alias").alias("gram")).distinct(), "gram").groupBy("doc_id", "alias").agg(F.count(F.lit(1)).alias("occurrences"))

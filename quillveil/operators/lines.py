@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY_LINE = Window.partitionBy("doc_id").orderBy("line_no")
+def _by_line():
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -22,40 +23,40 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def with_offsets(rows: DataFrame) -> DataFrame:
     """Offsets of lines that come as rows (doc_id, line_no, text): a running sum."""
-    before = F.sum(F.length("text") + 1).over(_BY_LINE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.length("text") + 1).over(_by_line().rowsBetween(Window.unboundedPreceding, -1))
     start = F.coalesce(before, F.lit(0)).cast("int")
     return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
 def setext_headings(rows: DataFrame) -> DataFrame:
     """Lines whose next line is an underline of = or -."""
-    below = F.lead("text").over(_BY_LINE)
+    below = F.lead("text").over(_by_line())
     return rows.withColumn("is_heading", F.coalesce((F.trim("text") != "") & F.regexp_like(below, F.lit(r"^ {0,3}(?:=+|-+)[ \t]*$")), F.lit(False)))
 
 
 def label_line_above(rows: DataFrame) -> DataFrame:
     """The nearest line with text above, at most three lines up."""
     text = F.when(F.trim("text") != "", F.col("text"))
-    return rows.withColumn("above", F.last_value(text, True).over(_BY_LINE.rowsBetween(-3, -1)))
+    return rows.withColumn("above", F.last_value(text, True).over(_by_line().rowsBetween(-3, -1)))
 
 
 def neighbours(rows: DataFrame, reach: int) -> DataFrame:
     """The lines up to ``reach`` before and after, joined."""
-    before = F.collect_list("text").over(_BY_LINE.rowsBetween(-reach, -1))
-    after = F.collect_list("text").over(_BY_LINE.rowsBetween(1, reach))
+    before = F.collect_list("text").over(_by_line().rowsBetween(-reach, -1))
+    after = F.collect_list("text").over(_by_line().rowsBetween(1, reach))
     return rows.withColumn("context", F.array_join(F.concat(before, after), "\n"))
 
 
 def first_lines(rows: DataFrame, count: int) -> DataFrame:
     """The first ``count`` lines with text of each document, numbered."""
-    found = rows.filter(F.trim("text") != "").withColumn("nth", F.row_number().over(_BY_LINE))
+    found = rows.filter(F.trim("text") != "").withColumn("nth", F.row_number().over(_by_line()))
     return found.filter(F.col("nth") <= count)
 
 
 def sections(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """The section that each line is in: the last heading before it that one of the patterns names."""
     flag = F.coalesce(*[F.when(F.regexp_like("text", F.lit(p)), F.lit(name)) for name, p in patterns.items()])
-    return rows.withColumn("section", F.last_value(flag, True).over(_BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("section", F.last_value(flag, True).over(_by_line().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def split_row(line: Column) -> Column:
@@ -74,10 +75,10 @@ def cells(rows: DataFrame) -> DataFrame:
     line without a pipe; its rows are found by running counts of both.
     """
     piped = F.contains("text", F.lit("|"))
-    below = F.lead("text").over(_BY_LINE)
+    below = F.lead("text").over(_by_line())
     marked = rows.withColumn("is_separator", piped & F.regexp_like("text", F.lit(_SEPARATOR)))
     is_header = piped & ~F.col("is_separator") & F.coalesce(F.regexp_like(below, F.lit(_SEPARATOR)) & F.contains(below, F.lit("|")), F.lit(False))
-    marked = marked.withColumn("is_header", is_header).withColumn("island", F.sum(F.when(~piped | F.col("is_header"), 1).otherwise(0)).over(_BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("is_header", is_header).withColumn("island", F.sum(F.when(~piped | F.col("is_header"), 1).otherwise(0)).over(_by_line().rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy("doc_id", "island")
     headers = F.max(F.when(F.col("is_header"), split_row(F.col("text")))).over(own)
     data = marked.withColumn("headers", headers).filter(piped & ~F.col("is_header") & ~F.col("is_separator") & F.col("headers").isNotNull())
