@@ -39,12 +39,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and thins documents to their sources' target weights."""
     mixed = mix_sources(docs).filter("copies > 0")
     # one entry for each id; rows that share an id take the copies of all of them in turn
-    mixed = mixed.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    mixed = settle(mixed)
-    taken = docs.join(mixed.select(F.col("doc_id").alias("taken_id"), "copies", "rows"), F.col("doc_id").eqNullSafe(F.col("taken_id"))).drop("taken_id", "rows")
-    if not mixed.filter("rows > 1").isEmpty():
+    mixed = settle(mixed.groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
+    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_mixed_id"))).drop("_mixed_id", "_rows")
+    if not mixed.filter("_rows > 1").isEmpty():
         taken = taken.dropDuplicates(["doc_id"])
-    return repeat_rows(taken).select(docs.columns)
+    return repeat_rows(taken, "_copies").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,15 +266,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that with the smallest id, in all its columns.
 
-    Of rows that repeat an id one stays. Rows without an id stay only if no row
-    of their group has one.
+    Of rows that repeat an id one stays. Rows without an id cannot be told by
+    their group's smallest id, so they are not judged; equal texts of theirs
+    stay once.
     """
-    kept = settle(near_duplicates(docs, shingle_words=shingle_words, percent=percent).filter("kept").select("doc_id"))
-    ids = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    ids = settle(ids)
+    kept = near_duplicates(docs, shingle_words=shingle_words, percent=percent).filter("kept and doc_id is not null")
+    ids = settle(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
     out = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if not ids.filter("times > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
-    if not kept.filter("doc_id is null").isEmpty():
+    if not docs.filter("doc_id is null").isEmpty():
         out = out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
     return out

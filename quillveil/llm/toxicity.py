@@ -61,6 +61,8 @@ LEXICON, CANDIDATES = 4_000, 20_000
 LEAST_SUPPORT, LEAST_LIFT = 3, 10.0
 #: Letters of the word beginnings that are candidates.
 STEMS = (4, 5, 6, 7, 8)
+#: Terms that a worker counts before it passes its counts on.
+PARTIAL_TERMS = 100_000
 #: Words at least in the length that normalises, so that one term in a short text weighs no more than in this many.
 LEAST_WORDS = 8
 
@@ -185,14 +187,22 @@ def _candidates(text: str) -> set[tuple[int, str]]:
     return out
 
 
+def _term_batch(totals: dict[tuple, list[int]]) -> pa.RecordBatch:
+    cols = list(zip(*totals.values())) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in totals], pa.int32()), pa.array([t for _, t in totals], pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["kind", "term", "a0", "a1", "b0", "b1"])
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts; they are passed on before they outgrow the worker."""
+    totals: dict[tuple, list[int]] = {}
     for batch in batches:
-        totals: dict[tuple, list[int]] = {}
-        for text, label, half in zip(tk.column(batch.column("text")).to_pylist(), batch.column("label").to_pylist(), batch.column("half").to_pylist()):
-            for term in _candidates(text):
+        for text, label, half in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("half").to_pylist()):
+            for term in _candidates(text.as_py() or ""):
                 totals.setdefault(term, [0, 0, 0, 0])[2 * half + label] += 1
-        cols = list(zip(*totals.values())) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in totals], pa.int32()), pa.array([t for _, t in totals], pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["kind", "term", "a0", "a1", "b0", "b1"])
+            if len(totals) > PARTIAL_TERMS:
+                yield _term_batch(totals)
+                totals = {}
+    yield _term_batch(totals)
 
 
 def fit_line(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
