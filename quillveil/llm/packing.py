@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from quillveil.llm import textkernel as tk
 
 #: Distinct words whose ids a worker remembers; beyond it the less used half goes.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: Sequence ids of a partition begin at its number times this.
 PARTITION_STEP = 1 << 40
 
