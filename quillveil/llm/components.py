@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by repeated contraction to the smallest neighbour."""
+"""Connected components of an edge table, by repeated contraction to a neighbour of random rank."""
 
 from __future__ import annotations
 
@@ -11,16 +11,18 @@ from quillveil.llm.common import settle
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of ``edges`` (a, b); the root is a node of the component, the same for all of it.
 
-    Each round maps a node to the smallest of itself and its neighbours and
-    contracts the edges to those, which at least halves the nodes of a
-    component that still has edges. Nulls and loops are left out. An empty
+    Each round maps a node to that of itself and its neighbours which has the
+    smallest hash, drawn anew for the round, and contracts the edges to those:
+    with random ranks a component shrinks by a constant factor, chains too. Nulls and loops are left out. An empty
     table gives no rows.
     """
     edges = settle(edges.select("a", "b").filter("a <> b").distinct())
-    roots = None
+    roots, number = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).select(F.col("a").alias("node"), "to"))
+        number += 1
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
+        step = settle(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("best"))["id"].alias("to")))
         if roots is None:
             roots = step.select("node", F.col("to").alias("root"))
         else:
