@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by repeated contraction to a neighbour of random rank."""
+"""Connected components of an edge table, by repeated contraction to a neighbour of high rank."""
 
 from __future__ import annotations
 
@@ -11,18 +11,25 @@ from quillveil.llm.common import settle
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of ``edges`` (a, b); the root is a node of the component, the same for all of it.
 
-    Each round maps a node to that of itself and its neighbours which has the
-    smallest hash, drawn anew for the round, and contracts the edges to those:
-    with random ranks a component shrinks by a constant factor, chains too. Nulls and loops are left out. An empty
-    table gives no rows.
+    Each round maps a node to the one of highest rank among itself and its
+    neighbours, and contracts the edges to those. In odd rounds the rank is the
+    number of neighbours, which contracts a star of any size at once; ties, and
+    the even rounds, are ranked by a hash drawn anew for the round, by which
+    every component shrinks by a constant factor, chains too. Nulls and loops
+    are left out. An empty table gives no rows.
     """
-    edges = settle(edges.select("a", "b").filter("a <> b").distinct())
+    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     roots, number = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         number += 1
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
-        step = settle(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("best"))["id"].alias("to")))
+        degrees = F.lit(0).cast("long")
+        if number % 2:
+            count = both.groupBy(F.col("a").alias("b")).agg((-F.count(F.lit(1))).alias("degree"))
+            both, degrees = both.join(count, "b"), F.col("degree")
+        rank = lambda c, d: F.struct(d.alias("degree"), F.xxhash64(c, F.lit(number)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
+        best = both.groupBy("a").agg(F.min(rank("b", degrees)).alias("best"), (-F.count(F.lit(1)) if number % 2 else F.lit(0).cast("long")).alias("own"))
+        step = settle(best.select(F.col("a").alias("node"), F.least(rank("a", F.col("own")), F.col("best"))["id"].alias("to")))
         if roots is None:
             roots = step.select("node", F.col("to").alias("root"))
         else:
