@@ -78,6 +78,7 @@ def counts(part: tk.Slice, more: bool = False) -> dict[str, np.ndarray]:
         "n_symbols": _per_text(_SYMBOL[buf], offsets),
         "n_dup_lines": lines - distinct_lines,
         "n_repeat_words": _per_text(covered, found.firsts),
+        "n_lines": lines,
     }
     if more:
         word_doc = found.docs()
@@ -89,7 +90,6 @@ def counts(part: tk.Slice, more: bool = False) -> dict[str, np.ndarray]:
             "n_digits": _per_text(_DIGIT[buf], offsets),
             "n_punct": _per_text(_PUNCT[buf], offsets),
             "n_exclaim": _per_text(buf == 33, offsets),
-            "n_lines": lines,
             "n_distinct_words": np.bincount(word_doc[first], minlength=n),
             "n_long_words": _per_text((found.ends - found.starts) > 20, found.firsts),
             "n_wide": _per_text(buf >= 0xC0, offsets),
@@ -97,9 +97,12 @@ def counts(part: tk.Slice, more: bool = False) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def with_counts(docs: DataFrame, id_col: str, text_col: str, keys: list[str], more: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: its id, the key columns, and the counts of its text (null: all 0)."""
-    names = BASE + MORE if more else BASE
+def with_counts(docs: DataFrame, id_col: str, text_col: str, keys: list[str], more: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: its id, the key columns, and the counts of its text (null: all 0).
+
+    ``also`` names counts beside the base that ``counts`` gives without ``more``.
+    """
+    names = BASE + MORE if more else [*BASE, *also]
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keys)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text"] + [f"{x} long" for x in names])
 

@@ -5,7 +5,8 @@ each measure has an upper threshold that follows the documents themselves: its
 distribution is kept in a mergeable quantile sketch (logarithmic buckets with
 counts, 1 % relative error) for each language and source, so sketches of
 partitions, sources and languages add up, and the thresholds are joined to the
-documents. Only the counts of buckets are shuffled, never the texts.
+documents. A group's threshold is weighed with its language's, and that with
+all documents', by their numbers of documents. Only the counts of buckets are shuffled, never the texts.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from quillveil.llm.docstats import with_counts
 
 #: Ratio of neighbouring bucket bounds: quantiles are within about 1 %.
 GAMMA = 1.02
-#: Documents that a group needs for thresholds of its own; else its language's hold, or all documents'.
-LEAST_GROUP = 200
+#: Documents for which the language counts in a group's threshold, and all documents in a language's.
+PRIOR = 200
 #: A threshold is the upper quartile plus so many times its distance from the median ...
 FENCE = 4.0
-#: ... but never below these, so groups of uniformly clean documents lose none.
-FLOORS = {"symbol_ratio": 0.5, "dup_line_ratio": 0.3, "repeat_ratio": 0.30, "mean_word": 14.0}
+#: ... which counts as at least this where the quartiles are equal or nearly so.
+SPREADS = {"symbol_ratio": 0.025, "dup_line_ratio": 0.05, "repeat_ratio": 0.05, "mean_word": 0.8}
 
 #: The part of the measures in terms of counts: numerator, denominator.
-MEASURES = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_words"), "repeat_ratio": ("n_repeat_words", "n_words"), "mean_word": ("word_chars", "n_words")}
+MEASURES = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "mean_word": ("word_chars", "n_words")}
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -61,8 +62,14 @@ def thresholds(sketches: DataFrame, keys: list[str]) -> DataFrame:
         F.min(F.when(F.col("below") * 4 >= F.col("documents") * 2, F.col("value"))).alias("half"),
         F.min(F.when(F.col("below") * 4 >= F.col("documents") * 3, F.col("value"))).alias("upper"),
     )
-    fence = F.col("upper") + F.lit(FENCE) * (F.col("upper") - F.col("half"))
-    return quartiles.groupBy(*keys).agg(F.max("documents").alias("documents"), *[F.max(F.when(F.col("measure") == m, F.greatest(fence, F.lit(floor)))).alias(f"max_{m}") for m, floor in FLOORS.items()])
+    spread = F.greatest(F.col("upper") - F.col("half"), F.create_map(*[F.lit(x) for pair in SPREADS.items() for x in pair])[F.col("measure")])
+    fence = F.col("upper") + F.lit(FENCE) * spread
+    return quartiles.groupBy(*keys).agg(F.max("documents").alias("documents"), *[F.max(F.when(F.col("measure") == m, fence)).alias(f"max_{m}") for m in SPREADS])
+
+
+def _shrunk(own: Column, documents: Column, wider: Column) -> Column:
+    """A group's threshold, drawn towards the wider group's the more, the fewer documents it has."""
+    return (documents * own + F.lit(PRIOR) * wider) / (documents + F.lit(PRIOR))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -75,7 +82,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     threshold are kept. An empty table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    rows = with_counts(named, "doc_id", "text", ["lang", "source"])
+    rows = with_counts(named, "doc_id", "text", ["lang", "source"], also=("n_lines",))
     rows = rows.withColumns({m: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)) for m, (a, b) in MEASURES.items()})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = settle(rows.withColumn("base_failed", failed))
@@ -83,14 +90,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_source = settle(sketch(rows.filter(~F.col("base_failed")), ["lang", "source"]))
     by_lang = merge(by_source, ["lang"])
     chosen = thresholds(by_source, ["lang", "source"])
-    lang_level = thresholds(by_lang, ["lang"]).withColumnsRenamed({"lang": "l_lang", "documents": "l_documents"} | {f"max_{m}": f"l_{m}" for m in FLOORS})
-    all_level = thresholds(merge(by_lang, []), []).withColumnsRenamed({"documents": "a_documents"} | {f"max_{m}": f"a_{m}" for m in FLOORS})
+    lang_level = thresholds(by_lang, ["lang"]).withColumnsRenamed({"lang": "l_lang", "documents": "l_documents"} | {f"max_{m}": f"l_{m}" for m in SPREADS})
+    all_level = thresholds(merge(by_lang, []), []).withColumnsRenamed({"documents": "a_documents"} | {f"max_{m}": f"a_{m}" for m in SPREADS})
     # one row for each group, joined with the one row for each language, and the single row of all
     chosen = chosen.join(lang_level, F.col("lang").eqNullSafe(F.col("l_lang"))).join(all_level)
-    own, lang = F.col("documents") >= LEAST_GROUP, F.col("l_documents") >= LEAST_GROUP
-    chosen = chosen.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[F.when(own, F.col(f"max_{m}")).when(lang, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}")).alias(f"max_{m}") for m in FLOORS])
+    lang = {m: _shrunk(F.col(f"l_{m}"), F.col("l_documents"), F.col(f"a_{m}")) for m in SPREADS}
+    chosen = chosen.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[_shrunk(F.col(f"max_{m}"), F.col("documents"), lang[m]).alias(f"max_{m}") for m in SPREADS])
     chosen = settle(chosen)
     judged = rows.join(chosen, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    above = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"max_{m}"), F.lit(m)) for m in FLOORS]))
+    above = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"max_{m}"), F.lit(m)) for m in SPREADS]))
     judged = judged.withColumn("reasons", above).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ",").alias("reasons"))

@@ -136,6 +136,22 @@ def test_thresholds_come_from_merged_sketches(spark):
     assert merged.documents == 2000 and abs(merged.max_mean_word - (750 + 4 * 250)) < 40
 
 
+def test_each_measure_rejects_beyond_the_base_rules(spark):
+    """Rows that pass the base rules, in a group whose quartiles are equal or nearly so, and in a small group of its language."""
+    lined = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    bad = [
+        ("symbol_ratio", _text(1000).replace(" ", " # ", 12)),
+        ("dup_line_ratio", lined(_text(1001).split(), 5) + "\n" + "\n".join(_text(1001).split("\n")[0].split()[0:1] * 6)),
+        ("repeat_ratio", " ".join(_text(1002, 100).split() + _text(1002, 100).split()[:13])),
+        ("mean_word", " ".join(w + "abcdef" for w in _text(1003).split())),
+    ]
+    plain = [(i, lined(_text(i).split(), 5), "en", "s0", 1) for i in range(300)]
+    rows = plain + [(1000 + k, text, "en", s, 1) for k, (_, text) in enumerate(bad) for s in ("s0", "small")]
+    got = rules.quality_rules(_frame(spark, rows)).collect()
+    assert not any(r.base_failed for r in got)
+    assert sorted((r.doc_id, r.reasons) for r in got if r.reasons) == sorted((1000 + k, m) for k, (m, _) in enumerate(bad) for _ in range(2))
+
+
 def test_mixing(docs):
     rows = mixing.mix_sources(docs, keep=("lang",)).collect()
     assert len(rows) == len(_rows())
