@@ -1,8 +1,8 @@
 """Detectors: one declarative table that both the rewriting and the residual gate use.
 
 A detector is a pattern, an optional test of the match and an optional label
-that must stand before it, on its line, or in the nearest short line above. All
-detectors of a document run in one projection and give one array of spans.
+that must stand before it, on its line, in the nearest short line above, or in
+the header of its table cell. All detectors of a document run in one projection and give one array of spans.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillveil.functions import spans as sp
 from quillveil.functions.text import calendar_date, fold_identifiers, luhn_valid, short_hash
 from quillveil.lineage import settle
+from quillveil.operators.lines import CELL, placed_cells
 
 SPAN = "struct<type:string,start:int,end:int,text:string,replacement:string,priority:int,rank:int>"
 
@@ -42,31 +43,37 @@ _UNITS = r"(?:Euro|EUR|kg|km|Stück|Personen|USD|Liter|Tonnen|Meter)"
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "DE": 22, "GB": 22, "NL": 18}
 
 
-def _label_before(name: str, window: int) -> Callable[[Column, Column], Column]:
+def _headed(name: str) -> str:
+    """The pattern of a table header that is the label, whatever marks emphasis around it."""
+    return rf"(?i)\A[\s*_`]*{_LABELS[name]}[\s*_`]*[:：]?[\s*_`]*\z"
+
+
+def _label_before(name: str, window: int) -> Callable[[Column, Column, Column], Column]:
     pattern = rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABELS[name]}[^\n]*$"
 
-    def test(text: Column, span: Column) -> Column:
+    def test(text: Column, cells: Column, span: Column) -> Column:
         begin = F.greatest(span["start"] - window, F.lit(0))
         before = F.substring(text, begin + 1, span["start"] - begin)
         line = F.regexp_extract(before, r"[^\n]*\z", 0)
         above = F.regexp_extract(before, r"([^\n]{1,80})\n[\s]*\z", 1)
-        return F.regexp_like(line, F.lit(pattern)) | ((F.trim(line) == "") & F.regexp_like(above, F.lit(pattern)))
+        headed = F.exists(cells, lambda c: (c["start"] <= span["start"]) & (span["end"] <= c["end"]) & F.regexp_like(c["header"], F.lit(_headed(name))))
+        return F.regexp_like(line, F.lit(pattern)) | ((F.trim(line) == "") & F.regexp_like(above, F.lit(pattern))) | headed
 
     return test
 
 
-def _card(text: Column, span: Column) -> Column:
+def _card(text: Column, cells: Column, span: Column) -> Column:
     return luhn_valid(span["text"])
 
 
-def _phone(text: Column, span: Column) -> Column:
-    return calendar_date(span["text"]).isNull() & (F.startswith(span["text"], F.lit("+")) | _label_before("phone", 256)(text, span))
+def _phone(text: Column, cells: Column, span: Column) -> Column:
+    return calendar_date(span["text"]).isNull() & (F.startswith(span["text"], F.lit("+")) | _label_before("phone", 256)(text, cells, span))
 
 
-def _bic(text: Column, span: Column) -> Column:
+def _bic(text: Column, cells: Column, span: Column) -> Column:
     begin = F.substring(text, F.lit(1), span["start"])
     line = F.concat(F.regexp_extract(begin, r"[^\n]*\z", 0), F.regexp_extract(F.substring(text, span["end"] + 1, F.length(text)), r"\A[^\n]*", 0))
-    return _label_before("bank", 40)(text, span) | F.regexp_like(line, F.lit(_B + _IBAN))
+    return _label_before("bank", 40)(text, cells, span) | F.regexp_like(line, F.lit(_B + _IBAN))
 
 
 @dataclass(frozen=True)
@@ -75,7 +82,7 @@ class Detector:
     pattern: str
     placeholder: str
     priority: int
-    accept: Callable[[Column, Column], Column] | None = None
+    accept: Callable[[Column, Column, Column], Column] | None = None
     needs: str | None = None
     folded: bool = True
 
@@ -126,11 +133,20 @@ def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
     """``docs`` (with a text column) and all their spans, before overlaps are resolved.
 
     Placeholders of an earlier run are reserved: no span may overlap them. A
-    credential drops every other span that overlaps it. Null texts have null
+    credential drops every other span that overlaps it. The whole cell under a
+    header that is a credential label is one, placeholders in it included, until
+    it holds nothing but the placeholder of a credential. Null texts have null
     spans.
     """
     chosen = [d for d in [*DETECTORS, *([URL] if urls else [])] if types is None or d.type in types]
     folded = docs.withColumn("_folded", fold_identifiers(F.col("text")))
+    secrets = [(i, d) for i, d in enumerate(chosen) if d.type == "CREDENTIAL"]
+    labelled = bool(secrets) or any(d.accept not in (None, _card) for d in chosen)
+    if labelled:
+        named = F.transform(placed_cells(F.col("text")), lambda c: c.withField("header", fold_identifiers(c["header"])))
+        folded = folded.withColumn("_cells", F.filter(named, lambda c: F.regexp_like(c["header"], F.lit("|".join(_headed(name) for name in _LABELS)))))
+    else:
+        folded = folded.withColumn("_cells", F.expr(f"cast(array() as array<{CELL}>)"))
     found = {}
     for i, d in enumerate(chosen):
         view = F.col("_folded") if d.folded else F.col("text")
@@ -138,14 +154,19 @@ def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
         if d.type == "IBAN":
             spans = _trim_iban(spans)
         if d.accept:
-            spans = F.filter(spans, partial(d.accept, view))
+            spans = F.filter(spans, partial(d.accept, view, F.col("_cells")))
         found[f"_s{i}"] = _typed(spans, d, i)
     out = folded.withColumns(found).withColumn("_reserved", sp.find(F.col("text"), PLACEHOLDER, "["))
     spans = sp.without_overlap(F.concat(*[F.col(c) for c in found]), F.col("_reserved"))
+    for i, d in secrets:
+        # no placeholder of another kind vouches for the rest of such a cell
+        value = lambda c: F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"])
+        under = F.filter(F.col("_cells"), lambda c: F.regexp_like(c["header"], F.lit(_headed("secret"))) & (value(c) != d.placeholder))
+        spans = F.concat(spans, F.when(F.col("text").isNotNull(), _typed(F.transform(under, lambda c: c.withField("text", value(c))), d, i)))
     secret = lambda s: s["type"] == "CREDENTIAL"
     with_secrets = sp.let(spans, lambda x: F.struct(x.alias("all"), F.filter(x, secret).alias("secrets")))
     safe = sp.let(with_secrets, lambda b: F.filter(b["all"], lambda s: secret(s) | ~F.exists(b["secrets"], lambda c: sp.overlaps(c, s))))
-    return out.withColumn("spans", safe).drop("_folded", "_reserved", *found)
+    return out.withColumn("spans", safe).drop("_folded", "_reserved", "_cells", *found)
 
 
 def exploded(rows: DataFrame, spans: str, *keep: str) -> DataFrame:

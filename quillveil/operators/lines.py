@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +89,58 @@ def cells(rows: DataFrame) -> DataFrame:
     return exploded.select("doc_id", "line_no", "col", F.try_element_at("headers", F.col("col") + 1).alias("header"), "value")
 
 
+CELL = "struct<start:int,end:int,header:string>"
+_BAR = re.compile(r"(?<!\\)\|")
+_RULE = re.compile(_SEPARATOR)
+
+
+def _placed(line: str) -> list[tuple[int, int]]:
+    """Start and end of each cell of a table row, without the blanks around it."""
+    begin, end = len(line) - len(line.lstrip()), len(line.rstrip())
+    bars = [m.start() for m in _BAR.finditer(line, begin, end)]
+    begin += bars[:1] == [begin]
+    end -= len(bars) > 0 and bars[-1] == end - 1 and end > begin
+    inner = [b for b in bars if begin <= b < end]
+    out = []
+    for a, b in zip([begin, *[x + 1 for x in inner]], [*inner, end]):
+        raw = line[a:b]
+        out.append((a + len(raw) - len(raw.lstrip()), max(a + len(raw.rstrip()), a + len(raw) - len(raw.lstrip()))))
+    return out
+
+
+def _cells_of(text: str) -> list[tuple[int, int, str]]:
+    out, at, headers = [], 0, None
+    rows = text.split("\n")
+    rule = [("|" in x or "-" in x) and _RULE.match(x) is not None for x in rows]
+    for i, row in enumerate(rows):
+        if "|" not in row and not rule[i]:
+            headers = None
+        elif not rule[i]:
+            found = _placed(row)
+            # the last row over a rule is both: a value of the table that it ends, and the header of the next
+            if headers is not None:
+                out += [(at + a, at + b, h) for (a, b), h in zip(found, headers) if b > a]
+            if i + 1 < len(rows) and rule[i + 1]:
+                headers = [row[a:b] for a, b in found]
+        at += len(row) + 1
+    return out
+
+
+def placed_cells(text: Column) -> Column:
+    """The cells of ``cells`` that have a header and a value, in one text: array<struct<start, end, header>>.
+
+    Offsets are those of spans. No shuffle is needed, so this can stand in a
+    stream. A separator line of one column may do without pipes.
+    """
+
+    @F.pandas_udf(f"array<{CELL}>")
+    def place(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _cells_of(t))
+
+    empty = F.expr(f"cast(array() as array<{CELL}>)")
+    return F.coalesce(place(F.when(F.contains(text, F.lit("|")), text)), empty)
+
+
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Overlapping intervals of a key as one: an island begins where the start is past every end before it."""
     ordered = Window.partitionBy(key).orderBy(start, end)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillveil.operators.detect import findings, redact, release
+from quillveil.operators.detect import findings, redact, release, residual
 
 CASES = [
     ("EMAIL", "", "anna@example.de", "[EMAIL_REDACTED]"),
@@ -67,3 +67,12 @@ def test_release_is_clean_and_stable(spark):
     text = "\n".join(label + value for _, label, value, _ in CASES)
     row = release(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.verdict, row.reason_code) == ("released", None)
+
+
+def test_table_headers_are_labels(spark):
+    text = "Liste\n| Name | **Passwort** | Kundennummer | Telefon | Geburtsdatum |\n|---|---|:--|---|---|\n| 😀 | geheim\\|x [EMAIL_REDACTED] y | AB-12345 | 030 12345678 | 01.01.1980 |\n| b |  | 77 | - | - |\nAB-12345\n\n| Token\n---\n| abc def |\n---\n"
+    want = "Liste\n| Name | **Passwort** | Kundennummer | Telefon | Geburtsdatum |\n|---|---|:--|---|---|\n| 😀 | [CREDENTIAL_REDACTED] | [ID_REDACTED] | [PHONE_REDACTED] | [DATE_REDACTED] |\n| b |  | [ID_REDACTED] | - | - |\nAB-12345\n\n| Token\n---\n| [CREDENTIAL_REDACTED] |\n---\n"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert {r.type for r in residual(df, "text").collect()} == {"CREDENTIAL", "REFERENCE_ID", "PHONE", "DATE_OF_BIRTH"}
+    row = release(df).first()
+    assert (row.redacted, row.verdict) == (want, "released")
