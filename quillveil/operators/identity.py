@@ -94,16 +94,20 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
     return out.select(key, "at", near.alias("nearest"))
 
 
-def known_aliases(docs: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
-    """Aliases that documents name: token n-grams up to ``longest`` equal to an alias: (doc_id, alias, occurrences).
+def known_aliases(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Aliases that documents name: token n-grams equal to an alias: (doc_id, alias, occurrences).
 
-    N-grams are made inside a document and meet the aliases by an equi-join;
-    the first token of an alias prunes them before.
+    N-grams are made inside a document, as long as the longest alias, and meet
+    the aliases by an equi-join; the first token of an alias prunes them before.
+    An alias is cut into tokens as the documents are.
     """
-    tokens = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "").alias("tokens"))
-    firsts = aliases.select(F.split_part(F.lower("alias"), F.lit(" "), F.lit(1)).alias("first")).distinct()
+    cut = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    named = aliases.select("alias", cut("alias").alias("tokens")).filter(F.size("tokens") > 0).distinct()
+    longest = named.agg(F.max(F.size("tokens"))).first()[0] or 0
+    tokens = docs.select("doc_id", cut("text").alias("tokens"))
+    firsts = named.select(F.element_at("tokens", 1).alias("first")).distinct()
     # each token with the few that follow it, not with the whole text
     windows = F.transform("tokens", lambda t, i: F.slice("tokens", i + 1, F.lit(longest)))
-    placed = tokens.select("doc_id", F.explode_outer(windows).alias("window")).filter(F.col("window").isNotNull()).withColumn("first", F.element_at("window", 1)).join(firsts, "first", "left_semi")
+    placed = tokens.select("doc_id", F.explode_outer(windows).alias("window")).filter(F.col("window").isNotNull()).withColumn("first", F.try_element_at("window", F.lit(1))).join(firsts, "first", "left_semi")
     grams = F.transform(F.sequence(F.lit(1), F.size("window")), lambda n: F.array_join(F.slice("window", F.lit(1), n), " "))
-    return placed.select("doc_id", F.explode(grams).alias("gram")).join(aliases.select("alias", F.lower("alias").alias("gram")).distinct(), "gram").groupBy("doc_id", "alias").agg(F.count(F.lit(1)).alias("occurrences"))
+    return placed.select("doc_id", F.explode(grams).alias("gram")).join(named.select("alias", F.array_join("tokens", " ").alias("gram")), "gram").groupBy("doc_id", "alias").agg(F.count(F.lit(1)).alias("occurrences"))
