@@ -31,3 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_fold(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the fold that held-out rows are told by. A null id has fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod, F.lit(0))
+
+
+def row_key(docs: DataFrame, seed: int = 0) -> Column:
+    """64 bits over all columns of a row and which of them are null: rows of the same key and id are taken as equal."""
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in docs.columns])
+    return F.xxhash64(F.lit(seed), nulls, *[F.col(c) for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm import textkernel as tk
-from quillveil.llm.common import settle
+from quillveil.llm.common import row_key, settle
 from quillveil.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -89,7 +89,7 @@ def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle_words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, keys) of each row of docs (doc_id, text)."""
+    """(doc_id, row, n_shingles, f1, f2, keys) of each row of docs (doc_id, row, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +100,9 @@ def signatures(docs: DataFrame, shingle_words: int, bands: int, rows: int) -> Da
                 sizes = np.diff(bounds)
                 full = sizes > 0
                 ends = np.concatenate([[0], np.cumsum(full * bands)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), pa.array(sizes.astype(np.int64)), pa.array(f1), pa.array(f2), _lists(keys[full].reshape(-1), ends)], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), batch.column("row").slice(part.first, len(part)), pa.array(sizes.astype(np.int64)), pa.array(f1), pa.array(f2), _lists(keys[full].reshape(-1), ends)], names=["doc_id", "row", "n_shingles", "f1", "f2", "keys"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, row long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -217,18 +217,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes part, has the component of its group, null if no row of it has an id,
     and is kept only then. An empty table gives no rows.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    grouped = _grouped(named, shingle_words, percent, bands, rows).withColumn("component_id", F.col("first.doc_id"))
+    return grouped.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def _grouped(named: DataFrame, shingle_words: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, row, n_shingles, first, lone) of each row of ``named`` (doc_id, row, text).
+
+    ``row`` is a key of the row that it has in every run. ``first`` (no_id,
+    doc_id, row) names the row of the component with the smallest id, or with
+    the smallest key if none has an id; ``lone`` is the smallest key of its rows
+    without an id. Texts without shingles name themselves.
+    """
+    own_lone = F.when(F.col("doc_id").isNull(), F.col("row"))
+    own_first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     signed = settle(signatures(named, shingle_words, bands, rows))
     # classes of equal sets; f1 names a class in what follows
-    classes = signed.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    classes = signed.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min(own_first).alias("first"), F.min(own_lone).alias("lone"), F.first("keys").alias("keys"))
     classes = settle(classes)
     banded = classes.select(F.col("f1").alias("id"), F.explode("keys").alias("key"))
     priority = F.struct(F.xxhash64("id").alias("p"), "id")
     hubs = banded.groupBy("key").agg(F.min(priority)["id"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
     edges = settle(banded.join(hubs, "key").filter("id <> hub").select("id", "hub").distinct())
     members = edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct()
-    needed = members.join(classes.select(F.col("f1").alias("id"), "first_id"), "id").withColumnRenamed("first_id", "doc_id")
-    sets = settle(full_sets(named.join(needed, "doc_id"), shingle_words).dropDuplicates(["id"]), SET_ROWS)
+    needed = members.join(classes.select(F.col("f1").alias("id"), F.col("first.row").alias("row")), "id")
+    sets = settle(full_sets(named.select("row", "text").join(needed, "row"), shingle_words).dropDuplicates(["id"]), SET_ROWS)
     pairs = edges.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
     compared = settle(pairs.mapInArrow(_compare(percent), "id long, hub long, linked boolean, size long, hub_size long, lacks binary, extra binary"), SET_ROWS)
     nodes = settle(members)
@@ -253,28 +267,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = connected_components(joined)
     final = found.join(merged, found["component"] == merged["node"], "left").select("id", F.coalesce("root", "component").alias("component"))
 
-    # the smallest id of each component, by class
-    placed = classes.select("f1", "f2", "first_id").join(final, F.col("f1") == F.col("id"), "left").withColumn("component", F.coalesce("component", "f1")).drop("id")
-    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = placed.join(smallest, "component").select("f1", "f2", "component_id")
-    narrow = signed.select("doc_id", "n_shingles", "f1", "f2")
-    grouped = narrow.filter("n_shingles > 0").join(by_class, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id")
-    alone = narrow.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # the first row of each component, by class
+    placed = classes.select("f1", "f2", "first", "lone").join(final, F.col("f1") == F.col("id"), "left").withColumn("component", F.coalesce("component", "f1")).drop("id")
+    smallest = placed.groupBy("component").agg(F.min("first").alias("first"), F.min("lone").alias("lone"))
+    by_class = placed.drop("first", "lone").join(smallest, "component").select("f1", "f2", "first", "lone")
+    narrow = signed.select("doc_id", "row", "n_shingles", "f1", "f2")
+    grouped = narrow.filter("n_shingles > 0").join(by_class, ["f1", "f2"]).select("doc_id", "row", "n_shingles", "first", "lone")
+    alone = narrow.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", own_first.alias("first"), own_lone.alias("lone"))
+    return grouped.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that with the smallest id, in all its columns.
 
-    Of rows that repeat an id one stays. Rows without an id cannot be told by
-    their group's smallest id, so they are not judged; equal texts of theirs
-    stay once.
+    Rows are told by all their columns, so different rows that share an id are
+    judged each. Rows without an id are judged among themselves: a group keeps
+    that with the smallest key beside the one with the smallest id. Rows that are equal in all columns stay once.
     """
-    kept = near_duplicates(docs, shingle_words=shingle_words, percent=percent).filter("kept and doc_id is not null")
-    ids = settle(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
-    out = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not ids.filter("times > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    if not docs.filter("doc_id is null").isEmpty():
-        out = out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text")
+    kept = _grouped(keyed, shingle_words, percent).filter("(row = first.row and doc_id <=> first.doc_id) or (doc_id is null and row = lone)")
+    chosen = settle(kept.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("_times")))
+    out = docs.join(chosen, (row_key(docs) == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    if not chosen.filter("_times > 1").isEmpty():
+        out = out.dropDuplicates()
     return out

@@ -91,6 +91,27 @@ def test_one_document_of_a_group_stays(docs):
     assert set(kept) - {None} == expected and max(n for d, n in kept.items() if d is not None) == 1 and kept[None] == 2
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_told_apart(spark):
+    import corpus_pipeline
+
+    near = lambda seed: " ".join(["changed", *_text(seed).split()[1:]])
+    base = [(None, _text(1), "en", "s0", 1), (None, _text(2), "en", "s0", 1), (None, near(2), "en", "s0", 1), (5, _text(3), "en", "s0", 1), (5, _text(4), "en", "s1", 1), (None, _text(3), "de", "s1", 1), (7, _text(5), "en", "s1", 1), (None, near(5), "en", None, 1), (None, None, "en", "s1", 0)]
+    got = [(r.doc_id, r.text) for r in neardup.drop_near_copies(_frame(spark, base), shingle_words=2).collect()]
+    groups = [{(None, _text(1))}, {(None, _text(2)), (None, near(2))}, {(5, _text(3))}, {(5, _text(4))}, {(7, _text(5))}, {(None, None)}, {(None, _text(3))}, {(None, near(5))}]
+    assert len(got) == len(groups) and all(sum(g in group for g in got) == 1 for group in groups)
+
+    rows = [(None if i % 2 else i // 4, _text(i), "en", f"s{i % 3}", 1) for i in range(24)] + [(None, _text(1), "en", "s1", 1)]
+    out = corpus_pipeline.mixing(spark, _frame(spark, rows), "").collect()
+    # all texts are of one size, and which of those without an id is drawn is not settled: the sources' counts are
+    want = {r.source: r.n for r in mixing.mix_sources(_frame(spark, rows).withColumn("_s", F.col("source")), keep=("_s",)).groupBy(F.col("_s").alias("source")).agg(F.sum("copies").alias("n")).collect()}
+    got = collections.Counter(r.source for r in out)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1 for s in want)
+    texts = collections.Counter((r.doc_id, r.text, r.source) for r in out)
+    assert set(texts) <= {(r[0], r[1], r[3]) for r in rows} and max(texts.values()) <= 6
+    assert len({t for d, t, s in texts if d is None and s == "s0"}) == 4 and len({t for d, t, s in texts if d is not None and s == "s0"}) == 4
+
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 100), (7, 7), (None, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
