@@ -26,10 +26,13 @@ def payload_of(raw: np.ndarray) -> np.ndarray:
 
 
 def pixels_of(payload: np.ndarray) -> np.ndarray:
-    """The payload as an image: rows of 16 pixels, or of more where that many rows are not allowed, zeros behind it."""
-    width = _ROW_PIXELS * -(-len(payload) // (UNIT * webp.MAX_SIDE))
-    height = -(-len(payload) // (4 * width))
-    if width > webp.MAX_SIDE:
+    """The payload as an image about twice as wide as it is high, in steps of 16 pixels; zeros behind it fill the last row."""
+    pixels = len(payload) // 4
+    width = _ROW_PIXELS
+    while width < webp.MAX_SIDE and width * width < 2 * pixels:
+        width *= 2
+    height = -(-pixels // width)
+    if height > webp.MAX_SIDE:
         raise webp.WebpError("a payload over 1 GiB does not fit one image")
     out = np.zeros(height * width * 4, np.uint8)
     out[: len(payload)] = payload
@@ -68,10 +71,13 @@ def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
     """``rows`` with width, height, pixels (raw RGBA bytes, row by row), feature and media_error.
 
     Null media have nulls there. Bytes that are no lossless WebP image have
-    nulls and the reason in media_error. Other columns stay as they are; they
-    may not have these names.
+    nulls and the reason in media_error. Other columns stay as they are; those
+    of the same names, in any case, give way. The media column stays, unless it
+    has one of these names itself. An empty table gives no rows.
     """
     added = ["width", "height", "pixels", "feature", "media_error"]
+    source = "_media" if media_col.lower() in added else media_col
+    rows = rows.select(*[f"`{c}`" for c in rows.columns if c.lower() not in added], *([F.col(media_col).alias(source)] if source != media_col else []))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["width int, height int, pixels binary, feature string, media_error string"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +86,7 @@ def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
             for first in range(0, batch.num_rows, step):
                 part = batch.slice(first, step)
                 cols: list[list] = [[], [], [], [], []]
-                for x in part.column(media_col):
+                for x in part.column(source):
                     row: tuple = (None,) * 5
                     if x.is_valid:
                         try:
@@ -93,4 +99,5 @@ def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays(list(part.columns) + [pa.array(c, k) for c, k in zip(cols, kinds)], names=batch.schema.names + added)
 
-    return rows.mapInArrow(read, schema)
+    out = rows.mapInArrow(read, schema)
+    return out.drop(source) if source != media_col else out

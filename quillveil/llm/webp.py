@@ -1,19 +1,24 @@
-"""Lossless WebP: a decoder to pixel arrays, and a writer for whole payloads.
+"""Lossless WebP: a decoder to pixel arrays, and a writer.
 
 The decoder reads simple and extended RIFF files with a VP8L chunk and follows
 the public bitstream specification: prefix codes (simple and normal, with meta
 prefix images), back-references with the two-dimensional short distances,
 the colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms, inverted in reverse order.
-
-Images whose prefix codes are all of one length and that refer to nothing
-behind them, as this writer's are, are decoded as arrays at once; the inverse
-transforms are arrays too wherever a row does not need its own pixels. The
-general path reads symbol by symbol.
+transforms, inverted in reverse order. The symbols of a stream depend on one
+another and are read one by one, a pixel's four codes from one buffer of bits;
+tables and transforms are arrays wherever a pixel does not need the one to its
+left.
+
+The writer gives images of at most 256 colours, none of them rare, a palette, with
+several pixels in one where they are few, and others a predictor by blocks, a cross-colour
+transform and, where it lowers the entropy, subtracted green. What is left is
+written with back-references, a colour cache where it is hit, and prefix codes
+made from the counts of the symbols. Equal pixels give equal files.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
@@ -57,43 +62,42 @@ class _Bits:
         self.at += n
         return out
 
-    def peek(self, n: int) -> int:
-        first = self.at >> 3
-        return (int.from_bytes(self.data[first : first + ((n + 14) >> 3) + 1], "little") >> (self.at & 7)) & ((1 << n) - 1)
+
+@lru_cache(maxsize=16)
+def _reversal(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
 
 
 class _Code:
-    """A canonical prefix code as a table over its longest length."""
+    """A canonical prefix code as a table over its longest length; an entry is the symbol times 16 plus its length."""
 
     def __init__(self, lengths: list[int]) -> None:
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        if not used:
+        sizes = np.asarray(lengths, np.int64)
+        used = np.flatnonzero(sizes)
+        if not len(used):
             raise WebpError("a prefix code without symbols")
-        self.lengths = lengths
-        self.only = used[0][1] if len(used) == 1 else None
-        self.longest = 0 if self.only is not None else max(n for n, _ in used)
+        self.only = int(used[0]) if len(used) == 1 else None
         if self.only is not None:
+            self.longest, self._table = 0, [self.only << 4]
+            self.array = np.array(self._table, np.int32)
             return
-        if sum(1 << (self.longest - n) for n, _ in used) != 1 << self.longest:
+        used = used[np.argsort(sizes[used], kind="stable")]
+        self.longest = int(sizes[used[-1]])
+        span = np.int64(1) << (self.longest - sizes[used])
+        if int(span.sum()) != 1 << self.longest:
             raise WebpError("a prefix code that is not complete")
-        self.table = [(0, 0)] * (1 << self.longest)
-        code, previous = 0, 0
-        for n, symbol in sorted(used):
-            code <<= n - previous
-            previous = n
-            reversed_ = int(format(code, f"0{n}b")[::-1], 2)
-            for k in range(reversed_, 1 << self.longest, 1 << n):
-                self.table[k] = (symbol, n)
-            code += 1
-
-    def read(self, bits: _Bits) -> int:
-        if self.only is not None:
-            return self.only
-        symbol, n = self.table[bits.peek(self.longest)]
-        bits.at += n
-        if bits.at > bits.size:
-            raise WebpError("the stream ends early")
-        return symbol
+        self.array = np.repeat(((used << 4) | sizes[used]).astype(np.int32), span)[_reversal(self.longest)]
+        self._table: list[int] | None = None
+
+    @property
+    def table(self) -> list[int]:
+        if self._table is None:
+            self._table = self.array.tolist()
+        return self._table
 
 
 @lru_cache(maxsize=256)
@@ -122,49 +126,32 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
     code = _code(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, last = 0, 8
+    # a symbol takes at most 7 bits and 7 more
+    table, mask, first = code.table, (1 << code.longest) - 1, bits.at >> 3
+    acc, used = int.from_bytes(bits.data[first : first + 2 * alphabet + 8], "little") >> (bits.at & 7), 0
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        e = table[acc & mask]
+        n, s = e & 15, e >> 4
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
-            continue
-        times, value = (3 + bits.read(2), last) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-        if at + times > alphabet:
-            raise WebpError("code lengths run over their alphabet")
-        lengths[at : at + times] = [value] * times
-        at += times
-    return _code(tuple(lengths))
-
-
-def _number(bits: _Bits, prefix: int) -> int:
-    """A length or distance from its prefix and extra bits."""
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
-
-
-def _flat(codes: list[_Code]) -> bool:
-    """Whether the first 256 symbols of all four channels have 8 bits each and nothing else has any."""
-    return all(c.only is None and c.lengths[:256] == [8] * 256 and not any(c.lengths[256:]) for c in codes[:4])
-
-
-_REVERSED = np.array([int(format(i, "08b")[::-1], 2) for i in range(256)], dtype=np.uint8)
-
-
-def _flat_pixels(bits: _Bits, total: int) -> np.ndarray:
-    if bits.at + 32 * total > bits.size:
+        else:
+            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            times = least + ((acc >> n) & ((1 << extra) - 1))
+            n += extra
+            if at + times > alphabet:
+                raise WebpError("code lengths run over their alphabet")
+            if s == 16:
+                lengths[at : at + times] = [last] * times
+            at += times
+        acc >>= n
+        used += n
+    bits.at += used
+    if bits.at > bits.size:
         raise WebpError("the stream ends early")
-    first, shift = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8, min(4 * total + 1, len(bits.data) - first), first)
-    if len(raw) < 4 * total + 1:
-        raw = np.append(raw, np.uint8(0))
-    packed = raw[: 4 * total] if not shift else ((raw[: 4 * total] >> np.uint8(shift)) | (raw[1 : 4 * total + 1] << np.uint8(8 - shift)))
-    bits.at += 32 * total
-    green, red, blue, alpha = _REVERSED[packed].reshape(total, 4).astype(np.uint32).T
-    return (alpha << np.uint32(24)) | (red << np.uint32(16)) | (green << np.uint32(8)) | blue
+    return _code(tuple(lengths))
 
 
 def _image(bits: _Bits, width: int, height: int, outermost: bool) -> np.ndarray:
@@ -182,47 +169,194 @@ def _image(bits: _Bits, width: int, height: int, outermost: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[_read_code(bits, n) for n in (_LITERALS + 24 + cache_size, 256, 256, 256, _DISTANCES)] for _ in range(groups)]
     total = width * height
-    if groups == 1 and not cache_size and _flat(codes[0]):
-        return _flat_pixels(bits, total).reshape(height, width)
-    single = codes[0] if groups == 1 else None
-    if single and all(c.only is not None for c in single[:4]) and single[0].only < 256:
-        g, r, b, a = (c.only for c in single[:4])
+    first = codes[0]
+    if groups == 1 and all(c.only is not None for c in first[:4]) and first[0].only < 256:
+        g, r, b, a = (c.only for c in first[:4])
         return np.full((height, width), (a << 24) | (r << 16) | (g << 8) | b, np.uint32)
-    out, cache, pending = [0] * total, [0] * cache_size, 0
-    shorts = _short_distances()
-    at = 0
+    if groups == 1:
+        return _one_group(bits, first, cache_bits, width, total).reshape(height, width)
+    tables = [[c.table for c in own] + [(1 << c.longest) - 1 for c in own] for own in codes]
+    group_of = meta.tolist()
+    out: list[int] = []
+    cache, pending = [0] * cache_size, 0
+    near = _near(width)
+    data, at, pos = bits.data, 0, bits.at >> 3
+    have = 64 - (bits.at & 7)
+    acc = int.from_bytes(data[pos : pos + 8], "little") >> (bits.at & 7)
+    pos += 8
+    take = int.from_bytes
     while at < total:
-        own = single or codes[int(meta[(at // width) >> block, (at % width) >> block])]
-        s = own[0].read(bits)
+        # a pixel takes at most 60 bits, a reference 58
+        if have < 60:
+            acc |= take(data[pos : pos + 8], "little") << have
+            have += 64
+            pos += 8
+        green, red, blue, alpha, far, green_mask, red_mask, blue_mask, alpha_mask, far_mask = tables[group_of[(at // width) >> block][(at % width) >> block]]
+        e = green[acc & green_mask]
+        n = e & 15
+        acc >>= n
+        used = n
+        s = e >> 4
         if s < 256:
-            r = own[1].read(bits)
-            b = own[2].read(bits)
-            out[at] = (own[3].read(bits) << 24) | (r << 16) | (s << 8) | b
+            e = red[acc & red_mask]
+            n = e & 15
+            acc >>= n
+            used += n
+            f = blue[acc & blue_mask]
+            n = f & 15
+            acc >>= n
+            used += n
+            h = alpha[acc & alpha_mask]
+            n = h & 15
+            acc >>= n
+            have -= used + n
+            out.append((h >> 4) << 24 | (e >> 4) << 16 | s << 8 | f >> 4)
             at += 1
         elif s < 280:
-            length = _number(bits, s - 256)
-            code = _number(bits, own[4].read(bits))
-            if code > 120:
-                distance = code - 120
-            else:
-                dx, dy = shorts[code - 1]
-                distance = max(1, dx + dy * width)
+            length = s - 255
+            if length > 4:
+                extra = (length - 3) >> 1
+                length = ((2 + ((length - 1) & 1)) << extra) + (acc & ((1 << extra) - 1)) + 1
+                acc >>= extra
+                used += extra
+            e = far[acc & far_mask]
+            n = e & 15
+            acc >>= n
+            used += n
+            code = (e >> 4) + 1
+            if code > 4:
+                extra = (code - 3) >> 1
+                code = ((2 + ((code - 1) & 1)) << extra) + (acc & ((1 << extra) - 1)) + 1
+                acc >>= extra
+                used += extra
+            have -= used
+            distance = code - 120 if code > 120 else near[code - 1]
             if distance > at or at + length > total:
                 raise WebpError("a back-reference outside the image")
-            for k in range(at, at + length):
-                out[k] = out[k - distance]
+            copied = out[at - distance : at - distance + length]
+            if distance < length:
+                copied = (copied * (length // distance + 1))[:length]
+            out += copied
             at += length
         else:
-            while pending < at:
-                cache[((out[pending] * 0x1E35A7BD) & 0xFFFFFFFF) >> (32 - cache_bits)] = out[pending]
-                pending += 1
-            if s - 280 >= cache_size:
-                raise WebpError("a colour outside the cache")
-            out[at] = cache[s - 280]
+            have -= used
+            for colour in out[pending:]:
+                cache[((colour * 0x1E35A7BD) & 0xFFFFFFFF) >> (32 - cache_bits)] = colour
+            pending = at
+            out.append(cache[s - 280])
             at += 1
+    bits.at = 8 * pos - have
+    if bits.at > bits.size:
+        raise WebpError("the stream ends early")
     return np.array(out, np.uint32).reshape(height, width)
 
 
+#: Bits of a stream that are looked up at once.
+_CHUNK_BITS = 1 << 17
+
+
+def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, total: int) -> np.ndarray:
+    """The pixels of an image with one group of codes.
+
+    What would begin at each bit is looked up for all bits of a chunk at once,
+    with the place behind it; then only the chain of places that are reached is
+    followed one by one.
+    """
+    out = np.zeros(total, np.uint32)
+    tables = [c.array for c in codes]
+    near = np.array(_near(width), np.int64)
+    done, pending, cache = 0, 0, np.zeros(1 << cache_bits, np.uint32)
+    while done < total:
+        base = bits.at & ~7
+        size = min(_CHUNK_BITS, max(8, bits.size - base))
+        raw = np.zeros((size + 7) // 8 + 16, np.uint32)
+        have = np.frombuffer(bits.data, np.uint8, min(len(raw), len(bits.data) - (base >> 3)), base >> 3)
+        raw[: len(have)] = have
+        word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+        # the bits from each place on, 25 of them at least
+        ahead = (word[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1).view(np.int32)
+        place = np.arange(size, dtype=np.int32)
+        found, behind = [], place
+        for table in tables[:4]:
+            e = table[ahead[behind] & np.int32(len(table) - 1)] if len(table) > 1 else np.full(size, table[0], np.int32)
+            found.append(e)
+            behind = behind + (e & 15)
+        symbol = found[0] >> 4
+        other = np.flatnonzero(symbol >= _LITERALS)
+        length = distance = None
+        if len(other):
+            at = other + (found[0][other] & 15)
+            ref = symbol[other] < _LITERALS + 24
+            length, n = _numbers(np.where(ref, symbol[other] - _LITERALS, 0), ahead[at])
+            at = at + n
+            e = tables[4][ahead[at] & (len(tables[4]) - 1)]
+            at = at + (e & 15)
+            code, n = _numbers(e >> 4, ahead[at])
+            distance = np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+            behind[other] = np.where(ref, at + n, other + (found[0][other] & 15))
+        nexts, chain, p = memoryview(np.ascontiguousarray(behind)), [], bits.at - base
+        for _ in range(total - done):
+            chain.append(p)
+            p = nexts[p]
+            if p >= size:
+                break
+        bits.at = base + p
+        reached = np.array(chain)
+        symbol = symbol[reached]
+        plain = symbol < _LITERALS
+        own = reached[plain]
+        argb = (found[3][own] >> 4) << 24 | (found[1][own] >> 4) << 16 | symbol[plain] << 8 | found[2][own] >> 4
+        if plain.all():
+            out[done : done + len(argb)] = argb.view(np.uint32)
+            done += len(argb)
+        else:
+            row = np.searchsorted(other, reached[~plain])
+            spans = np.ones(len(reached), np.int64)
+            spans[~plain] = np.where(symbol[~plain] < _LITERALS + 24, length[row], 1)
+            begin = done + np.cumsum(spans) - spans
+            inside = begin < total
+            here = begin[plain & inside]
+            out[here] = argb.view(np.uint32)[: len(here)]
+            for s, a, k, d in zip(symbol[~plain].tolist(), begin[~plain].tolist(), length[row].tolist(), distance[row].tolist()):
+                if a >= total:
+                    break
+                if s < _LITERALS + 24:
+                    if d > a or a + k > total:
+                        raise WebpError("a back-reference outside the image")
+                    if d >= k:
+                        out[a : a + k] = out[a - d : a - d + k]
+                    else:
+                        out[a : a + k] = np.resize(out[a - d : a], k)
+                else:
+                    # of the pixels of one slot the last stays
+                    colours = out[pending:a]
+                    cache[(colours * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)] = colours
+                    pending = a
+                    out[a] = cache[s - 280]
+            used = reached[inside]
+            done = int((begin + spans)[inside][-1])
+            if len(used) < len(reached):
+                bits.at = base + int(reached[len(used)])
+        if done < total and bits.at >= bits.size:
+            raise WebpError("the stream ends early")
+    if bits.at > bits.size:
+        raise WebpError("the stream ends early")
+    return out
+
+
+def _numbers(prefix: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefixes, and how many further bits they take."""
+    extra = np.maximum(prefix - 2, 0) >> 1
+    more = ahead & ((np.int64(1) << extra) - 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)).astype(np.int64) << extra) + more + 1), np.where(prefix < 4, 0, extra)
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> list[int]:
+    """The distances of the short distance codes in an image of this width."""
+    return [max(1, dx + dy * width) for dx, dy in _short_distances()]
+
+
 def _channels(argb: np.ndarray) -> np.ndarray:
     """(height, width, 4) of alpha, red, green, blue."""
     return np.stack([(argb >> np.uint32(s)) & np.uint32(255) for s in (24, 16, 8, 0)], axis=-1).astype(np.int32)
@@ -233,73 +367,81 @@ def _joined(c: np.ndarray) -> np.ndarray:
     return (c[..., 0] << np.uint32(24)) | (c[..., 1] << np.uint32(16)) | (c[..., 2] << np.uint32(8)) | c[..., 3]
 
 
+_BLACK = np.array([255, 0, 0, 0])
+#: Modes that need no pixel to the left.
+_UPWARD = {0, 2, 3, 4, 8, 9, 14, 15}
+
+
 def _unpredict(argb: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
-    """Adds the predictions back; rows whose modes look only upwards are arrays, others go pixel by pixel."""
+    """Adds the predictions back, a row of a block at a time; where modes need the pixel to the left, pixel by pixel."""
     height, width = argb.shape
+    if not (modes & 15).any():
+        bytes_ = argb.astype("<u4").view(np.uint8).reshape(height, width, 4)
+        bytes_[..., 3] += np.uint8(255)
+        bytes_[0, 1:, 3] -= np.uint8(255)
+        bytes_[1:, 0, 3] -= np.uint8(255)
+        bytes_[0] = np.cumsum(bytes_[0], axis=0, dtype=np.uint8)
+        bytes_[:, 0] = np.cumsum(bytes_[:, 0], axis=0, dtype=np.uint8)
+        return bytes_.view(np.uint32)[..., 0]
     res = _channels(argb)
     out = np.zeros_like(res)
-    out[0, 0] = (res[0, 0] + np.array([255, 0, 0, 0])) & 255
+    out[0, 0] = (res[0, 0] + _BLACK) & 255
     out[0, 1:] = (np.cumsum(res[0, 1:], axis=0) + out[0, 0]) & 255
     mean = lambda a, b: (a + b) >> 1
     for y in range(1, height):
-        mode_row = np.repeat(modes[y >> block], 1 << block)[:width]
+        row = (modes[y >> block] & 15).tolist()
         top = out[y - 1]
         out[y, 0] = (res[y, 0] + top[0]) & 255
-        if width == 1:
-            continue
         right = np.concatenate([top[1:], out[y, :1]])  # the last pixel's top right is the row's first
-        kinds = np.unique(mode_row[1:])
-        if set(kinds.tolist()) <= {0, 2, 3, 4, 8, 9, 14, 15}:
-            left_top = np.concatenate([top[:1], top[:-1]])
-            black = np.broadcast_to(np.array([255, 0, 0, 0]), top.shape)
-            prediction = np.zeros_like(top)
-            for k, p in ((0, black), (14, black), (15, black), (2, top), (3, right), (4, left_top), (8, mean(left_top, top)), (9, mean(top, right))):
-                prediction[mode_row == k] = p[mode_row == k]
-            out[y, 1:] = (res[y, 1:] + prediction[1:]) & 255
-            continue
-        if kinds.tolist() == [1]:
-            out[y, 1:] = (np.cumsum(res[y, 1:], axis=0) + out[y, 0]) & 255
-            continue
-        left = out[y, 0]
-        for x in range(1, width):
-            t, tr, tl, mode = top[x], right[x], top[x - 1], int(mode_row[x])
-            if mode in (0, 14, 15):
-                p = np.array([255, 0, 0, 0])
+        for k, mode in enumerate(row):
+            a, b = max(1, k << block), min(width, (k + 1) << block)
+            if a >= b:
+                continue
+            t, tr, tl = top[a:b], right[a:b], top[a - 1 : b - 1]
+            if mode in _UPWARD:
+                p = t if mode == 2 else tr if mode == 3 else tl if mode == 4 else mean(tl, t) if mode == 8 else mean(t, tr) if mode == 9 else _BLACK
+                out[y, a:b] = (res[y, a:b] + p) & 255
             elif mode == 1:
-                p = left
-            elif mode == 2:
-                p = t
-            elif mode == 3:
-                p = tr
-            elif mode == 4:
-                p = tl
-            elif mode == 5:
-                p = mean(mean(left, tr), t)
-            elif mode == 6:
-                p = mean(left, tl)
-            elif mode == 7:
-                p = mean(left, t)
-            elif mode == 8:
-                p = mean(tl, t)
-            elif mode == 9:
-                p = mean(t, tr)
-            elif mode == 10:
-                p = mean(mean(left, tl), mean(t, tr))
-            elif mode == 11:
-                guess = left + t - tl
-                p = left if np.abs(guess - left).sum() < np.abs(guess - t).sum() else t
-            elif mode == 12:
-                p = np.clip(left + t - tl, 0, 255)
+                out[y, a:b] = (np.cumsum(res[y, a:b], axis=0) + out[y, a - 1]) & 255
             else:
-                half = mean(left, t)
-                d = half - tl
-                p = np.clip(half + (np.abs(d) // 2) * np.sign(d), 0, 255)
-            left = out[y, x] = (res[y, x] + p) & 255
+                out[y, a:b] = _leftward(mode, res[y, a:b].tolist(), out[y, a - 1].tolist(), t.tolist(), tr.tolist(), tl.tolist())
     return _joined(out)
 
 
+def _leftward(mode: int, res: list, left: list, tops: list, rights: list, corners: list) -> list:
+    """The pixels of a row whose predictions need the pixel to the left."""
+    out = []
+    for x, t, tr, tl in zip(res, tops, rights, corners):
+        if mode == 11:
+            # the sums over channels decide for the whole pixel
+            to_left = sum(abs(b - c) for b, c in zip(t, tl))
+            to_top = sum(abs(a - c) for a, c in zip(left, tl))
+            p = left if to_left < to_top else t
+        elif mode == 5:
+            p = [(((a + c) >> 1) + b) >> 1 for a, b, c in zip(left, t, tr)]
+        elif mode == 6:
+            p = [(a + c) >> 1 for a, c in zip(left, tl)]
+        elif mode == 7:
+            p = [(a + b) >> 1 for a, b in zip(left, t)]
+        elif mode == 10:
+            p = [(((a + d) >> 1) + ((b + c) >> 1)) >> 1 for a, b, c, d in zip(left, t, tr, tl)]
+        elif mode == 12:
+            p = [min(255, max(0, a + b - d)) for a, b, d in zip(left, t, tl)]
+        else:
+            p = []
+            for a, b, d in zip(left, t, tl):
+                half = (a + b) >> 1
+                step = half - d
+                p.append(min(255, max(0, half + (abs(step) // 2) * (1 if step > 0 else -1))))
+        left = [(v + q) & 255 for v, q in zip(x, p)]
+        out.append(left)
+    return out
+
+
 def _uncross(argb: np.ndarray, elements: np.ndarray, block: int) -> np.ndarray:
     height, width = argb.shape
+    if not (elements & np.uint32(0xFFFFFF)).any():
+        return argb
     own = np.repeat(np.repeat(elements, 1 << block, axis=0), 1 << block, axis=1)[:height, :width]
     signed = lambda v: ((v.astype(np.int32) & 255) ^ 128) - 128
     red_to_blue, green_to_blue, green_to_red = signed(own >> 16), signed(own >> 8), signed(own)
@@ -310,9 +452,14 @@ def _uncross(argb: np.ndarray, elements: np.ndarray, block: int) -> np.ndarray:
     return _joined(c)
 
 
+def _pixels_in_one(colours: int) -> int:
+    """How many pixels one of a palette image holds, as a power of two."""
+    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+
+
 def _unpalette(argb: np.ndarray, colours: np.ndarray, width: int) -> np.ndarray:
     n = len(colours)
-    pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+    pack = _pixels_in_one(n)
     index = (argb >> np.uint32(8)) & np.uint32(255)
     if pack:
         each, wide = 8 >> pack, 1 << pack
@@ -369,7 +516,7 @@ def decode(data: bytes) -> np.ndarray:
             steps = _channels(_image(bits, n, 1, False))[0]
             colours = _joined(np.cumsum(steps, axis=0) & 255)
             undo.append(lambda x, c=colours, w=coded: _unpalette(x, c, w))
-            coded = -(-coded >> (3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0))
+            coded = -(-coded >> _pixels_in_one(n))
     pixels = _image(bits, coded, height, True)
     for step in reversed(undo):
         pixels = step(pixels)
@@ -429,19 +576,307 @@ def header(bits: BitWriter, width: int, height: int, alpha: bool = True) -> None
     bits.put(0, 3)
 
 
-def _flat_head(width: int, height: int) -> BitWriter:
-    bits = BitWriter()
-    header(bits, width, height)
-    bits.put(0, 1)  # no transform
-    bits.put(0, 1)  # no colour cache
-    bits.put(0, 1)  # one group of codes
-    for _ in range(4):
-        put_flat_code(bits)
-    put_single_code(bits, 0)
-    return bits
+class _Stream:
+    """Numbers of up to 60 bits each, packed at once, the least significant bit first."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values: list[int] = []
+        self.sizes: list[int] = []
+
+    def put(self, value: int, size: int) -> None:
+        self.values.append(value)
+        self.sizes.append(size)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+        self.parts.append((values, sizes))
+
+    def bytes(self) -> bytes:
+        self.put_all(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        values, sizes = np.concatenate([v for v, _ in self.parts]), np.concatenate([n for _, n in self.parts])
+        values, sizes = values[sizes > 0], sizes[sizes > 0]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        words = np.zeros((total >> 6) + 2, np.uint64)
+        begin = ends - sizes
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        firsts = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[firsts]] = np.bitwise_or.reduceat(values << shift, firsts)
+        over = np.flatnonzero((begin & 63) + sizes > 64)  # one a word at most
+        words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        return words.tobytes()[: -(-total // 8)]
+
+
+def _code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths of a prefix code for these counts; counts are flattened until none is longer than the limit."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    n = len(used)
+    if n < 2:
+        out[used] = 1
+        return out
+    own = counts[used]
+    while True:
+        order = np.argsort(own, kind="stable")
+        weight = own[order].tolist() + [0] * (n - 1)
+        parent = [0] * (2 * n - 1)
+        i, j = 0, n
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if i < n and (j >= k or weight[i] <= weight[j]):
+                    total += weight[i]
+                    parent[i] = k
+                    i += 1
+                else:
+                    total += weight[j]
+                    parent[j] = k
+                    j += 1
+            weight[k] = total
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= limit:
+            out[used[order]] = depth[:n]
+            return out
+        own = (own >> 1) + 1
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes as they stand in the stream; a single symbol takes no bits."""
+    out = np.zeros(len(lengths), np.uint64)
+    used = np.flatnonzero(lengths)
+    if len(used) < 2:
+        return out
+    used = used[np.argsort(lengths[used], kind="stable")]
+    sizes = lengths[used]
+    longest = int(sizes[-1])
+    span = np.int64(1) << (longest - sizes)
+    out[used] = _reversal(longest)[np.cumsum(span) - span]
+    return out
 
 
-_heads: dict[tuple[int, int], tuple[int, int]] = {}
+def _code_tokens(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of the numbers that a prefix code is told by."""
+    used = np.flatnonzero(lengths)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        used = used if len(used) else np.zeros(1, np.int64)
+        return np.append(1 | (len(used) - 1) << 1 | 1 << 2, used).astype(np.uint64), np.append(3, np.full(len(used), 8))
+    # before each length a run of zeros: one or two as they are, up to 10 and up to 138 as one symbol, longer ones in parts
+    gaps = np.diff(used, prepend=-1) - 1
+    whole = np.maximum(gaps - 1, 0) // 138
+    rest = gaps - 138 * whole
+    few = np.where(rest < 3, rest, 1)
+    each = whole + few + 1
+    total = int(each.sum())
+    ends = np.cumsum(each)
+    begin = ends - each
+    within = np.arange(total) - np.repeat(begin, each)
+    symbol, value, extra = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64)
+    wide = within < np.repeat(whole, each)
+    symbol[wide], value[wide], extra[wide] = 18, 127, 7
+    run = np.flatnonzero(rest >= 3)
+    at = begin[run] + whole[run]
+    long = rest[run] > 10
+    symbol[at], value[at], extra[at] = np.where(long, 18, 17), rest[run] - np.where(long, 11, 3), np.where(long, 7, 3)
+    symbol[ends - 1] = lengths[used]
+    sizes = _code_lengths(np.bincount(symbol, minlength=19), 7)
+    count = max(4, max(i for i, s in enumerate(_LENGTH_ORDER) if sizes[s]) + 1)
+    # as many symbols as there are; what follows them has no code
+    bits = max(1, -(-max(1, (total - 2).bit_length()) // 2))
+    head = [0, count - 4, *sizes[list(_LENGTH_ORDER[:count])].tolist(), 1 | (bits - 1) << 1, total - 2]
+    own = sizes if np.count_nonzero(sizes) > 1 else np.zeros_like(sizes)
+    return np.concatenate([np.array(head, np.uint64), _codes(sizes)[symbol] | value.astype(np.uint64) << own[symbol].astype(np.uint64)]), np.concatenate([[1, 4], np.full(count, 3), [4, 2 * bits], own[symbol] + extra])
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits, their value) of lengths and distance codes, from 1."""
+    v = value - 1
+    high = np.maximum(np.frexp(np.maximum(v, 1).astype(float))[1] - 1, 1)
+    second = (v >> (high - 1)) & 1
+    small = v < 4
+    extra = np.where(small, 0, high - 1)
+    return np.where(small, v, 2 * high + second), extra, np.where(small, 0, v & ((np.int64(1) << extra) - 1))
+
+
+#: Pixels of the shortest back-reference in use, and of the longest that the format has.
+_SHORTEST, _LONGEST = 3, 4096
+#: Bits of the writer's colour cache, and the share of pixels that it must hold.
+_CACHE_BITS, _CACHE_SHARE = 6, 0.1
+#: Channels share a code where that takes at most so many times the bits.
+_ALIKE = 1.15
+
+
+def _references(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of disjoint back-references, from the nearest earlier place of each pair of pixels."""
+    none = np.zeros(0, np.int64)
+    if len(v) < 2 * _SHORTEST:
+        return none, none, none
+    pair = v[:-1].astype(np.uint64) << np.uint64(32) | v[1:]
+    order = np.argsort(pair, kind="stable")
+    same = pair[order[1:]] == pair[order[:-1]]
+    back = np.zeros(len(pair), np.int64)
+    back[order[1:][same]] = order[1:][same] - order[:-1][same]
+    cuts = np.flatnonzero(np.diff(back)) + 1
+    starts, ends = np.append(0, cuts), np.append(cuts, len(back))
+    hit = (back[starts] > 0) & (ends - starts >= _SHORTEST - 1)
+    out, at = [], 0
+    for a, b, d in zip(starts[hit].tolist(), ends[hit].tolist(), back[starts[hit]].tolist()):
+        a, b = max(a, at), b + 1  # the last pair reaches one pixel further
+        while b - a >= _SHORTEST:
+            n = min(b - a, _LONGEST)
+            out.append((a, n, d))
+            a += n
+        at = max(at, a)
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    found: dict[int, int] = {}
+    for code, distance in enumerate(_near(width), 1):
+        found.setdefault(distance, code)
+    return found
+
+
+def _put_image(stream: _Stream, argb: np.ndarray, width: int, outermost: bool) -> None:
+    """An entropy-coded image with one group of codes."""
+    v = argb.reshape(-1)
+    n = len(v)
+    if not outermost and (v == v[0]).all():
+        stream.put(0, 1)
+        for shift in (8, 16, 0, 24):
+            stream.put(5 | (int(v[0]) >> shift & 255) << 3, 11)
+        stream.put(5, 11)
+        return
+    starts, lengths, distances = _references(v)
+    single = np.ones(n, bool)
+    for a, k in zip(starts.tolist(), lengths.tolist()):
+        single[a : a + k] = False
+    cache_bits, hits = 0, np.zeros(n, bool)
+    if outermost and n >= 256:
+        # what the cache holds at a pixel is the last one before it of the same slot
+        slot = (v * np.uint32(0x1E35A7BD)) >> np.uint32(32 - _CACHE_BITS)
+        order = np.argsort(slot.astype(np.uint8), kind="stable")
+        again = (slot[order[1:]] == slot[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
+        hits[order[1:][again]] = True
+        hits &= single
+        if hits.sum() >= _CACHE_SHARE * n:
+            cache_bits = _CACHE_BITS
+        else:
+            hits[:] = False
+    stream.put(cache_bits << 1 | 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if outermost:
+        stream.put(0, 1)
+    literal = single & ~hits
+    length_symbol, length_extra, length_value = _prefix(lengths)
+    near = _near_codes(width)
+    codes = np.array([near.get(d, d + 120) for d in distances.tolist()], np.int64)
+    far_symbol, far_extra, far_value = _prefix(codes)
+    channels = [(v[literal] >> np.uint32(s)) & np.uint32(255) for s in (8, 16, 0, 24)]
+    green = np.zeros(n, np.int64)
+    green[literal] = channels[0]
+    if cache_bits:
+        green[hits] = 280 + slot[hits]
+    green[starts] = 256 + length_symbol
+    own = np.flatnonzero(single)
+    token = np.sort(np.concatenate([own, starts]))
+    counts = [np.bincount(green[token], minlength=280 + (1 << cache_bits if cache_bits else 0))]
+    counts += [np.bincount(c, minlength=256) for c in channels[1:]]
+    alike = sum(counts[1:], counts[0][:256].copy())
+    apart = sum(_bits_of(c) for c in counts)
+    if _bits_of(alike) + _bits_of(np.append(counts[0][256:], counts[0][:256].sum())) <= _ALIKE * apart:
+        # channels that are alike share a code: lengths and cache entries are told apart by one more symbol's count
+        sizes = [_code_lengths(np.concatenate([alike, 4 * counts[0][256:]]), 15), *[_code_lengths(alike, 15)] * 3]
+    else:
+        sizes = [_code_lengths(c, 15) for c in counts]
+    sizes.append(_code_lengths(np.bincount(far_symbol, minlength=_DISTANCES), 15))
+    told: dict[int, tuple] = {}
+    tables_of: dict[int, np.ndarray] = {}
+    for x in sizes:
+        if id(x) not in told:
+            told[id(x)], tables_of[id(x)] = _code_tokens(x), _codes(x)
+        stream.put_all(*told[id(x)])
+    tables = [tables_of[id(x)] for x in sizes]
+    bits = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in sizes]
+    value, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    value[token], size[token] = tables[0][green[token]], bits[0][green[token]]
+
+    def behind(at: np.ndarray, more: np.ndarray, wide: np.ndarray) -> None:
+        value[at] |= more.astype(np.uint64) << size[at].astype(np.uint64)
+        size[at] += wide
+
+    at = np.flatnonzero(literal)
+    for table, wide, c in zip(tables[1:4], bits[1:4], channels[1:]):
+        if wide.any():
+            behind(at, table[c], wide[c])
+    if len(starts):
+        behind(starts, length_value, length_extra)
+        behind(starts, tables[4][far_symbol], bits[4][far_symbol])
+        behind(starts, far_value, far_extra)
+    stream.put_all(value[token], size[token])
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """Bits that a code of the counts takes, about."""
+    c = counts[counts > 0].astype(float)
+    total = float(c.sum())
+    return total * math.log2(total) - float(c @ np.log2(c)) if total else 0.0
+
+
+def _entropy(channel: np.ndarray) -> float:
+    return _bits_of(np.bincount(channel.reshape(-1), minlength=256))
+
+
+#: Sides of the writer's blocks of the predictor, as a power of two.
+_BLOCK = 5
+
+
+def _predict(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(modes by block, residuals): a block takes the neighbour that most of its pixels are equal to, else black."""
+    height, width = argb.shape
+    side = 1 << _BLOCK
+    modes = np.zeros((-(-height >> _BLOCK), -(-width >> _BLOCK)), np.int64)
+    right = np.empty_like(argb[1:])
+    right[:, :-1], right[:, -1] = argb[:-1, 1:], argb[1:, 0]
+    neighbours = [argb[1:, :-1], argb[:-1, 1:], right[:, 1:], argb[:-1, :-1]] if height > 1 and width > 1 else []
+    if neighbours:
+        rows, columns = np.arange(0, height, side), np.arange(0, width, side)
+        equal = np.zeros((4, height, width), np.int64)
+        for k, x in enumerate(neighbours):
+            equal[k, 1:, 1:] = argb[1:, 1:] == x
+        if 4 * equal.sum() >= equal[0].size:
+            shared = np.add.reduceat(np.add.reduceat(equal, rows, axis=1), columns, axis=2)
+            pixels = np.outer(np.minimum(side, height - rows), np.minimum(side, width - columns))
+            modes = np.where(2 * shared.max(axis=0) >= pixels, 1 + shared.argmax(axis=0), 0)
+    prediction = np.full((height, width), 0xFF000000, np.uint32)
+    prediction[0, 1:] = argb[0, :-1]
+    prediction[1:, 0] = argb[:-1, 0]
+    if modes.any():
+        wide = np.repeat(np.repeat(modes, side, axis=0), side, axis=1)[1:height, 1:width]
+        for k, x in enumerate(neighbours, 1):
+            prediction[1:, 1:][wide == k] = x[wide == k]
+    return modes, (argb.view(np.uint8) - prediction.view(np.uint8)).view(np.uint32)
+
+
+def _cross(argb: np.ndarray) -> tuple[int, np.ndarray]:
+    """(element, residuals): red and blue less green or red, where that lowers their entropy."""
+    blue, green, red = (argb.view(np.uint8).reshape(*argb.shape, 4)[..., k] for k in range(3))
+    element, out = 0, argb.copy()
+    parts = out.view(np.uint8).reshape(*argb.shape, 4)
+    # a multiplier of 32 is one: the signed channel as it is
+    if _entropy(red - green) < _entropy(red):
+        element |= 32
+        parts[..., 2] = red - green
+    plain = _entropy(blue)
+    less_green, less_red = _entropy(blue - green), _entropy(blue - red)
+    if min(less_green, less_red) < plain:
+        element |= 32 << 8 if less_green <= less_red else 32 << 16
+        parts[..., 0] = blue - (green if less_green <= less_red else red)
+    return element, out
 
 
 def encode(pixels: np.ndarray) -> bytes:
@@ -449,19 +884,39 @@ def encode(pixels: np.ndarray) -> bytes:
     height, width = pixels.shape[:2]
     if not (1 <= width <= MAX_SIDE and 1 <= height <= MAX_SIDE):
         raise WebpError("an image has 1 to 16384 pixels a side")
-    if (width, height) not in _heads:
-        if len(_heads) > 4096:
-            _heads.clear()
-        bits = _flat_head(width, height)
-        _heads[width, height] = bits.value, bits.size
-    value, size = _heads[width, height]
-    # eight bits a sample in the order of the stream, shifted behind the head
-    stream = _REVERSED[pixels[..., [1, 0, 2, 3]].reshape(-1)]
-    shift, first = size & 7, size >> 3
-    head = np.frombuffer(value.to_bytes(first + 1, "little"), np.uint8)
-    out = np.zeros(first + len(stream) + 1, np.uint8)
-    out[: first + 1] = head
-    out[first : first + len(stream)] |= stream << np.uint8(shift) if shift else stream
-    if shift:
-        out[first + 1 : first + 1 + len(stream)] |= stream >> np.uint8(8 - shift)
-    return riff(out[: first + len(stream) + bool(shift)].tobytes())
+    argb = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]]).view(np.uint32)[..., 0]
+    stream = _Stream()
+    header(stream, width, height)
+    ranked = np.sort(argb, axis=None)
+    colours = ranked[np.append(True, ranked[1:] != ranked[:-1])]
+    if len(colours) <= min(256, max(1, argb.size // 2)):
+        index = np.searchsorted(colours, argb)
+        pack = _pixels_in_one(len(colours))
+        stream.put(1 | 3 << 1 | (len(colours) - 1) << 3, 11)
+        steps = colours.view(np.uint8).reshape(-1, 4).copy()
+        steps[1:] -= colours.view(np.uint8).reshape(-1, 4)[:-1]
+        _put_image(stream, steps.view(np.uint32)[:, 0], len(colours), False)
+        index = index.reshape(height, width)
+        coded = -(-width >> pack)
+        if pack:
+            wide = np.zeros((height, coded << pack), np.int64)
+            wide[:, :width] = index
+            index = (wide.reshape(height, coded, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))).sum(axis=2)
+        argb = (index.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
+        width = coded
+    else:
+        own = argb.view(np.uint8).reshape(height, width, 4)
+        red, blue = own[..., 2] - own[..., 1], own[..., 0] - own[..., 1]
+        if _entropy(red) + _entropy(blue) < _entropy(own[..., 2]) + _entropy(own[..., 0]):
+            stream.put(1 | 2 << 1, 3)
+            own[..., 2], own[..., 0] = red, blue
+        modes, argb = _predict(argb)
+        stream.put(1 | 0 << 1 | (_BLOCK - 2) << 3, 6)
+        _put_image(stream, modes.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), modes.shape[1], False)
+        element, argb = _cross(argb)
+        stream.put(1 | 1 << 1 | (9 - 2) << 3, 6)
+        side = np.full((-(-height >> 9), -(-width >> 9)), 0xFF000000 | element, np.uint32)
+        _put_image(stream, side, side.shape[1], False)
+    stream.put(0, 1)
+    _put_image(stream, argb, width, True)
+    return riff(stream.bytes())
