@@ -3,9 +3,12 @@
 Each partition is packed as it streams, without a shuffle: a document is
 tokenised, cut into full windows, and its rest goes to the fill level that
 minimises the sum of the squared counts of partially filled windows, which are
-tracked in an array by level. At the end of a partition the open windows are
-poured together by cutting pieces, which leaves one open window; its content
-becomes sequences whose lengths are powers of two, so that nothing is padded.
+tracked in an array by level. There are ``LEVELS`` of them, so a window is full
+when what it lacks or what is over is less than a level: the piece is cut there,
+and its rest is placed as a piece of its own. So windows close all along, few
+are open at a time, and at the end of a partition only those are poured
+together by cutting pieces, which leaves one open window; its content becomes
+sequences whose lengths are powers of two, so that nothing is padded.
 
 Memory: one slice of texts, and the open windows, of which the method keeps
 few for each level. A lost task packs the same rows in the same order again.
@@ -28,23 +31,26 @@ from quillveil.llm import textkernel as tk
 CACHE_WORDS = 300_000
 #: Sequence ids of a partition begin at its number times this.
 PARTITION_STEP = 1 << 40
+#: Fill levels of a window.
+LEVELS = 32
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
-_CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNKNOWN = 0, 1, 2, 3, 4
 
 
 def _classes() -> np.ndarray:
-    """The pre-tokeniser's class of each code point."""
+    """The pre-tokeniser's class of each code point; those that Python's tables do not assign are unknown, as the tokeniser's may be newer."""
     import regex
 
     table = np.full(0x110000, _OTHER, dtype=np.uint8)
     kinds = {"L": _LETTER, "N": _DIGIT}
     for code in range(0x110000):
-        kind = kinds.get(unicodedata.category(chr(code))[0])
-        if kind:
-            table[code] = kind
+        category = unicodedata.category(chr(code))
+        if category == "Cn":
+            table[code] = _UNKNOWN
+        elif category[0] in kinds:
+            table[code] = kinds[category[0]]
     for code in [*range(0x3100), 0xFEFF]:
         if regex.match(r"\s", chr(code)):
             table[code] = _SPACE
@@ -56,8 +62,8 @@ class WordTokenizer:
 
     The pre-tokeniser cuts a text into words that are encoded one by one, so the
     ids of each distinct word are kept. Texts in which that cutting needs more
-    than the classes of code points (apostrophes, a final sigma, special tokens)
-    go to the tokeniser whole.
+    than the classes of code points (apostrophes, a final sigma, special tokens,
+    unknown code points) go to the tokeniser whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -122,13 +128,15 @@ class WordTokenizer:
                 plain.append("")
             else:
                 plain.append(unicodedata.normalize("NFC", text).lower())
-        out = self._encode_plain(plain)
+        out, unknown = self._encode_plain(plain)
+        whole += unknown
         if whole:
             for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
                 out[i] = np.asarray(x.ids, dtype=np.uint32)
         return out
 
-    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode_plain(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """The ids of normalised texts, and the numbers of those with unknown code points, whose ids are not theirs."""
         joined = "\n".join(texts) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         kinds = self.classes[codes]
@@ -136,7 +144,9 @@ class WordTokenizer:
         cut[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
         at = np.flatnonzero(cut)
         ends = np.append(at[1:], len(kinds))
-        word = kinds[at] != _SPACE
+        text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        unknown = np.unique(np.searchsorted(text_at, np.flatnonzero(kinds == _UNKNOWN), side="right") - 1).tolist()
+        word = (kinds[at] != _SPACE) & (kinds[at] != _UNKNOWN)
         at, ends = at[word], ends[word]
         hashes = tk.hash_values((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E6C63D0876A9A47), at, ends)
         distinct, first, rows = np.unique(hashes, return_index=True, return_inverse=True)
@@ -156,9 +166,8 @@ class WordTokenizer:
         total = np.zeros(len(lengths) + 1, dtype=np.int64)
         np.cumsum(lengths, out=total[1:])
         ids = self.flat[np.repeat(begin - total[:-1], lengths) + np.arange(total[-1])]
-        text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         bounds = total[np.searchsorted(at, text_at)]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], unknown
 
 
 class _Window:
@@ -174,47 +183,59 @@ class _Window:
 
 
 class SumOfSquaresPacker:
-    """Places pieces into windows of ``capacity`` online; ``closed`` gathers the full ones."""
+    """Places pieces into windows of ``capacity`` online; ``closed`` gathers the full ones.
+
+    A window with content is on level ceil(fill / unit). Where a piece is cut to
+    fill a window, what goes in or what is left of it is less than a unit; with a unit of 1 only exact fits close.
+    """
 
-    def __init__(self, capacity: int) -> None:
-        self.capacity = capacity
-        self.counts = np.zeros(capacity + 1, dtype=np.int64)  # open windows by fill level
+    def __init__(self, capacity: int, unit: int = 1) -> None:
+        self.capacity, self.unit = capacity, unit
+        self.counts = np.zeros(-(-capacity // unit) + 1, dtype=np.int64)  # open windows by level
         self.open: dict[int, list[_Window]] = {}
         self.closed: list[_Window] = []
 
     def level_for(self, size: int) -> int:
         """The level that makes the sum of squared counts least; the fullest of equal ones; 0 is a new window."""
-        counts, cap = self.counts, self.capacity
-        levels = np.flatnonzero(counts[1 : cap - size + 1]) + 1
-        best, gain = 0, 2 * int(counts[size]) + 1
-        if len(levels):
-            after = levels + size
-            # one window leaves level h and enters level h + size, or leaves the open ones when it is full
-            change = np.where(after < cap, 2 * (counts[np.minimum(after, cap)] - counts[levels] + 1), 1 - 2 * counts[levels])
-            k = len(change) - 1 - int(np.argmin(change[::-1]))
-            if change[k] <= gain:
-                best = int(levels[k])
+        cap, unit = self.capacity, self.unit
+        counts = self.counts.tolist()
+        best, least = 0, 2 * counts[-(-size // unit)] + 1
+        for level in range(1, len(counts)):
+            count = counts[level]
+            if not count:
+                continue
+            held = self.open.get(level)
+            free = cap - (held[-1].fill if held else level * unit)
+            # one window leaves its level and enters another, or leaves the open ones when it is full
+            if size < free:
+                after = -(-(cap - free + size) // unit)
+                change = 0 if after == level else 2 * (counts[after] - count + 1)
+            elif min(free, size - free) < unit:
+                change = 1 - 2 * count
+            else:
+                continue
+            if change <= least:
+                best, least = level, change
         return best
 
     def place(self, piece: tuple) -> None:
-        size = len(piece[2])
-        if size == self.capacity:
-            window = _Window()
-            window.add(piece)
-            self.closed.append(window)
-            return
-        level = self.level_for(size)
-        if level:
-            window = self.open[level].pop()
-            self.counts[level] -= 1
-        else:
-            window = _Window()
-        window.add(piece)
-        if window.fill == self.capacity:
-            self.closed.append(window)
-        else:
-            self.counts[window.fill] += 1
-            self.open.setdefault(window.fill, []).append(window)
+        doc_id, start, ids, n = piece
+        while len(ids):
+            level = self.level_for(len(ids)) if len(ids) < self.capacity else 0
+            if level:
+                window = self.open[level].pop()
+                self.counts[level] -= 1
+            else:
+                window = _Window()
+            take = min(self.capacity - window.fill, len(ids))
+            window.add((doc_id, start, ids[:take], n))
+            start, ids = start + take, ids[take:]
+            if window.fill == self.capacity:
+                self.closed.append(window)
+            else:
+                level = -(-window.fill // self.unit)
+                self.counts[level] += 1
+                self.open.setdefault(level, []).append(window)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         n, cap = len(ids), self.capacity
@@ -299,7 +320,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) * PARTITION_STEP
-        tokenizer, packer = tokenizer_at(tokenizer_path), SumOfSquaresPacker(capacity)
+        tokenizer, packer = tokenizer_at(tokenizer_path), SumOfSquaresPacker(capacity, max(1, capacity // LEVELS))
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             ids = batch.column(0).to_pylist()

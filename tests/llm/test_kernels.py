@@ -89,6 +89,31 @@ def test_packer_fills_windows_and_loses_nothing():
     assert ends == dict(enumerate(sizes))
 
 
+def test_few_windows_stay_open_with_coarse_levels():
+    packer = packing.SumOfSquaresPacker(4096, 128)
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(1, 5000, 800), np.full(200, 2100)])
+    for i, n in enumerate(sizes):
+        packer.add(i, np.arange(n, dtype=np.uint32))
+    assert sum(w.fill for w in packer.closed) > 0.95 * sizes.sum() and all(w.fill == 4096 for w in packer.closed)
+    windows = packer.take_closed() + packer.drain()
+    assert sum(w.fill for w in windows) == sizes.sum()
+
+
+def test_classes_of_code_points_are_those_of_the_tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    own = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    cut = own.tokenizer.pre_tokenizer.pre_tokenize_str
+    kinds = own.classes
+    codes = [c for c in range(1, 0x110000) if kinds[c] != packing._UNKNOWN and not 0xD800 <= c < 0xE000 and not 0x3400 < c < 0xD7A0 and c < 0x20000]
+    # between letters a letter joins them, between marks a mark does, a digit stands alone and white space goes
+    joined = {packing._LETTER: (1, 3), packing._OTHER: (3, 1), packing._DIGIT: (3, 3), packing._SPACE: (2, 2)}
+    plain = lambda t: own.tokenizer.normalizer.normalize_str(t)
+    for c in codes[::3]:
+        if len(plain(chr(c))) == 1 and ord(plain(chr(c))) == c:
+            assert (len(cut(f"z{chr(c)}q")), len(cut(f"?{chr(c)}?"))) == joined[kinds[c]], hex(c)
+
+
 def test_sum_of_squares_choice():
     packer = packing.SumOfSquaresPacker(10)
     packer.counts[3], packer.counts[5], packer.counts[6] = 4, 1, 1
@@ -112,6 +137,8 @@ def test_word_tokenizer_equals_the_library():
     texts = ["", "  ", "Don't 12 a1b2 it's", "ΣΑΣ ÀÉ́ İ", "x　z ½ ٣ '’ !!'s", "hello hello, world\n\n#*$", "<|endoftext|> a"]
     own, lib = packing.WordTokenizer(path), Tokenizer.from_file(path)
     assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+    odd = ["a\u1c89b", "x \ua7cb9", "\U000105c0 hello", "plain"]
+    assert [x.tolist() for x in own.encode(odd)] == [x.ids for x in lib.encode_batch(odd, add_special_tokens=False)]
     own._forget()
     assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
 
