@@ -231,6 +231,15 @@ def test_learned_terms_carry_over(spark):
     assert [r.doc_id for r in toxicity.drop_toxic(planted, known.limit(0)).collect()] == [2]
 
 
+def test_media_columns_of_clashing_names_give_way(spark):
+    rows = media.encode_media(_frame(spark, [(1, "abc", None, None, 1)])).withColumn("width", F.lit("x")).withColumn("Feature", F.lit(1))
+    out = media.decode_media(rows)
+    assert out.columns == ["doc_id", "n_bytes", "payload_bytes", "media", "width", "height", "pixels", "feature", "media_error"]
+    assert out.first().width == 16
+    renamed = media.decode_media(rows.select("doc_id", F.col("media").alias("pixels")), "pixels")
+    assert bytes(renamed.first().pixels).startswith(b"abc\0")
+
+
 def test_media(docs):
     rows = media.decode_media(media.encode_media(docs)).collect()
     texts = {r[0]: (r[1] or "").encode() for r in _rows() if r[0] is not None}
@@ -270,11 +279,29 @@ def test_segmentations_are_summed():
     def brute(word, j):
         if not word:
             return 1.0
-        return sum(table[index[word[:n]], j] * brute(word[n:], j) for n in range(1, min(len(word), langid.LONGEST_PIECE) + 1) if word[:n] in index)
+        return sum(table[index[word[:n]], j] * brute(word[n:], j) for n in range(1, min(len(word), pieces.longest) + 1) if word[:n] in index)
 
     for word in (b"the", b"fox", "über".encode()):
         got = langid.word_scores(pieces, table, [word])[0]
         assert np.allclose(got, [np.log(brute(b" " + word, j)) for j in (0, 1)])
+    assert max(map(len, pieces.pieces)) == pieces.longest and index[b"1"] != index[b","]
+
+
+def test_long_words_are_scored_whole():
+    pieces = langid.pieces_at(queries.tokenizer_path("piece_bpe_32k.model"))
+    table = np.random.default_rng(8).random((len(pieces), 2)) / len(pieces)
+    for word in (b"information" * 30, "日本語の文".encode() * 40, b"x1,;" * 100):
+        got = langid.word_scores(pieces, table, [word])[0]
+        logs = np.full((len(word) + 2, 2), -np.inf)
+        logs[0] = 0.0
+        index = {p: i for i, p in enumerate(pieces.pieces)}
+        text = b" " + word
+        for end in range(1, len(text) + 1):
+            for n in range(1, min(end, pieces.longest) + 1):
+                i = index.get(text[end - n : end])
+                if i is not None:
+                    logs[end] = np.logaddexp(logs[end], logs[end - n] + np.log(table[i]))
+        assert np.allclose(got, logs[len(text)])
 
 
 def test_packing(docs):
