@@ -2,14 +2,17 @@
 
 A source with target t and size z gives each of its documents t / z expected
 copies. The whole part is taken as it is. The fractional parts are rounded
-dependently: two fractional documents exchange mass, at random and without
-changing the expected words of the pair, until one of them is integral, and the
-other goes on to the next pair. So the words of a source come out within one
-document of its target, and each document's expected copies stay as they were.
+dependently: two sides exchange mass, at random and without changing the
+expected words of the pair, until one of them is integral, and the other goes on
+to the next pair. Within a group the two sides are the largest document left and
+the pool of all smaller ones, whose common share moves as one; so large
+documents are settled while there are words enough to make up for them, what
+is left over is a small document, and the words of a source come out within
+about its smallest documents of its target. Each document's expected copies stay as they were.
 
 The documents of a source are dealt to as many groups as its count needs, each
 group is reduced to at most one fractional document, and these residuals meet
-in a reduction tree of bounded fan-in; the last one of a source is drawn. All
+in pairs in a reduction tree of bounded fan-in; the last one of a source is drawn. All
 draws come from hashes of ids and sizes, so reruns agree whatever the layout.
 """
 
@@ -62,47 +65,69 @@ def _uniform(ids: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+_NEAR = 1e-12
+
+
+def _duel(p: float, w: float, q: float, z: float, draw: float) -> tuple[float, float]:
+    """Moves words between two sides of sizes w and z with shares p and q until one of them is 0 or 1."""
+    up = min((1 - p) * w, q * z)
+    down = min(p * w, (1 - q) * z)
+    move = up if draw * (up + down) < down else -down
+    p, q = p + move / w, q - move / z
+    return (round(p) if not _NEAR < p < 1 - _NEAR else p), (round(q) if not _NEAR < q < 1 - _NEAR else q)
+
+
 def _pivot(share: np.ndarray, size: np.ndarray, draw: np.ndarray, last: bool) -> np.ndarray:
-    """Rounds all shares but one at most, in their order; ``last`` also draws that one."""
+    """Rounds all shares but one at most; ``last`` also draws that one.
+
+    Documents of one share duel with the pool of those behind them, the largest
+    first; what is left of different shares, as residuals are, duels in pairs.
+    """
     out = share.copy()
-    p, w, u = share.tolist(), size.tolist(), draw.tolist()
-    held = -1
-    for i in range(len(p)):
-        if not 1e-12 < p[i] < 1 - 1e-12:
-            out[i] = round(p[i])
-            continue
-        if w[i] == 0:
-            out[i] = 0.0
-            continue
-        if held < 0:
+    integral = ~((share > _NEAR) & (share < 1 - _NEAR))
+    out[integral] = np.round(share[integral])
+    out[~integral & (size == 0)] = 0.0
+    # equal sizes stay in their order, which is random
+    left = np.flatnonzero(~integral & (size > 0))
+    left = left[np.argsort(-size[left], kind="stable")].tolist()
+    if not left:
+        return out
+    residuals = []
+    for p in sorted(set(share[left].tolist())):
+        # documents of one share, of which there is one but for rows that are equal or left over
+        own = [i for i in left if share[i] == p]
+        rest = float(size[own].sum())
+        for at, i in enumerate(own[:-1]):
+            rest -= float(size[i])
+            out[i], q = _duel(p, float(size[i]), p, rest, float(draw[i]))
+            if q in (0, 1):
+                # the pool is settled; the document may be what is left
+                out[own[at + 1 :]] = q
+                residuals.append(i)
+                break
+            p = q
+        else:
+            out[own[-1]] = p
+            residuals.append(own[-1])
+    residuals.sort(key=lambda i: (-size[i], i))
+    held = residuals[0]
+    for i in residuals[1:]:
+        if out[held] in (0, 1):
             held = i
-            continue
-        a, b = held, i
-        # mass in words: up moves from b to a, down from a to b; the first to reach 0 or 1 stops it
-        up = min((1 - p[a]) * w[a], p[b] * w[b])
-        down = min(p[a] * w[a], (1 - p[b]) * w[b])
-        move = up if u[i] * (up + down) < down else -down
-        p[a] += move / w[a]
-        p[b] -= move / w[b]
-        held = -1
-        for k in (a, b):
-            if 1e-12 < p[k] < 1 - 1e-12:
-                held = k
-            else:
-                out[k] = p[k] = float(round(p[k]))
-    if held >= 0:
-        out[held] = float(u[held] < p[held]) if last else p[held]
+        elif out[i] not in (0, 1):
+            out[held], out[i] = _duel(float(out[held]), float(size[held]), float(out[i]), float(size[i]), float(draw[i]))
+            held = held if out[held] not in (0, 1) else i
+    if last and out[held] not in (0, 1):
+        out[held] = float(draw[held] < out[held])
     return out
 
 
 def _reduce(seed: int, last: bool):
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["doc_id"].fillna(-(1 << 62)).to_numpy(np.int64)
-        size = pdf["size"].to_numpy(np.int64)
-        tie = _uniform(ids, size, seed)
-        order = np.lexsort((size, ids, tie))
+        rows, size = pdf["row"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
+        order = np.lexsort((size, rows, _uniform(rows, size, seed)))
         pdf = pdf.iloc[order]
-        share = _pivot(pdf["share"].to_numpy(float), size[order].astype(float), _uniform(ids[order], size[order], seed + 101), last)
+        share = _pivot(pdf["share"].to_numpy(float), size[order].astype(float), _uniform(rows[order], size[order], seed + 101), last)
         return pdf.assign(share=share)
 
     return step
@@ -115,12 +140,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     target, copies and taken (copies times size), and the columns of ``keep``
     (under their own names). Documents without words are taken once if their
     source's target is at least its size, as no draw can move words to them. A
-    null source is a source of its own, the last. Repeated rows are rounded
-    each. An empty table gives no rows.
+    null source is a source of its own, the last. Rows of one id, text and
+    source are one entry of so many rows, of which but one are rounded by
+    count, so no group grows with them; all of them are returned. An empty
+    table gives no rows.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"), *keep)
-    sized = settle(sized)
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
+    text = F.col(text_col)
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col), text.isNull(), text).alias("row"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"), *keep)
+    sized = settle(sized.groupBy("doc_id", "row", "size", "source", *keep).agg(F.count(F.lit(1)).alias("n")))
+    sizes = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("documents"))
     targets = source_targets(sizes.select("source", "source_size"), weights, cap)
     targets = targets.join(sizes.select(F.col("source").alias("own"), "documents"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
     targets = settle(targets.withColumn("groups", F.ceil(F.col("documents") / GROUP)).withColumnRenamed("source", "of"))
@@ -128,8 +156,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one row a source; the documents side may be skewed, and such a join splits
     ready = sized.join(targets, sized["source"].eqNullSafe(targets["of"])).drop("of", "documents")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    ready = ready.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("share", F.col("expected") - F.col("whole"))
-    ready = ready.withColumn("bucket", F.when(F.col("groups") > 1, F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups"))).otherwise(F.lit(0).cast("long")))
+    ready = ready.withColumn("expected", expected).withColumn("whole", F.floor("expected"))
+    # of n equal rows so many take one more, and one takes the rest
+    mass = (F.col("expected") - F.col("whole")) * F.col("n")
+    ready = ready.withColumn("more", F.when(F.col("n") > 1, F.floor(mass)).otherwise(F.lit(0)).cast("long")).withColumn("share", mass - F.col("more"))
+    ready = ready.withColumn("bucket", F.when(F.col("groups") > 1, F.pmod(F.xxhash64("row", F.lit(seed)), F.col("groups"))).otherwise(F.lit(0).cast("long")))
     ready = ready.drop("groups", "expected")
     level, decided = 0, []
     while True:
@@ -146,7 +177,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    out = out.withColumn("copies", (F.col("whole") + F.col("share")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    one_more = F.when(F.col("nth") <= F.col("more"), F.lit(1.0)).when(F.col("nth") == F.col("more") + 1, F.col("share")).otherwise(F.lit(0.0))
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    out = out.withColumn("copies", (F.col("whole") + one_more).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "size", "source_size", "target", "copies", "taken", *keep)
 
 

@@ -201,6 +201,23 @@ def test_mixing(docs):
     assert sorted(map(key, rows)) == sorted(map(key, mixing.mix_sources(docs.repartition(7)).collect()))
 
 
+def test_sources_come_within_two_percent_of_their_targets(spark):
+    rows = queries.QUERIES["op4_mix_sources"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id")
+    for r in rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 0.02 * r.target
+
+
+def test_equal_rows_are_rounded_by_count(spark):
+    rows = [(7, "a b c d", None, "s0", 1)] * 300 + [(None, "x y", None, "s0", 1)] * 50 + [(100 + i, _text(i, 20), None, "s1", 1) for i in range(30)]
+    out = mixing.mix_sources(_frame(spark, rows)).collect()
+    assert len(out) == 380 and sum(r.doc_id == 7 for r in out) == 300
+    for source in ({7}, {None}):
+        own = [r for r in out if r.doc_id in source]
+        assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
+    own = [r for r in out if r.doc_id in (7, None)]
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 4
+
+
 def test_reduction_tree(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP", 20)
     monkeypatch.setattr(mixing, "FAN_IN", 2)
