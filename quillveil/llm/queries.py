@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillveil.llm.chat import TRAINED, format_conversations, read_back
+from quillveil.llm.chat import format_conversations, read_back, trained_text
 from quillveil.llm.classifier import score_quality
 from quillveil.llm.common import crc_fold, table
 from quillveil.llm.langid import fit_languages, predict_languages
@@ -46,10 +46,9 @@ def op2_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     formatted = format_conversations(rows.unionByName(more))
-    back = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
+    back = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), trained_text(F.col("formatted"), F.col("loss_runs")).alias("trained"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,17 @@ def test_chat_reads_back(spark):
     assert next(r for r in rows if r.conv_id == 1).formatted.count("### ") == 3
 
 
+def test_long_conversations_keep_their_mask(spark):
+    rows = [(1, i, ["user", "assistant", "assistant"][i % 3], f"t\\{i} #<é😀" * (i % 4)) for i in range(900)] + [(2, 0, "assistant", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(turns).select("conv_id", chat.trained_text(F.col("formatted"), F.col("loss_runs")).alias("t"), chat.read_back(F.col("formatted")).alias("turns"), "formatted").collect()
+    for r in out:
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert r.t == "".join(x[3] for x in own if x[2] == "assistant")
+        assert [tuple(t) for t in r.turns] == [x[2:] for x in own]
+    assert next(r for r in out if r.conv_id == 1).formatted.count("### ") == 600
+
+
 def test_rules(spark, docs):
     got = rules.quality_rules(docs).collect()
     assert len(got) == len(_rows())
