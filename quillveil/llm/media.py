@@ -13,8 +13,8 @@ from quillveil.llm import textkernel as tk
 from quillveil.llm import webp
 
 UNIT = 64
-#: Pixels of a row of the smallest image; a pixel holds four bytes.
-_ROW_PIXELS = UNIT // 4
+#: Pixels of a row of the smallest image.
+_ROW_PIXELS = 16
 
 
 def payload_of(raw: np.ndarray) -> np.ndarray:
@@ -26,17 +26,22 @@ def payload_of(raw: np.ndarray) -> np.ndarray:
 
 
 def pixels_of(payload: np.ndarray) -> np.ndarray:
-    """The payload as an image about twice as wide as it is high, in steps of 16 pixels; zeros behind it fill the last row."""
-    pixels = len(payload) // 4
+    """The payload as grays, a byte a pixel, in an image wider than it is high; zeros behind it fill the last row.
+
+    What does not fit so is an image of four bytes a pixel. Text is never taken
+    for the other form when it is read back, as no byte of UTF-8 is an opaque alpha.
+    """
+    gray = len(payload) <= webp.MAX_SIDE**2
+    pixels = len(payload) if gray else len(payload) // 4
     width = _ROW_PIXELS
     while width < webp.MAX_SIDE and width * width < 2 * pixels:
         width *= 2
     height = -(-pixels // width)
     if height > webp.MAX_SIDE:
         raise webp.WebpError("a payload over 1 GiB does not fit one image")
-    out = np.zeros(height * width * 4, np.uint8)
+    out = np.zeros(height * width * (1 if gray else 4), np.uint8)
     out[: len(payload)] = payload
-    return out.reshape(height, width, 4)
+    return out.reshape(height, width) if gray else out.reshape(height, width, 4)
 
 
 def feature_of(pixels: np.ndarray) -> str:
@@ -68,7 +73,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
-    """``rows`` with width, height, pixels (raw RGBA bytes, row by row), feature and media_error.
+    """``rows`` with width, height, pixels (raw bytes, row by row: one a pixel in images of opaque grays, else red, green, blue and alpha), feature and media_error.
 
     Null media have nulls there. Bytes that are no lossless WebP image have
     nulls and the reason in media_error. Other columns stay as they are; those

@@ -9,11 +9,11 @@ another and are read one by one, a pixel's four codes from one buffer of bits;
 tables and transforms are arrays wherever a pixel does not need the one to its
 left.
 
-The writer gives images of at most 256 colours, none of them rare, a palette, with
-several pixels in one where they are few, and others a predictor by blocks, a cross-colour
-transform and, where it lowers the entropy, subtracted green. What is left is
-written with back-references, a colour cache where it is hit, and prefix codes
-made from the counts of the symbols. Equal pixels give equal files.
+The writer gives images a palette where that takes fewer bits, with several
+pixels in one where colours are few, and others a predictor by blocks and a
+cross-colour transform, which leaves nothing of the red and blue of grays. What
+is left is written with back-references, a colour cache where it is hit, and
+prefix codes made from the counts of the symbols. Equal pixels give equal files.
 """
 
 from __future__ import annotations
@@ -105,18 +105,20 @@ def _code(lengths: tuple[int, ...]) -> _Code:
     return _Code(list(lengths))
 
 
+@lru_cache(maxsize=1024)
+def _simple(alphabet: int, first: int, second: int) -> _Code:
+    """A code of one or two symbols."""
+    if max(first, second) >= alphabet:
+        raise WebpError("a symbol outside its alphabet")
+    return _Code([int(s in (first, second)) for s in range(alphabet)])
+
+
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
-    lengths = [0] * alphabet
     if bits.read(1):
         two = bits.read(1)
-        symbols = [bits.read(8 if bits.read(1) else 1)]
-        if two:
-            symbols.append(bits.read(8))
-        if max(symbols) >= alphabet:
-            raise WebpError("a symbol outside its alphabet")
-        for s in symbols:
-            lengths[s] = 1
-        return _code(tuple(lengths))
+        first = bits.read(8 if bits.read(1) else 1)
+        return _simple(alphabet, first, bits.read(8) if two else first)
+    lengths = [0] * alphabet
     count = 4 + bits.read(4)
     if count > len(_LENGTH_ORDER):
         raise WebpError("too many code lengths")
@@ -265,7 +267,7 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, tot
     out = np.zeros(total, np.uint32)
     tables = [c.array for c in codes]
     near = np.array(_near(width), np.int64)
-    done, pending, cache = 0, 0, np.zeros(1 << cache_bits, np.uint32)
+    done, others = 0, []
     while done < total:
         base = bits.at & ~7
         size = min(_CHUNK_BITS, max(8, bits.size - base))
@@ -278,12 +280,14 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, tot
         place = np.arange(size, dtype=np.int32)
         found, behind = [], place
         for table in tables[:4]:
-            e = table[ahead[behind] & np.int32(len(table) - 1)] if len(table) > 1 else np.full(size, table[0], np.int32)
+            if len(table) == 1 and found:
+                found.append(table[:1])  # a single symbol takes no bits
+                continue
+            e = table[(ahead[behind] if found else ahead[:size]) & np.int32(len(table) - 1)]
             found.append(e)
             behind = behind + (e & 15)
         symbol = found[0] >> 4
         other = np.flatnonzero(symbol >= _LITERALS)
-        length = distance = None
         if len(other):
             at = other + (found[0][other] & 15)
             ref = symbol[other] < _LITERALS + 24
@@ -304,46 +308,61 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, tot
         reached = np.array(chain)
         symbol = symbol[reached]
         plain = symbol < _LITERALS
-        own = reached[plain]
-        argb = (found[3][own] >> 4) << 24 | (found[1][own] >> 4) << 16 | symbol[plain] << 8 | found[2][own] >> 4
-        if plain.all():
-            out[done : done + len(argb)] = argb.view(np.uint32)
-            done += len(argb)
-        else:
+        spans, back = np.ones(len(reached), np.int64), np.zeros(len(reached), np.int64)
+        if len(other):
             row = np.searchsorted(other, reached[~plain])
-            spans = np.ones(len(reached), np.int64)
-            spans[~plain] = np.where(symbol[~plain] < _LITERALS + 24, length[row], 1)
-            begin = done + np.cumsum(spans) - spans
-            inside = begin < total
-            here = begin[plain & inside]
-            out[here] = argb.view(np.uint32)[: len(here)]
-            for s, a, k, d in zip(symbol[~plain].tolist(), begin[~plain].tolist(), length[row].tolist(), distance[row].tolist()):
-                if a >= total:
-                    break
-                if s < _LITERALS + 24:
-                    if d > a or a + k > total:
-                        raise WebpError("a back-reference outside the image")
-                    if d >= k:
-                        out[a : a + k] = out[a - d : a - d + k]
-                    else:
-                        out[a : a + k] = np.resize(out[a - d : a], k)
-                else:
-                    # of the pixels of one slot the last stays
-                    colours = out[pending:a]
-                    cache[(colours * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)] = colours
-                    pending = a
-                    out[a] = cache[s - 280]
-            used = reached[inside]
-            done = int((begin + spans)[inside][-1])
-            if len(used) < len(reached):
-                bits.at = base + int(reached[len(used)])
+            ref = symbol[~plain] < _LITERALS + 24
+            spans[~plain] = np.where(ref, length[row], 1)
+            back[~plain] = np.where(ref, distance[row], _LITERALS + 23 - symbol[~plain])  # cache entry k is -1 - k
+        begin = done + np.cumsum(spans) - spans
+        inside = begin < total
+        if not inside.all():
+            bits.at = base + int(reached[inside.argmin()])
+            reached, symbol, plain, spans, back, begin = (x[inside] for x in (reached, symbol, plain, spans, back, begin))
+        done = int(begin[-1] + spans[-1])
+        if done > total or (back > begin).any():
+            raise WebpError("a back-reference outside the image")
+        own = reached[plain]
+        red, blue, alpha = (e[own] >> 4 if len(e) > 1 else e >> 4 for e in found[1:])
+        out[begin[plain]] = (alpha << 24 | red << 16 | symbol[plain] << 8 | blue).view(np.uint32)
+        others.append((begin[~plain], spans[~plain], back[~plain]))
         if done < total and bits.at >= bits.size:
             raise WebpError("the stream ends early")
     if bits.at > bits.size:
         raise WebpError("the stream ends early")
+    begin, spans, back = (np.concatenate(x) for x in zip(*others))
+    if (back < 0).any():
+        _with_cache(out, begin.tolist(), spans.tolist(), back.tolist(), cache_bits)
+    elif len(begin):
+        # each pixel's source, until all sources are pixels of their own
+        source = np.arange(total)
+        at = np.repeat(begin - np.cumsum(spans) + spans, spans) + np.arange(int(spans.sum()))
+        source[at] -= np.repeat(back, spans)
+        while True:
+            further = source[source]
+            if (further == source).all():
+                break
+            source = further
+        out = out[source]
     return out
 
 
+def _with_cache(out: np.ndarray, begin: list[int], spans: list[int], back: list[int], cache_bits: int) -> None:
+    """Fills in references and cache entries, one after the other."""
+    cache, pending = np.zeros(1 << cache_bits, np.uint32), 0
+    for a, k, d in zip(begin, spans, back):
+        if d >= k:
+            out[a : a + k] = out[a - d : a - d + k]
+        elif d > 0:
+            out[a : a + k] = np.resize(out[a - d : a], k)
+        else:
+            # of the pixels of one slot the last stays
+            colours = out[pending:a]
+            cache[(colours * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)] = colours
+            pending = a
+            out[a] = cache[-1 - d]
+
+
 def _numbers(prefix: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths or distances from their prefixes, and how many further bits they take."""
     extra = np.maximum(prefix - 2, 0) >> 1
@@ -376,13 +395,13 @@ def _unpredict(argb: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     """Adds the predictions back, a row of a block at a time; where modes need the pixel to the left, pixel by pixel."""
     height, width = argb.shape
     if not (modes & 15).any():
-        bytes_ = argb.astype("<u4").view(np.uint8).reshape(height, width, 4)
-        bytes_[..., 3] += np.uint8(255)
-        bytes_[0, 1:, 3] -= np.uint8(255)
-        bytes_[1:, 0, 3] -= np.uint8(255)
-        bytes_[0] = np.cumsum(bytes_[0], axis=0, dtype=np.uint8)
-        bytes_[:, 0] = np.cumsum(bytes_[:, 0], axis=0, dtype=np.uint8)
-        return bytes_.view(np.uint32)[..., 0]
+        # alpha is the highest byte, so that nothing is carried from it
+        out = argb + np.uint32(0xFF000000)
+        for edge, own in ((out[0], argb[0]), (out[:, 0], argb[:, 0])):
+            steps = np.ascontiguousarray(own).view(np.uint8).reshape(-1, 4).copy()
+            steps[0, 3] = (int(steps[0, 3]) + 255) & 255  # that of black
+            edge[:] = np.cumsum(steps, axis=0, dtype=np.uint8).view(np.uint32)[:, 0]
+        return out
     res = _channels(argb)
     out = np.zeros_like(res)
     out[0, 0] = (res[0, 0] + _BLACK) & 255
@@ -442,14 +461,17 @@ def _uncross(argb: np.ndarray, elements: np.ndarray, block: int) -> np.ndarray:
     height, width = argb.shape
     if not (elements & np.uint32(0xFFFFFF)).any():
         return argb
-    own = np.repeat(np.repeat(elements, 1 << block, axis=0), 1 << block, axis=1)[:height, :width]
-    signed = lambda v: ((v.astype(np.int32) & 255) ^ 128) - 128
-    red_to_blue, green_to_blue, green_to_red = signed(own >> 16), signed(own >> 8), signed(own)
-    c = _channels(argb)
-    green = signed(c[..., 2])
-    c[..., 1] = (c[..., 1] + ((green_to_red * green) >> 5)) & 255
-    c[..., 3] = (c[..., 3] + ((green_to_blue * green) >> 5) + ((red_to_blue * signed(c[..., 1])) >> 5)) & 255
-    return _joined(c)
+    own = elements if elements.size == 1 else np.repeat(np.repeat(elements, 1 << block, axis=0), 1 << block, axis=1)[:height, :width]
+    signed = lambda v: v.astype(np.int8).astype(np.int32)
+    red_to_blue, green_to_blue, green_to_red = signed(own >> 16 & 255), signed(own >> 8 & 255), signed(own & 255)
+    out = np.array(argb, "<u4")
+    blue, green, red = (out.view(np.uint8).reshape(height, width, 4)[..., k] for k in range(3))
+    by = signed(green)
+    red += ((green_to_red * by) >> 5).astype(np.uint8)
+    blue += ((green_to_blue * by) >> 5).astype(np.uint8)
+    if red_to_blue.any():
+        blue += ((red_to_blue * signed(red)) >> 5).astype(np.uint8)
+    return out
 
 
 def _pixels_in_one(colours: int) -> int:
@@ -485,7 +507,7 @@ def _chunk(data: bytes) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The pixels as uint8 (height, width, 4) in the order red, green, blue, alpha."""
+    """The pixels as uint8 (height, width, 4) in the order red, green, blue, alpha, or (height, width) where all are opaque grays."""
     bits = _Bits(_chunk(data))
     if bits.read(8) != 0x2F:
         raise WebpError("no lossless signature")
@@ -520,7 +542,11 @@ def decode(data: bytes) -> np.ndarray:
     pixels = _image(bits, coded, height, True)
     for step in reversed(undo):
         pixels = step(pixels)
-    return _channels(pixels)[..., [1, 2, 3, 0]].astype(np.uint8)
+    parts = np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(height, width, 4)
+    gray = parts[..., 0]
+    if (pixels == gray.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)).all():
+        return np.ascontiguousarray(gray)
+    return parts[..., [2, 1, 0, 3]]
 
 
 @dataclass
@@ -603,7 +629,7 @@ class _Stream:
         words = np.zeros((total >> 6) + 2, np.uint64)
         begin = ends - sizes
         word, shift = begin >> 6, (begin & 63).astype(np.uint64)
-        firsts = np.flatnonzero(np.diff(word, prepend=-1))
+        firsts = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
         words[word[firsts]] = np.bitwise_or.reduceat(values << shift, firsts)
         over = np.flatnonzero((begin & 63) + sizes > 64)  # one a word at most
         words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
@@ -659,14 +685,20 @@ def _codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1024)
+def _simple_tokens(used: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([1 | (len(used) - 1) << 1 | 1 << 2, *used], np.uint64), np.array([3, *[8] * len(used)], np.int64)
+
+
 def _code_tokens(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values, sizes) of the numbers that a prefix code is told by."""
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
-        used = used if len(used) else np.zeros(1, np.int64)
-        return np.append(1 | (len(used) - 1) << 1 | 1 << 2, used).astype(np.uint64), np.append(3, np.full(len(used), 8))
+        return _simple_tokens(tuple(used.tolist()) or (0,))
     # before each length a run of zeros: one or two as they are, up to 10 and up to 138 as one symbol, longer ones in parts
-    gaps = np.diff(used, prepend=-1) - 1
+    gaps = used - 1
+    gaps[1:] -= used[:-1]
+    gaps[0] += 1
     whole = np.maximum(gaps - 1, 0) // 138
     rest = gaps - 138 * whole
     few = np.where(rest < 3, rest, 1)
@@ -702,8 +734,9 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(small, v, 2 * high + second), extra, np.where(small, 0, v & ((np.int64(1) << extra) - 1))
 
 
-#: Pixels of the shortest back-reference in use, and of the longest that the format has.
-_SHORTEST, _LONGEST = 3, 4096
+#: Pixels that earlier places are looked up by, of the shortest back-reference in use, and of the longest that the format has.
+_KEYED, _SHORTEST, _LONGEST = 4, 12, 4096
+_FEW = 1 << 13
 #: Bits of the writer's colour cache, and the share of pixels that it must hold.
 _CACHE_BITS, _CACHE_SHARE = 6, 0.1
 #: Channels share a code where that takes at most so many times the bits.
@@ -711,54 +744,81 @@ _ALIKE = 1.15
 
 
 def _references(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, distance) of disjoint back-references, from the nearest earlier place of each pair of pixels."""
+    """(start, length, distance) of disjoint back-references, from the nearest earlier place of the pixels that begin at each."""
     none = np.zeros(0, np.int64)
-    if len(v) < 2 * _SHORTEST:
+    n = len(v) - _KEYED + 1
+    if n < 2:
         return none, none, none
     pair = v[:-1].astype(np.uint64) << np.uint64(32) | v[1:]
-    order = np.argsort(pair, kind="stable")
-    same = pair[order[1:]] == pair[order[:-1]]
-    back = np.zeros(len(pair), np.int64)
-    back[order[1:][same]] = order[1:][same] - order[:-1][same]
-    cuts = np.flatnonzero(np.diff(back)) + 1
-    starts, ends = np.append(0, cuts), np.append(cuts, len(back))
-    hit = (back[starts] > 0) & (ends - starts >= _SHORTEST - 1)
+    key = pair[:n] * np.uint64(0x9E3779B97F4A7C15) + pair[2 : n + 2] * np.uint64(0xC2B2AE3D27D4EB4F)
+    if n < _FEW:
+        # so few places are told apart by 16 bits, which sort faster; what they take for equal is compared below
+        key = (key >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    here, there = order[1:], order[:-1]
+    same = (pair[here] == pair[there]) & (pair[here + 2] == pair[there + 2])
+    back = np.zeros(n, np.int64)
+    back[here[same]] = here[same] - there[same]
+    # from each place, where places of the same distance end, and the next place that has one
+    ends = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, n)
+    # the last place of a run reaches further than that
+    runs = ends.copy()
+    runs[1:] -= ends[:-1]
+    ends = np.repeat(ends + (_KEYED - 1), runs)
+    place = np.arange(n)
+    place[(back == 0) | (ends - place < _SHORTEST)] = n
+    next_of = memoryview(np.ascontiguousarray(np.minimum.accumulate(place[::-1])[::-1]))
     out, at = [], 0
-    for a, b, d in zip(starts[hit].tolist(), ends[hit].tolist(), back[starts[hit]].tolist()):
-        a, b = max(a, at), b + 1  # the last pair reaches one pixel further
-        while b - a >= _SHORTEST:
-            n = min(b - a, _LONGEST)
-            out.append((a, n, d))
-            a += n
-        at = max(at, a)
-    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+    end_of = memoryview(ends)
+    while at < n and (a := next_of[at]) < n:
+        at = end_of[a]
+        out.append((a, at))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    starts, lengths = found[:, 0], found[:, 1] - found[:, 0]
+    distances = back[starts]
+    parts = -(-lengths // _LONGEST)
+    if (parts > 1).any():
+        within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, distances = np.repeat(starts, parts) + _LONGEST * within, np.repeat(distances, parts)
+        lengths = np.minimum(np.repeat(lengths, parts) - _LONGEST * within, _LONGEST)
+    return starts, lengths, distances
 
 
 @lru_cache(maxsize=64)
-def _near_codes(width: int) -> dict[int, int]:
-    found: dict[int, int] = {}
-    for code, distance in enumerate(_near(width), 1):
-        found.setdefault(distance, code)
-    return found
+def _near_codes(width: int) -> np.ndarray:
+    """By distance, up to the farthest that has one, the short code or the plain one."""
+    near = np.array(_near(width))
+    out = np.arange(near.max() + 1) + 120
+    for code in range(len(near), 0, -1):
+        out[near[code - 1]] = code
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _only(symbol: int) -> np.ndarray:
+    """The counts of a channel of one value."""
+    return np.bincount([symbol], minlength=256)
 
 
 def _put_image(stream: _Stream, argb: np.ndarray, width: int, outermost: bool) -> None:
     """An entropy-coded image with one group of codes."""
     v = argb.reshape(-1)
     n = len(v)
-    if not outermost and (v == v[0]).all():
+    varied = int(np.bitwise_or.reduce(v ^ v[0]))
+    if not outermost and not varied:
         stream.put(0, 1)
         for shift in (8, 16, 0, 24):
             stream.put(5 | (int(v[0]) >> shift & 255) << 3, 11)
         stream.put(5, 11)
         return
     starts, lengths, distances = _references(v)
-    single = np.ones(n, bool)
-    for a, k in zip(starts.tolist(), lengths.tolist()):
-        single[a : a + k] = False
+    edge = np.zeros(n + 1, np.int64)
+    edge[starts] += 1
+    edge[starts + lengths] -= 1
+    single = np.cumsum(edge)[:n] == 0
     cache_bits, hits = 0, np.zeros(n, bool)
-    if outermost and n >= 256:
-        # what the cache holds at a pixel is the last one before it of the same slot
+    if outermost and n >= 256 and varied & ~0xFF00 and sum(_entropy((v >> np.uint32(k)) & np.uint32(255)) for k in (16, 0, 24)) > n:
+        # an entry saves the codes of three channels; what the cache holds at a pixel is the last one before it of the same slot
         slot = (v * np.uint32(0x1E35A7BD)) >> np.uint32(32 - _CACHE_BITS)
         order = np.argsort(slot.astype(np.uint8), kind="stable")
         again = (slot[order[1:]] == slot[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
@@ -774,25 +834,27 @@ def _put_image(stream: _Stream, argb: np.ndarray, width: int, outermost: bool) -
     literal = single & ~hits
     length_symbol, length_extra, length_value = _prefix(lengths)
     near = _near_codes(width)
-    codes = np.array([near.get(d, d + 120) for d in distances.tolist()], np.int64)
+    codes = np.where(distances < len(near), near[np.minimum(distances, len(near) - 1)], distances + 120)
     far_symbol, far_extra, far_value = _prefix(codes)
-    channels = [(v[literal] >> np.uint32(s)) & np.uint32(255) for s in (8, 16, 0, 24)]
+    own = v[literal]
+    channels = [(own >> np.uint32(s)) & np.uint32(255) for s in ((8, 16, 0, 24) if varied & ~0xFF00 else (8,))]
     green = np.zeros(n, np.int64)
     green[literal] = channels[0]
     if cache_bits:
         green[hits] = 280 + slot[hits]
     green[starts] = 256 + length_symbol
-    own = np.flatnonzero(single)
-    token = np.sort(np.concatenate([own, starts]))
+    single[starts] = True
+    token = np.flatnonzero(single)
     counts = [np.bincount(green[token], minlength=280 + (1 << cache_bits if cache_bits else 0))]
-    counts += [np.bincount(c, minlength=256) for c in channels[1:]]
-    alike = sum(counts[1:], counts[0][:256].copy())
-    apart = sum(_bits_of(c) for c in counts)
-    if _bits_of(alike) + _bits_of(np.append(counts[0][256:], counts[0][:256].sum())) <= _ALIKE * apart:
-        # channels that are alike share a code: lengths and cache entries are told apart by one more symbol's count
-        sizes = [_code_lengths(np.concatenate([alike, 4 * counts[0][256:]]), 15), *[_code_lengths(alike, 15)] * 3]
-    else:
-        sizes = [_code_lengths(c, 15) for c in counts]
+    counts += [np.bincount(c, minlength=256) for c in channels[1:]] or [_only(int(v[0]) >> s & 255) for s in (16, 0, 24)]
+    sizes = None
+    if varied & ~0xFF00:
+        alike = sum(counts[1:], counts[0][:256].copy())
+        apart = sum(_bits_of(c) for c in counts)
+        if _bits_of(alike) + _bits_of(np.append(counts[0][256:], counts[0][:256].sum())) <= _ALIKE * apart:
+            # channels that are alike share a code: lengths and cache entries are told apart by one more symbol's count
+            sizes = [_code_lengths(np.concatenate([alike, 4 * counts[0][256:]]), 15), *[_code_lengths(alike, 15)] * 3]
+    sizes = sizes or [_code_lengths(c, 15) for c in counts]
     sizes.append(_code_lengths(np.bincount(far_symbol, minlength=_DISTANCES), 15))
     told: dict[int, tuple] = {}
     tables_of: dict[int, np.ndarray] = {}
@@ -835,88 +897,102 @@ def _entropy(channel: np.ndarray) -> float:
 _BLOCK = 5
 
 
-def _predict(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(modes by block, residuals): a block takes the neighbour that most of its pixels are equal to, else black."""
-    height, width = argb.shape
+def _predict(pixels: np.ndarray, black: int) -> tuple[np.ndarray, np.ndarray]:
+    """(modes by block, residuals) of ARGB or gray pixels: a block takes the neighbour that most of its pixels are equal to, else black."""
+    height, width = pixels.shape
     side = 1 << _BLOCK
     modes = np.zeros((-(-height >> _BLOCK), -(-width >> _BLOCK)), np.int64)
-    right = np.empty_like(argb[1:])
-    right[:, :-1], right[:, -1] = argb[:-1, 1:], argb[1:, 0]
-    neighbours = [argb[1:, :-1], argb[:-1, 1:], right[:, 1:], argb[:-1, :-1]] if height > 1 and width > 1 else []
-    if neighbours:
-        rows, columns = np.arange(0, height, side), np.arange(0, width, side)
-        equal = np.zeros((4, height, width), np.int64)
-        for k, x in enumerate(neighbours):
-            equal[k, 1:, 1:] = argb[1:, 1:] == x
-        if 4 * equal.sum() >= equal[0].size:
-            shared = np.add.reduceat(np.add.reduceat(equal, rows, axis=1), columns, axis=2)
-            pixels = np.outer(np.minimum(side, height - rows), np.minimum(side, width - columns))
-            modes = np.where(2 * shared.max(axis=0) >= pixels, 1 + shared.argmax(axis=0), 0)
-    prediction = np.full((height, width), 0xFF000000, np.uint32)
-    prediction[0, 1:] = argb[0, :-1]
-    prediction[1:, 0] = argb[:-1, 0]
-    if modes.any():
-        wide = np.repeat(np.repeat(modes, side, axis=0), side, axis=1)[1:height, 1:width]
-        for k, x in enumerate(neighbours, 1):
-            prediction[1:, 1:][wide == k] = x[wide == k]
-    return modes, (argb.view(np.uint8) - prediction.view(np.uint8)).view(np.uint32)
+    prediction = np.full((height, width), black, pixels.dtype)
+    if height > 1 and width > 1:
+        above, own = pixels[:-1], pixels[1:, 1:]
+        neighbours = [pixels[1:, :-1], above[:, 1:]]
+        equal = [own == x for x in neighbours]
+        if 8 * sum(map(np.count_nonzero, equal)) >= own.size:
+            neighbours += [np.concatenate([above[:, 2:], pixels[1:, :1]], axis=1), above[:, :-1]]
+            equal += [own == x for x in neighbours[2:]]
+            shared = np.zeros((4, height, width), np.int64)
+            shared[:, 1:, 1:] = equal
+            shared = np.add.reduceat(np.add.reduceat(shared, np.arange(0, height, side), axis=1), np.arange(0, width, side), axis=2)
+            pixels_of = np.outer(np.minimum(side, height - np.arange(0, height, side)), np.minimum(side, width - np.arange(0, width, side)))
+            modes = np.where(2 * shared.max(axis=0) >= pixels_of, 1 + shared.argmax(axis=0), 0)
+        if modes.any():
+            wide = np.repeat(np.repeat(modes, side, axis=0), side, axis=1)[1:height, 1:width]
+            for k, x in enumerate(neighbours, 1):
+                prediction[1:, 1:][wide == k] = x[wide == k]
+    prediction[0, 1:] = pixels[0, :-1]
+    prediction[1:, 0] = pixels[:-1, 0]
+    return modes, (pixels.view(np.uint8) - prediction.view(np.uint8)).view(pixels.dtype)
 
 
 def _cross(argb: np.ndarray) -> tuple[int, np.ndarray]:
-    """(element, residuals): red and blue less green or red, where that lowers their entropy."""
+    """(element, residuals): red and blue less green or red, where that lowers their entropy; grays keep nothing of either."""
     blue, green, red = (argb.view(np.uint8).reshape(*argb.shape, 4)[..., k] for k in range(3))
     element, out = 0, argb.copy()
     parts = out.view(np.uint8).reshape(*argb.shape, 4)
     # a multiplier of 32 is one: the signed channel as it is
-    if _entropy(red - green) < _entropy(red):
+    less = red - green
+    if not less.any() or _entropy(less) < _entropy(red):
         element |= 32
-        parts[..., 2] = red - green
-    plain = _entropy(blue)
-    less_green, less_red = _entropy(blue - green), _entropy(blue - red)
-    if min(less_green, less_red) < plain:
-        element |= 32 << 8 if less_green <= less_red else 32 << 16
-        parts[..., 0] = blue - (green if less_green <= less_red else red)
+        parts[..., 2] = less
+    less = blue - green
+    if not less.any():
+        element |= 32 << 8
+        parts[..., 0] = less
+    else:
+        by_green, by_red = _entropy(less), _entropy(blue - red)
+        if min(by_green, by_red) < _entropy(blue):
+            element |= 32 << 8 if by_green <= by_red else 32 << 16
+            parts[..., 0] = less if by_green <= by_red else blue - red
     return element, out
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of uint8 (height, width, 4) pixels, red, green, blue, alpha."""
+    """A lossless WebP file of uint8 pixels: (height, width, 4) of red, green, blue, alpha, or (height, width) of opaque grays."""
     height, width = pixels.shape[:2]
     if not (1 <= width <= MAX_SIDE and 1 <= height <= MAX_SIDE):
         raise WebpError("an image has 1 to 16384 pixels a side")
-    argb = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]]).view(np.uint32)[..., 0]
     stream = _Stream()
     header(stream, width, height)
-    ranked = np.sort(argb, axis=None)
-    colours = ranked[np.append(True, ranked[1:] != ranked[:-1])]
-    if len(colours) <= min(256, max(1, argb.size // 2)):
-        index = np.searchsorted(colours, argb)
+    if pixels.ndim == 2:
+        modes, residuals = _predict(pixels, 0)
+        # an opaque gray less its prediction has an alpha of 0, and less its green no red and blue
+        element, residuals = 32 << 8 | 32, residuals.astype(np.uint32) << np.uint32(8)
+        colours = np.flatnonzero(np.bincount(pixels.reshape(-1), minlength=256)).astype(np.uint8)
+        small = len(colours) <= 16
+        ordered = pixels
+    else:
+        ordered = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]]).view(np.uint32)[..., 0]
+        modes, residuals = _predict(ordered, 0xFF000000)
+        element, residuals = _cross(residuals)
+        # the colours in order, with where each begins among the sorted pixels
+        ranked = np.sort(ordered, axis=None)
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        colours = ranked[first]
+        small = len(first) <= 16
+        if len(first) <= 256 and not small:
+            parts = residuals.view(np.uint8).reshape(height, width, 4)
+            small = _bits_of(np.diff(first, append=len(ranked))) + 24 * len(first) < sum(_entropy(parts[..., k]) for k in range(4))
+    if small:
+        index = np.searchsorted(colours, ordered)
+        colours = colours.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000) if pixels.ndim == 2 else colours
         pack = _pixels_in_one(len(colours))
         stream.put(1 | 3 << 1 | (len(colours) - 1) << 3, 11)
         steps = colours.view(np.uint8).reshape(-1, 4).copy()
         steps[1:] -= colours.view(np.uint8).reshape(-1, 4)[:-1]
         _put_image(stream, steps.view(np.uint32)[:, 0], len(colours), False)
-        index = index.reshape(height, width)
         coded = -(-width >> pack)
         if pack:
             wide = np.zeros((height, coded << pack), np.int64)
             wide[:, :width] = index
             index = (wide.reshape(height, coded, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))).sum(axis=2)
-        argb = (index.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
+        residuals = (index.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
         width = coded
     else:
-        own = argb.view(np.uint8).reshape(height, width, 4)
-        red, blue = own[..., 2] - own[..., 1], own[..., 0] - own[..., 1]
-        if _entropy(red) + _entropy(blue) < _entropy(own[..., 2]) + _entropy(own[..., 0]):
-            stream.put(1 | 2 << 1, 3)
-            own[..., 2], own[..., 0] = red, blue
-        modes, argb = _predict(argb)
         stream.put(1 | 0 << 1 | (_BLOCK - 2) << 3, 6)
         _put_image(stream, modes.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), modes.shape[1], False)
-        element, argb = _cross(argb)
         stream.put(1 | 1 << 1 | (9 - 2) << 3, 6)
         side = np.full((-(-height >> 9), -(-width >> 9)), 0xFF000000 | element, np.uint32)
         _put_image(stream, side, side.shape[1], False)
     stream.put(0, 1)
-    _put_image(stream, argb, width, True)
+    _put_image(stream, residuals, width, True)
     return riff(stream.bytes())

@@ -1,5 +1,6 @@
 """Kernels against plain Python."""
 
+import collections
 import re
 import zlib
 
@@ -311,6 +312,39 @@ def test_broken_files_are_told(raw):
         webp.decode(raw)
 
 
+def _pictures():
+    rng = np.random.default_rng(12)
+    y, x = np.mgrid[0:70, 0:90]
+    slope = np.stack([3 * x, 2 * y + x, x + y, np.full_like(x, 255)], axis=-1).astype(np.uint8)
+    few = lambda n: rng.integers(0, 256, (n, 4)).astype(np.uint8)[rng.integers(0, n, (33, 21))]
+    strips = np.tile(rng.integers(0, 256, (1, 90, 4)).astype(np.uint8), (70, 1, 1))
+    return [slope, strips, rng.integers(0, 256, (9, 33, 4)).astype(np.uint8), *map(few, (1, 2, 3, 5, 16, 17, 256, 300)), np.full((5, 7), 9, np.uint8), rng.integers(97, 123, (64, 64)).astype(np.uint8), np.tile(rng.integers(0, 256, (1, 90)).astype(np.uint8), (70, 1)), rng.integers(0, 256, (1, 1)).astype(np.uint8), np.repeat(rng.integers(0, 256, (40, 9, 4)), 11, axis=1).astype(np.uint8)]
+
+
+@pytest.mark.parametrize("number", range(16))
+def test_pictures_come_back(number):
+    picture = _pictures()[number]
+    assert np.array_equal(webp.decode(webp.encode(picture)), picture)
+
+
+def test_the_writer_uses_what_the_reader_undoes(monkeypatch):
+    undone = collections.Counter()
+    for name in ("_unpredict", "_uncross", "_unpalette", "_with_cache"):
+        own = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, own=own, name=name: (undone.update([name]), own(*a))[1])
+    numbers = webp._references
+    monkeypatch.setattr(webp, "_references", lambda v: (undone.update(references=len(numbers(v)[0])), numbers(v))[1])
+    for picture in _pictures():
+        webp.decode(webp.encode(picture))
+    assert all(undone[name] for name in ("_unpredict", "_uncross", "_unpalette", "_with_cache", "references")), undone
+
+
+def test_long_streams_are_read_in_parts(monkeypatch):
+    monkeypatch.setattr(webp, "_CHUNK_BITS", 1 << 9)
+    for picture in _pictures():
+        assert np.array_equal(webp.decode(webp.encode(picture)), picture)
+
+
 def test_crc_of_pieces():
     rows = packing._rows(packing._split(_window(5)), 0).to_pylist()
     assert [r["length"] for r in rows] == [4, 1] and rows[0]["ids_crc32"] == zlib.crc32(np.arange(4, dtype="<u4").tobytes())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillveil.llm import chat, classifier, langid, licenses, media, mixing, neardup, packing, queries, rules, toxicity
 from quillveil.llm.components import connected_components
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASH = "score double, label int, kept boolean, size long, copies long, id long, key long, hub long, half int, template int, media binary, n_words long, bucket long, component long, _folded string"
 
@@ -280,6 +281,17 @@ def test_media(docs):
     assert sorted((r.width, bool(r.media_error)) for r in media.decode_media(broken).collect()) == [(None, False), (None, True)]
 
 
+def test_media_query_against_brute_force(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.QUERIES["op7_webp_media"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    seen = {}
+    for r in rows:
+        payload = texts[r.doc_id] + b"\0" * (max(64, -(-len(texts[r.doc_id]) // 64) * 64) - len(texts[r.doc_id]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert seen.setdefault(payload, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature) and r.media_bytes > 0
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[0][0]
     rows = [(1, "x under the MIT License, under the mit-license", None, None, 1), (2, mit.upper() + " word", None, None, 1), (3, mit.replace("person", "person here now"), None, None, 1), (4, "CC-BY-NC apache license version 2", None, None, 1), (5, None, None, None, 1), (6, "under the mit", None, None, 1), (1, "cc by nc", None, None, 1), (None, "cc by nc cc by nc", None, None, 1)]
@@ -364,9 +376,6 @@ def test_empty_tables(spark, labels):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-SF = "/root/testdata/sf0.001"
-
-
 def test_chat_query_against_its_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
