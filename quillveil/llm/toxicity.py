@@ -1,17 +1,18 @@
 """Toxicity from a weighted lexicon.
 
-Texts are folded (case, full-width forms, homoglyphs, digits that stand for
-letters), an Aho-Corasick automaton finds the terms and the exception phrases
+Texts are folded (case, accents in either form, full-width forms, homoglyphs,
+digits that stand for letters), an Aho-Corasick automaton finds the terms and the exception phrases
 in one pass, a term counts where it stands as a word of its own, or as a stem at
 a word's start, outside any exception phrase, and the summed weights are
 normalised by the number of words.
 
 The lexicon is a fixed list of insults and terms learned from labelled rows:
-words and word beginnings whose share among toxic documents is far above that
-among others. Learning takes a sample of at most about ``SAMPLE_ROWS`` labelled
-rows of each kind, spread over the table by a hash of the id, and keeps at most
-``LEXICON`` terms, so the tables that are broadcast or reach the driver have a
-fixed bound. The calibration of the normalised weight to a score is fitted on
+words and word beginnings, of any length, whose share among toxic documents is
+far above that among others. Learning takes a sample of at most about
+``SAMPLE_ROWS`` labelled rows of each kind, spread over the table by a hash of
+the id, and a term must stand in a thousandth of the toxic ones, which bounds the
+terms that are broadcast or reach the driver whatever the tables hold. The
+calibration of the normalised weight to a score is fitted on
 loads that each half of the sample has under the terms of the other half, so
 that terms do not vouch for the documents they come from. Scoring covers every
 row and whole texts.
@@ -48,19 +49,17 @@ TERMS = {
 # Phrases in which a term is no insult.
 EXCEPTIONS = ["clown fish", "class clown", "circus clown", "trash can", "trash bin", "trash bag", "garbage can", "garbage collection", "garbage collector", "guinea pig", "pig iron", "sick leave", "sick day", "idiot proof", "fool proof", "jerk chicken", "pathetic fallacy", "parasite drag"]
 # Look-alikes of Latin letters, Cyrillic and Greek, in the order of the letters below them.
-LOOKALIKES = ("авсԁеһіјӏмпорԛѕтԝхуᴦαβεικνορτυχ", "abcdehijlmnopqstwxyraßeiknoptux")
+LOOKALIKES = ("авсԁеһіјӏмпорԛѕтԝхуᴦαβεικνορτυχıȷłøđħŧ", "abcdehijlmnopqstwxyraßeiknoptuxijlodht")
 # Digits and signs that stand for letters.
 LEET = ("013457@", "oieasta")
 ZERO_WIDTH = [0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
 
 #: Labelled rows of each kind that terms are learned from, about.
 SAMPLE_ROWS = 6_000
-#: Learned terms at most, and candidates that the driver sees at most.
-LEXICON, CANDIDATES = 4_000, 20_000
-#: Toxic documents that a term needs, and how many times its share among them is that among others at least.
-LEAST_SUPPORT, LEAST_LIFT = 3, 10.0
-#: Letters of the word beginnings that are candidates.
-STEMS = (4, 5, 6, 7, 8)
+#: Toxic documents that a term needs, the share of them that it needs beside that, and how many times its share among them is that among others at least.
+LEAST_SUPPORT, LEAST_SHARE, LEAST_LIFT = 3, 0.001, 10.0
+#: Letters of the shortest word beginning that is a candidate, and up to where every length is; beyond it lengths grow by half.
+FIRST_STEM, EVERY_STEM = 4, 8
 #: Terms that a worker counts before it passes its counts on.
 PARTIAL_TERMS = 100_000
 #: Words at least in the length that normalises, so that one term in a short text weighs no more than in this many.
@@ -84,17 +83,16 @@ def _fold_table() -> dict[int, int | None]:
 
 
 _FOLD = _fold_table()
-_GONE = dict.fromkeys(ZERO_WIDTH)
-_INVISIBLE = re.compile("[" + "".join(chr(c) for c in ZERO_WIDTH) + "]")
+_INVISIBLE = re.compile("[" + "".join(chr(c) for c in ZERO_WIDTH) + "\u0300-\u036f]")
 
 
 def fold(text: str) -> tuple[str, str]:
-    """The lowered text and its folded form, of equal length."""
+    """The lowered text without marks that combine and what shows nothing, and its folded form, of equal length."""
+    import unicodedata
+
     plain = text.lower()
-    if plain.isascii():
-        return plain, plain.translate(_FOLD)
-    if _INVISIBLE.search(plain):
-        plain = plain.translate(_GONE)
+    if not plain.isascii():
+        plain = _INVISIBLE.sub("", unicodedata.normalize("NFC", plain))
     return plain, plain.translate(_FOLD)
 
 
@@ -179,11 +177,20 @@ def _weighed(machine, texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, floa
     return np.concatenate(counts) if counts else np.zeros(0, np.int64), [weigh(machine, t) if t else (0, 0.0) for t in tk.column(texts).to_pylist()]
 
 
+def stems(word: str) -> list[str]:
+    """The beginnings of a word that are candidates; so few that a word of any length has no more letters in them than some times its own."""
+    out, k = [], FIRST_STEM
+    while k <= len(word):
+        out.append(word[:k])
+        k += 1 if k < EVERY_STEM else k // 2
+    return out
+
+
 def _candidates(text: str) -> set[tuple[int, str]]:
     words = set(_LETTERS.findall(fold(text)[1]))
-    out = {(_WORD, w) for w in words if 3 <= len(w) <= 24}
+    out = {(_WORD, w) for w in words}
     for w in words:
-        out.update((_STEM, w[:k]) for k in STEMS if k <= len(w))
+        out.update((_STEM, x) for x in stems(w))
     return out
 
 
@@ -223,16 +230,14 @@ def fit_line(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float
 def _lexicon(rows: list[tuple[int, str, int, int]], negative: int, positive: int) -> Model:
     """Terms from (kind, term, documents without and with the label)."""
     model = Model()
-    kept = []
+    support = max(LEAST_SUPPORT, LEAST_SHARE * positive)
     for kind, term, n0, n1 in rows:
         # half a document is added to either side, more to that of the others, so that rare terms need support
         odds = math.log((n1 + 0.5) / (positive + 1)) - math.log((n0 + 0.5) / (negative + 1))
-        if n1 >= LEAST_SUPPORT and odds >= math.log(LEAST_LIFT):
-            kept.append((n1 * odds, kind, term, min(odds, 6.0)))
+        if n1 >= support and odds >= math.log(LEAST_LIFT):
+            (model.stems if kind == _STEM else model.words)[term] = min(odds, 6.0)
         elif term in TERMS and kind == _WORD and n0 + n1 >= 2 * LEAST_SUPPORT:
             model.words[term] = max(0.0, min(odds, float(TERMS[term])))
-    for _, kind, term, weight in sorted(kept, key=lambda k: (-k[0], k[1], k[2]))[:LEXICON]:
-        (model.stems if kind == _STEM else model.words)[term] = weight
     return model
 
 
@@ -258,9 +263,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     if not positive or not negative:
         return Model()
     both1, both0 = F.col("a1") + F.col("b1"), F.col("a0") + F.col("b0")
-    lifted = (both1 >= LEAST_SUPPORT) & ((both1 + 0.5) * (negative + 1) >= LEAST_LIFT / 2 * (both0 + 0.5) * (positive + 1))
+    # half of a sample needs half of the support
+    lifted = (both1 >= max(LEAST_SUPPORT, LEAST_SHARE * positive / 2)) & ((both1 + 0.5) * (negative + 1) >= LEAST_LIFT / 2 * (both0 + 0.5) * (positive + 1))
     listed = F.col("term").isin(sorted(TERMS)) & (F.col("kind") == _WORD)
-    rows = counted.filter(lifted | listed).orderBy(F.desc(both1), "kind", "term").limit(CANDIDATES).collect()
+    rows = sorted(counted.filter(lifted | listed).collect())
     halves = [_lexicon([(r["kind"], r["term"], r[f"{h}0"], r[f"{h}1"]) for r in rows], n.get((i, 0), 0), n.get((i, 1), 0)) for i, h in enumerate("ab")]
     model = _lexicon([(r["kind"], r["term"], r["a0"] + r["b0"], r["a1"] + r["b1"]) for r in rows], negative, positive)
     keys = [_key(m) for m in halves]

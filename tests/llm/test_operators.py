@@ -248,6 +248,43 @@ def test_scores(spark, docs, labels):
     assert classifier.drop_poor(docs, labels).schema == docs.schema
 
 
+def test_weights_against_brute_force():
+    import unicodedata
+
+    rng = np.random.default_rng(21)
+    model = toxicity.Model(stems={"zlor": 2.5, "zlorba": 1.0, "idio": 0.5}, words={**toxicity.Model().words, "zlorbax": 3.0})
+    parts = ["idiot", "1d10t", "ídíot", "i\u0301di\u0308ot", "ıdıot", "zlorbax", "zlorban", "azlorb", "clown fish", "clown", "fish", "trash", "trash can", "cans", "x" * 40, "scum!", "(moron)", "b\u00fcrger", "ＳＣＵＭ", "sc\u200bum", "9", "\u0131", "ö", "-", "STUPID"]
+
+    def brute(text):
+        plain = "".join(c for c in unicodedata.normalize("NFC", text.lower()) if not ("\u0300" <= c <= "\u036f" or ord(c) in toxicity.ZERO_WIDTH))
+        folded = "".join(chr(toxicity._FOLD.get(ord(c), ord(c))) for c in plain)
+        starts = lambda i: i == 0 or not plain[i - 1].isalnum()
+        stops = lambda j: j == len(plain) or not plain[j].isalnum()
+        exempt = [(i, i + len(e)) for e in toxicity.EXCEPTIONS for i in range(len(folded)) if folded.startswith(e, i) and starts(i) and stops(i + len(e))]
+        best = {}
+        for table, whole in ((model.words, True), (model.stems, False)):
+            for term, weight in table.items():
+                for i in range(len(folded)):
+                    if folded.startswith(term, i) and starts(i) and (not whole or stops(i + len(term))) and weight > best.get(i, (-1, 0))[0]:
+                        best[i] = weight, i + len(term)
+        kept = {i: w for i, (w, j) in best.items() if not any(a <= i and j <= b for a, b in exempt)}
+        return len(kept), sum(kept.values())
+
+    machine = model.machine()
+    for _ in range(300):
+        text = "".join(str(x) + str(rng.choice(["", " ", " ", ", "])) for x in rng.choice(parts, rng.integers(0, 12)))
+        hits, weight = toxicity.weigh(machine, text)
+        want = brute(text)
+        assert hits == want[0] and abs(weight - want[1]) < 1e-9, text
+    assert all(len(x) in (4, 5, 6, 7, 8, 12, 18, 27) for x in toxicity.stems("x" * 30)) and toxicity.stems("abc") == []
+
+
+def test_folding_reads_accents_in_either_form():
+    machine = toxicity.Model().machine()
+    for text in ("i\u0301diot", "idi\u00f3t", "idio\u0308t", "\u0131d\u0131ot", "İDİOT"):
+        assert toxicity.weigh(machine, text)[0] == 1, text
+
+
 def test_learned_terms_carry_over(spark):
     rng = np.random.default_rng(5)
     make = lambda i, bad: " ".join([*(f"w{x}" for x in rng.integers(0, 400, 50)), *([f"zlorb{rng.choice(list('abcdefgh'))}x", "zlorbaz"] if bad else [])])
