@@ -91,10 +91,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_lang = merge(by_source, ["lang"])
     chosen = thresholds(by_source, ["lang", "source"])
     lang_level = thresholds(by_lang, ["lang"]).withColumnsRenamed({"lang": "l_lang", "documents": "l_documents"} | {f"max_{m}": f"l_{m}" for m in SPREADS})
-    all_level = thresholds(merge(by_lang, []), []).withColumnsRenamed({"documents": "a_documents"} | {f"max_{m}": f"a_{m}" for m in SPREADS})
-    # one row for each group, joined with the one row for each language, and the single row of all
-    chosen = chosen.join(lang_level, F.col("lang").eqNullSafe(F.col("l_lang"))).join(all_level)
-    lang = {m: _shrunk(F.col(f"l_{m}"), F.col("l_documents"), F.col(f"a_{m}")) for m in SPREADS}
+    # four numbers; an empty table has none, and no groups either
+    of_all = thresholds(merge(by_lang, []), []).first()
+    wider = {m: F.lit(of_all[f"max_{m}"] if of_all else None).cast("double") for m in SPREADS}
+    # one row for each group, joined with the one row for each language
+    chosen = chosen.join(lang_level, F.col("lang").eqNullSafe(F.col("l_lang")))
+    lang = {m: _shrunk(F.col(f"l_{m}"), F.col("l_documents"), wider[m]) for m in SPREADS}
     chosen = chosen.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[_shrunk(F.col(f"max_{m}"), F.col("documents"), lang[m]).alias(f"max_{m}") for m in SPREADS])
     chosen = settle(chosen)
     judged = rows.join(chosen, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import math
 import re
 import zlib
 
@@ -185,6 +186,49 @@ def test_each_measure_rejects_beyond_the_base_rules(spark):
     assert sorted((r.doc_id, r.reasons) for r in got if r.reasons) == sorted((1000 + k, m) for k, (m, _) in enumerate(bad) for _ in range(2))
 
 
+def _fences(values):
+    """Thresholds of a group from its sorted bucket values, as a person would take them."""
+    out = {}
+    for m, xs in values.items():
+        xs = sorted(xs)
+        half, upper = (xs[-(-len(xs) * k // 4) - 1] for k in (2, 3))
+        out[m] = upper + rules.FENCE * max(upper - half, rules.SPREADS[m])
+    return out
+
+
+def test_rules_against_brute_force(spark):
+    got = {r.doc_id: r for r in rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    measured, passed = {}, collections.defaultdict(lambda: collections.defaultdict(list))
+    rounded = lambda v: rules.GAMMA ** math.ceil(math.log(v) / math.log(rules.GAMMA)) * 2 / (1 + rules.GAMMA) if v > 0 else 0.0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        text = r.text or ""
+        w = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        n = max(1, len(w))
+        measured[r.doc_id] = {"symbol_ratio": len(re.findall(r"[#*$%&|<>]", text)) / n, "dup_line_ratio": (len(lines) - len(set(lines))) / max(1, len(lines)), "repeat_ratio": len(covered) / n, "mean_word": sum(map(len, w)) / n}, r.lang, r.source, len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        if not measured[r.doc_id][3]:
+            for key in ((r.lang, r.source), (r.lang,), ()):
+                for m, v in measured[r.doc_id][0].items():
+                    passed[key][m].append(rounded(v))
+    fences = {key: (len(v["mean_word"]), _fences(v)) for key, v in passed.items()}
+    shrink = lambda n, own, wide: (n * own + rules.PRIOR * wide) / (n + rules.PRIOR)
+    own_level = 0
+    for doc, (values, lang, source, failed) in measured.items():
+        assert got[doc].base_failed == failed
+        reasons = []
+        for m, v in values.items():
+            if not failed or (lang, source) in fences:
+                by_lang = shrink(fences[(lang,)][0], fences[(lang,)][1][m], fences[()][1][m])
+                limit = shrink(fences[lang, source][0], fences[lang, source][1][m], by_lang)
+                own_level += limit != fences[()][1][m]
+                if v > limit:
+                    reasons.append(m)
+        assert sorted(filter(None, got[doc].reasons.split(","))) == sorted(reasons) and got[doc].kept == (not failed and not reasons), doc
+    assert own_level > len(measured)
+
+
 def test_mixing(docs):
     rows = mixing.mix_sources(docs, keep=("lang",)).collect()
     assert len(rows) == len(_rows())
