@@ -381,6 +381,32 @@ def test_licenses(spark):
     assert got == [(0, 6, 2, 0, 3, "cc-by-nc", "cc-by-nc"), (1, 3, 1, 0, 0, "cc-by-nc", "cc-by-nc"), (1, 9, 2, 1, 5, "mit", "mit"), (2, n + 1, 0, None, None, "", "mit"), (3, n + 2, 0, None, None, "", "mit"), (4, 7, 2, 0, 3, "apache-2,cc-by-nc", "apache-2,cc-by-nc"), (5, 0, 0, None, None, "", ""), (6, 3, 0, None, None, "", "")]
 
 
+def test_base_places_against_brute_force(spark):
+    extra = [(-(1 << 62), "cc by nc", None, None, 1), (-(1 << 63), "Under  the MIT--license under the mit license", None, None, 1), (None, "cc by nc", None, None, 1), (None, "cc by nc", None, None, 1), (5, None, None, None, 1)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
+    want = []
+    for r in docs.collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        hits = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        places = sorted(i for i, _ in hits)
+        want.append((r.doc_id or 0, len(w), len(hits), places[0] if places else None, places[-1] if places else None, ",".join(sorted({x for _, x in hits}))))
+    got = [(r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(docs).collect()]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(got, key=key) == sorted(want, key=key) and sum(x[2] for x in want) > 10
+
+
+def test_whole_license_texts_are_found(spark):
+    rows = [(k, f"intro words here {k} " + text.replace(", ", ",\n * ") + " and an end", None, None, 1) for k, (_, text) in enumerate(licenses.TEXTS)]
+    half = licenses.TEXTS[1][1].split()
+    rows.append((100, " ".join(half[: len(half) // 4]), None, None, 1))
+    got = {r.doc_id: r for r in licenses.scan_licenses(_frame(spark, rows)).collect()}
+    for k, (label, text) in enumerate(licenses.TEXTS):
+        assert label in got[k].labels.split(",") and got[k].score == 1.0
+        n = len(licenses._normal(text).split())
+        assert any(s.label == label and (s.first_word, s.last_word) == (4, n + 3) for s in got[k].spans)
+    assert "bsd-2" not in got[100].labels.split(",")
+
+
 def test_languages(spark, docs):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     train = _frame(spark, [(i, t, lang, "s", 1) for i in range(20) for lang, t in (("en", "the quick brown fox jumps over the lazy dog and then some"), ("de", "der schnelle braune fuchs springt über den faulen hund und noch mehr"))])
