@@ -7,7 +7,8 @@ batch at once, a level of all trees a step.
 
 The model is fitted on a sample of labelled rows of at most about
 ``SAMPLE_ROWS`` rows, taken by a hash of the id; their statistics, some hundred
-bytes a row, are all that reaches the driver. Everything else covers all rows.
+bytes a row, are all that reaches the driver. Everything else covers all rows,
+whose statistics and scores are taken in one pass.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm import textkernel as tk
-from quillveil.llm.common import settle
 from quillveil.llm.docstats import BASE, MORE, counts, with_counts
 
 #: Labelled rows that the trees are fitted on, about; the bound of what the driver gathers.
@@ -136,20 +136,35 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(base, DEPTH, np.concatenate(feature), np.concatenate(threshold), np.concatenate(value))
 
 
-def fit_quality(counted: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from counts (doc_id, counts) and labels (doc_id, label); labels other than 0 and 1 are left out.
+def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """Trees from docs (doc_id, text) and labels (doc_id, label); labels other than 0 and 1 are left out.
 
     The sample is the rows whose hashed id falls under the share that gives
-    about ``sample_rows`` of them, so it is spread over all of the table.
+    about ``sample_rows`` of them, so it is spread over all of the table. Of
+    rows that share an id one counts.
     """
-    known = labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     size = known.count()
     if size > sample_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample_rows / size)))
-    rows = counted.join(known, "doc_id").select("doc_id", "label", *BASE, *MORE).toPandas().sort_values("doc_id", kind="stable")
+    # bounded by sample_rows, whatever the tables hold
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    counted = with_counts(chosen, "doc_id", "text", ["label"], more=True)
+    once = counted.groupBy("doc_id").agg(F.min(F.struct("label", *BASE, *MORE)).alias("c")).select("doc_id", "c.*")
+    rows = once.toPandas().sort_values("doc_id", kind="stable")
     return fit_trees(features({k: rows[k].to_numpy() for k in BASE + MORE}), rows["label"].to_numpy(float))
 
 
+def _scores(trees: Trees, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words and score of each text."""
+    words, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for part in tk.slices(texts):
+        found = counts(part, more=True)
+        words.append(found["n_words"])
+        scores.append(trees.scores(features(found)))
+    return np.concatenate(words), np.concatenate(scores)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Trees]:
     """Scores each row; gives (doc_id, n_words, score) and the trees.
 
@@ -157,25 +172,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     are scored each; of repeated labels the highest holds. Without labels of
     both kinds the score is their share, or 0.5. An empty table gives no rows.
     """
-    counted = settle(with_counts(docs, id_col, text_col, [], more=True))
-    trees = fit_quality(counted, labels, sample_rows)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    trees = fit_quality(named, labels, sample_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features({k: batch.column(k).to_numpy(zero_copy_only=False) for k in BASE + MORE})
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(trees.scores(x))], names=["doc_id", "n_words", "score"])
+            words, scores = _scores(trees, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(scores)], names=["doc_id", "n_words", "score"])
 
-    return counted.mapInArrow(score, "doc_id long, n_words long, score double"), trees
+    return named.mapInArrow(score, "doc_id long, n_words long, score double"), trees
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of documents that score ``threshold`` or more, in all their columns."""
-    _, trees = score_quality(docs, labels)
+    trees = fit_quality(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [trees.scores(features(counts(p, more=True))) for p in tk.slices(batch.column("text"))]
-            good = np.concatenate(scores) >= threshold if scores else np.zeros(0, bool)
-            yield batch.filter(pa.array(good))
+            yield batch.filter(pa.array(_scores(trees, batch.column("text"))[1] >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -292,6 +292,45 @@ def test_scores(spark, docs, labels):
     assert classifier.drop_poor(docs, labels).schema == docs.schema
 
 
+def test_quality_scores_against_brute_force(spark):
+    docs, known = spark.read.parquet(f"{SF}/documents.parquet"), queries.learnable_labels(spark, SF, "quality")
+    scored, trees = classifier.score_quality(docs, known)
+    nodes = 2 ** (trees.depth + 1) - 1
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def statistics(t):
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        dup, chars, inked, distinct = len(lines) - len(set(lines)), len(t), sum(map(len, w)), len(set(w))
+        n, c, rows = max(1, len(w)), max(1, chars), max(1, len(lines))
+        count = lambda p: len(re.findall(p, t))
+        upper, lower = count("[A-Z]"), count("[a-z]")
+        wide = sum(ord(x) > 127 for x in t)
+        letters = max(1, upper + lower + wide)
+        long = sum(len(x.encode()) > 20 for x in w)
+        punct = sum(x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for x in t)
+        return [math.log1p(len(w)), inked / n, count(r"[#*$%&|<>]") / n, dup / rows, len(covered) / n, distinct / n, distinct / math.sqrt(n), long / n, upper / letters, wide / letters, count("[0-9]") / c, punct / c, t.count("!") / n, len(lines) / n, inked / c, math.log1p(dup)]
+
+    for r in scored.collect():
+        x, margin = statistics(texts[r.doc_id]), trees.base
+        for first in range(0, len(trees.feature), nodes):
+            at = 0
+            for _ in range(trees.depth):
+                at = 2 * at + (2 if x[trees.feature[first + at]] > trees.threshold[first + at] else 1)
+            margin += trees.value[first + at]
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-9, r.doc_id
+
+
+def test_held_out_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op5_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    rows = queries.QUERIES["op6_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.toxic for r in rows]) > 0.93
+
+
 def test_weights_against_brute_force():
     import unicodedata
 
