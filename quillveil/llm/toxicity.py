@@ -254,8 +254,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(int(1_000_000 * min(1.0, sample_rows / n)))) for k, n in sizes.items()])
     chosen = known.filter(place < share).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")).withColumn("label", F.col("label").cast("int"))
-    # bounded by sample_rows, whatever the tables hold
-    sample = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "half"))
+    # bounded by sample_rows, whatever the tables hold: of rows that share an id one counts
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = settle(joined.groupBy("doc_id", "label", "half").agg(F.min("text").alias("text")).select("text", "label", "half"))
     n = {(r["half"], r["label"]): r["n"] for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     sums = [F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]
     counted = sample.mapInArrow(_count_terms, "kind int, term string, a0 long, a1 long, b0 long, b1 long").groupBy("kind", "term").agg(*sums)
