@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,41 @@ def settle(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         conf.set(name, before)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system that a path lies in, and the path in its terms."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Cuts the lineage with a table in the checkpoint folder, which ``discard`` removes; ``batch_rows`` as in ``settle``."""
+    spark = df.sparkSession
+    path = f"{lineage.shared_folder(spark)}/{uuid.uuid4().hex}"
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    before = conf.get(name)
+    try:
+        if batch_rows is not None:
+            conf.set(name, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        conf.set(name, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = path, out
+    return out
+
+
+_places: dict[int, tuple[str, DataFrame]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made, once nothing that reads them is left to run."""
+    for table_ in tables:
+        path, _ = _places.pop(id(table_), (None, None))
+        if path:
+            files, where = _files(table_.sparkSession, path)
+            files.delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.common import settle
+from quillveil.llm.common import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     every component shrinks by a constant factor, chains too. Nulls and loops
     are left out. An empty table gives no rows.
     """
-    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     roots, number = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,12 +29,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             both, degrees = both.join(count, "b"), F.col("degree")
         rank = lambda c, d: F.struct(d.alias("degree"), F.xxhash64(c, F.lit(number)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
         best = both.groupBy("a").agg(F.min(rank("b", degrees)).alias("best"), (-F.count(F.lit(1)) if number % 2 else F.lit(0).cast("long")).alias("own"))
-        step = settle(best.select(F.col("a").alias("node"), F.least(rank("a", F.col("own")), F.col("best"))["id"].alias("to")))
+        step = written(best.select(F.col("a").alias("node"), F.least(rank("a", F.col("own")), F.col("best"))["id"].alias("to")))
+        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b")
+        before, edges = edges, written(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct())
+        discard(before)
         if roots is None:
-            roots = step.select("node", F.col("to").alias("root"))
+            roots = step.withColumnRenamed("to", "root")
+            last = step
         else:
             moved = step.withColumnsRenamed({"node": "old"})
-            roots = settle(roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("to", "root").alias("root")))
-        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b")
-        edges = settle(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct())
+            joined = written(roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("to", "root").alias("root")))
+            discard(last, step)
+            roots = last = joined
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

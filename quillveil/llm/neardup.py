@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm import textkernel as tk
-from quillveil.llm.common import row_key, settle
+from quillveil.llm.common import discard, row_key, settle, written
 from quillveil.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 5
 TILE = 512
 #: Rows with sets in one Arrow batch.
 SET_ROWS = 512
+#: Parts that the classes of one hub are dealt to where they meet what is known of it.
+SALT = 32
 
 _U32 = np.uint32
 
@@ -106,20 +108,21 @@ def signatures(docs: DataFrame, shingle_words: int, bands: int, rows: int) -> Da
 
 
 def full_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(id, shingles) of docs (doc_id, text, id): the sorted 64-bit shingle hashes, where the set is the one that ``id`` names."""
+    """(id, shingles) of docs (text, id, f1, f2): the sorted 64-bit shingle hashes, where the set is the one of these sums."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, want1, want2 = (batch.column(c).to_numpy() for c in ("id", "f1", "f2"))
             for part in tk.slices(batch.column("text")):
                 hashes, bounds = tk.shingle_sets(tk.words(part, lower=True), shingle_words)
-                f1, _ = fingerprints(hashes, bounds)
-                own = ids[part.first : part.first + len(part)]
-                at = np.flatnonzero(f1 == own)
+                f1, f2 = fingerprints(hashes, bounds)
+                here = slice(part.first, part.first + len(part))
+                own = ids[here]
+                at = np.flatnonzero((f1 == want1[here]) & (f2 == want2[here]))
                 raw = [hashes[bounds[i] : bounds[i + 1]].tobytes() for i in at.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(raw, pa.binary())], names=["id", "shingles"])
 
-    return docs.select("text", "id").mapInArrow(collect, "id long, shingles binary")
+    return docs.select("text", "id", "f1", "f2").mapInArrow(collect, "id long, shingles binary")
 
 
 def _compare(percent: int):
@@ -232,30 +235,35 @@ def _grouped(named: DataFrame, shingle_words: int, percent: int, bands: int = BA
     """
     own_lone = F.when(F.col("doc_id").isNull(), F.col("row"))
     own_first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    signed = settle(signatures(named, shingle_words, bands, rows))
-    # classes of equal sets; f1 names a class in what follows
-    classes = signed.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min(own_first).alias("first"), F.min(own_lone).alias("lone"), F.first("keys").alias("keys"))
-    classes = settle(classes)
-    banded = classes.select(F.col("f1").alias("id"), F.explode("keys").alias("key"))
+    signed = written(signatures(named, shingle_words, bands, rows))
+    # classes of equal sets; f1 names a class, or both sums where several classes have it
+    full = signed.filter("n_shingles > 0")
+    classes = full.groupBy("f1", "f2").agg(F.min(own_first).alias("first"), F.min(own_lone).alias("lone"), F.first("keys").alias("keys"))
+    shared = full.groupBy("f1").agg(F.min("f2").alias("least"), F.max("f2").alias("most")).filter("least <> most").select("f1", F.lit(True).alias("shared"))
+    classes = written(classes.join(shared, "f1", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("f1", "f2")).otherwise(F.col("f1"))).drop("shared"))
+    banded = classes.select("id", F.explode("keys").alias("key"))
     priority = F.struct(F.xxhash64("id").alias("p"), "id")
     hubs = banded.groupBy("key").agg(F.min(priority)["id"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    edges = settle(banded.join(hubs, "key").filter("id <> hub").select("id", "hub").distinct())
-    members = edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct()
-    needed = members.join(classes.select(F.col("f1").alias("id"), F.col("first.row").alias("row")), "id")
-    sets = settle(full_sets(named.select("row", "text").join(needed, "row"), shingle_words).dropDuplicates(["id"]), SET_ROWS)
+    edges = written(banded.join(hubs, "key").filter("id <> hub").select("id", "hub").distinct())
+    nodes = written(edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct())
+    needed = nodes.join(classes.select("id", "f1", "f2", F.col("first.row").alias("row")), "id")
+    sets = written(full_sets(named.select("row", "text").join(needed, "row"), shingle_words).dropDuplicates(["id"]), SET_ROWS)
     pairs = edges.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
-    compared = settle(pairs.mapInArrow(_compare(percent), "id long, hub long, linked boolean, size long, hub_size long, lacks binary, extra binary"), SET_ROWS)
-    nodes = settle(members)
-    found = settle(_components(compared.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")), nodes))
+    compared = written(pairs.mapInArrow(_compare(percent), "id long, hub long, linked boolean, size long, hub_size long, lacks binary, extra binary"), SET_ROWS)
+    discard(edges, sets)
+    found = written(_components(compared.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")), nodes))
 
     # hubs whose classes are in more than one component
     under = compared.select("id", "hub").join(found, "id").unionByName(found.withColumn("hub", F.col("id")))
     split = under.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"))
     of_hub = found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
     split = split.filter("least <> most").join(of_hub, "hub").select("hub", "hub_component", "n")
-    rows_ = compared.drop("linked").join(found, "id").join(split, "hub").withColumn("stray", F.col("component") != F.col("hub_component"))
-    strays = rows_.groupBy("hub").agg(F.count_if("stray").alias("n_strays"))
-    rows_ = rows_.join(strays, "hub")
+    strays = compared.select("id", "hub").join(found, "id").join(of_hub, "hub").groupBy("hub").agg(F.count_if(F.col("component") != F.col("hub_component")).alias("n_strays"))
+    # the classes of one hub are dealt to parts, and what is known of the hub goes to all of them
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("part")
+    split = written(split.join(strays, "hub")).select("*", parts)
+    rows_ = compared.drop("linked").join(found, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT).cast("long")))
+    rows_ = rows_.join(split, ["hub", "part"]).withColumn("stray", F.col("component") != F.col("hub_component"))
     # a stray meets every class of its hub: classes in slots of one kind, strays also in slots of the other
     slots, stray_slots = F.ceil(F.col("n") / TILE), F.ceil(F.col("n_strays") / TILE)
     slot = lambda n: F.pmod(F.xxhash64("id"), n)
@@ -263,12 +271,14 @@ def _grouped(named: DataFrame, shingle_words: int, percent: int, bands: int = BA
     as_other = rows_.select(*base, F.lit(0).alias("side"), slot(slots).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), stray_slots - 1)).alias("j"))
     as_stray = rows_.filter("stray").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("i"), slot(stray_slots).alias("j"))
     tiles = as_other.unionByName(as_stray).groupBy("hub", "i", "j")
-    joined = settle(tiles.applyInPandas(_match_tile(percent), "a long, b long"), SET_ROWS)
+    joined = written(tiles.applyInPandas(_match_tile(percent), "a long, b long"), SET_ROWS)
+    discard(compared)
     merged = connected_components(joined)
-    final = found.join(merged, found["component"] == merged["node"], "left").select("id", F.coalesce("root", "component").alias("component"))
+    final = written(found.join(merged, found["component"] == merged["node"], "left").select("id", F.coalesce("root", "component").alias("component")))
+    discard(joined, merged, found, nodes)
 
     # the first row of each component, by class
-    placed = classes.select("f1", "f2", "first", "lone").join(final, F.col("f1") == F.col("id"), "left").withColumn("component", F.coalesce("component", "f1")).drop("id")
+    placed = classes.select("id", "f1", "f2", "first", "lone").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("first"), F.min("lone").alias("lone"))
     by_class = placed.drop("first", "lone").join(smallest, "component").select("f1", "f2", "first", "lone")
     narrow = signed.select("doc_id", "row", "n_shingles", "f1", "f2")
