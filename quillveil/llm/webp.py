@@ -114,18 +114,26 @@ def _simple(alphabet: int, first: int, second: int) -> _Code:
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
-    if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        return _simple(alphabet, first, bits.read(8) if two else first)
+    # the head of a code has at most 78 bits
+    first = bits.at >> 3
+    head = int.from_bytes(bits.data[first : first + 11], "little") >> (bits.at & 7)
+    if head & 1:
+        two, wide = head >> 1 & 1, head >> 2 & 1
+        used = 11 if wide else 4
+        symbol = head >> 3 & (255 if wide else 1)
+        bits.at += used + 8 * two
+        if bits.at > bits.size:
+            raise WebpError("the stream ends early")
+        return _simple(alphabet, symbol, head >> used & 255 if two else symbol)
     lengths = [0] * alphabet
-    count = 4 + bits.read(4)
+    count = 4 + (head >> 1 & 15)
     if count > len(_LENGTH_ORDER):
         raise WebpError("too many code lengths")
     of_lengths = [0] * 19
     for i in range(count):
-        of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
+        of_lengths[_LENGTH_ORDER[i]] = head >> (5 + 3 * i) & 7
     code = _code(tuple(of_lengths))
+    bits.at += 5 + 3 * count
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, last = 0, 8
     # a symbol takes at most 7 bits and 7 more
@@ -298,14 +306,25 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, tot
             code, n = _numbers(e >> 4, ahead[at])
             distance = np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
             behind[other] = np.where(ref, at + n, other + (found[0][other] & 15))
-        nexts, chain, p = memoryview(np.ascontiguousarray(behind)), [], bits.at - base
-        for _ in range(total - done):
+        # the chain is followed eight places at a time; places behind the chunk stay where they are
+        one = np.arange(size + 64)
+        one[:size] = behind
+        two = one[one]
+        four = two[two]
+        eight = memoryview(four[four])
+        chain, p = [], bits.at - base
+        for _ in range((total - done + 7) // 8):
             chain.append(p)
-            p = nexts[p]
+            p = eight[p]
             if p >= size:
                 break
-        bits.at = base + p
-        reached = np.array(chain)
+        steps = np.array(chain)
+        steps = np.stack([steps, two[steps]], axis=1)
+        steps = np.stack([steps, four[steps]], axis=1)
+        steps = steps.reshape(-1)[:, None]
+        reached = np.concatenate([steps, one[steps]], axis=1).reshape(-1)
+        reached = reached[: np.searchsorted(reached, size)]
+        bits.at = base + int(one[reached[-1]])
         symbol = symbol[reached]
         plain = symbol < _LITERALS
         spans, back = np.ones(len(reached), np.int64), np.zeros(len(reached), np.int64)
@@ -637,38 +656,37 @@ class _Stream:
 
 
 def _code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Lengths of a prefix code for these counts; counts are flattened until none is longer than the limit."""
+    """Lengths of a complete prefix code for these counts, none longer than the limit.
+
+    A symbol's length is its information, rounded up; the room that this leaves
+    goes to the symbols that were rounded up the most.
+    """
     out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
-    n = len(used)
-    if n < 2:
+    if len(used) < 2:
         out[used] = 1
         return out
     own = counts[used]
-    while True:
-        order = np.argsort(own, kind="stable")
-        weight = own[order].tolist() + [0] * (n - 1)
-        parent = [0] * (2 * n - 1)
-        i, j = 0, n
-        for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if i < n and (j >= k or weight[i] <= weight[j]):
-                    total += weight[i]
-                    parent[i] = k
-                    i += 1
-                else:
-                    total += weight[j]
-                    parent[j] = k
-                    j += 1
-            weight[k] = total
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth) <= limit:
-            out[used[order]] = depth[:n]
-            return out
-        own = (own >> 1) + 1
+    exact = math.log2(int(own.sum())) - np.log2(own)
+    sizes = np.minimum(np.maximum(np.ceil(exact - 1e-9), 1), limit).astype(np.int64)
+    order = np.argsort(exact - sizes, kind="stable").tolist()
+    size = sizes.tolist()
+    room = (1 << limit) - sum(1 << (limit - n) for n in size)
+    while room < 0:
+        # lengths were cut to the limit: the rarest of the shorter codes grow
+        at = max((n, -own[i], i) for i, n in enumerate(size) if n < limit)[2]
+        room += 1 << (limit - size[at] - 1)
+        size[at] += 1
+    while room:
+        for i in order:
+            take = 1 << (limit - size[i])
+            if take <= room and size[i] > 1:
+                room -= take
+                size[i] -= 1
+                if not room:
+                    break
+    out[used] = size
+    return out
 
 
 def _codes(lengths: np.ndarray) -> np.ndarray:
@@ -735,7 +753,7 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Pixels that earlier places are looked up by, of the shortest back-reference in use, and of the longest that the format has.
-_KEYED, _SHORTEST, _LONGEST = 4, 12, 4096
+_KEYED, _SHORTEST, _LONGEST = 8, 12, 4096
 _FEW = 1 << 13
 #: Bits of the writer's colour cache, and the share of pixels that it must hold.
 _CACHE_BITS, _CACHE_SHARE = 6, 0.1
@@ -750,32 +768,31 @@ def _references(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < 2:
         return none, none, none
     pair = v[:-1].astype(np.uint64) << np.uint64(32) | v[1:]
-    key = pair[:n] * np.uint64(0x9E3779B97F4A7C15) + pair[2 : n + 2] * np.uint64(0xC2B2AE3D27D4EB4F)
-    if n < _FEW:
-        # so few places are told apart by 16 bits, which sort faster; what they take for equal is compared below
-        key = (key >> np.uint64(48)).astype(np.uint16)
-    order = np.argsort(key, kind="stable")
-    here, there = order[1:], order[:-1]
-    same = (pair[here] == pair[there]) & (pair[here + 2] == pair[there + 2])
-    back = np.zeros(n, np.int64)
-    back[here[same]] = here[same] - there[same]
-    # from each place, where places of the same distance end, and the next place that has one
-    ends = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, n)
-    # the last place of a run reaches further than that
-    runs = ends.copy()
-    runs[1:] -= ends[:-1]
-    ends = np.repeat(ends + (_KEYED - 1), runs)
-    place = np.arange(n)
-    place[(back == 0) | (ends - place < _SHORTEST)] = n
-    next_of = memoryview(np.ascontiguousarray(np.minimum.accumulate(place[::-1])[::-1]))
+    four = pair[:-2] * np.uint64(0x9E3779B97F4A7C15) + pair[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    key = four[:-4] * np.uint64(0x9E3779B97F4A7C15) + four[4:] * np.uint64(0xD6E8FEB86659FD93)
+    # so few places are told apart by 16 bits, which sort faster; what they take for equal is compared below
+    order = np.argsort((key >> np.uint64(48)).astype(np.uint16) if n < _FEW else key, kind="stable")
+    ranked = key[order]
+    again = np.flatnonzero(ranked[1:] == ranked[:-1])
+    here, there = order[again + 1], order[again]
+    for k in range(0, _KEYED, 2):
+        same = pair[here + k] == pair[there + k]
+        here, there = here[same], there[same]
+    if not len(here):
+        return none, none, none
+    order = np.argsort(here)
+    here, back = here[order], (here - there)[order]
+    # runs of places of one distance, whose last place reaches further than itself
+    cut = np.flatnonzero((here[1:] != here[:-1] + 1) | (back[1:] != back[:-1])) + 1
+    firsts, lasts = np.append(0, cut), np.append(cut, len(here)) - 1
     out, at = [], 0
-    end_of = memoryview(ends)
-    while at < n and (a := next_of[at]) < n:
-        at = end_of[a]
-        out.append((a, at))
-    found = np.array(out, np.int64).reshape(-1, 2)
-    starts, lengths = found[:, 0], found[:, 1] - found[:, 0]
-    distances = back[starts]
+    for a, b, d in zip(here[firsts].tolist(), (here[lasts] + _KEYED).tolist(), back[firsts].tolist()):
+        a = max(a, at)
+        if b - a >= _SHORTEST:
+            out.append((a, b, d))
+            at = b
+    found = np.array(out, np.int64).reshape(-1, 3)
+    starts, lengths, distances = found[:, 0], found[:, 1] - found[:, 0], found[:, 2]
     parts = -(-lengths // _LONGEST)
     if (parts > 1).any():
         within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
