@@ -1,40 +1,116 @@
 """Span algebra on one array of structs for each document: positions, order, overlap, rewriting.
 
 Intervals never cross documents, so all of this is narrow: no shuffle, and
-expressions only. Offsets are code points, from 0, the end exclusive.
+expressions only. Offsets are code points, from 0, the end exclusive. Arrays
+are never grown one by one over their whole length: scans go over parts of
+``PART`` elements, and then over the parts, so that the work is nearly linear.
+
+Expressions with many lambdas are written in SQL, which is parsed at once where
+the same built from column objects takes a call a node. Columns are given by
+plain reference or as SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Elements of a part of a scan.
+PART = 128
+
 
 def let(value: Column, use) -> Column:
     """``use`` of a value that is computed once, also where a lambda in ``use`` runs for each element."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def find(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """All matches of a Java pattern with their positions: array<struct<start, end, text>>.
+def hold(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often later expressions name them."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _sql(value: Column | str) -> str:
+    return value if isinstance(value, str) else f"`{value._jc.toString()}`"
+
+
+def _text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+#: Steps of a fold, of what is reached so far and the next value.
+_SUM, _MOST = "{0} + x", "greatest({0}, x)"
+
+
+def _fold(values: str, step: str) -> str:
+    return f"aggregate({values}, 0, (reached, x) -> {step.format('reached')})"
+
+
+def _scan(values: str, start: str, step: str) -> str:
+    """For each value the fold of the values before it."""
+    grown = step.format("acc.at")
+    return f"aggregate({values}, struct({start} as at, cast(array() as array<int>) as done), (acc, x) -> struct({grown} as at, concat(acc.done, array(acc.at)) as done), acc -> acc.done)"
+
+
+def _parts(values: str) -> str:
+    """The array in slices of ``PART`` elements; an empty one has one empty slice."""
+    return _let(values, "whole", f"transform(sequence(0, cast(floor(greatest(size(whole) - 1, 0) / {PART}) as int)), i -> slice(whole, i * {PART} + 1, {PART}))")
+
+
+def _before(values: str, step: str) -> str:
+    """The same over any length: parts are folded, the folds scanned, and each part from there."""
+    starts = _scan(f"transform(parts, p -> {_fold('p', step)})", "0", step)
+    return _let(_parts(values), "parts", f"flatten(zip_with(parts, {starts}, (p, s) -> {_scan('p', 's', step)}))")
 
-    The text is split at the matches, so the lengths of the parts and of the
-    matches give the positions. ``needs`` is a literal that a match must hold;
-    texts without it are not searched.
+
+def sums_before(sizes: Column | str) -> Column:
+    """For each of the integers the sum of all before it."""
+    return F.expr(_before(_sql(sizes), _SUM))
+
+
+def _cut(text: str, sizes: str) -> str:
+    """The text in consecutive pieces of these lengths.
+
+    A part's stretch is cut out first and then its pieces, so that no piece is searched from the beginning of a long text.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    zipped = let(hits, lambda h: F.arrays_zip(F.slice(parts, F.lit(1), F.size(h)).alias("gap"), h.alias("hit")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+    starts = _scan(f"transform(parts, p -> {_fold('p', _SUM)})", "0", _SUM)
+    pieces = f"zip_with(p, {_scan('p', '0', _SUM)}, (n, o) -> substring(stretch, o + 1, n))"
+    stretch = f"substring(t, s + 1, {_fold('p', _SUM)})"
+    return _let(text, "t", _let(_parts(sizes), "parts", f"flatten(zip_with(parts, {starts}, (p, s) -> {_let(stretch, 'stretch', pieces)}))"))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+def cut(text: Column | str, sizes: Column | str) -> Column:
+    return F.expr(_cut(_sql(text), _sql(sizes)))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(F.contains(text, F.lit(needs)), found).otherwise(empty) if needs else found
+
+#: Noncharacters that mark the matches of a pattern; texts that hold one are searched in another way.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_FOUND = "array<struct<start:int,end:int,text:string>>"
+
+
+def find(text: Column | str, pattern: str, needs: str | None = None) -> Column:
+    """All matches of a Java pattern with their positions: array<struct<start, end, text>>.
+
+    The matches are marked in one pass and the text is split at the marks, so the
+    lengths of the parts give the positions. ``needs`` is a literal that a match
+    must hold; texts without it are not searched.
+    """
+    t, p = _sql(text), _text(pattern)
+    sizes = "zip_with(gaps, hits, (g, h) -> length(g) + length(h))"
+    starts = f"zip_with(gaps, {_before(sizes, _SUM)}, (g, b) -> b + length(g))"
+    placed = f"zip_with({starts}, hits, (b, h) -> struct(b as start, b + length(h) as `end`, h as text))"
+    # all pieces but the first are a match, a mark, and the gap to the next
+    hits = f"transform(slice(pieces, 2, size(pieces)), y -> substring_index(y, '{_CLOSE}', 1))"
+    gaps = f"transform(slice(pieces, 1, size(hits)), y -> element_at(split(y, '{_CLOSE}', -1), -1))"
+    marked = _let(f"split(marked, '{_OPEN}', -1)", "pieces", _let(hits, "hits", _let(gaps, "gaps", placed)))
+    found = _let(f"regexp_replace({t}, {p}, '{_OPEN}$0{_CLOSE}')", "marked", f"if(contains(marked, '{_OPEN}'), {marked}, cast(array() as {_FOUND}))")
+    plain = _let(f"regexp_extract_all({t}, {p}, 0)", "hits", _let(f"slice(split({t}, {p}, -1), 1, size(hits))", "gaps", placed))
+    out = f"if(regexp_like({t}, '[{_OPEN}{_CLOSE}]'), {plain}, {found})"
+    return F.expr(f"if(contains({t}, {_text(needs)}), {out}, cast(array() as {_FOUND}))" if needs else out)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -44,7 +120,7 @@ def overlaps(a: Column, b: Column) -> Column:
 def without_overlap(spans: Column, others: Column) -> Column:
     """The spans that overlap none of the others: an interval anti join inside the row."""
     both = F.struct(spans.alias("spans"), others.alias("others"))
-    return let(both, lambda b: F.filter(b["spans"], lambda s: ~F.exists(b["others"], lambda o: overlaps(s, o))))
+    return let(both, lambda b: F.when(F.size(b["others"]) == 0, b["spans"]).otherwise(F.filter(b["spans"], lambda s: ~F.exists(b["others"], lambda o: overlaps(s, o)))))
 
 
 def within(spans: Column, covers: Column) -> Column:
@@ -53,57 +129,56 @@ def within(spans: Column, covers: Column) -> Column:
     return let(both, lambda b: F.filter(b["spans"], lambda s: F.exists(b["covers"], lambda c: (s["start"] >= c["start"]) & (s["end"] <= c["end"]))))
 
 
-def resolve(spans: Column, kind: str) -> Column:
+def _islands(ordered: str, each: str) -> str:
+    """``each`` of the islands of spans in order of their starts: one begins where a start is not before any end before it."""
+    reach = _before("transform(spans, y -> y.`end`)", _MOST)
+    firsts = _let(reach, "reach", "filter(sequence(1, size(spans)), k -> k = 1 or element_at(spans, k).start >= element_at(reach, k))")
+    slices = "transform(firsts, (a, k) -> slice(spans, a, coalesce(try_element_at(firsts, k + 2), size(spans) + 1) - a))"
+    return _let(ordered, "spans", f"if(size(spans) = 0, array(), {_let(firsts, 'firsts', f'transform({slices}, island -> {each})')})")
+
+
+def resolve(spans: Column | str, kind: str) -> Column:
     """Disjoint spans in text order: the higher priority, then the longer, the earlier, the earlier detector wins.
 
-    ``kind`` is the type of the array; its structs have priority, start, end and rank.
+    ``kind`` is the type of the array; its structs have priority, start, end and
+    rank. Only spans of one island are compared.
     """
-    ordered = F.transform(spans, lambda s: F.struct((-s["priority"]).alias("p"), (s["start"] - s["end"]).alias("l"), s["start"].alias("s"), s["rank"].alias("r"), s.alias("span")))
-    winners = F.aggregate(
-        F.transform(F.array_sort(ordered), lambda x: x["span"]),
-        F.expr(f"cast(array() as {kind})"),
-        lambda kept, s: F.when(F.exists(kept, lambda k: overlaps(k, s)), kept).otherwise(F.concat(kept, F.array(s))),
-    )
-    return F.transform(F.array_sort(F.transform(winners, lambda s: F.struct(s["start"].alias("s"), s.alias("span")))), lambda x: x["span"])
+    ordered = f"transform(array_sort(transform({_sql(spans)}, y -> struct(y.start as a, y.`end` as b, y.rank as r, y as span))), y -> y.span)"
+    ranked = "transform(array_sort(transform(island, y -> struct(-y.priority as p, y.start - y.`end` as l, y.start as a, y.rank as r, y as span))), y -> y.span)"
+    kept = f"aggregate({ranked}, cast(array() as {kind}), (kept, y) -> if(exists(kept, k -> k.start < y.`end` and y.start < k.`end`), kept, concat(kept, array(y))))"
+    winners = f"if(size(island) = 1, cast(island as {kind}), transform(array_sort(transform({kept}, y -> struct(y.start as a, y as span))), y -> y.span))"
+    return F.expr(f"cast(flatten({_islands(ordered, winners)}) as {kind})")
 
 
-def rewrite(text: Column, spans: Column) -> Column:
-    """The text with each of the disjoint, ordered spans replaced by its ``replacement``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+def _rewrite(text: str, spans: str) -> str:
+    sizes = "concat(flatten(transform(spans, (y, k) -> array(y.start - element_at(ends, k + 1), y.`end` - y.start))), array(length(text) - element_at(ends, -1)))"
+    ends = "concat(array(0), transform(spans, y -> y.`end`))"
+    joined = "array_join(concat(flatten(transform(spans, (y, k) -> array(element_at(pieces, 2 * k + 1), y.replacement))), array(element_at(pieces, -1))), '')"
+    rewritten = _let(ends, "ends", _let(_cut("text", sizes), "pieces", joined))
+    whole = _let(text, "text", _let(spans, "spans", f"if(size(spans) = 0, text, {rewritten})"))
+    return f"if({text} is not null and {spans} is not null, {whole}, null)"
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["done"], gap, s["replacement"]).alias("done"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+def rewrite(text: Column | str, spans: Column | str) -> Column:
+    """The text with each of the disjoint, ordered spans replaced by its ``replacement``."""
+    return F.expr(_rewrite(_sql(text), _sql(spans)))
 
 
-def mask(text: Column, spans: Column) -> Column:
+def mask(text: Column | str, spans: Column | str) -> Column:
     """The text with the spans blanked, of the same length."""
-    return rewrite(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("replacement"))))
+    blanks = f"transform({_sql(spans)}, y -> struct(y.start as start, y.`end` as `end`, repeat(' ', y.`end` - y.start) as replacement))"
+    return F.expr(_rewrite(_sql(text), blanks))
 
 
-def merged(spans: Column) -> Column:
+def merged(spans: Column | str) -> Column:
     """Overlapping or touching ranges as one each: array<struct<start, end>>."""
-    ranges = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    # a range that begins where another ends touches it, so ends reach one further here
+    ranges = f"array_sort(transform({_sql(spans)}, y -> struct(y.start as start, y.`end` + 1 as `end`)))"
+    return F.expr(_islands(ranges, "struct(element_at(island, 1).start as start, array_max(transform(island, y -> y.`end`)) - 1 as `end`)"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(ranges, empty, step)
-
-
-def moved(spans: Column) -> Column:
+def moved(spans: Column | str) -> Column:
     """Each span with its place in the rewritten text: out_start, out_end."""
-    start = F.struct(F.lit(0).alias("shift"), F.expr("cast(array() as array<struct<start:int,end:int,out_start:int,out_end:int>>)").alias("done"))
-
-    def step(acc: Column, s: Column) -> Column:
-        begin = s["start"] + acc["shift"]
-        end = begin + F.length(s["replacement"])
-        row = F.struct(s["start"].alias("start"), s["end"].alias("end"), begin.alias("out_start"), end.alias("out_end"))
-        return F.struct((acc["shift"] + F.length(s["replacement"]) - (s["end"] - s["start"])).alias("shift"), F.concat(acc["done"], F.array(row)).alias("done"))
-
-    return F.aggregate(spans, start, step, lambda acc: acc["done"])
+    shifts = _before("transform(spans, y -> length(y.replacement) - (y.`end` - y.start))", _SUM)
+    placed = f"zip_with(spans, {shifts}, (y, b) -> struct(y.start as start, y.`end` as `end`, y.start + b as out_start, y.start + b + length(y.replacement) as out_end))"
+    return F.expr(_let(_sql(spans), "spans", placed))

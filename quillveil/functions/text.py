@@ -21,9 +21,9 @@ def _nfc(texts: pd.Series) -> pd.Series:
 def normalize_text(text: Column) -> Column:
     """NFC; soft hyphens and zero-width joiners go, bidirectional controls and all space separators become blanks.
 
-    Texts without combining marks are left out of the only Python step.
+    ASCII texts are left out of the only Python step.
     """
-    composed = F.when(F.regexp_like(text, F.lit(r"[\p{M}ᄀ-ᇿ]")), _nfc(text)).otherwise(text)
+    composed = F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)), text)
     return visible_spaces(composed)
 
 

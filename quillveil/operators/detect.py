@@ -139,14 +139,14 @@ def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
     spans.
     """
     chosen = [d for d in [*DETECTORS, *([URL] if urls else [])] if types is None or d.type in types]
-    folded = docs.withColumn("_folded", fold_identifiers(F.col("text")))
+    folded = sp.hold(docs, _folded=fold_identifiers(F.col("text")))
     secrets = [(i, d) for i, d in enumerate(chosen) if d.type == "CREDENTIAL"]
     labelled = bool(secrets) or any(d.accept not in (None, _card) for d in chosen)
     if labelled:
         named = F.transform(placed_cells(F.col("text")), lambda c: c.withField("header", fold_identifiers(c["header"])))
-        folded = folded.withColumn("_cells", F.filter(named, lambda c: F.regexp_like(c["header"], F.lit("|".join(_headed(name) for name in _LABELS)))))
+        folded = sp.hold(folded, _cells=F.filter(named, lambda c: F.regexp_like(c["header"], F.lit("|".join(_headed(name) for name in _LABELS)))))
     else:
-        folded = folded.withColumn("_cells", F.expr(f"cast(array() as array<{CELL}>)"))
+        folded = sp.hold(folded, _cells=F.expr(f"cast(array() as array<{CELL}>)"))
     found = {}
     for i, d in enumerate(chosen):
         view = F.col("_folded") if d.folded else F.col("text")
@@ -156,7 +156,7 @@ def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
         if d.accept:
             spans = F.filter(spans, partial(d.accept, view, F.col("_cells")))
         found[f"_s{i}"] = _typed(spans, d, i)
-    out = folded.withColumns(found).withColumn("_reserved", sp.find(F.col("text"), PLACEHOLDER, "["))
+    out = sp.hold(folded, **found, _reserved=sp.find(F.col("text"), PLACEHOLDER, "["))
     spans = sp.without_overlap(F.concat(*[F.col(c) for c in found]), F.col("_reserved"))
     for i, d in secrets:
         # no placeholder of another kind vouches for the rest of such a cell
@@ -166,7 +166,7 @@ def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
     secret = lambda s: s["type"] == "CREDENTIAL"
     with_secrets = sp.let(spans, lambda x: F.struct(x.alias("all"), F.filter(x, secret).alias("secrets")))
     safe = sp.let(with_secrets, lambda b: F.filter(b["all"], lambda s: secret(s) | ~F.exists(b["secrets"], lambda c: sp.overlaps(c, s))))
-    return out.withColumn("spans", safe).drop("_folded", "_reserved", "_cells", *found)
+    return sp.hold(out, spans=safe).drop("_folded", "_reserved", "_cells", *found)
 
 
 def exploded(rows: DataFrame, spans: str, *keep: str) -> DataFrame:
@@ -176,8 +176,8 @@ def exploded(rows: DataFrame, spans: str, *keep: str) -> DataFrame:
 
 def redact(docs: DataFrame, types: list[str] | None = None, urls: bool = False) -> DataFrame:
     """``docs`` with resolved spans and the rewritten text in ``redacted``."""
-    found = detect(docs, types, urls).withColumn("resolved", sp.resolve(F.col("spans"), f"array<{SPAN}>"))
-    return found.withColumn("redacted", sp.rewrite(F.col("text"), F.col("resolved")))
+    found = sp.hold(detect(docs, types, urls), resolved=sp.resolve(F.col("spans"), f"array<{SPAN}>"))
+    return sp.hold(found, redacted=sp.rewrite(F.col("text"), F.col("resolved")))
 
 
 def findings(redacted: DataFrame) -> DataFrame:

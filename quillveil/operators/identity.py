@@ -88,7 +88,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
     value = F.when(F.col("side") == 0, F.col("at"))
     ordered = Window.partitionBy(key).orderBy("at", "side")
     before = F.last_value(value, True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first_value(value, True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    # the same running frame in the opposite order, as a frame that ends at the end is searched anew for each row
+    backwards = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("side"))
+    after = F.last_value(value, True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
     out = both.select(key, "at", "side", before.alias("before"), after.alias("after")).filter("side = 1")
     near = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(F.col("at") - F.col("before") <= F.col("after") - F.col("at"), F.col("before")).otherwise(F.col("after"))
     return out.select(key, "at", near.alias("nearest"))

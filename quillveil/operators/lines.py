@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillveil.functions.spans import sums_before
+
+
 def _by_line():
     return Window.partitionBy("doc_id").orderBy("line_no")
 
@@ -17,10 +20,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
     Offsets come with the lines of one text, so no shuffle is needed for them.
     """
-    parts = F.split("text", "\n", -1)
-    empty = F.expr("cast(array() as array<struct<start:int,text:string>>)")
-    step = lambda acc, t: F.struct((acc["at"] + F.length(t) + 1).alias("at"), F.concat(acc["done"], F.array(F.struct(acc["at"].alias("start"), t.alias("text")))).alias("done"))
-    placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("done")), step, lambda acc: acc["done"])
+    starts = sums_before("transform(split(text, '\\n', -1), t -> length(t) + 1)")
+    placed = F.arrays_zip(F.split("text", "\n", -1).alias("text"), starts.alias("start"))
     return docs.select("doc_id", F.posexplode(placed).alias("line_no", "l")).select("doc_id", "line_no", F.col("l.start").alias("start"), (F.col("l.start") + F.length("l.text")).alias("end"), F.col("l.text").alias("text"))
 
 
