@@ -47,11 +47,13 @@ def pixels_of(payload: np.ndarray) -> np.ndarray:
 def feature_of(pixels: np.ndarray) -> str:
     """Size, mean sample, and a 64-bit average hash of the image's 64 strips."""
     flat = pixels.reshape(-1)
-    total = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
     bounds = np.arange(65) * len(flat) // 64
-    sums, sizes = total[bounds[1:]] - total[bounds[:-1]], np.maximum(np.diff(bounds), 1)
-    bits = (sums * len(flat) > total[-1] * sizes).astype(np.uint8)
-    return f"{pixels.shape[1]}x{pixels.shape[0]} mean {total[-1] // max(len(flat), 1)} hash {np.packbits(bits).tobytes().hex()}"
+    sizes = np.diff(bounds)
+    # strips of no sample, as images of under 64 have, sum up to nothing
+    sums = np.add.reduceat(flat, np.minimum(bounds[:-1], len(flat) - 1), dtype=np.int64) * (sizes > 0)
+    total = int(flat.sum(dtype=np.int64))
+    bits = (sums * len(flat) > total * np.maximum(sizes, 1)).astype(np.uint8)
+    return f"{pixels.shape[1]}x{pixels.shape[0]} mean {total // max(len(flat), 1)} hash {np.packbits(bits).tobytes().hex()}"
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

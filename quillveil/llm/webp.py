@@ -485,11 +485,11 @@ def _uncross(argb: np.ndarray, elements: np.ndarray, block: int) -> np.ndarray:
     red_to_blue, green_to_blue, green_to_red = signed(own >> 16 & 255), signed(own >> 8 & 255), signed(own & 255)
     out = np.array(argb, "<u4")
     blue, green, red = (out.view(np.uint8).reshape(height, width, 4)[..., k] for k in range(3))
-    by = signed(green)
-    red += ((green_to_red * by) >> 5).astype(np.uint8)
-    blue += ((green_to_blue * by) >> 5).astype(np.uint8)
-    if red_to_blue.any():
-        blue += ((red_to_blue * signed(red)) >> 5).astype(np.uint8)
+    for target, multiplier, source in ((red, green_to_red, green), (blue, green_to_blue, green), (blue, red_to_blue, red)):
+        if (multiplier == 32).all():
+            target += source  # 32 times a signed byte, less five bits, is that byte
+        elif multiplier.any():
+            target += ((multiplier * signed(source)) >> 5).astype(np.uint8)
     return out
 
 
