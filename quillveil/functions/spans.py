@@ -99,7 +99,16 @@ def find(text: Column | str, pattern: str, needs: str | None = None) -> Column:
     lengths of the parts give the positions. ``needs`` is a literal that a match
     must hold; texts without it are not searched.
     """
-    t, p = _sql(text), _text(pattern)
+    return F.expr(_find(_sql(text), _text(pattern), needs))
+
+
+def find_by(text: Column | str, pattern: Column | str) -> Column:
+    """The same with a pattern of its own for each row, in a column; none where it is null."""
+    p = _sql(pattern)
+    return F.expr(f"if({p} is null, cast(array() as {_FOUND}), {_find(_sql(text), p, None)})")
+
+
+def _find(t: str, p: str, needs: str | None) -> str:
     sizes = "zip_with(gaps, hits, (g, h) -> length(g) + length(h))"
     starts = f"zip_with(gaps, {_before(sizes, _SUM)}, (g, b) -> b + length(g))"
     placed = f"zip_with({starts}, hits, (b, h) -> struct(b as start, b + length(h) as `end`, h as text))"
@@ -110,7 +119,7 @@ def find(text: Column | str, pattern: str, needs: str | None = None) -> Column:
     found = _let(f"regexp_replace({t}, {p}, '{_OPEN}$0{_CLOSE}')", "marked", f"if(contains(marked, '{_OPEN}'), {marked}, cast(array() as {_FOUND}))")
     plain = _let(f"regexp_extract_all({t}, {p}, 0)", "hits", _let(f"slice(split({t}, {p}, -1), 1, size(hits))", "gaps", placed))
     out = f"if(regexp_like({t}, '[{_OPEN}{_CLOSE}]'), {plain}, {found})"
-    return F.expr(f"if(contains({t}, {_text(needs)}), {out}, cast(array() as {_FOUND}))" if needs else out)
+    return f"if(contains({t}, {_text(needs)}), {out}, cast(array() as {_FOUND}))" if needs else out
 
 
 def overlaps(a: Column, b: Column) -> Column:
