@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillveil.catalog import _table, query
 from quillveil.functions import names as nm
 from quillveil.lineage import settle
-from quillveil.operators import batch, detect, entities, lifecycle, trace
+from quillveil.operators import batch, detect, entities, evaluate, lifecycle, residual, trace
 
 _FIRST = ["Anna", "Bert", "Carla", "David", "Elif", "Farid", "Greta"]
 _LAST = ["Berger", "Cordes", "Dahlmann", "Ehlers", "Funke"]
@@ -223,3 +223,95 @@ def count_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, sha256('[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_returnflag) || ']') AS binding FROM lineitem GROUP BY 1""")
 def json_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.binding(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+# --- the gate ------------------------------------------------------------------------------------------
+
+_LEAKS = "CASE k % 6 WHEN 0 THEN 'Karte 4111.1111.1111.1111 hier' WHEN 1 THEN 'Benutzername: wilma' || k WHEN 2 THEN '| Kunde | Pass |' || chr(10) || '| | wort |' || chr(10) || '|---|---|' || chr(10) || '| x | geheim' || k || ' |' WHEN 3 THEN '| Ansprache | Stand |' || chr(10) || '|---|---|' || chr(10) || '| Wilma Quast | 3 |' WHEN 4 THEN 'Durchwahl: 12-345-' || (1000 + k) ELSE 'nichts als Prosa' END"
+_LEAK_ROWS = "SELECT doc_id, CASE k % 6 WHEN 0 THEN 'CREDIT_CARD' WHEN 3 THEN 'PERSON' WHEN 4 THEN 'PHONE' ELSE 'CREDENTIAL' END AS type, CASE k % 6 WHEN 0 THEN '4111.1111.1111.1111' WHEN 3 THEN 'Wilma Quast' WHEN 4 THEN '12-345-' || (1000 + k) ELSE '' END AS text, CASE k % 6 WHEN 0 THEN 6 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END AS start FROM d WHERE k % 6 < 5"
+
+
+@query(f"WITH d AS ({_sql_docs(_LEAKS)}) {_LEAK_ROWS}")
+def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual.scan(_docs(spark, sf_dir, _LEAKS))
+
+
+@query(f"WITH d AS ({_sql_docs(_LEAKS)}), r AS ({_LEAK_ROWS}) SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN 'released' ELSE 'stopped' END AS verdict, CASE WHEN r.doc_id IS NULL THEN '' ELSE r.type END AS classes FROM d LEFT JOIN r USING (doc_id)")
+def gated_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual.gated(_docs(spark, sf_dir, _LEAKS), passes=1).select("doc_id", "verdict", "classes")
+
+
+_READ = "CASE k % 3 WHEN 0 THEN 'Gruß von ' || upper(l) WHEN 1 THEN 'Mail a' || k || '@example.invalid' ELSE 'leer' END"
+
+
+@query(f"WITH d AS ({_sql_docs(_READ)}) SELECT doc_id, CASE k % 3 WHEN 0 THEN 'LITERAL_LEFT' WHEN 1 THEN 'STRUCTURED_LEFT' ELSE 'clean' END AS verdict, CASE k % 3 WHEN 0 THEN 1 ELSE 0 END AS literals FROM d")
+def recognised_texts_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, _READ)
+    literals = _docs(spark, sf_dir, "l").withColumnRenamed("text", "value")
+    return residual.verify(docs, literals)
+
+
+@query(f"""SELECT c_custkey AS doc_id, 'EMAIL' AS type, 5 AS start, 5 + {_LEN} AS "end" FROM customer UNION ALL SELECT c_custkey, 'IP', 10 + {_LEN}, 10 + {_LEN} + {_IPLEN} FROM customer UNION ALL SELECT c_custkey, 'EMAIL', 17 + {_LEN} + {_IPLEN}, 17 + 2 * {_LEN} + {_IPLEN} FROM customer""")
+def span_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_MAIL).alias("text"))
+    return residual.locators(docs, ["EMAIL", "IP"])
+
+
+_MARKED = "'[PERSON_001] und [EMAIL_REDACTED] und [PERSON_001]' || CASE WHEN k % 2 = 0 THEN ' [IP_REDACTED]' ELSE '' END"
+
+
+@query(f"WITH d AS ({_sql_docs(_MARKED)}) SELECT doc_id, '[PERSON_001]' AS marker FROM d UNION ALL SELECT doc_id, '[IP_REDACTED]' FROM d WHERE k % 2 = 0")
+def surviving_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, _MARKED)
+    return residual.surviving_markers(docs, docs.withColumn("text", F.replace("text", F.lit("[EMAIL_REDACTED]"), F.lit("x"))))
+
+
+@query(f"WITH d AS ({_sql_docs(_MARKED)}) SELECT 'PERSON' AS kind, count(*) AS entities, 2 * count(*) AS places FROM d UNION ALL SELECT 'EMAIL', count(*), count(*) FROM d UNION ALL SELECT 'IP', count(*) FILTER (k % 2 = 0), count(*) FILTER (k % 2 = 0) FROM d")
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual.entity_counts(_docs(spark, sf_dir, _MARKED))
+
+
+@query("SELECT key, min(name) AS name FROM (SELECT l_orderkey AS key, l_returnflag AS name FROM lineitem) GROUP BY 1 HAVING count(DISTINCT name) = 1")
+def person_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual.person_anchors(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("name")))
+
+
+_SPAN_ROWS = 'SELECT l_orderkey AS sample, l_partkey % 40 AS start, l_partkey % 40 + l_linenumber AS "end" FROM lineitem'
+
+
+@query(f'WITH s AS (SELECT DISTINCT * FROM ({_SPAN_ROWS})) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS b WHERE b.sample = s.sample AND b.start <= s.start AND b."end" >= s."end" AND (b.start < s.start OR b."end" > s."end"))')
+def nested_predictions_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_partkey") % 40
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), start.alias("start"), (start + F.col("l_linenumber")).alias("end"))
+    return evaluate.drop_nested(rows.distinct(), ["sample"])
+
+
+# --- further detectors over constructed records ----------------------------------------------------------
+
+_MORE = [
+    ("CREDENTIAL", "Passwort: ", "'geheim' || c_custkey"),
+    ("CONTACT_URI", "Link ", "'mailto:kunde' || c_custkey"),
+    ("BIC", "BIC: ", "'COBADEFF' || lpad((c_custkey % 1000)::VARCHAR, 3, '0')"),
+    ("DE_SOCIAL_SECURITY", "Versichert ", "'65 170839 J 00 ' || (c_custkey % 10)"),
+    ("PHONE", "Fax: ", "'01 44 55 66 ' || (10 + c_custkey % 90)"),
+    ("IPV6", "Netz ", "'2001:db8::' || (1 + c_custkey % 90)"),
+    ("STREET_ADDRESS", "Anschrift ", "'Lindenallee ' || (1 + c_custkey % 90)"),
+    ("STREET_ADDRESS", "Adresse ", "(1 + c_custkey % 90) || ' rue de Metz'"),
+    ("POSTAL_ADDRESS", "Ort ", "(10000 + c_custkey) || ' Neustadt'"),
+    ("EMAIL", "Post ", "'kunde' || c_custkey || '&#64;example.invalid'"),
+    ("EMAIL", "Brief ", "'kunde' || c_custkey || '%40example.invalid'"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT c_custkey AS doc_id, '{t}' AS type, {v} AS text FROM customer" for t, _, v in _MORE))
+def further_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [f"'{label}' || {value.replace('::VARCHAR', '::STRING')}" for _, label, value in _MORE]
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(" || '\\n' || ".join(parts)).alias("text"))
+    return detect.exploded(detect.redact(docs), "resolved", "doc_id").select("doc_id", "s.type", "s.text")
+
+
+@query("SELECT c_custkey AS doc_id, 'seite' || c_custkey || '.example.com/a' AS text FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'https://x.invalid/' || c_custkey FROM customer")
+def bare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "CASE WHEN c_custkey % 2 = 0 THEN 'seite' || c_custkey || '.example.com/a' ELSE 'github.com/x' END || ' und https://x.invalid/' || c_custkey"
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(text).alias("text"))
+    return detect.exploded(detect.redact(docs, ["URL"], urls=True), "resolved", "doc_id").select("doc_id", "s.text")

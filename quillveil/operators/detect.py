@@ -26,6 +26,11 @@ _IBAN = r"[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}"
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|January|February|March|May|June|July|October|December|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|noviembre|diciembre"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _H = "[0-9A-Fa-f]{1,4}"
+# How an at sign and a full stop are written as references.
+_AT, _DOT = r"(?:@|&#0*64;|&#x0*40;|&commat;)", r"(?:\.|&#0*46;|&#x0*2e;|&period;)"
+# Endings of bare domains, and domains that a profile may name.
+_ENDINGS = "com|de|org|net|io|eu|at|ch|fr|es|nl|info"
+_PROTECTED = r"(?:[\w-]+\.)*(?:github|gitlab|linkedin|xing|stackoverflow)\.com"
 
 # Labels that give a value its meaning, by language.
 _LABELS = {
@@ -92,6 +97,8 @@ DETECTORS = [
     Detector("CREDENTIAL", rf"(?im)(?<=^(?:[ \t]{{0,8}}(?:[-*] )?){_LABELS['secret']}[ \t]{{0,4}}[:=][ \t]{{0,4}})[^\s][^\n]*", "[CREDENTIAL_REDACTED]", 96),
     Detector("CONTACT_URI", rf"(?i){_B}(?:mailto|tel|sms|callto|sip|xmpp):[^\s<>()\[\]\"']+", "[CONTACT_REDACTED]", 91),
     Detector("EMAIL", r"(?:[\p{L}\p{N}._%+-]|\\_)+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}", "[EMAIL_REDACTED]", 90, needs="@"),
+    Detector("EMAIL", rf"(?i)[\p{{L}}\p{{N}}._+-]+{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)*{_DOT}\p{{L}}{{2,}}", "[EMAIL_REDACTED]", 90, needs="&"),
+    Detector("EMAIL", r"(?i)[\p{L}\p{N}._+-]+%40[\p{L}\p{N}-]+(?:(?:\.|%2e)[\p{L}\p{N}-]+)*(?:\.|%2e)\p{L}{2,}", "[EMAIL_REDACTED]", 90, needs="%40"),
     Detector("IBAN", _B + _IBAN + _A, "[BANK_DATA_REDACTED]", 88),
     Detector("CREDIT_CARD", _B + r"\d(?:[ -]?\d){12,18}" + _A, "[BANK_DATA_REDACTED]", 87, _card),
     Detector("BIC", _B + r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?" + _A, "[BANK_DATA_REDACTED]", 86, _bic),
@@ -101,13 +108,15 @@ DETECTORS = [
     Detector("DATE_OF_BIRTH", _B + rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.? (?:{_MONTHS}) \d{{4}}|(?:{_MONTHS}) \d{{1,2}}, \d{{4}})" + _A, "[DATE_REDACTED]", 81, _label_before("birth", 40)),
     Detector("VEHICLE_PLATE", _B + r"[A-ZÄÖÜ]{1,3}-[A-Z]{1,2} \d{1,4}[EH]?" + _A, "[ID_REDACTED]", 81, _label_before("plate", 40)),
     Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+|\(?0)\d(?:[ ()/.-]{0,2}\d){6,16}" + _A, "[PHONE_REDACTED]", 80, _phone),
+    Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+33[ .-]?|0)\d(?:[ .-]?\d{2}){4}" + _A, "[PHONE_REDACTED]", 80, _phone),
     Detector("IP", rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\d)", "[IP_REDACTED]", 78, needs="."),
     Detector("IPV6", rf"(?<![0-9A-Fa-f:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|(?:{_H}:){{1,6}}:{_H}|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|::(?:{_H}:){{0,6}}{_H})(?![0-9A-Fa-f:])", "[IP_REDACTED]", 78, needs=":"),
     Detector("STREET_ADDRESS", _B + rf"(?!Im (?:{_MONTHS}) \d{{4}})(?:[\p{{Lu}}][\p{{L}}-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm)|(?:Am|Im|An der|Auf der) [\p{{Lu}}][\p{{L}}-]+) \d{{1,4}}[a-z]?" + _A, "[LOCATION_REDACTED]", 77, folded=False),
     Detector("STREET_ADDRESS", _B + r"\d{1,4}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse) (?:de |du |des |de la |d'|l')?[\p{L}'-]+(?: [\p{Lu}][\p{L}'-]+)*", "[LOCATION_REDACTED]", 77, folded=False),
     Detector("POSTAL_ADDRESS", r"(?<!(?:ISO|IEC|DIN|EN)[ -])" + _B + rf"\d{{5}} (?!{_UNITS}\b)[\p{{Lu}}][\p{{L}}-]+(?: [\p{{Lu}}][\p{{L}}-]+){{0,3}}", "[LOCATION_REDACTED]", 76, folded=False),
 ]
-URL = Detector("URL", r"(?i)(?:https?://|www\.)[^\s<>()\[\]\"']+", "[URL_REDACTED]", 58)
+_PATH = r"[^\s<>()\[\]\"']"
+URL = Detector("URL", rf"(?i)(?:https?://|www\.)(?!{_PROTECTED}(?![\w.-])){_PATH}+|(?<![\p{{L}}\p{{N}}@./_-])(?!{_PROTECTED}(?![\w.-]))(?:[\p{{L}}\p{{N}}-]+\.)+(?:{_ENDINGS})(?![\p{{L}}\p{{N}}.-])(?:/{_PATH}*)?", "[URL_REDACTED]", 58)
 PLACEHOLDER = r"\[(?:(?:CREDENTIAL|CONTACT|EMAIL|BANK_DATA|ID|DATE|PHONE|IP|LOCATION|URL|ORGANISATION)_(?:REDACTED|UNKLAR)|(?:PERSON|UNTERNEHMEN|ARBEITGEBER|KUNDE|PROJEKT)_(?:UNKLAR_)?\d{3,})\]"
 
 
