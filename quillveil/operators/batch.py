@@ -25,11 +25,10 @@ def status_counts(items: DataFrame, key: str = "batch_id") -> DataFrame:
 
 def remaining_seconds(items: DataFrame, key: str = "batch_id") -> DataFrame:
     """Upper median of the measured durations times the open items, in whole seconds; null with too few samples."""
-    measured = F.col("duration_ms").between(0, ETA_LONGEST)
-    sorted_ = F.array_sort(F.collect_list(F.when(measured, F.col("duration_ms"))))
-    out = items.groupBy(key).agg(sorted_.alias("d"), F.count_if(F.col("status").isin(OPEN)).alias("remaining"))
-    middle = F.try_element_at("d", (F.floor(F.size("d") / 2) + 1).cast("int"))
-    return out.select(key, "remaining", F.when(F.size("d") >= ETA_SAMPLES, F.ceil(middle * F.col("remaining") / 1000)).cast("long").alias("seconds"))
+    measured = F.when(F.col("duration_ms").between(0, ETA_LONGEST), F.col("duration_ms"))
+    upper = F.expr(f"percentile_disc(0.5) within group (order by case when duration_ms between 0 and {ETA_LONGEST} then duration_ms end desc)")
+    out = items.groupBy(key).agg(F.count(measured).alias("n"), upper.alias("middle"), F.count_if(F.col("status").isin(OPEN)).alias("remaining"))
+    return out.select(key, "remaining", F.when(F.col("n") >= ETA_SAMPLES, F.ceil(F.col("middle") * F.col("remaining") / 1000)).cast("long").alias("seconds"))
 
 
 def document_grades(parts: DataFrame, key: str) -> DataFrame:
@@ -53,9 +52,10 @@ def page(items: DataFrame, key: str, order: str, eligible, cursor: int, size: in
     if not 1 <= size <= 20:
         raise ValueError("a page has 1 to 20 items")
     own = Window.partitionBy(key).orderBy(order)
-    numbered = items.filter(eligible & (F.col(order) >= cursor)).withColumn("nth", F.row_number().over(own)).withColumn("next_cursor", F.lead(order, size).over(own))
-    first = numbered.filter(F.col("nth") <= size)
-    return first.withColumn("next_cursor", F.first("next_cursor").over(Window.partitionBy(key).orderBy(order)))
+    # one more than the page holds tells where the next one begins, and lets the rest go before the sort
+    numbered = items.filter(eligible & (F.col(order) >= cursor)).withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= size + 1)
+    following = F.max(F.when(F.col("nth") == size + 1, F.col(order))).over(Window.partitionBy(key))
+    return numbered.withColumn("next_cursor", following).filter(F.col("nth") <= size)
 
 
 def recent(runs: DataFrame, created: str, tie: str, hidden: DataFrame | None = None, count: int = 5) -> DataFrame:

@@ -7,15 +7,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillveil.lineage import settle
+
 
 def first_seen_numbers(mentions: DataFrame, kind: str, name: str, order: str) -> DataFrame:
     """Numbers of the identities of each kind in the order in which they are first seen: (kind, name, number).
 
-    Only the first place of each identity is ranked, so the window sees one row
-    an identity; equal places go by name.
+    Only the first place of each identity is ranked; equal places go by name. The
+    identities are sorted over all partitions, numbered inside each, and moved on
+    by what the partitions before hold, so no task sees all of a kind.
     """
     first = mentions.groupBy(kind, name).agg(F.min(order).alias("first_seen"))
-    return first.select(kind, name, F.row_number().over(Window.partitionBy(kind).orderBy("first_seen", name)).alias("number"))
+    # which partition a row is in must hold for both uses below
+    placed = settle(first.repartitionByRange(kind, "first_seen", name).withColumn("part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(kind, "part").orderBy("first_seen", name))
+    # one row a kind and partition
+    sizes = placed.groupBy(kind, "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(kind).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.withColumn("inside", inside).join(sizes.select(kind, "part", earlier.alias("earlier")), [kind, "part"])
+    return numbered.select(kind, name, (F.col("inside") + F.col("earlier")).cast("int").alias("number"))
 
 
 def readable_pseudonyms(numbered: DataFrame, kind: str) -> DataFrame:
