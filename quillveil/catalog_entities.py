@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillveil.catalog import _table, query
 from quillveil.functions import names as nm
+from quillveil.functions import spans as sp
+from quillveil.functions import text as tx
 from quillveil.lineage import settle
-from quillveil.operators import batch, detect, entities, evaluate, lifecycle, residual, trace
+from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, personnel, residual, review, trace
 
 _FIRST = ["Anna", "Bert", "Carla", "David", "Elif", "Farid", "Greta"]
 _LAST = ["Berger", "Cordes", "Dahlmann", "Ehlers", "Funke"]
@@ -315,3 +317,95 @@ def bare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "CASE WHEN c_custkey % 2 = 0 THEN 'seite' || c_custkey || '.example.com/a' ELSE 'github.com/x' END || ' und https://x.invalid/' || c_custkey"
     docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(text).alias("text"))
     return detect.exploded(detect.redact(docs, ["URL"], urls=True), "resolved", "doc_id").select("doc_id", "s.text")
+
+
+# --- reviews and profiles ----------------------------------------------------------------------------------
+
+_PROSE = "f || ' ' || l || ' hat geschrieben. Sie traf Wilma Quast und ' || f || ' ' || l || ' nicht.'"
+_WILMA = "length(f || ' ' || l || ' hat geschrieben. Sie traf ')"
+
+
+@query(f"""WITH d AS ({_sql_docs(_PROSE)}) SELECT doc_id, 0 AS start, length(f || ' ' || l) AS "end", f || ' ' || l AS text, 'subject' AS kind, 'A000001' AS ambiguity_id FROM d
+UNION ALL SELECT doc_id, {_WILMA}, {_WILMA} + 11, 'Wilma Quast', 'object', 'A000002' FROM d""")
+def prose_ambiguities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.ambiguities(review.prose_candidates(_docs(spark, sf_dir, _PROSE)))
+
+
+@query(f"WITH d AS ({_sql_docs(_PROSE)}) SELECT doc_id, CASE k % 3 WHEN 0 THEN text WHEN 1 THEN '[PERSON_UNKLAR]' || substr(text, length(f || ' ' || l) + 1) ELSE '[ORGANISATION_REDACTED]' || substr(text, length(f || ' ' || l) + 1) END AS text FROM d")
+def reviewed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, _PROSE)
+    first = review.prose_candidates(docs).filter("kind = 'subject'")
+    decision = F.when(F.col("doc_id") % 3 == 0, "keep").when(F.col("doc_id") % 3 == 2, "redact_organization")
+    return review.applied(docs, first.withColumn("decision", decision))
+
+
+@query(f"""WITH d AS ({_sql_docs(_PROSE)}) SELECT doc_id, 0 AS start, 4 AS "end", 'keep' AS decision, k % 4 < 2 AS valid FROM d""")
+def review_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, _PROSE)
+    approvals = docs.select("doc_id", F.lit(0).alias("start"), F.lit(4).alias("end"), F.sha2("text", 256).alias("text_hash"), F.sha2(F.when(F.col("doc_id") % 4 == 2, "Etwa").otherwise(F.substring("text", 1, 4)), 256).alias("range_hash"), F.lit("keep").alias("decision"))
+    return review.bound(approvals, docs.withColumn("text", F.when(F.col("doc_id") % 4 == 3, "anders").otherwise(F.col("text"))))
+
+
+@query("WITH o AS (SELECT l_orderkey AS doc_id, l_returnflag AS value, l_linenumber AS start FROM lineitem), r AS (SELECT o_orderkey AS doc_id, 'R' AS value FROM orders) SELECT r.doc_id, r.value, CASE WHEN count(o.start) = 1 THEN min(o.start) END AS start, CASE WHEN count(o.start) = 1 THEN 'unique' WHEN count(o.start) > 1 THEN 'ambiguous' ELSE 'missing' END AS state FROM r LEFT JOIN o USING (doc_id, value) GROUP BY 1, 2")
+def source_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occurrences = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("value"), F.col("l_linenumber").alias("start"))
+    return review.source_places(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("R").alias("value")), occurrences)
+
+
+@query("SELECT o_custkey AS doc_id, o_orderkey AS ambiguity_id, CASE WHEN o_orderkey % 2 = 0 THEN 'keep' END AS decision FROM orders")
+def replayed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ambiguity_id"), F.col("o_orderstatus").alias("kind"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 5).alias("end"))
+    return review.replayed(rows.filter("ambiguity_id % 2 = 0").withColumn("decision", F.lit("keep")), rows)
+
+
+_PROFILE = "'# Werdegang' || chr(10) || 'Arbeitgeber: ' || o || chr(10) || 'Wohnort: Ulm' || chr(10) || '# Projekte' || chr(10) || 'NORDBANK' || chr(10) || '## ' || o || ' – Umbau' || chr(10) || 'Kunde: Nordbank' || chr(10) || 'Python'"
+
+
+@query(f"WITH d AS ({_sql_docs(_PROFILE)}) SELECT doc_id, (i - 1)::INTEGER AS line_no, (['# Werdegang', 'Arbeitgeber: [ARBEITGEBER_001]', 'Wohnort: [LOCATION_REDACTED]', '# Projekte', '[KUNDE_001]', '## [KUNDE_002] – Umbau', 'Kunde: [KUNDE_001]', 'Python'])[i] AS text FROM d, (SELECT unnest(range(1, 9)) AS i)")
+def anonymised_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personnel.anonymise_profiles(_docs(spark, sf_dir, _PROFILE))
+
+
+@query("WITH m AS (SELECT 'person' AS kind, c_name AS name, min(o_orderkey) AS seen, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 2, 4), r AS (SELECT kind, name, c_custkey AS number FROM m WHERE c_custkey <= 50), n AS (SELECT kind, name, (row_number() OVER (ORDER BY seen, name) + (SELECT max(number) FROM r))::INTEGER AS number FROM m WHERE c_custkey > 50) SELECT kind, name, number::INTEGER AS number FROM r UNION ALL SELECT * FROM n")
+def registry_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    mentions = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("kind", F.lit("person"))
+    known = mentions.filter("c_custkey <= 50").select("kind", "name", F.col("c_custkey").cast("int").alias("number")).distinct()
+    return identity.extend_registry(known, mentions, "kind", "name", "o_orderkey")
+
+
+_PARTED = "'Steuer-' || chr(10) || 'ID: ' || k || chr(10) || 'Kunden' || chr(10) || 'nummer: K' || k || chr(10) || 'Datum'"
+
+
+@query(f"WITH d AS ({_sql_docs(_PARTED)}) SELECT doc_id, 'Steuer-ID: ' || k || chr(10) || 'Kundennummer: K' || k || chr(10) || 'Datum' AS text FROM d")
+def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, _PARTED).select("doc_id", tx.join_labels(F.col("text")).alias("text"))
+
+
+_MADE_UP = "'| Spalte 1 | Spalte 2 |' || chr(10) || '| --- | --- |' || chr(10) || CASE WHEN k % 2 = 0 THEN '| Ort | Passwort |' ELSE '| Ort | Farbe |' END || chr(10) || '| Ulm | x' || k || ' |'"
+
+
+@query(f"WITH d AS ({_sql_docs(_MADE_UP)}) SELECT doc_id, CASE WHEN k % 2 = 0 THEN '| Ort | Passwort |' || chr(10) || '| --- | --- |' || chr(10) || '| Ulm | x' || k || ' |' ELSE text END AS text FROM d")
+def promoted_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, _MADE_UP).select("doc_id", tx.promote_headers(F.col("text")).alias("text"))
+
+
+@query("SELECT c_custkey AS doc_id, '<!-- ' || CASE c_custkey % 3 WHEN 0 THEN 'Pseudonymised application. Not for automated selection.' ELSE 'Pseudonymised document.' END || ' -->' || chr(10) || c_name AS text FROM customer")
+def noticed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").withColumn("profile", F.when(F.col("c_custkey") % 3 == 0, "applicant").otherwise("contract"))
+    return rows.select(F.col("c_custkey").alias("doc_id"), tx.with_notice(F.col("c_name"), F.col("profile")).alias("text"))
+
+
+_CODE = "'Ein `wert' || k || '` und' || chr(10) || '```' || chr(10) || 'block ' || k || chr(10) || '```' || chr(10) || 'Ende Gut Alles ' || l"
+
+
+@query(f"WITH d AS ({_sql_docs(_CODE)}) SELECT doc_id, 4 AS start, '`wert' || k || '`' AS text FROM d UNION ALL SELECT doc_id, strpos(text, '```') - 1, '```' || chr(10) || 'block ' || k || chr(10) || '```' FROM d")
+def markdown_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sp.hold(_docs(spark, sf_dir, _CODE), s=sp.find("text", tx.MARKDOWN_LITERAL))
+    return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.text")
+
+
+@query(f"WITH d AS ({_sql_docs(_CODE)}) SELECT doc_id, 'Ende Gut Alles ' || l AS text FROM d")
+def capitalised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sp.hold(_docs(spark, sf_dir, _CODE), s=sp.find("text", tx.CAPITALISED_RUN))
+    return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.text")

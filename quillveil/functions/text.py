@@ -126,3 +126,31 @@ def visible_text(html: Column) -> Column:
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, r"(\*\*\*|\*\*|\*|___|__|~~)(?=\S)(.+?)(?<=\S)\1", "$2")
     return squeeze(out)
+
+
+# Beginnings and ends of labels that a line break may part.
+_LABEL_STARTS, _LABEL_ENDS = "Steuer|Kunden|Geburts|Versicherungs|Personal|Ausweis|Vertrags|Mitarbeiter", "ID|Identifikationsnummer|nummer|datum|Nr\\.?"
+
+
+def join_labels(text: Column) -> Column:
+    """Labels whose words a line break parts as one word."""
+    return F.regexp_replace(text, rf"(?iu)\b({_LABEL_STARTS})(-?)[ \t]*\n[ \t]*({_LABEL_ENDS})(?![\p{{L}}])", "$1$2$3")
+
+
+def promote_headers(text: Column) -> Column:
+    """Tables with made-up headers (Spalte 1 and so on) whose first row is one of labels: that row is the header."""
+    made = r"(?m)^\|(?: Spalte \d+ \|)+\n(\|(?: ?:?-+:? ?\|)+)\n(\|[^\n]*?"
+    return F.regexp_replace(text, made + rf"(?:Passwort|Kennwort|(?:{_LABEL_STARTS})-?(?:ID|nummer|datum|Nr)|IBAN|Telefon|E-Mail)[^\n]*\|)(?=\n|\z)", "$2\n$1")
+
+
+#: Fenced blocks and code spans of Markdown.
+MARKDOWN_LITERAL = r"(?s)```.*?```|`[^`\n]+`"
+CAPITALISED_RUN = r"(?u)(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)+"
+
+# The notice that a released text begins with, by profile.
+NOTICES = {"personnel_profile": "Pseudonymised profile. Not for decisions about persons.", "applicant": "Pseudonymised application. Not for automated selection.", "general": "Pseudonymised document."}
+
+
+def with_notice(text: Column, profile: Column) -> Column:
+    notice = F.coalesce(*[F.when(profile == k, F.lit(v)) for k, v in NOTICES.items()], F.lit(NOTICES["general"]))
+    return F.concat(F.lit("<!-- "), notice, F.lit(" -->\n"), text)

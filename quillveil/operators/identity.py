@@ -123,3 +123,11 @@ def known_aliases(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     placed = tokens.select("doc_id", F.explode_outer(windows).alias("window")).filter(F.col("window").isNotNull()).withColumn("first", F.try_element_at("window", F.lit(1))).join(firsts, "first", "left_semi")
     grams = F.transform(F.sequence(F.lit(1), F.size("window")), lambda n: F.array_join(F.slice("window", F.lit(1), n), " "))
     return placed.select("doc_id", F.explode(grams).alias("gram")).join(named.select("alias", F.array_join("tokens", " ").alias("gram")), "gram").groupBy("doc_id", "alias").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def extend_registry(registry: DataFrame, mentions: DataFrame, kind: str, name: str, order: str) -> DataFrame:
+    """(kind, name, number): the registry as it is, and new identities of the mentions numbered on from its highest."""
+    new = mentions.join(registry.select(kind, name), [kind, name], "left_anti")
+    highest = registry.groupBy(kind).agg(F.max("number").alias("highest"))
+    numbered = first_seen_numbers(new, kind, name, order).join(highest, kind, "left")
+    return registry.select(kind, name, "number").unionByName(numbered.select(kind, name, (F.col("number") + F.coalesce("highest", F.lit(0))).cast("int").alias("number")))
