@@ -11,6 +11,7 @@ from quillveil.functions import spans as sp
 from quillveil.functions import text as tx
 from quillveil.lineage import settle
 from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, personnel, residual, review, trace
+from quillveil.sources import csv_source, office
 
 _FIRST = ["Anna", "Bert", "Carla", "David", "Elif", "Farid", "Greta"]
 _LAST = ["Berger", "Cordes", "Dahlmann", "Ehlers", "Funke"]
@@ -409,3 +410,55 @@ def markdown_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capitalised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sp.hold(_docs(spark, sf_dir, _CODE), s=sp.find("text", tx.CAPITALISED_RUN))
     return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.text")
+
+
+# --- files -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'f' || c_custkey || '.txt' AS path, CASE WHEN c_custkey % 4 < 2 THEN c_name || chr(10) || 'Å' END AS text, CASE c_custkey % 4 WHEN 2 THEN 'TEXT_CONTROL_INVALID' WHEN 3 THEN 'TEXT_ENCODING_INVALID' END AS reason_code FROM customer")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.encode("c_name", "UTF-8")
+    body = F.concat(name, F.expr("CASE c_custkey % 4 WHEN 2 THEN X'00' WHEN 3 THEN X'FF' ELSE X'' END"), F.expr("CASE c_custkey % 2 WHEN 0 THEN X'0D0A' ELSE X'0D' END"), F.expr("X'E284AB'"))
+    content = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.expr("X'EFBBBF'"), body)).otherwise(body)
+    files = _table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+    return csv_source.text_documents(files)
+
+
+@query("SELECT 'f' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.png' ELSE '.txt' END AS path, CASE c_custkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'cfb' ELSE 'text' END AS format, CASE WHEN c_custkey % 5 = 2 THEN 'SOURCE_ENCRYPTED' WHEN (c_custkey % 4 = 0 AND c_custkey % 5 = 0) OR (c_custkey % 4 = 1 AND c_custkey % 5 = 1) OR (c_custkey % 4 = 3 AND c_custkey % 5 > 2) THEN 'ok' ELSE 'SOURCE_TYPE_MISMATCH' END AS verdict FROM customer")
+def sniffed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.expr("'f' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.png' ELSE '.txt' END")
+    content = F.expr("CASE c_custkey % 5 WHEN 0 THEN X'255044462D' WHEN 1 THEN X'504B030414' WHEN 2 THEN X'D0CF11E0A1B11AE1' ELSE X'616263' END")
+    return csv_source.sniffed(_table(spark, sf_dir, "customer").select(path.alias("path"), content.alias("content"))).select("path", "format", "verdict")
+
+
+def _archives(rows: DataFrame) -> DataFrame:
+    """Small office files (path, content) made of names: documents of words, and sheets."""
+
+    def make(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+        for pdf in batches:
+            out = []
+            for number, name in zip(pdf["n_nationkey"], pdf["n_name"]):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w") as z:
+                    if number % 2:
+                        z.writestr("word/document.xml", f'<w:document {word}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{name}</w:t></w:r></w:p><w:p><w:r><w:t>no {number}</w:t></w:r></w:p></w:body></w:document>')
+                    else:
+                        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+                        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+                        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="inlineStr"><is><t>{name}</t></is></c><c r="B1"><v>{number}</v></c></row></sheetData></worksheet>')
+                out.append((f"{number}.{'docx' if number % 2 else 'xlsx'}", raw.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return rows.select("n_nationkey", "n_name").mapInPandas(make, "path string, content binary")
+
+
+@query("SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 1 THEN '.docx' ELSE '.xlsx' END AS path, CASE WHEN n_nationkey % 2 = 1 THEN '# ' || n_name || chr(10) || chr(10) || 'no ' || n_nationkey ELSE '## S' || chr(10) || chr(10) || '| ' || n_name || ' | ' || n_nationkey || ' |' || chr(10) || '| --- | --- |' END AS markdown, NULL::VARCHAR AS reason_code FROM nation")
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return office.office_documents(_archives(_table(spark, sf_dir, "nation"))).select("path", "markdown", "reason_code")

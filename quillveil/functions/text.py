@@ -23,8 +23,12 @@ def normalize_text(text: Column) -> Column:
 
     ASCII texts are left out of the only Python step.
     """
-    composed = F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)), text)
-    return visible_spaces(composed)
+    return visible_spaces(composed(text))
+
+
+def composed(text: Column) -> Column:
+    """NFC of the text."""
+    return F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)), text)
 
 
 def visible_spaces(text: Column) -> Column:

@@ -55,7 +55,8 @@ def parse(source: str, delimiter: str) -> list[list[str]]:
         raise CsvError("CSV_QUOTE_INVALID")
     if field or row or closed:
         rows.append([*row, "".join(field)])
-    return [r for r in rows if any(x.strip() for x in r)]
+    # a blank line is no record; one that holds delimiters is
+    return [r for r in rows if len(r) > 1 or r[0].strip()]
 
 
 def dialect(source: str) -> tuple[str, list[list[str]]]:
@@ -133,15 +134,19 @@ def read_csv_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-8 texts (path, text, reason_code): the byte order mark goes, line ends are unified, controls and broken bytes stop a file."""
-    from quillveil.functions.text import has_controls, unix_lines
+    """The texts of the files at a path, as ``text_documents`` gives them."""
+    return text_documents(spark.read.format("binaryFile").load(path))
+
+
+def text_documents(raw: DataFrame) -> DataFrame:
+    """UTF-8 texts (path, text, reason_code) of files (path, content): the byte order mark goes, line ends are unified, texts are composed, and controls and broken bytes stop a file."""
+    from quillveil.functions.text import composed, has_controls, unix_lines
 
-    raw = spark.read.format("binaryFile").load(path)
     valid = F.call_function("is_valid_utf8", F.col("content"))
     text = F.regexp_replace(unix_lines(F.call_function("try_validate_utf8", F.col("content").cast("string"))), "^\ufeff", "")
     reason = F.when(~valid, "TEXT_ENCODING_INVALID").when(has_controls(text), "TEXT_CONTROL_INVALID")
     out = raw.select("path", text.alias("text"), reason.alias("reason_code"))
-    return out.withColumn("text", F.when(F.col("reason_code").isNull(), F.col("text")))
+    return out.withColumn("text", F.when(F.col("reason_code").isNull(), composed(F.col("text"))))
 
 
 # First bytes of formats, in hexadecimal.
