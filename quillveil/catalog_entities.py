@@ -10,7 +10,7 @@ from quillveil.functions import names as nm
 from quillveil.functions import spans as sp
 from quillveil.functions import text as tx
 from quillveil.lineage import settle
-from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, personnel, residual, review, trace
+from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, lines, ocr, personnel, residual, review, trace
 from quillveil.sources import csv_source, office
 
 _FIRST = ["Anna", "Bert", "Carla", "David", "Elif", "Farid", "Greta"]
@@ -462,3 +462,45 @@ def _archives(rows: DataFrame) -> DataFrame:
 @query("SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 1 THEN '.docx' ELSE '.xlsx' END AS path, CASE WHEN n_nationkey % 2 = 1 THEN '# ' || n_name || chr(10) || chr(10) || 'no ' || n_nationkey ELSE '## S' || chr(10) || chr(10) || '| ' || n_name || ' | ' || n_nationkey || ' |' || chr(10) || '| --- | --- |' END AS markdown, NULL::VARCHAR AS reason_code FROM nation")
 def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return office.office_documents(_archives(_table(spark, sf_dir, "nation"))).select("path", "markdown", "reason_code")
+
+
+# --- single functions -----------------------------------------------------------------------------------------
+
+_ODD = "CASE p_partkey % 6 WHEN 0 THEN 'ＡＢ－１' WHEN 1 THEN 'a' || chr(7) WHEN 2 THEN '  Viel   Raum ' WHEN 3 THEN 'Nordwind Technik GmbH' WHEN 4 THEN 'ANNA von BERGER' ELSE '31.02.1990' END"
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'AB-1' ELSE n END AS folded, p_partkey % 6 = 1 AS controls, CASE p_partkey % 6 WHEN 2 THEN 'Viel Raum' ELSE n END AS squeezed, lower(CASE p_partkey % 6 WHEN 2 THEN 'Viel Raum' ELSE n END) AS key,
+  CASE p_partkey % 6 WHEN 2 THEN 'Viel   Raum' WHEN 3 THEN 'Nordwind Technik' ELSE n END AS alias, CASE p_partkey % 6 WHEN 4 THEN 'Anna von Berger' ELSE n END AS titled, false AS date FROM (SELECT p_partkey, """ + _ODD + r" AS n FROM part)")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_ODD).alias("n"))
+    titled = F.when(F.col("p_partkey") % 6 == 0, n).otherwise(tx.title_case(n))
+    return rows.select("p_partkey", tx.fold_identifiers(n).alias("folded"), tx.has_controls(n).alias("controls"), tx.squeeze(n).alias("squeezed"), tx.key(n).alias("key"), tx.organisation_alias(n).alias("alias"), titled.alias("titled"), tx.calendar_date(n).isNotNull().alias("date"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS word_no, (sum(length(l_shipdate::VARCHAR) + 1) OVER w - length(l_shipdate::VARCHAR) - 1)::INTEGER AS start FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 'ab' ELSE 'abcd' END AS l_shipdate FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING)")
+def word_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.word_ranges(_words(spark, sf_dir)).select("doc_id", "word_no", "start")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = _table(spark, sf_dir, "lineitem").withColumn("word_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    return rows.select(F.col("l_orderkey").alias("doc_id"), "word_no", F.when(F.col("l_partkey") % 2 == 0, "ab").otherwise("abcd").alias("text"), F.concat_ws(",", F.col("word_no").cast("string"), F.lit("7")).alias("box"))
+
+
+@query("WITH w AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS word_no, CASE WHEN l_partkey % 2 = 0 THEN 2 ELSE 4 END AS n FROM lineitem), p AS (SELECT *, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY word_no ROWS UNBOUNDED PRECEDING) - n - 1 AS start FROM w) SELECT DISTINCT doc_id, word_no || ',7' AS box FROM p WHERE start + n > 3 AND start < 9")
+def span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = ocr.word_ranges(_words(spark, sf_dir))
+    spans = words.select("doc_id").distinct().select("doc_id", F.lit(3).alias("start"), F.lit(9).alias("end"))
+    return ocr.span_boxes(words, spans)
+
+
+_SECTIONED = "'Kopf' || chr(10) || '# Projekte' || chr(10) || 'a' || chr(10) || '# Ende' || chr(10) || 'b'"
+
+
+@query(f"WITH d AS ({_sql_docs(_SECTIONED)}) SELECT doc_id, (i - 1)::INTEGER AS line_no, ([NULL, 'projects', 'projects', 'end', 'end'])[i] AS section FROM d, (SELECT unnest(range(1, 6)) AS i)")
+def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.sections(lines.lines(_docs(spark, sf_dir, _SECTIONED)), {"projects": r"^# Projekte$", "end": r"^# Ende$"}).select("doc_id", "line_no", "section")
+
