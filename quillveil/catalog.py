@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillveil.functions import text as tx
-from quillveil.lineage import settle
+from quillveil.lineage import settle, spread
 from quillveil.operators import batch, detect, evaluate, identity, lines, ocr
 from quillveil.sources import csv_source
 
@@ -54,7 +54,7 @@ cand AS (
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.redact(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _TYPES)
+    return detect.redact(spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), _TYPES)
 
 
 @query(f"WITH {_FOUND} SELECT type, count(*) AS findings, count(DISTINCT substr(sha256(v), 1, 10)) AS distinct_values FROM cand GROUP BY type")
@@ -83,7 +83,7 @@ WITH parts AS (
 )
 SELECT doc_id, start::INTEGER AS start, (start + length(text))::INTEGER AS "end", text FROM rows""")
 def email_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["EMAIL"])
+    found = detect.redact(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), ["EMAIL"])
     return detect.exploded(found, "resolved", "doc_id").select("doc_id", "s.start", "s.end", "s.text")
 
 
@@ -92,7 +92,7 @@ SELECT doc_id, sha256(regexp_replace(regexp_replace(text,
   '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}', '[EMAIL_REDACTED]', 'g'),
   '(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)', '[IP_REDACTED]', 'g')) AS redacted_sha256 FROM documents""")
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detect.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["EMAIL", "IP"])
+    out = detect.redact(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), ["EMAIL", "IP"])
     return out.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
@@ -104,14 +104,14 @@ def documents_without_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE false")
 def redaction_is_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a second run would change: none."""
-    once = settle(detect.redact(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted"))
+    once = settle(detect.redact(spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "redacted"))
     again = detect.redact(once.select("doc_id", F.col("redacted").alias("text")))
     return again.filter(F.col("redacted") != F.col("text")).select("doc_id")
 
 
 @query()
 def released_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detect.release(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = detect.release(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "verdict", "reason_code", F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
 
 
@@ -131,7 +131,7 @@ _RECORD = [
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [f"'{label}' || {value.replace('::VARCHAR', '::STRING')}" for _, label, value in _RECORD]
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(" || '\\n' || ".join(parts)).alias("text"))
+    return spread(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(" || '\\n' || ".join(parts)).alias("text")))
 
 
 @query(" UNION ALL ".join(f"SELECT c_custkey AS doc_id, '{t}' AS type, {v} AS text FROM customer" for t, _, v in _RECORD))

@@ -9,7 +9,7 @@ from quillveil.catalog import _table, query
 from quillveil.functions import names as nm
 from quillveil.functions import spans as sp
 from quillveil.functions import text as tx
-from quillveil.lineage import settle
+from quillveil.lineage import settle, spread
 from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, lines, ocr, personnel, residual, review, trace
 from quillveil.sources import csv_source, office
 
@@ -33,7 +33,7 @@ _LETTER = "'Ansprechpartner: ' || l || ', ' || f || chr(10) || 'Sehr geehrte Fra
 def _docs(spark: SparkSession, sf_dir: str, text: str = _LETTER) -> DataFrame:
     names = {"f": _pick(_FIRST, "c_custkey", True), "l": _pick(_LAST, "c_custkey", True), "o": _pick(_FIRM, "c_custkey", True)}
     rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *[F.expr(v).alias(c) for c, v in names.items()])
-    return rows.select(F.col("k").alias("doc_id"), F.expr(text).alias("text"))
+    return spread(rows.select(F.col("k").alias("doc_id"), F.expr(text).alias("text")))
 
 
 @query(f"WITH d AS ({_sql_docs(_LETTER)}) SELECT doc_id, f || ' ' || l AS name, 0 AS rank, 0 AS line_no FROM d UNION ALL SELECT doc_id, l, 1, 1 FROM d UNION ALL SELECT doc_id, 'Wilma Quast', 2, 5 FROM d")
@@ -310,7 +310,7 @@ _MORE = [
 def further_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [f"'{label}' || {value.replace('::VARCHAR', '::STRING')}" for _, label, value in _MORE]
     docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(" || '\\n' || ".join(parts)).alias("text"))
-    return detect.exploded(detect.redact(docs), "resolved", "doc_id").select("doc_id", "s.type", "s.text")
+    return detect.exploded(detect.redact(spread(docs)), "resolved", "doc_id").select("doc_id", "s.type", "s.text")
 
 
 @query("SELECT c_custkey AS doc_id, 'seite' || c_custkey || '.example.com/a' AS text FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'https://x.invalid/' || c_custkey FROM customer")
