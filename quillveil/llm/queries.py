@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from quillveil.llm.chat import format_conversations, read_back, trained_text
 from quillveil.llm.classifier import score_quality
 from quillveil.llm.common import crc_fold, table
+from quillveil.llm.embeddings import near_vectors
 from quillveil.llm.langid import fit_languages, predict_languages
 from quillveil.llm.licenses import scan_licenses
 from quillveil.llm.media import UNIT, decode_media, encode_media
+from quillveil.llm.middle import fill_in_middle, restored
 from quillveil.llm.mixing import mix_sources
 from quillveil.llm.neardup import near_duplicates
 from quillveil.llm.packing import pack_documents
 from quillveil.llm.rules import quality_rules
 from quillveil.llm.toxicity import score_toxicity
+from quillveil.llm.trie import prefix_trie
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -99,6 +102,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    back = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", back.alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_format_chat": op2_format_chat,
@@ -110,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_pack": op10_pack,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -133,5 +153,60 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op12_prefix_trie": r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t
+), turns AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), sized AS (SELECT conv, count(*) AS n, conv::VARCHAR AS s FROM turns GROUP BY conv
+), hashed AS (
+  SELECT conv, n, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 9 AS h,
+    conv - conv % 5 AS base FROM sized, tab
+), convs AS (
+  SELECT c.conv, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM hashed c LEFT JOIN hashed b ON b.conv = c.base
+), joined AS (
+  SELECT c.conv, t.place - c.h + c.taken AS depth, role, text FROM convs c JOIN turns t ON t.conv = c.conv AND t.place > c.h
+  UNION ALL SELECT c.conv, t.place, role, text FROM convs c JOIN turns t ON t.conv = c.base AND t.place <= c.h
+), members AS (
+  SELECT conv, depth, octet_length(encode(text)) AS bytes,
+    string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ORDER BY depth) OVER (PARTITION BY conv ORDER BY depth) AS key FROM joined
+  UNION ALL SELECT conv, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT depth, key, min(conv) AS node, count(*) AS n_convs, any_value(bytes) AS bytes FROM members GROUP BY depth, key
+), placed AS (
+  SELECT m.conv, m.depth, n.node, n.key, max(m.depth) OVER (PARTITION BY m.conv) AS last, lag(n.node) OVER (PARTITION BY m.conv ORDER BY m.depth) AS parent
+  FROM members m JOIN nodes n ON n.depth = m.depth AND n.key = m.key
+), named AS (
+  SELECT n.*, p.parent, coalesce(c.n_children, 0) AS n_children FROM nodes n JOIN placed p ON p.conv = n.node AND p.depth = n.depth
+  LEFT JOIN (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM (SELECT DISTINCT node, parent, depth FROM placed WHERE depth > 0) GROUP BY 1, 2) c ON c.node = n.node AND c.depth = n.depth
+), sums AS (
+  SELECT p.node, p.depth, sum((n.n_children = 0)::BIGINT) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM named n JOIN placed p ON p.conv = n.node AND p.depth <= n.depth GROUP BY p.node, p.depth
+), ends AS (
+  SELECT node, depth, string_agg(conv::VARCHAR, ',' ORDER BY conv) AS ends FROM placed WHERE depth = last GROUP BY node, depth
+)
+SELECT n.node::BIGINT AS conv_id, n.depth::BIGINT AS depth, n.parent::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM named n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN ends e ON e.node = n.node AND e.depth = n.depth
+""",
+    "op13_fill_in_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digits FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, ('0x' || digits[1:8])::BIGINT AS h1, ('0x' || digits[9:16])::BIGINT AS h2, ('0x' || digits[17:24])::BIGINT AS h3, ('0x' || digits[25:32])::BIGINT AS h4 FROM cut
+), placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM placed
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
 """,
 }
