@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillveil.functions import text as tx
 from quillveil.lineage import settle, spread
-from quillveil.operators import batch, detect, evaluate, identity, lines, ocr
+from quillveil.operators import batch, detect, evaluate, identity, lines, ocr, release
 from quillveil.sources import csv_source
 
 QUERIES: dict = {}
@@ -111,7 +111,7 @@ def redaction_is_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def released_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detect.release(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = release.release(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "verdict", "reason_code", F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
 
 

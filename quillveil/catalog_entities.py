@@ -10,7 +10,7 @@ from quillveil.functions import names as nm
 from quillveil.functions import spans as sp
 from quillveil.functions import text as tx
 from quillveil.lineage import settle, spread
-from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, lines, ocr, personnel, residual, review, trace
+from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, lines, ocr, personnel, release, residual, review, trace
 from quillveil.sources import csv_source, office
 
 _FIRST = ["Anna", "Bert", "Carla", "David", "Elif", "Farid", "Greta"]
@@ -244,6 +244,31 @@ def gated_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual.gated(_docs(spark, sf_dir, _LEAKS), passes=1).select("doc_id", "verdict", "classes")
 
 
+# --- the way out -----------------------------------------------------------------------------------------
+
+#: Letters by the remainder of their key: text, and what becomes of it in how many passes.
+_OUT = [
+    ("'Ansprechpartner: ' || f || ' ' || l || chr(10) || 'Herr ' || l || ' ruft an.'", "'Ansprechpartner: [PERSON_001]' || chr(10) || '[PERSON_001] ruft an.'", 1),
+    ("'| Name | Telefon |' || chr(10) || '|---|---|' || chr(10) || '| ' || f || ' ' || l || ' | +49 30 1234' || (1000 + k % 1000) || ' |'", "'| Name | Telefon |' || chr(10) || '|---|---|' || chr(10) || '| [PERSON_001] | [PHONE_REDACTED] |'", 1),
+    ("'Name: ' || f || chr(160) || l || chr(13) || chr(10) || upper(f) || ' ' || l || ' war da.'", "'Name: [PERSON_001]' || chr(10) || '[PERSON_001] war da.'", 1),
+    ("'Die ' || o || ' GmbH dankt.' || chr(10) || 'Passwort: g' || k", "'Die [UNTERNEHMEN_001] dankt.' || chr(10) || 'Passwort: [CREDENTIAL_REDACTED]'", 1),
+    ("'Kontakt: [' || f || ' ' || l || '](mailto:a' || k || '@example.invalid)'", "'Kontakt: [PERSON_001]([CONTACT_REDACTED])'", 1),
+    ("'z. Hd. Herrn ' || f || ' ' || l || chr(10) || 'Mit freundlichen Grüßen' || chr(10) || 'Wilma Quast'", "'z. Hd. [PERSON_001]' || chr(10) || 'Mit freundlichen Grüßen' || chr(10) || '[PERSON_002]'", 1),
+    ("'Name: ' || f || ' ' || l || chr(10) || f || ' ' || l || ' Wilma Quast'", "'Name: [PERSON_001]' || chr(10) || '[PERSON_001] [PERSON_002]'", 2),
+    ("'Benutzername: wilma' || k", "NULL", 3),
+    ("'Knoten ::ffff:10.1.' || (k % 200) || '.7 und \"w q\"@example.invalid'", "'Knoten [IP_REDACTED] und [EMAIL_REDACTED]'", 1),
+    ("CASE WHEN k < 0 THEN '' END", "NULL", 1),
+]
+_OUT_TEXT, _OUT_WANT, _OUT_PASSES = (f"CASE k % {len(_OUT)} " + " ".join(f"WHEN {i} THEN {row[c]}" for i, row in enumerate(_OUT)) + " END" for c in range(3))
+
+
+@query(f"WITH d AS ({_sql_docs(_OUT_TEXT)}) SELECT CASE WHEN k % 7 > 0 THEN doc_id END AS doc_id, {_OUT_WANT} AS redacted, CASE WHEN k % 10 IN (7, 9) THEN 'stopped' ELSE 'released' END AS verdict, CASE k % 10 WHEN 7 THEN 'RESIDUAL_PII' WHEN 9 THEN 'NO_TEXT' END AS reason_code, CASE k % 10 WHEN 7 THEN 'CREDENTIAL' ELSE '' END AS classes, {_OUT_PASSES} AS passes FROM d")
+def released_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of ten forms, one in seven without an id."""
+    docs = _docs(spark, sf_dir, _OUT_TEXT).withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")))
+    return release.release(docs).drop("edits")
+
+
 _READ = "CASE k % 3 WHEN 0 THEN 'Gruß von ' || upper(l) WHEN 1 THEN 'Mail a' || k || '@example.invalid' ELSE 'leer' END"
 
 

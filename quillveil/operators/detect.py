@@ -97,6 +97,7 @@ DETECTORS = [
     Detector("CREDENTIAL", rf"(?im)(?<=^(?:[ \t]{{0,8}}(?:[-*] )?){_LABELS['secret']}[ \t]{{0,4}}[:=][ \t]{{0,4}})[^\s][^\n]*", "[CREDENTIAL_REDACTED]", 96),
     Detector("CONTACT_URI", rf"(?i){_B}(?:mailto|tel|sms|callto|sip|xmpp):[^\s<>()\[\]\"']+", "[CONTACT_REDACTED]", 91),
     Detector("EMAIL", r"(?:[\p{L}\p{N}._%+-]|\\_)+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}", "[EMAIL_REDACTED]", 90, needs="@"),
+    Detector("EMAIL", r'"[^"\n@]{1,64}"@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}', "[EMAIL_REDACTED]", 90, needs='"@'),
     Detector("EMAIL", rf"(?i)[\p{{L}}\p{{N}}._+-]+{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)*{_DOT}\p{{L}}{{2,}}", "[EMAIL_REDACTED]", 90, needs="&"),
     Detector("EMAIL", r"(?i)[\p{L}\p{N}._+-]+%40[\p{L}\p{N}-]+(?:(?:\.|%2e)[\p{L}\p{N}-]+)*(?:\.|%2e)\p{L}{2,}", "[EMAIL_REDACTED]", 90, needs="%40"),
     Detector("IBAN", _B + _IBAN + _A, "[BANK_DATA_REDACTED]", 88),
@@ -110,7 +111,7 @@ DETECTORS = [
     Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+|\(?0)\d(?:[ ()/.-]{0,2}\d){6,16}" + _A, "[PHONE_REDACTED]", 80, _phone),
     Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+33[ .-]?|0)\d(?:[ .-]?\d{2}){4}" + _A, "[PHONE_REDACTED]", 80, _phone),
     Detector("IP", rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\d)", "[IP_REDACTED]", 78, needs="."),
-    Detector("IPV6", rf"(?<![0-9A-Fa-f:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|(?:{_H}:){{1,6}}:{_H}|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|::(?:{_H}:){{0,6}}{_H})(?![0-9A-Fa-f:])", "[IP_REDACTED]", 78, needs=":"),
+    Detector("IPV6", rf"(?<![0-9A-Fa-f:.])(?:(?:(?:{_H}:){{6}}|(?:{_H}(?::{_H}){{0,5}})?::(?:{_H}:){{0,5}})(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)|(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|(?:{_H}:){{1,6}}:{_H}|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|::(?:{_H}:){{0,6}}{_H})(?![0-9A-Fa-f:])", "[IP_REDACTED]", 78, needs=":"),
     Detector("STREET_ADDRESS", _B + rf"(?!Im (?:{_MONTHS}) \d{{4}})(?:[\p{{Lu}}][\p{{L}}-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm)|(?:Am|Im|An der|Auf der) [\p{{Lu}}][\p{{L}}-]+) \d{{1,4}}[a-z]?" + _A, "[LOCATION_REDACTED]", 77, folded=False),
     Detector("STREET_ADDRESS", _B + r"\d{1,4}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse) (?:de |du |des |de la |d'|l')?[\p{L}'-]+(?: [\p{Lu}][\p{L}'-]+)*", "[LOCATION_REDACTED]", 77, folded=False),
     Detector("POSTAL_ADDRESS", r"(?<!(?:ISO|IEC|DIN|EN)[ -])" + _B + rf"\d{{5}} (?!{_UNITS}\b)[\p{{Lu}}][\p{{L}}-]+(?: [\p{{Lu}}][\p{{L}}-]+){{0,3}}", "[LOCATION_REDACTED]", 76, folded=False),

@@ -90,7 +90,8 @@ def cells(rows: DataFrame) -> DataFrame:
     return exploded.select("doc_id", "line_no", "col", F.try_element_at("headers", F.col("col") + 1).alias("header"), "value")
 
 
-CELL = "struct<start:int,end:int,header:string>"
+#: ``stack`` is the header with what stands in its column in up to two header rows above.
+CELL = "struct<start:int,end:int,header:string,line:int,stack:string>"
 _BAR = re.compile(r"(?<!\\)\|")
 _RULE = re.compile(_SEPARATOR)
 
@@ -109,26 +110,29 @@ def _placed(line: str) -> list[tuple[int, int]]:
     return out
 
 
-def _cells_of(text: str) -> list[tuple[int, int, str]]:
-    out, at, headers = [], 0, None
+def _cells_of(text: str) -> list[tuple[int, int, str, int, str]]:
+    out, at, headers, stacks, head = [], 0, None, None, []
     rows = text.split("\n")
     rule = [("|" in x or "-" in x) and _RULE.match(x) is not None for x in rows]
     for i, row in enumerate(rows):
         if "|" not in row and not rule[i]:
-            headers = None
+            headers, head = None, []
         elif not rule[i]:
             found = _placed(row)
             # the last row over a rule is both: a value of the table that it ends, and the header of the next
             if headers is not None:
-                out += [(at + a, at + b, h) for (a, b), h in zip(found, headers) if b > a]
+                out += [(at + a, at + b, h, i, s) for (a, b), h, s in zip(found, headers, stacks) if b > a]
+                head = []
+            head.append([row[a:b] for a, b in found])
             if i + 1 < len(rows) and rule[i + 1]:
-                headers = [row[a:b] for a, b in found]
+                headers = head[-1]
+                stacks = [" ".join(x[k] for x in head[-3:] if k < len(x) and x[k]) for k in range(len(headers))]
         at += len(row) + 1
     return out
 
 
 def placed_cells(text: Column) -> Column:
-    """The cells of ``cells`` that have a header and a value, in one text: array<struct<start, end, header>>.
+    """The cells of ``cells`` that have a header and a value, in one text: array<CELL>.
 
     Offsets are those of spans. No shuffle is needed, so this can stand in a
     stream. A separator line of one column may do without pipes.

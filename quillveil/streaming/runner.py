@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillveil.operators.detect import redact, release
+from quillveil.operators.detect import redact
+from quillveil.operators.release import release
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id long, text string, at timestamp", files_a_step: int = 1) -> DataFrame:
@@ -16,8 +17,8 @@ def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id long
 def release_stream(docs: DataFrame, out: str, checkpoint: str, passes: int = 3) -> StreamingQuery:
     """Writes what ``release`` gives once for each document, also when the query is started again.
 
-    Each micro-batch is released as a table is, with all passes and the residual
-    check, into a folder of its own number (the column ``batch``). A batch that
+    Each micro-batch is released as a table is, with all passes and the
+    gate, into a folder of its own number (the column ``batch``). A batch that
     runs again replaces its folder. ``out`` must be new to this function: a
     folder that a file sink wrote is read by the sink's log.
     """
