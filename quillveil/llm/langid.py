@@ -35,7 +35,7 @@ SAMPLE_DOCS = 400
 ROUNDS = 3
 #: Probability of a piece that the language's sample does not hold, at least.
 FLOOR = 1e-7
-#: Bytes, with the blank, of the groups in which words run side by side; longer ones run alone, and are no part of the sample.
+#: Bytes, with the blank, of the groups in which words run side by side; longer ones run alone.
 WIDTHS = (8, 16, 32, 64)
 #: Words that a worker remembers the scores of.
 CACHE_WORDS = 300_000
@@ -183,7 +183,7 @@ def _long_score(pieces: Pieces, table: np.ndarray, word: bytes) -> np.ndarray:
 
 
 def expected_counts(pieces: Pieces, p: np.ndarray, words: list[bytes], times: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in the words under the probabilities ``p``; words beyond the widest group are left out."""
+    """How often each piece is expected in the words under the probabilities ``p``."""
     expected = np.zeros(len(pieces))
     weights = _scaled(pieces, p[:, None])
     column = weights[:, 0]
@@ -201,9 +201,33 @@ def expected_counts(pieces: Pieces, p: np.ndarray, words: list[bytes], times: np
         whole = times[at] / alpha[sizes, rows_]
         for (end, size), (rows, ids) in lattice.items():
             expected += np.bincount(ids, alpha[end - size][rows] * column[ids] * beta[end][rows] * whole[rows], len(pieces))
+    for i, word in enumerate(words):
+        if len(word) + 1 > WIDTHS[-1]:
+            expected += times[i] * _long_counts(pieces, p, b" " + word)
     return expected
 
 
+def _long_counts(pieces: Pieces, p: np.ndarray, word: bytes) -> np.ndarray:
+    """The same for one word of any length, in logarithms: each piece by the ways that go through it."""
+    found = [(end + 1 - size, end + 1, piece) for end, (size, piece) in pieces.machine.iter(word.decode("latin-1"))]
+    starts, ends, ids = np.array(found).T
+    weight = np.log(p[ids])
+    n = len(word)
+    forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    forward[0] = backward[n] = 0.0
+    # pieces come by their ends; single bytes are pieces, so no position is without one
+    at = np.searchsorted(ends, np.arange(n + 2))
+    for end in range(1, n + 1):
+        here = slice(at[end], at[end + 1])
+        forward[end] = np.logaddexp.reduce(forward[starts[here]] + weight[here])
+    by_start = np.argsort(starts, kind="stable")
+    at = np.searchsorted(starts[by_start], np.arange(n + 1))
+    for start in range(n - 1, -1, -1):
+        here = by_start[at[start] : at[start + 1]]
+        backward[start] = np.logaddexp.reduce(weight[here] + backward[ends[here]])
+    return np.bincount(ids, np.exp(forward[starts] + weight + backward[ends] - forward[n]), len(pieces))
+
+
 def _lowered(texts: pa.Array) -> pa.Array:
     import pyarrow.compute as pc
 
@@ -218,9 +242,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, raw = tk.words(part), part.buf.tobytes()
             totals: dict[tuple[str, bytes], int] = {}
             for a, b, d in zip(found.starts.tolist(), found.ends.tolist(), found.docs().tolist()):
-                if b - a < WIDTHS[-1]:
-                    key = langs[part.first + d], raw[a:b]
-                    totals[key] = totals.get(key, 0) + 1
+                key = langs[part.first + d], raw[a:b]
+                totals[key] = totals.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.binary()), pa.array(list(totals.values()), pa.int64())], names=["lang", "word", "times"])
 
 
