@@ -184,7 +184,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents that score ``threshold`` or more, in all their columns."""
+    """The rows of documents that score ``threshold`` or more, in all their columns, whatever those are called.
+
+    Null and empty texts are scored by the statistics of an empty text. Repeated
+    rows are each judged, and alike; ids may be null. An empty table gives no rows.
+    """
     trees = fit_quality(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,7 +70,21 @@ def crc_fold(doc_id: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod, F.lit(0))
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names like those that are wanted which no column of ``docs`` has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(f"{mark}{w}".lower() in taken for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]
+
+
 def row_key(docs: DataFrame, seed: int = 0) -> Column:
     """64 bits over all columns of a row and which of them are null: rows of the same key and id are taken as equal."""
-    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in docs.columns])
-    return F.xxhash64(F.lit(seed), nulls, *[F.col(c) for c in docs.columns])
+    nulls = F.concat(*[column(c).isNull().cast("int").cast("string") for c in docs.columns])
+    return F.xxhash64(F.lit(seed), nulls, *[column(c) for c in docs.columns])

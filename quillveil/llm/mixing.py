@@ -184,5 +184,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def repeat_rows(docs: DataFrame, copies: str = "copies") -> DataFrame:
-    """Each row as often as its ``copies`` says."""
+    """Each row as often as its ``copies`` says, without that column: none for 0 and for null. Rows that are equal are each repeated; an empty table gives no rows."""
     return docs.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).drop(copies)

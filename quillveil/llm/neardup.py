@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm import textkernel as tk
-from quillveil.llm.common import discard, row_key, settle, written
+from quillveil.llm.common import column, discard, free_names, row_key, settle, written
 from quillveil.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -226,19 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _grouped(named: DataFrame, shingle_words: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, row, n_shingles, first, lone) of each row of ``named`` (doc_id, row, text).
+    """(doc_id, row, n_shingles, first) of each row of ``named`` (doc_id, row, text).
 
     ``row`` is a key of the row that it has in every run. ``first`` (no_id,
     doc_id, row) names the row of the component with the smallest id, or with
-    the smallest key if none has an id; ``lone`` is the smallest key of its rows
-    without an id. Texts without shingles name themselves.
+    the smallest key if none has an id. Texts without shingles name themselves.
     """
-    own_lone = F.when(F.col("doc_id").isNull(), F.col("row"))
     own_first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     signed = written(signatures(named, shingle_words, bands, rows))
     # classes of equal sets; f1 names a class, or both sums where several classes have it
     full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("f1", "f2").agg(F.min(own_first).alias("first"), F.min(own_lone).alias("lone"), F.first("keys").alias("keys"))
+    classes = full.groupBy("f1", "f2").agg(F.min(own_first).alias("first"), F.first("keys").alias("keys"))
     shared = full.groupBy("f1").agg(F.min("f2").alias("least"), F.max("f2").alias("most")).filter("least <> most").select("f1", F.lit(True).alias("shared"))
     classes = written(classes.join(shared, "f1", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("f1", "f2")).otherwise(F.col("f1"))).drop("shared"))
     banded = classes.select("id", F.explode("keys").alias("key"))
@@ -278,12 +276,12 @@ def _grouped(named: DataFrame, shingle_words: int, percent: int, bands: int = BA
     discard(joined, merged, found, nodes)
 
     # the first row of each component, by class
-    placed = classes.select("id", "f1", "f2", "first", "lone").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = placed.groupBy("component").agg(F.min("first").alias("first"), F.min("lone").alias("lone"))
-    by_class = placed.drop("first", "lone").join(smallest, "component").select("f1", "f2", "first", "lone")
+    placed = classes.select("id", "f1", "f2", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = placed.groupBy("component").agg(F.min("first").alias("first"))
+    by_class = placed.drop("first").join(smallest, "component").select("f1", "f2", "first")
     narrow = signed.select("doc_id", "row", "n_shingles", "f1", "f2")
-    grouped = narrow.filter("n_shingles > 0").join(by_class, ["f1", "f2"]).select("doc_id", "row", "n_shingles", "first", "lone")
-    alone = narrow.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", own_first.alias("first"), own_lone.alias("lone"))
+    grouped = narrow.filter("n_shingles > 0").join(by_class, ["f1", "f2"]).select("doc_id", "row", "n_shingles", "first")
+    alone = narrow.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", own_first.alias("first"))
     return grouped.unionByName(alone)
 
 
@@ -291,13 +289,16 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """One document of each group, that with the smallest id, in all its columns.
 
     Rows are told by all their columns, so different rows that share an id are
-    judged each. Rows without an id are judged among themselves: a group keeps
-    that with the smallest key beside the one with the smallest id. Rows that are equal in all columns stay once.
+    judged each. A row without an id stays only if no row of its group has one,
+    and then that with the smallest key of them. Rows that are equal in all
+    columns stay once. Texts without words are groups of their own. Columns of
+    any name may follow. An empty table gives no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text")
-    kept = _grouped(keyed, shingle_words, percent).filter("(row = first.row and doc_id <=> first.doc_id) or (doc_id is null and row = lone)")
-    chosen = settle(kept.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("_times")))
-    out = docs.join(chosen, (row_key(docs) == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
-    if not chosen.filter("_times > 1").isEmpty():
+    kept = _grouped(keyed, shingle_words, percent).filter("row = first.row and doc_id <=> first.doc_id")
+    id_, row, times = free_names(docs, "id", "row", "times")
+    chosen = settle(kept.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.count(F.lit(1)).alias(times)))
+    out = docs.join(chosen, (row_key(docs) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select([column(c) for c in docs.columns])
+    if not chosen.filter(F.col(times) > 1).isEmpty():
         out = out.dropDuplicates()
     return out

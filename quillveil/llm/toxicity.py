@@ -307,7 +307,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents that score below ``threshold``, in all their columns."""
+    """The rows of documents that score below ``threshold``, in all their columns, whatever those are called.
+
+    Null and empty texts have no terms and stay where the model's intercept is
+    below the threshold. Repeated rows are each judged, and alike; ids may be
+    null. An empty table gives no rows.
+    """
     model = fit_toxicity(docs, labels)
     key = _key(model)
 

@@ -90,7 +90,7 @@ def test_strays_are_compared_beyond_their_hub(spark, monkeypatch):
 def test_one_document_of_a_group_stays(docs):
     kept = collections.Counter(r.doc_id for r in neardup.drop_near_copies(docs, shingle_words=2).collect())
     expected = {d for d, _, c in _components(_rows(), 2) if d is not None and d == c}
-    assert set(kept) - {None} == expected and max(n for d, n in kept.items() if d is not None) == 1 and kept[None] == 2
+    assert set(kept) - {None} == expected and max(n for d, n in kept.items() if d is not None) == 1 and kept[None] == 1
 
 
 def test_rows_without_an_id_or_with_a_shared_one_are_told_apart(spark):
@@ -99,7 +99,7 @@ def test_rows_without_an_id_or_with_a_shared_one_are_told_apart(spark):
     near = lambda seed: " ".join(["changed", *_text(seed).split()[1:]])
     base = [(None, _text(1), "en", "s0", 1), (None, _text(2), "en", "s0", 1), (None, near(2), "en", "s0", 1), (5, _text(3), "en", "s0", 1), (5, _text(4), "en", "s1", 1), (None, _text(3), "de", "s1", 1), (7, _text(5), "en", "s1", 1), (None, near(5), "en", None, 1), (None, None, "en", "s1", 0)]
     got = [(r.doc_id, r.text) for r in neardup.drop_near_copies(_frame(spark, base), shingle_words=2).collect()]
-    groups = [{(None, _text(1))}, {(None, _text(2)), (None, near(2))}, {(5, _text(3))}, {(5, _text(4))}, {(7, _text(5))}, {(None, None)}, {(None, _text(3))}, {(None, near(5))}]
+    groups = [{(None, _text(1))}, {(None, _text(2)), (None, near(2))}, {(5, _text(3))}, {(5, _text(4))}, {(7, _text(5))}, {(None, None)}]
     assert len(got) == len(groups) and all(sum(g in group for g in got) == 1 for group in groups)
 
     rows = [(None if i % 2 else i // 4, _text(i), "en", f"s{i % 3}", 1) for i in range(24)] + [(None, _text(1), "en", "s1", 1)]
@@ -113,6 +113,17 @@ def test_rows_without_an_id_or_with_a_shared_one_are_told_apart(spark):
     assert len({t for d, t, s in texts if d is None and s == "s0"}) == 4 and len({t for d, t, s in texts if d is not None and s == "s0"}) == 4
 
 
+def test_stages_hold_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["_row", "_id", "_copies", "_rows", "_times", "__ROW", "a.b", "row", "n", "size", "copies", "first", "target"]
+    plain = spark.createDataFrame(_rows(), "doc_id long, text string, lang string, source string, n_chars long")
+    df = plain.selectExpr("*", *[f"{i} as `{c}`" for i, c in enumerate(names)])
+    kept = neardup.drop_near_copies(df, shingle_words=2)
+    assert kept.columns == df.columns and kept.count() == neardup.drop_near_copies(plain, shingle_words=2).count()
+    mixed = corpus_pipeline.mixing(spark, df, "")
+    assert mixed.columns == df.columns and {tuple(r)[5:] for r in mixed.collect()} == {tuple(range(len(names)))}
+
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 100), (7, 7), (None, 5)]
@@ -504,6 +515,39 @@ def test_segmentations_are_summed():
     assert max(map(len, pieces.pieces)) == pieces.longest and index[b"1"] != index[b","]
 
 
+def test_expected_counts_equal_the_sum_over_all_segmentations():
+    pieces = langid.pieces_at(queries.tokenizer_path("piece_bpe_32k.model"))
+    p = np.random.default_rng(3).dirichlet(np.ones(len(pieces)))
+    number = {piece: i for i, piece in enumerate(pieces.pieces)}
+
+    def ways(rest):
+        if not rest:
+            yield ()
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in number:
+                for more in ways(rest[k:]):
+                    yield (number[rest[:k]], *more)
+
+    for word in (b"haus", b"the", "\u00fcber".encode(), b"q"):
+        all_ways = list(ways(b" " + word))
+        chance = np.array([np.prod(p[list(w)]) for w in all_ways])
+        want = np.zeros(len(pieces))
+        for w, c in zip(all_ways, chance / chance.sum()):
+            np.add.at(want, list(w), 3 * c)
+        assert np.allclose(langid.expected_counts(pieces, p, [word], np.array([3.0])), want)
+        assert np.allclose(3 * langid._long_counts(pieces, p, b" " + word), want)
+
+
+def test_texts_without_blanks_are_learned(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    zh = "\u6211\u4eec\u4eca\u5929\u5728\u5e02\u573a\u4e70\u4e86\u65b0\u9c9c\u7684\u852c\u83dc\u548c\u6c34\u679c\u7136\u540e\u56de\u5bb6\u505a\u4e86\u665a\u996d"
+    rows = [(i, zh[i % 5 :] + zh[: i % 5], "zh") for i in range(20)] + [(100 + i, f"the market was open and we bought {i} fresh apples today", "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(df, path)
+    got = {r.doc_id: r.lang_pred for r in langid.predict_languages(df, model).collect()}
+    assert model.langs == ["en", "zh"] and all(got[i] == lang for i, _, lang in rows)
+
+
 def test_long_words_are_scored_whole():
     pieces = langid.pieces_at(queries.tokenizer_path("piece_bpe_32k.model"))
     table = np.random.default_rng(8).random((len(pieces), 2)) / len(pieces)
