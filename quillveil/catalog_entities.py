@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from quillveil.catalog import _table, query
 from quillveil.functions import names as nm
 from quillveil.functions import spans as sp
 from quillveil.functions import text as tx
-from quillveil.lineage import settle, spread
+from quillveil.lineage import settle, shared_folder, spread
 from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, lines, ocr, personnel, release, residual, review, trace
 from quillveil.sources import csv_source, office
+from quillveil.streaming import registry
 
 _FIRST = ["Anna", "Bert", "Carla", "David", "Elif", "Farid", "Greta"]
 _LAST = ["Berger", "Cordes", "Dahlmann", "Ehlers", "Funke"]
@@ -228,6 +231,38 @@ def json_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.binding(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
 
 
+_SHORT = "'Name: ' || f || ' ' || l || ', Tel ' || k"
+_NAMED = "length(f || ' ' || l)"
+
+
+@query(f"""WITH d AS ({_sql_docs(_SHORT)}), n AS (SELECT *, {_NAMED} AS n, length(k::VARCHAR) AS t FROM d) SELECT doc_id, 3 AS step, 'PERSON' AS type, '[PERSON_001]' AS replacement, 6 AS start, 6 + n AS "end", 8 AS out_start, 20 AS out_end FROM n UNION ALL SELECT doc_id, 1, 'PHONE', '[T]', 12 + n, 12 + n + t, 26, 29 FROM n UNION ALL SELECT doc_id, 2, 'MARK', '> ', 0, 0, 0, 2 FROM n""")
+def composed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps: a name and a number go, a mark is put in front, and the name's placeholder is changed again."""
+    names = {"f": _pick(_FIRST, "c_custkey", True), "l": _pick(_LAST, "c_custkey", True)}
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *[F.expr(v).alias(c) for c, v in names.items()]).withColumn("n", F.expr(_NAMED))
+    edit = lambda a, b, kind, put: f"struct(int({a}) as start, int({b}) as `end`, '{kind}' as type, '{put}' as replacement)"
+    steps = [[edit(6, "6 + n", "PERSON", "[P]"), edit("12 + n", "12 + n + length(string(k))", "PHONE", "[T]")], [edit(0, 0, "MARK", "> ")], [edit(8, 11, "PERSON", "[PERSON_001]")]]
+    each = ", ".join(f"struct({i} as step, array({', '.join(s)}) as edits)" for i, s in enumerate(steps, 1))
+    return trace.composed(rows.select(F.col("k").alias("doc_id"), F.expr(f"inline(array({each}))")))
+
+
+@query("SELECT o_orderpriority AS batch, o_orderstatus AS kind, o_custkey::VARCHAR AS name, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY min(o_orderdate), o_custkey::VARCHAR) AS number FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY ALL")
+def registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers numbered by priority and status of their orders, which come as a stream."""
+    schema = _table(spark, sf_dir, "orders").schema
+    orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/order[s].parquet")  # a pattern, as a stream takes no single file
+    mentions = orders.select(F.col("o_orderpriority").alias("batch"), F.col("o_orderstatus").alias("kind"), F.col("o_custkey").cast("string").alias("name"), F.col("o_orderdate").alias("at"), F.lit("seen").alias("action"))
+    name, folder = "spark.sql.streaming.stateStore.providerClass", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(name)
+    spark.conf.set(name, registry.PROVIDER)
+    try:
+        numbers = registry.register(mentions, keep_seconds=100 * 366 * 86_400)
+        numbers.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(numbers.schema).parquet(f"{folder}/out").select("batch", "kind", "name", "number")
+
+
 # --- the gate ------------------------------------------------------------------------------------------
 
 _LEAKS = "CASE k % 6 WHEN 0 THEN 'Karte 4111.1111.1111.1111 hier' WHEN 1 THEN 'Benutzername: wilma' || k WHEN 2 THEN '| Kunde | Pass |' || chr(10) || '| | wort |' || chr(10) || '|---|---|' || chr(10) || '| x | geheim' || k || ' |' WHEN 3 THEN '| Ansprache | Stand |' || chr(10) || '|---|---|' || chr(10) || '| Wilma Quast | 3 |' WHEN 4 THEN 'Durchwahl: 12-345-' || (1000 + k) ELSE 'nichts als Prosa' END"
