@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillveil.catalog import _table, query
+from quillveil.functions import markdown as md
 from quillveil.functions import names as nm
 from quillveil.functions import spans as sp
 from quillveil.functions import text as tx
 from quillveil.lineage import settle, shared_folder, spread
-from quillveil.operators import batch, detect, entities, evaluate, identity, lifecycle, lines, ocr, personnel, release, residual, review, trace
+from quillveil.operators import batch, detect, encoded, entities, evaluate, identity, lifecycle, lines, ocr, personnel, release, residual, review, trace
 from quillveil.sources import csv_source, office
 from quillveil.streaming import registry
 
@@ -231,6 +232,38 @@ def json_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.binding(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
 
 
+# --- literals, references, encodings ---------------------------------------------------------------------
+
+#: Texts by the remainder of their key, and the IBAN, telephone number or address in them: type, what is written before it, and how it is written.
+_CODED = [("IBAN", "Konto ", "'&#68;E8937040044053201' || lpad((k % 10000)::VARCHAR, 4, '0')"), ("EMAIL", "Mail `", "'a' || k || '&amp;#64;b&period;example'"), ("PHONE", "Tel: ", "'\\+49 30 1234' || (1000 + k % 1000)"), ("EMAIL", "Post an ", "'a' || k || '%40b.example'")]
+_CODED_TEXT = "CASE k % 4 " + " ".join(f"WHEN {i} THEN '{before}' || {written} || CASE WHEN k % 4 = 1 THEN '`' ELSE '' END" for i, (_, before, written) in enumerate(_CODED)) + " END"
+_SPARK_CODED = _CODED_TEXT.replace("::VARCHAR", "").replace("(k % 10000)", "string(k % 10000)").replace("'\\+49", "'\\\\+49")
+
+
+@query(f"""WITH d AS ({_sql_docs(_CODED_TEXT)}) SELECT doc_id, CASE k % 4 {' '.join(f"WHEN {i} THEN '{kind}'" for i, (kind, _, _) in enumerate(_CODED))} END AS type, CASE k % 4 {' '.join(f"WHEN {i} THEN {len(before)}" for i, (_, before, _) in enumerate(_CODED))} END AS start, length(text) - CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END AS "end" FROM d""")
+def encoded_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the source of identifiers that are only seen when it is decoded."""
+    found = encoded.source_spans(_docs(spark, sf_dir, _SPARK_CODED))
+    return detect.exploded(found, "encoded", "doc_id").select("doc_id", "s.type", "s.start", "s.end")
+
+
+_MARKED_UP = "'**Haus** <b>' || l || '</b> &amp;lt;i&gt; `a*b*` _x_ <!-- ' || k || ' -->&auml;<br>q' || chr(10) || '~~~' || chr(10) || '**' || f || '** &amp;' || chr(10) || '~~~~'"
+
+
+@query(f"WITH d AS ({_sql_docs(_MARKED_UP)}) SELECT doc_id, 'Haus ' || l || ' &lt;i> a\*b\* x ä q' || chr(10) || '~~~' || chr(10) || '**' || f || '** &amp;' || chr(10) || '~~~~' AS text FROM d")
+def rendered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return md.rendered(_docs(spark, sf_dir, _MARKED_UP))
+
+
+_FENCED = "'a `' || f || '` \\\\`n ``' || l || ' ` x`` \\\\*' || chr(10) || '````' || chr(10) || '```' || chr(10) || k || chr(10) || '````' || chr(10) || '` offen' || chr(10) || chr(10) || '`zu`'"
+
+
+@query(f"WITH d AS ({_sql_docs(_FENCED.replace(chr(92) * 2, chr(92)))}), p AS (SELECT *, length(f) AS a, length(l) AS b, length(k::VARCHAR) AS c FROM d) SELECT doc_id, unnest([{{'start': 2, 'end': 4 + a, 'kind': 'code'}}, {{'start': 5 + a, 'end': 7 + a, 'kind': 'escape'}}, {{'start': 9 + a, 'end': 17 + a + b, 'kind': 'code'}}, {{'start': 18 + a + b, 'end': 20 + a + b, 'kind': 'escape'}}, {{'start': 21 + a + b, 'end': 36 + a + b + c, 'kind': 'fence'}}, {{'start': 45 + a + b + c, 'end': 49 + a + b + c, 'kind': 'code'}}], recursive := true) FROM p")
+def markdown_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _docs(spark, sf_dir, _FENCED).select("doc_id", F.explode(md.literals(F.col("text"))).alias("p"))
+    return found.select("doc_id", "p.start", "p.end", "p.kind")
+
+
 _SHORT = "'Name: ' || f || ' ' || l || ', Tel ' || k"
 _NAMED = "length(f || ' ' || l)"
 
@@ -246,7 +279,7 @@ def composed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.composed(rows.select(F.col("k").alias("doc_id"), F.expr(f"inline(array({each}))")))
 
 
-@query("SELECT o_orderpriority AS batch, o_orderstatus AS kind, o_custkey::VARCHAR AS name, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY min(o_orderdate), o_custkey::VARCHAR) AS number FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY ALL")
+@query("SELECT o_orderpriority AS batch, o_orderstatus AS kind, o_custkey::VARCHAR AS name, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY min(o_orderdate), o_custkey::VARCHAR) AS number FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority, o_orderstatus, o_custkey")
 def registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers numbered by priority and status of their orders, which come as a stream."""
     schema = _table(spark, sf_dir, "orders").schema
