@@ -231,7 +231,7 @@ def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROFILE_SQL = {p: " + ".join(f"contains(lower(text), '{w}')::INTEGER" for w in ws) for p, ws in tx.PROFILE_WORDS.items()}
 _PROFILE_CASE = "CASE WHEN personnel_profile >= 3 THEN 'personnel_profile' WHEN greatest(applicant, contract, customer) < 2 THEN 'general' WHEN applicant = greatest(applicant, contract, customer) THEN 'applicant' WHEN contract = greatest(applicant, contract, customer) THEN 'contract' ELSE 'customer' END"
-_PROFILE_TEXT = "CASE c_custkey % 5 WHEN 0 THEN 'Bewerbung und Lebenslauf ' WHEN 1 THEN 'Vertrag Vertragspartner ' WHEN 2 THEN 'Kunde Rechnung ' WHEN 3 THEN 'Skills Qualifikationen Certifications ' ELSE '' END || c_name || ' ' || c_mktsegment"
+_PROFILE_TEXT = "CASE c_custkey % 5 WHEN 0 THEN 'Bewerbung und Lebenslauf ' WHEN 1 THEN 'Vertrag mit Haftung ' WHEN 2 THEN 'Kunde: Rechnung ' WHEN 3 THEN 'Projekterfahrung, Rolle: x | Company | Certifications ' ELSE '' END || c_name || ' ' || c_mktsegment"
 
 
 @query(f"WITH d AS (SELECT c_custkey AS doc_id, {_PROFILE_TEXT} AS text FROM customer), s AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _PROFILE_SQL.items())} FROM d) SELECT doc_id, {_PROFILE_CASE} AS profile FROM s")

@@ -141,8 +141,8 @@ _FORMAT = "CASE o_orderkey % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'DOCX' WHEN 2 THEN
 
 @query(f"""WITH f AS (SELECT o_custkey AS batch_id, o_orderkey AS file_no, {_FORMAT} AS format, floor(o_totalprice * 100)::BIGINT AS bytes FROM orders),
 r AS (SELECT *, count(*) OVER w AS files_so_far, (sum(bytes) OVER w)::BIGINT AS bytes_so_far FROM f WINDOW w AS (PARTITION BY batch_id ORDER BY file_no ROWS UNBOUNDED PRECEDING))
-SELECT *, CASE WHEN format = 'exe' THEN 'FORMAT_UNSUPPORTED' WHEN bytes > CASE WHEN format = 'DOCX' THEN 50 ELSE 10 END * 1048576 THEN 'FILE_TOO_LARGE' WHEN files_so_far > 200 THEN 'TOO_MANY_FILES' WHEN bytes_so_far > 524288000 THEN 'BATCH_TOO_LARGE' END AS reason_code,
-  NOT (format = 'exe' OR bytes > CASE WHEN format = 'DOCX' THEN 50 ELSE 10 END * 1048576 OR files_so_far > 200 OR bytes_so_far > 524288000) AS admitted FROM r""")
+SELECT *, CASE WHEN format = 'exe' THEN 'FORMAT_UNSUPPORTED' WHEN bytes > CASE format WHEN 'DOCX' THEN 67108864 WHEN 'txt' THEN 8000000 WHEN 'csv' THEN 1500000 END THEN 'FILE_TOO_LARGE' WHEN files_so_far > 200 THEN 'TOO_MANY_FILES' WHEN bytes_so_far > 524288000 THEN 'BATCH_TOO_LARGE' END AS reason_code,
+  NOT (format = 'exe' OR bytes > CASE format WHEN 'DOCX' THEN 67108864 WHEN 'txt' THEN 8000000 WHEN 'csv' THEN 1500000 END OR files_so_far > 200 OR bytes_so_far > 524288000) AS admitted FROM r""")
 def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("file_no"), F.expr(_FORMAT).alias("format"), F.floor(F.col("o_totalprice") * 100).cast("long").alias("bytes"))
     return lifecycle.admission(files)
@@ -156,7 +156,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").selectExpr(*[x.strip() for x in (own.split(",", 2))])
 
 
-@query(f"WITH i AS ({_ITEM}), c AS (SELECT batch_id, count(*) FILTER (status = 'retryable') AS retry, count(*) FILTER (status = 'deferred_review') AS review FROM i GROUP BY 1) SELECT batch_id, retry = 0 AND review > 0 AS review_ready, CASE WHEN retry > 0 THEN 'retry' WHEN review > 0 THEN 'review' ELSE 'done' END AS next_action FROM c")
+@query(f"WITH i AS ({_ITEM}), c AS (SELECT batch_id, count(*) FILTER (status = 'retryable') AS retry, count(*) FILTER (status = 'deferred_review') AS review FROM i GROUP BY 1) SELECT batch_id, retry = 0 AND review > 0 AS review_ready, CASE WHEN retry > 0 THEN 'batch' WHEN review > 0 THEN 'review' ELSE 'none' END AS next_action FROM c")
 def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.next_action(batch.status_counts(_items(spark, sf_dir))).select("batch_id", "review_ready", "next_action")
 
@@ -484,10 +484,13 @@ def promoted_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, _MADE_UP).select("doc_id", tx.promote_headers(F.col("text")).alias("text"))
 
 
-@query("SELECT c_custkey AS doc_id, '<!-- ' || CASE c_custkey % 3 WHEN 0 THEN 'Pseudonymised application. Not for automated selection.' ELSE 'Pseudonymised document.' END || ' -->' || chr(10) || c_name AS text FROM customer")
+_NOTICE = " || chr(10) || ".join(["'<!--'", "'Profil: ' || profile", "'Quelle: DOCX'", "'Unterstützte Restprüfung: keine weiteren Treffer'", "'Datenschutz-Pässe: 2'", "'Ersetzte/erfasste Identifikatoren: ' || k", "'Automatisch freigegebene visuelle Assets: 0'", "'Auf ausdrücklichen Wunsch entfernte visuelle Assets: 0'", "'Lokale visuelle Review-Items: 0'", "'Re-Identifikationsrisiko: ' || CASE profile WHEN 'personnel_profile' THEN 'high' ELSE 'context_dependent' END", "'Hinweis: De-Identifizierung garantiert keine rechtliche Anonymität.'", f"'EU AI Act: ' || CASE profile WHEN 'applicant' THEN '{tx.AI_NOTES['applicant']}' WHEN 'personnel_profile' THEN '{tx.AI_NOTES['personnel_profile']}' ELSE '{tx.AI_NOTE}' END", "'-->'", "''"])
+
+
+@query(f"WITH d AS (SELECT c_custkey AS k, c_name, CASE c_custkey % 3 WHEN 0 THEN 'applicant' WHEN 1 THEN 'contract' ELSE 'personnel_profile' END AS profile FROM customer) SELECT k AS doc_id, {_NOTICE} || chr(10) || c_name AS text FROM d")
 def noticed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "customer").withColumn("profile", F.when(F.col("c_custkey") % 3 == 0, "applicant").otherwise("contract"))
-    return rows.select(F.col("c_custkey").alias("doc_id"), tx.with_notice(F.col("c_name"), F.col("profile")).alias("text"))
+    rows = _table(spark, sf_dir, "customer").withColumn("profile", F.element_at(F.array(F.lit("applicant"), F.lit("contract"), F.lit("personnel_profile")), (F.col("c_custkey") % 3).cast("int") + 1))
+    return rows.select(F.col("c_custkey").alias("doc_id"), tx.with_notice(F.col("c_name"), F.col("profile"), F.lit("docx"), passes=F.lit(2), edits=F.col("c_custkey")).alias("text"))
 
 
 _CODE = "'Ein `wert' || k || '` und' || chr(10) || '```' || chr(10) || 'block ' || k || chr(10) || '```' || chr(10) || 'Ende Gut Alles ' || l"

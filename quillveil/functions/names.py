@@ -19,7 +19,7 @@ DOCUMENT_WORDS = r"(?iu)\b(?:Lebenslauf|Curriculum Vitae|Vertrag|Rechnung|Angebo
 # Endings of abstract nouns.
 ABSTRACT = r"(?iu)(?:ung|heit|keit|schaft|tion|tät|ment|ness|ismus)$"
 # Brands that are named in the open, as upper-case names.
-ALLOWED_BRANDS = ["MICROSOFT", "GOOGLE", "AMAZON", "APPLE", "ORACLE", "IBM", "SAP", "CISCO", "ADOBE", "INTEL"]
+ALLOWED_BRANDS = ["SCRUM.ORG", "MICROSOFT", "SAP", "ATLASSIAN", "JIRA", "CONFLUENCE", "MIRO", "SAFE", "IHK", "TÜV", "ISO", "PMI", "AWS", "AMAZON WEB SERVICES", "GOOGLE", "ORACLE", "IBM", "SALESFORCE", "SERVICENOW", "GITHUB", "GITLAB", "DOCKER", "KUBERNETES", "LINUX", "WINDOWS"]
 
 _TOKEN = r"^\p{Lu}[\p{L}'’.-]*$"
 

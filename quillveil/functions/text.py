@@ -95,11 +95,17 @@ def organisation_alias(name: Column) -> Column:
 
 # Words that speak for a profile, in the order in which profiles win ties.
 PROFILE_WORDS = {
-    "personnel_profile": ["personalprofil", "mitarbeiterprofil", "qualifikationen", "projekterfahrung", "employee profile", "skills", "certifications"],
-    "applicant": ["bewerbung", "lebenslauf", "curriculum vitae", "resume", "application", "anschreiben"],
-    "contract": ["vertrag", "vertragspartner", "auftragnehmer", "contract", "agreement", "party"],
-    "customer": ["kunde", "kundennummer", "customer", "client", "rechnung", "invoice"],
-}
+    "personnel_profile": [
+        "mitarbeiterprofil", "beraterprofil", "kompetenzprofil", "consultant profile", "employee profile", "professional profile", "profil consultant", "perfil profesional", "consultantprofiel",
+        "projekterfahrung", "berufserfahrung", "work experience", "expérience professionnelle", "experiencia profesional", "werkervaring", "skillset",
+        "zertifizierungen", "certifications", "certification", "certificación", "certificaciones", "certificering",
+        "unternehmen:", "company:", "entreprise:", "empresa:", "bedrijf:", "ausbildung:", "education:", "rolle im projekt", "rolle:", "role:", "rôle:", "rol:", "funktion:",
+        "| rolle |", "| role |", "| rôle |", "| rol |", "| unternehmen |", "| company |", "| entreprise |", "| empresa |", "| bedrijf |", "| certifications |", "| certification |", "| certificación |", "| certificaciones |", "| certificering |",
+    ],
+    "applicant": ["bewerbung", "anschreiben", "lebenslauf", "curriculum vitae", "bewerber", "motivation", "arbeitszeugnis"],
+    "contract": ["vertrag", "vertragspartei", "kündigung", "haftung", "vertragslaufzeit", "präambel", "zahlungspflicht", "vereinbarung", "§"],
+    "customer": ["kundennummer", "kunde:", "rechnung", "bestellung", "ticket", "support", "crm", "lieferadresse", "auftragsnummer", "reklamation"],
+}
 
 
 def profile_of(text: Column) -> Column:
@@ -151,10 +157,21 @@ def promote_headers(text: Column) -> Column:
 MARKDOWN_LITERAL = r"(?s)```.*?```|`[^`\n]+`"
 CAPITALISED_RUN = r"(?u)(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)+"
 
-# The notice that a released text begins with, by profile.
-NOTICES = {"personnel_profile": "Pseudonymised profile. Not for decisions about persons.", "applicant": "Pseudonymised application. Not for automated selection.", "general": "Pseudonymised document."}
-
-
-def with_notice(text: Column, profile: Column) -> Column:
-    notice = F.coalesce(*[F.when(profile == k, F.lit(v)) for k, v in NOTICES.items()], F.lit(NOTICES["general"]))
-    return F.concat(F.lit("<!-- "), notice, F.lit(" -->\n"), text)
+# What the law on artificial intelligence may ask for, and the risk that persons are recognised, by profile.
+AI_NOTES = {
+    "applicant": "Bewerberanalyse/-filterung/-bewertung für Auswahlentscheidungen kann Annex III Beschäftigung betreffen. Kein automatisches Ranking oder Entscheiden ohne freigegebenen Governance-Prozess.",
+    "personnel_profile": "Bei Beschäftigten können insbesondere Bewertung, Beförderung, Kündigung, Überwachung oder bestimmte auf Verhalten/Persönlichkeitsmerkmalen basierende Aufgabenzuweisungen Annex III betreffen. Kompetenzbeschreibung allein ist nicht automatisch High-Risk; Zweck separat klassifizieren.",
+}
+AI_NOTE = "Die AI-Act-Risikoklasse hängt vom nachgelagerten Verwendungszweck ab; Privacy-Verarbeitung ist keine Konformitätszertifizierung."
+#: Fields of the notice: label, and the column that it shows.
+NOTICE_FIELDS = [("Datenschutz-Pässe", "passes"), ("Ersetzte/erfasste Identifikatoren", "edits"), ("Automatisch freigegebene visuelle Assets", "included"), ("Auf ausdrücklichen Wunsch entfernte visuelle Assets", "removed"), ("Lokale visuelle Review-Items", "review")]
+
+
+def with_notice(text: Column, profile: Column, extension: Column, **counts: Column) -> Column:
+    """The text behind a comment that tells its profile, its source's format, the counts of NOTICE_FIELDS (0 where none is given), the risk and the note of its profile."""
+    note = F.coalesce(*[F.when(profile == k, F.lit(v)) for k, v in AI_NOTES.items()], F.lit(AI_NOTE))
+    risk = F.when(profile == "personnel_profile", "high").otherwise("context_dependent")
+    fields = [F.concat(F.lit("Profil: "), profile), F.concat(F.lit("Quelle: "), F.upper(extension)), F.lit("Unterstützte Restprüfung: keine weiteren Treffer")]
+    fields += [F.concat(F.lit(f"{label}: "), F.coalesce(counts.get(c, F.lit(0)), F.lit(0)).cast("string")) for label, c in NOTICE_FIELDS]
+    fields += [F.concat(F.lit("Re-Identifikationsrisiko: "), risk), F.lit("Hinweis: De-Identifizierung garantiert keine rechtliche Anonymität."), F.concat(F.lit("EU AI Act: "), note)]
+    return F.concat(F.lit("<!--\n"), F.concat_ws("\n", *fields), F.lit("\n-->\n\n"), text)

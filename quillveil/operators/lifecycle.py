@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from quillveil.operators.batch import STATES
 
 # Byte limits by format, files and bytes of a batch.
-FORMAT_LIMITS = {"txt": 10 << 20, "csv": 10 << 20, "docx": 50 << 20, "xlsx": 50 << 20, "pptx": 50 << 20}
+FORMAT_LIMITS = {
+    "txt": 8_000_000, "md": 8_000_000, "markdown": 8_000_000, "csv": 1_500_000,
+    "docx": 64 << 20, "xlsx": 64 << 20, "pptx": 64 << 20,
+    "pdf": 25 << 20, "png": 25 << 20, "jpg": 25 << 20, "jpeg": 25 << 20, "bmp": 25 << 20,
+}
 MAX_FILES, MAX_BYTES = 200, 500 << 20
 #: Attempts that end in the same code before an item stops.
 MAX_RETRIES = 3
@@ -62,10 +66,12 @@ def transitions(journal: DataFrame, item: str, order: str) -> DataFrame:
 
 
 def next_action(counts: DataFrame) -> DataFrame:
-    """What is to be done with a batch, from its counts by state (``batch.status_counts``)."""
-    open_ = F.col("pending") + F.col("processing") + F.col("delivery_pending") + F.col("mapping_pending")
-    action = F.when(~F.col("accounted"), "repair").when(open_ > 0, "continue").when(F.col("retryable") > 0, "retry").when(F.col("deferred_review") > 0, "review").when(F.col("total") == 0, "empty").otherwise("done")
-    return counts.withColumn("review_ready", (action == "review") & (F.col("released") + F.col("stopped") + F.col("deferred_review") == F.col("total"))).withColumn("next_action", action)
+    """What is to be done with a batch, from its counts by state (``batch.status_counts``): nothing where all is completed, a review where all else is, and the batch's own work before."""
+    working = F.col("pending") + F.col("processing") + F.col("delivery_pending") + F.col("mapping_pending") + F.col("retryable")
+    completed = F.col("released") + F.col("stopped")
+    ready = (F.col("deferred_review") > 0) & (completed + F.col("deferred_review") == F.col("total")) & (working == 0) & F.col("accounted")
+    complete = (F.col("total") > 0) & (completed == F.col("total")) & F.col("accounted")
+    return counts.withColumn("review_ready", ready).withColumn("next_action", F.when(complete, "none").when(ready, "review").otherwise("batch"))
 
 
 def sweep(entries: DataFrame, protected: DataFrame, now: Column, days: int = KEEP_DAYS) -> DataFrame:

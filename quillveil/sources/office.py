@@ -15,7 +15,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MAX_ENTRIES, MAX_EXPANDED = 2_000, 100 << 20
+# Entries of an archive, and bytes that they expand to.
+MAX_ENTRIES, MAX_EXPANDED = 20_000, 300 << 20
 
 # Namespaces of the file formats.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -71,15 +72,45 @@ def table(rows: list[list[str]]) -> str:
     return "\n".join([_row(full[0]), "|" + " --- |" * width, *[_row(r) for r in full[1:]]])
 
 
+#: Elements that are no text of the paragraph that they stand in: text boxes, which are blocks of their own, and what repeats them for older programs.
+_APART, _AGAIN = W + "txbxContent", "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
+#: Elements between blocks that hold no text.
+_SILENT = {"sectPr", "bookmarkStart", "bookmarkEnd", "proofErr", "permStart", "permEnd", "commentRangeStart", "commentRangeEnd", "sdtPr", "sdtEndPr", "tblPr", "tblGrid", "trPr", "tcPr", "pPr", "customXmlPr"}
+#: Elements that only hold blocks.
+_HOLDERS = {"sdt", "sdtContent", "customXml", "footnote", "endnote", "ins", "moveTo", "body", "hdr", "ftr"}
+#: Parts that are told as unread.
+_UNREAD = re.compile(r"(?:word|xl|ppt)/(?:embeddings|charts|diagrams|media|activeX)/.+\.(?!rels$)\w+|(?:word|ppt|xl)/comments\w*\.xml|(?:word|xl|ppt)/vbaProject\.bin")
+
+
+def _inside(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """All elements below, but for those of text boxes."""
+    for x in node:
+        if x.tag not in (_APART, _AGAIN):
+            yield x
+            yield from _inside(x)
+
+
+def _boxes(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    for x in node:
+        if x.tag == _APART:
+            yield x
+        elif x.tag != _AGAIN:
+            yield from _boxes(x)
+
+
 def _paragraph(p: ElementTree.Element) -> str:
     out = []
-    for x in p.iter():
+    for x in _inside(p):
         if x.tag == W + "t":
             out.append(x.text or "")
-        elif x.tag == W + "tab":
+        elif x.tag in (W + "tab", W + "ptab"):
             out.append("\t")
-        elif x.tag == W + "br":
+        elif x.tag in (W + "br", W + "cr"):
             out.append("\n")
+        elif x.tag == W + "noBreakHyphen":
+            out.append("-")
+        elif x.tag in (W + "footnoteReference", W + "endnoteReference"):
+            out.append(f"[^{x.get(W + 'id', '')}]")
     text = "".join(out)
     style = p.find(f"{W}pPr/{W}pStyle")
     level = re.fullmatch(r"(?:Heading|berschrift|heading ?)(\d)", style.get(W + "val", "")) if style is not None else None
@@ -88,19 +119,48 @@ def _paragraph(p: ElementTree.Element) -> str:
     return "- " + text if text and p.find(f"{W}pPr/{W}numPr") is not None else text
 
 
+def _blocks(node: ElementTree.Element, warnings: set[str]) -> list[str]:
+    """The paragraphs, tables and text boxes below an element; text in anything else is read, too, and told."""
+    out: list[str] = []
+    for x in node:
+        name = x.tag.rpartition("}")[2]
+        if x.tag == W + "p":
+            out.append(_paragraph(x))
+            for box in _boxes(x):
+                out += _blocks(box, warnings)
+        elif x.tag == W + "tbl":
+            out.append(table([["\n".join(_blocks(c, warnings)) for c in _held(r, W + "tc")] for r in _held(x, W + "tr")]))
+        elif name in ("footnote", "endnote") and x.get(W + "type") in ("separator", "continuationSeparator", "continuationNotice"):
+            continue
+        elif name in ("footnote", "endnote"):
+            own = [b for b in _blocks(x, warnings) if b.strip()]
+            out += [f"[^{x.get(W + 'id', '')}]: " + own[0], *own[1:]] if own else []
+        elif name in _HOLDERS:
+            out += _blocks(x, warnings)
+        elif name not in _SILENT and any(t.tag == W + "t" for t in x.iter()):
+            warnings.add(f"UNKNOWN_CONSTRUCT:{name}")
+            out += _blocks(x, warnings) or [_paragraph(x)]
+    return out
+
+
+def _held(node: ElementTree.Element, tag: str) -> Iterator[ElementTree.Element]:
+    """Rows or cells, also those that content controls hold."""
+    for x in node:
+        if x.tag == tag:
+            yield x
+        elif x.tag.rpartition("}")[2] in _HOLDERS:
+            yield from _held(x, tag)
+
+
+def unread(parts: dict[str, bytes]) -> list[str]:
+    return ["UNREAD_PART:" + n for n in sorted(parts) if _UNREAD.fullmatch(n)]
+
+
 def docx(parts: dict[str, bytes]) -> tuple[str, list[str]]:
-    blocks: list[str] = []
     names = sorted(n for n in parts if re.fullmatch(r"word/header\d*\.xml", n)) + ["word/document.xml"] + sorted(n for n in parts if re.fullmatch(r"word/(?:footer\d*|footnotes|endnotes)\.xml", n))
-    for name in names:
-        root = _xml(parts, name)
-        body = root.find(W + "body")
-        for x in body if body is not None else root:
-            if x.tag == W + "p":
-                blocks.append(_paragraph(x))
-            elif x.tag == W + "tbl":
-                blocks.append(table([["\n".join(_paragraph(p) for p in c.iter(W + "p")) for c in r.findall(W + "tc")] for r in x.findall(W + "tr")]))
-    warnings = ["UNREAD_PART:" + n for n in sorted(parts) if n.startswith("word/embeddings/")]
-    return "\n\n".join(b for b in blocks if b.strip()), warnings
+    warnings: set[str] = set()
+    blocks = [b for name in names for b in _blocks(_xml(parts, name), warnings)]
+    return "\n\n".join(b for b in blocks if b.strip()), sorted(warnings) + unread(parts)
 
 
 def xlsx(parts: dict[str, bytes]) -> tuple[str, list[str]]:
@@ -129,7 +189,7 @@ def xlsx(parts: dict[str, bytes]) -> tuple[str, list[str]]:
                 raise OfficeError("PARSER_RESOURCE_LIMIT")
             rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
         sections.append(f"## {sheet.get('name')}\n\n{table([r for r in rows if r])}".strip())
-    return "\n\n".join(sections), [f"FORMULA_CELLS:{formulas}"] if formulas else []
+    return "\n\n".join(sections), ([f"FORMULA_CELLS:{formulas}"] if formulas else []) + unread(parts)
 
 
 def pptx(parts: dict[str, bytes]) -> tuple[str, list[str]]:
@@ -145,7 +205,7 @@ def pptx(parts: dict[str, bytes]) -> tuple[str, list[str]]:
         if notes in parts:
             blocks += [text(p) for p in _xml(parts, notes).iter(A + "p")]
         out.append("\n\n".join([f"## Folie {number(name)}", *[b for b in blocks if b.strip()]]))
-    return "\n\n".join(out), []
+    return "\n\n".join(out), unread(parts)
 
 
 def metadata(parts: dict[str, bytes]) -> str:
@@ -165,13 +225,16 @@ def to_markdown(raw: bytes, extension: str) -> tuple[str, list[str]]:
 
 
 def office_documents(files: DataFrame) -> DataFrame:
-    """(path, content) to (path, markdown, warnings, reason_code); a file that fails has a reason and no text."""
+    """(path, content) to (path, markdown, warnings, reason_code); a file that fails, or has no content, has a reason and no text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, raw in zip(pdf["path"], pdf["content"]):
-                extension = path.rpartition(".")[2].lower()
+                extension = (path or "").rpartition(".")[2].lower()
+                if raw is None:
+                    rows.append((path, None, None, "SOURCE_EMPTY"))
+                    continue
                 if extension not in ("docx", "xlsx", "pptx"):
                     rows.append((path, None, None, "SOURCE_TYPE_UNSUPPORTED"))
                     continue
