@@ -13,7 +13,7 @@ from quillveil.functions import names as nm
 from quillveil.functions import spans as sp
 from quillveil.functions import text as tx
 from quillveil.lineage import settle, shared_folder, spread
-from quillveil.operators import batch, detect, encoded, entities, evaluate, identity, lifecycle, lines, ocr, personnel, release, residual, review, trace
+from quillveil.operators import alignment, batch, detect, encoded, entities, evaluate, identity, lifecycle, lines, ocr, personnel, release, residual, review, trace
 from quillveil.sources import csv_source, office
 from quillveil.streaming import registry
 
@@ -296,6 +296,39 @@ def registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(numbers.schema).parquet(f"{folder}/out").select("batch", "kind", "name", "number")
 
 
+_SECRET, _PAGE = b"a secret of the catalog", 3
+_PADS = [bytes(x ^ pad for x in _SECRET.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+_CURSOR = f"to_base64(encode(next || '.' || substr(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(r.batch_id || '|released|{_PAGE}' || chr(10) || next)))), 1, 32)))"
+
+
+@query(f"""WITH i AS ({_ITEM}), e AS (SELECT batch_id, item_no, row_number() OVER (PARTITION BY batch_id ORDER BY item_no) AS nth FROM i WHERE status = 'released'),
+b AS (SELECT batch_id, max(CASE WHEN nth = {_PAGE + 1} THEN item_no END) AS begins, max(CASE WHEN nth = {2 * _PAGE + 1} THEN item_no END) AS next FROM e GROUP BY 1),
+r AS (SELECT *, CASE WHEN batch_id % 3 = 0 AND begins IS NOT NULL THEN 'INVALID_CURSOR' ELSE 'ok' END AS status FROM b)
+SELECT r.batch_id, r.status, e.item_no, CASE WHEN e.item_no IS NOT NULL AND next IS NOT NULL THEN {_CURSOR} END AS next_cursor
+FROM r LEFT JOIN e ON e.batch_id = r.batch_id AND r.status = 'ok' AND e.nth BETWEEN CASE WHEN begins IS NULL THEN 1 ELSE {_PAGE + 1} END AND CASE WHEN begins IS NULL THEN {_PAGE} ELSE {2 * _PAGE} END""")
+def signed_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of each batch by the first one's cursor, which a third of the batches have tampered with."""
+    items, released = _items(spark, sf_dir), F.col("status") == "released"
+    first = items.filter(released).select("batch_id").distinct().withColumn("cursor", F.lit(None).cast("string"))
+    page = lambda requests: batch.signed_pages(items, requests, _SECRET, "batch_id", "item_no", released, "released", _PAGE)
+    cursors = page(first).groupBy("batch_id").agg(F.max("next_cursor").alias("cursor"))
+    return page(cursors.withColumn("cursor", F.when(F.col("batch_id") % 3 == 0, F.concat(F.lit("A"), F.expr("substring(cursor, 2)"))).otherwise(F.col("cursor"))))
+
+
+_REFERENCE_TEXT, _OUTPUT_TEXT = "'Herr ' || f || ' ' || l || ' wohnt in Ulm und arbeitet'", "'Herr [PERSON_001] wohnt in ' || CASE k % 2 WHEN 0 THEN 'Ulm' ELSE 'Bonn' END || ', arbeitet'"
+
+
+@query(f"WITH d AS ({_sql_docs(_REFERENCE_TEXT)}) SELECT k % 3 AS split, CASE k % 2 WHEN 0 THEN 'final' ELSE 'automatic' END AS stage, count(*) AS documents, (5 - any_value(k % 2)) * count(*) AS words_equal, (1 + any_value(k % 2)) * count(*) AS words_replaced, 2 * count(*) AS words_deleted, 0 AS words_inserted, (3 + any_value(k % 2)) / 8 AS wer, sum(levenshtein(text, {_OUTPUT_TEXT})) AS char_errors FROM d GROUP BY ALL")
+def alignment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of words and errors of characters by split and stage."""
+    names = {"f": _pick(_FIRST, "c_custkey", True), "l": _pick(_LAST, "c_custkey", True)}
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *[F.expr(v).alias(c) for c, v in names.items()])
+    pairs = rows.selectExpr("k % 3 as split", "case k % 2 when 0 then 'final' else 'automatic' end as stage", f"{_REFERENCE_TEXT} as reference", f"{_OUTPUT_TEXT} as output")
+    out = alignment.quality_summary(spread(pairs), ["split", "stage"])
+    errors = F.col("chars_replaced") + F.col("chars_deleted") + F.col("chars_inserted")
+    return out.select("split", "stage", "documents", *[f"words_{k}" for k in ("equal", "replaced", "deleted", "inserted")], "wer", errors.alias("char_errors"))
+
+
 # --- the gate ------------------------------------------------------------------------------------------
 
 _LEAKS = "CASE k % 6 WHEN 0 THEN 'Karte 4111.1111.1111.1111 hier' WHEN 1 THEN 'Benutzername: wilma' || k WHEN 2 THEN '| Kunde | Pass |' || chr(10) || '| | wort |' || chr(10) || '|---|---|' || chr(10) || '| x | geheim' || k || ' |' WHEN 3 THEN '| Ansprache | Stand |' || chr(10) || '|---|---|' || chr(10) || '| Wilma Quast | 3 |' WHEN 4 THEN 'Durchwahl: 12-345-' || (1000 + k) ELSE 'nichts als Prosa' END"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillveil.functions.mac import cursor_place, signed_cursor
+
 # The states of an item.
 STATES = ["pending", "processing", "delivery_pending", "mapping_pending", "deferred_review", "retryable", "stopped", "released"]
 OPEN = ["pending", "processing", "delivery_pending", "mapping_pending", "retryable"]
@@ -58,6 +60,28 @@ def page(items: DataFrame, key: str, order: str, eligible, cursor: int, size: in
     return numbered.withColumn("next_cursor", following).filter(F.col("nth") <= size)
 
 
+def signed_pages(items: DataFrame, requests: DataFrame, secret: bytes, key: str, order: str, eligible: Column, filter_name: str, size: int = 10) -> DataFrame:
+    """(key, status, order, next_cursor): a page of the eligible items for each request (key, cursor).
+
+    A null cursor asks for the first page. Cursors are signed with the key, the
+    name of the filter and the size of the page; one that was changed, or was
+    made for another of those, is refused with INVALID_CURSOR and gets no item.
+    ``next_cursor`` points at the next eligible item and is null on the last
+    page. A key without items has one row with the status and nothing else.
+    """
+    if not 1 <= size <= 20:
+        raise ValueError("a page has 1 to 20 items")
+    bound = F.concat_ws("|", F.col(key).cast("string"), F.lit(filter_name), F.lit(str(size)))
+    asked = requests.select(key, "cursor").withColumn("from", cursor_place(secret, bound, F.col("cursor"))).withColumn("status", F.when(F.col("cursor").isNotNull() & F.col("from").isNull(), "INVALID_CURSOR").otherwise("ok")).drop("cursor")
+    wanted = asked.filter("status = 'ok'").select(key, F.col("from").alias("_from"))
+    after = items.filter(eligible).select(key, order).join(wanted, key).filter(F.col("_from").isNull() | (F.col(order) >= F.col("_from")))
+    # one more than the page holds tells where the next one begins
+    numbered = after.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_nth") <= size + 1)
+    following = F.max(F.when(F.col("_nth") == size + 1, F.col(order))).over(Window.partitionBy(key))
+    page_ = numbered.withColumn("next_cursor", signed_cursor(secret, bound, following)).filter(F.col("_nth") <= size).select(key, order, "next_cursor")
+    return asked.select(key, "status").join(page_, key, "left")
+
+
 def recent(runs: DataFrame, created: str, tie: str, hidden: DataFrame | None = None, count: int = 5) -> DataFrame:
     """The latest runs that are not hidden, newest first."""
     shown = runs.join(hidden, tie, "left_anti") if hidden is not None else runs
