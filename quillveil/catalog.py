@@ -264,7 +264,7 @@ FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 0 GROUP
 UNION ALL SELECT 0, NULL, 'CSV_DELIMITER_AMBIGUOUS'""")
 def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat("n_name", F.lit(";"), F.col("n_nationkey").cast("string"), F.lit(';"a|b"')).alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    text = F.when(F.col("n_regionkey") == 0, F.lit("eins,zwei;drei")).otherwise(F.concat(F.lit("Land;Nummer;Land\n"), "lines"))
+    text = F.when(F.col("n_regionkey") == 0, F.lit("rot,blau;gelb")).otherwise(F.concat(F.lit("Land;Nummer;Land\n"), "lines"))
     files = rows.select(F.col("n_regionkey").alias("file_no"), text.cast("binary").alias("content"))
     return csv_source.csv_documents(files, keep=("file_no",))
 

@@ -235,7 +235,7 @@ def json_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- literals, references, encodings ---------------------------------------------------------------------
 
 #: Texts by the remainder of their key, and the IBAN, telephone number or address in them: type, what is written before it, and how it is written.
-_CODED = [("IBAN", "Konto ", "'&#68;E8937040044053201' || lpad((k % 10000)::VARCHAR, 4, '0')"), ("EMAIL", "Mail `", "'a' || k || '&amp;#64;b&period;example'"), ("PHONE", "Tel: ", "'\\+49 30 1234' || (1000 + k % 1000)"), ("EMAIL", "Post an ", "'a' || k || '%40b.example'")]
+_CODED = [("IBAN", "Konto ", "'&#68;E1250010517064890' || lpad((k % 10000)::VARCHAR, 4, '0')"), ("EMAIL", "Mail `", "'a' || k || '&amp;#64;b&period;example'"), ("PHONE", "Tel: ", "'\\+49 30 1234' || (1000 + k % 1000)"), ("EMAIL", "Post an ", "'a' || k || '%40b.example'")]
 _CODED_TEXT = "CASE k % 4 " + " ".join(f"WHEN {i} THEN '{before}' || {written} || CASE WHEN k % 4 = 1 THEN '`' ELSE '' END" for i, (_, before, written) in enumerate(_CODED)) + " END"
 _SPARK_CODED = _CODED_TEXT.replace("::VARCHAR", "").replace("(k % 10000)", "string(k % 10000)").replace("'\\+49", "'\\\\+49")
 

@@ -129,11 +129,14 @@ def last_events(events: DataFrame, count: int = 20, most: int = 200) -> DataFram
 
 
 def completed_batches(batches: DataFrame, most: int = 50) -> DataFrame:
-    """Completed batches, the latest first, each with whether there are more than are shown: a guard, not a cut."""
-    place = Window.orderBy(F.desc("completed_at"), "token")
-    done = batches.filter(F.col("completed_at").isNotNull())
-    total = done.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return done.withColumn("place", F.row_number().over(place)).withColumn("too_many", F.lit(total > most))
+    """The latest ``most`` + 1 completed batches with their places, and whether there are more than ``most``: a guard, not a cut of what is there.
+
+    Only the places that can be shown are sorted out of each partition and
+    numbered, so neither a window over all batches nor a count is needed.
+    """
+    latest = [F.desc("completed_at"), F.col("token")]
+    shown = batches.filter(F.col("completed_at").isNotNull()).orderBy(*latest).limit(most + 1)
+    return shown.withColumn("place", F.row_number().over(Window.orderBy(*latest))).withColumn("too_many", F.max("place").over(Window.partitionBy()) > most)
 
 
 def guarded(counts: DataFrame) -> DataFrame:

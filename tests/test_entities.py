@@ -19,9 +19,9 @@ def _docs(spark, *texts):
 
 
 def test_seeds_and_their_guards(spark):
-    docs = _docs(spark, "Name: **Muster, Max** (Leiter)\nFrau Dr. Erika Beispiel kam.", "Lebenslauf Vertrag\nName: Team Leiter\nModerne Datenverarbeitung", None, "", "MAX MUSTER\nmit Max Muster")
+    docs = _docs(spark, "Name: **Moor, Jette** (Leiter)\nFrau Dr. Svea Tannert kam.", "Lebenslauf Vertrag\nName: Team Leiter\nModerne Datenverarbeitung", None, "", "JETTE MOOR\nmit Jette Moor")
     got = sorted((r.doc_id, r.name, r["rank"]) for r in entities.person_seeds(docs).collect())
-    assert got == [(0, "Erika Beispiel", 1), (0, "Max Muster", 0), (4, "Max Muster", 3)]
+    assert got == [(0, "Jette Moor", 0), (0, "Svea Tannert", 1), (4, "Jette Moor", 3)]
 
 
 def test_shared_surnames_are_ambiguous(spark):
