@@ -106,11 +106,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = settle(rows.withColumn("base_failed", failed))
     # what the base rules drop does not set the thresholds
     by_source = settle(sketch(rows.filter(~F.col("base_failed")), ["lang", "source"]))
-    by_lang = merge(by_source, ["lang"])
-    chosen = thresholds(by_source, ["lang", "source"])
-    lang_level = thresholds(by_lang, ["lang"]).withColumnsRenamed({"lang": "l_lang", "documents": "l_documents"} | {f"max_{m}": f"l_{m}" for m in MEASURES})
+    # the sketches of groups, of languages and of all are one table, so that their thresholds take one pass
+    level = lambda n, df: df.select(F.lit(n).alias("level"), F.col("lang") if n < 2 else F.lit(None).cast("string").alias("lang"), F.col("source") if n < 1 else F.lit(None).cast("string").alias("source"), "measure", "bucket", "n")
+    every = level(0, by_source).unionByName(level(1, merge(by_source, ["lang"]))).unionByName(level(2, merge(by_source, [])))
+    limits = settle(thresholds(every, ["level", "lang", "source"]))
+    chosen = limits.filter("level = 0").drop("level")
+    lang_level = limits.filter("level = 1").drop("level", "source").withColumnsRenamed({"lang": "l_lang", "documents": "l_documents"} | {f"max_{m}": f"l_{m}" for m in MEASURES})
     # a number for each measure; an empty table has none, and no groups either
-    of_all = thresholds(merge(by_lang, []), []).first()
+    of_all = limits.filter("level = 2").first()
     wider = {m: F.lit(of_all[f"max_{m}"] if of_all else None).cast("double") for m in MEASURES}
     # one row for each group, joined with the one row for each language
     chosen = chosen.join(lang_level, F.col("lang").eqNullSafe(F.col("l_lang")))
