@@ -232,6 +232,47 @@ def json_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.binding(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
 
 
+#: Lines by the remainder of their key: text, the person in it, and the rank of the rule that finds it.
+_BY_RULE = [
+    ("upper(f) || ' ' || upper(l)", "f || ' ' || l", 3),
+    ("f || ' von ' || l", "f || ' von ' || l", 4),
+    ("'ein Gruß mit ' || f || ' ' || l", "f || ' ' || l", 5),
+    ("'siehe [' || f || ' ' || l || '](tel:0' || k || ')'", "f || ' ' || l", 6),
+    ("'| Name | ' || f || ' ' || l || ' |'", "f || ' ' || l", 7),
+    ("'c/o ' || f || ' ' || l", "f || ' ' || l", 8),
+    ("f || ' ' || l || ' betreut das'", "f || ' ' || l", 9),
+    ("'der Kunde ' || f || ' ' || l || ' kam'", "f || ' ' || l", 10),
+    ("'heute war ' || f || ' ' || l || ', geboren 1970, da'", "f || ' ' || l", 10),
+    ("'Bewerbung und Lebenslauf' || chr(10) || 'streng geheim' || chr(9) || f || ' ' || l", "f || ' ' || l", 4),
+    ("'Lebenslauf, Bewerbung' || chr(10) || '王小紅'", "'王小紅'", 4),
+]
+_RULE_TEXT, _RULE_NAME, _RULE_RANK = (f"CASE k % {len(_BY_RULE)} " + " ".join(f"WHEN {i} THEN {row[c]}" for i, row in enumerate(_BY_RULE)) + " END" for c in range(3))
+
+
+@query(f"WITH d AS ({_sql_docs(_RULE_TEXT)}) SELECT doc_id, {_RULE_NAME} AS name, {_RULE_RANK} AS rank FROM d")
+def seeds_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One person a text, each found by another rule."""
+    return entities.person_seeds(_docs(spark, sf_dir, _RULE_TEXT)).select("doc_id", "name", "rank")
+
+
+#: Clauses that name parties, and the organisations in them.
+_BY_CLAUSE = [
+    ("'Vertrag zwischen der Alten Mühle, vertreten durch Dr. ' || l || ', und der ' || o || ' GmbH (nachfolgend Kunde). Die Neue Mühle liefert.'", "['Alten Mühle', o || ' GmbH']"),
+    ("'Vertragsparteien sind die Weiße Taube, Birkenstr. 7, sowie die ' || o || ' GmbH & Co. KG'", "['Weiße Taube', o || ' GmbH & Co. KG']"),
+    ("'Agreement between the River House and the ' || o || ' Inc. The Old Barn is none'", "['River House', o || ' Inc.']"),
+    ("'| Vertragspartner |' || chr(10) || '|---|' || chr(10) || '| Haus ' || k || ' |'", "['Haus ' || k]"),
+    ("'| Lieferant | x |' || chr(10) || '| Supplier | Hof ' || l || ' |'", "['Hof ' || l]"),
+    ("'Employeur: Maison ' || l || ' SARL'", "['Maison ' || l || ' SARL']"),
+    ("'Employeur: Maison ' || l", "[]"),
+]
+_CLAUSE_TEXT, _CLAUSE_NAMES = (f"CASE k % {len(_BY_CLAUSE)} " + " ".join(f"WHEN {i} THEN {row[c]}" for i, row in enumerate(_BY_CLAUSE)) + " END" for c in range(2))
+
+
+@query(f"WITH d AS ({_sql_docs(_CLAUSE_TEXT)}) SELECT doc_id, unnest({_CLAUSE_NAMES}) AS name FROM d")
+def organisations_in_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.organisations(_docs(spark, sf_dir, _CLAUSE_TEXT))
+
+
 # --- literals, references, encodings ---------------------------------------------------------------------
 
 #: Texts by the remainder of their key, and the IBAN, telephone number or address in them: type, what is written before it, and how it is written.

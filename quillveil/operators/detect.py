@@ -95,7 +95,8 @@ class Detector:
 # Types, placeholders and priorities of the span model, in the order in which equal spans win.
 DETECTORS = [
     Detector("CREDENTIAL", rf"(?im)(?<=^(?:[ \t]{{0,8}}(?:[-*] )?){_LABELS['secret']}[ \t]{{0,4}}[:=][ \t]{{0,4}})[^\s][^\n]*", "[CREDENTIAL_REDACTED]", 96),
-    Detector("CONTACT_URI", rf"(?i){_B}(?:mailto|tel|sms|callto|sip|xmpp):[^\s<>()\[\]\"']+", "[CONTACT_REDACTED]", 91),
+    Detector("CONTACT_URI", rf"(?i){_B}(?:tel|sms):(?:\+|%2b)?\(?(?:\d|%3\d)(?:(?:[./ \t()-]|%2[0def])*(?:\d|%3\d)\)?)*(?:[;?][^\s<>()\[\]\"']+)?", "[CONTACT_REDACTED]", 91, needs=":"),
+    Detector("CONTACT_URI", rf"(?i){_B}(?:mailto|callto|sip|xmpp|(?:tel|sms)(?!:[+(\d%])):[^\s<>()\[\]\"']+", "[CONTACT_REDACTED]", 91),
     Detector("EMAIL", r"(?:[\p{L}\p{N}._%+-]|\\_)+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}", "[EMAIL_REDACTED]", 90, needs="@"),
     Detector("EMAIL", r'"[^"\n@]{1,64}"@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}', "[EMAIL_REDACTED]", 90, needs='"@'),
     Detector("EMAIL", rf"(?i)[\p{{L}}\p{{N}}._+-]+{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)*{_DOT}\p{{L}}{{2,}}", "[EMAIL_REDACTED]", 90, needs="&"),
