@@ -48,8 +48,17 @@ TERMS = {
 }
 # Phrases in which a term is no insult.
 EXCEPTIONS = ["clown fish", "class clown", "circus clown", "trash can", "trash bin", "trash bag", "garbage can", "garbage collection", "garbage collector", "guinea pig", "pig iron", "sick leave", "sick day", "idiot proof", "fool proof", "jerk chicken", "pathetic fallacy", "parasite drag"]
-# Look-alikes of Latin letters, Cyrillic and Greek, in the order of the letters below them.
-LOOKALIKES = ("авсԁеһіјӏмпорԛѕтԝхуᴦαβεικνορτυχıȷłøđħŧ", "abcdehijlmnopqstwxyraßeiknoptuxijlodht")
+# Letters that look like a Latin one, small and capital ones apart, as Greek eta looks like n and its capital like H.
+SMALL_LOOKALIKES = {
+    "а": "a", "в": "b", "г": "r", "е": "e", "ё": "e", "з": "z", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ш": "w", "ь": "b",
+    "ѕ": "s", "і": "i", "ї": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "ѵ": "v", "ү": "y",
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
+    "ı": "i", "ȷ": "j", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "ʏ": "y",
+}
+CAPITAL_LOOKALIKES = {
+    "А": "a", "В": "b", "Е": "e", "К": "k", "М": "m", "Н": "h", "О": "o", "Р": "p", "С": "c", "Т": "t", "У": "y", "Х": "x", "Ѕ": "s", "І": "i", "Ј": "j", "Ԁ": "d", "Ԛ": "q", "Ԝ": "w", "Ү": "y",
+    "Α": "a", "Β": "b", "Ε": "e", "Ζ": "z", "Η": "h", "Ι": "i", "Κ": "k", "Μ": "m", "Ν": "n", "Ο": "o", "Ρ": "p", "Τ": "t", "Υ": "y", "Χ": "x",
+}
 # Digits and signs that stand for letters.
 LEET = ("013457@", "oieasta")
 ZERO_WIDTH = [0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
@@ -72,7 +81,7 @@ _STEM, _WORD, _EXEMPT = 0, 1, 2
 def _fold_table() -> dict[int, int | None]:
     import unicodedata
 
-    table: dict[int, int | None] = {ord(a): ord(b) for a, b in zip(*LOOKALIKES)}
+    table: dict[int, int | None] = {ord(a): ord(b) for a, b in SMALL_LOOKALIKES.items()}
     table |= {ord(a): ord(b) for a, b in zip(*LEET)}
     table |= {code: code - 0xFEE0 for code in range(0xFF41, 0xFF5B)}
     for code in range(0xC0, 0x250):
@@ -83,6 +92,7 @@ def _fold_table() -> dict[int, int | None]:
 
 
 _FOLD = _fold_table()
+_CAPITALS = {ord(a): ord(b) for a, b in CAPITAL_LOOKALIKES.items()}
 _INVISIBLE = re.compile("[" + "".join(chr(c) for c in ZERO_WIDTH) + "\u0300-\u036f]")
 
 
@@ -90,10 +100,14 @@ def fold(text: str) -> tuple[str, str]:
     """The lowered text without marks that combine and what shows nothing, and its folded form, of equal length."""
     import unicodedata
 
-    plain = text.lower()
-    if not plain.isascii():
-        plain = _INVISIBLE.sub("", unicodedata.normalize("NFC", plain))
-    return plain, plain.translate(_FOLD)
+    if text.isascii():
+        plain = text.lower()
+        return plain, plain.translate(_FOLD)
+    whole = _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
+    plain, folded = whole.lower(), whole.translate(_CAPITALS).lower()
+    # marks that lowering splits off
+    plain, folded = (_INVISIBLE.sub("", unicodedata.normalize("NFC", x)) for x in (plain, folded))
+    return plain, folded.translate(_FOLD)
 
 
 @dataclass
