@@ -25,10 +25,31 @@ def payload_of(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes of a payload in one image; what is longer goes on in further ones, which follow one another in the stored form.
+MOST_BYTES = 4 * webp.MAX_SIDE**2
+
+
+def encode_payload(payload: np.ndarray, most: int = MOST_BYTES) -> bytes:
+    """The images of a payload, one file after the other."""
+    return b"".join(webp.encode(pixels_of(payload[a : a + most])) for a in range(0, len(payload), most))
+
+
+def files_of(media: bytes) -> list[bytes]:
+    """The files that follow one another, each as long as its head says."""
+    out, at = [], 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        # what is no whole file is left to the decoder, which tells why
+        end = len(media) if media[at : at + 4] != b"RIFF" or at + size > len(media) else at + size + size % 2
+        out.append(media[at:end])
+        at = max(end, at + 1)
+    return out or [media]
+
+
 def pixels_of(payload: np.ndarray) -> np.ndarray:
     """The payload as grays, a byte a pixel, in an image wider than it is high; zeros behind it fill the last row.
 
-    What does not fit so is an image of four bytes a pixel. Text is never taken
+    What does not fit so is an image of four bytes a pixel, up to MOST_BYTES. Text is never taken
     for the other form when it is read back, as no byte of UTF-8 is an opaque alpha.
     """
     gray = len(payload) <= webp.MAX_SIDE**2
@@ -38,7 +59,7 @@ def pixels_of(payload: np.ndarray) -> np.ndarray:
         width *= 2
     height = -(-pixels // width)
     if height > webp.MAX_SIDE:
-        raise webp.WebpError("a payload over 1 GiB does not fit one image")
+        raise webp.WebpError("a payload over MOST_BYTES does not fit one image")
     out = np.zeros(height * width * (1 if gray else 4), np.uint8)
     out[: len(payload)] = payload
     return out.reshape(height, width) if gray else out.reshape(height, width, 4)
@@ -67,7 +88,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in tk.slices(batch.column("text")):
                 sizes, media = np.diff(part.offsets), []
                 for a, b in zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist()):
-                    media.append(webp.encode(pixels_of(payload_of(part.buf[a:b]))))
+                    media.append(encode_payload(payload_of(part.buf[a:b])))
                 padded = np.maximum(1, -(-sizes // UNIT)) * UNIT
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), pa.array(sizes), pa.array(padded), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "payload_bytes", "media"])
 
@@ -78,7 +99,9 @@ def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
     """``rows`` with width, height, pixels (raw bytes, row by row: one a pixel in images of opaque grays, else red, green, blue and alpha), feature and media_error.
 
     Null media have nulls there. Bytes that are no lossless WebP image have
-    nulls and the reason in media_error. Other columns stay as they are; those
+    nulls and the reason in media_error. Of several images that follow one
+    another the pixels are joined, the features parted by semicolons, and the
+    size is that of the first. Other columns stay as they are; those
     of the same names, in any case, give way. The media column stays, unless it
     has one of these names itself. An empty table gives no rows.
     """
@@ -97,8 +120,8 @@ def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
                     row: tuple = (None,) * 5
                     if x.is_valid:
                         try:
-                            pixels = webp.decode(x.as_py())
-                            row = pixels.shape[1], pixels.shape[0], pixels.tobytes(), feature_of(pixels), None
+                            images = [webp.decode(f) for f in files_of(x.as_py())]
+                            row = images[0].shape[1], images[0].shape[0], b"".join(i.tobytes() for i in images), ";".join(map(feature_of, images)), None
                         except webp.WebpError as e:
                             row = (None, None, None, None, str(e))
                     for col, value in zip(cols, row):

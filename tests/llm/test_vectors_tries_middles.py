@@ -238,3 +238,28 @@ def test_pieces_with_parts_of_marks_come_back():
         text = "<P" * (i % 5) + ">" + "<S" * (i % 7) + "M>" * (i % 3) + "<" * (i % 4) + "P>" * (i % 2)
         n, form, _, _, out = rearranged(text, str(i), Plan(cut=100))
         assert original(out, form) == text
+
+
+# what earlier operators hold beyond one image, and letters that look alike
+
+
+def test_long_payloads_take_several_images(spark):
+    from quillveil.llm import media, webp
+
+    payload = np.random.default_rng(1).integers(97, 123, 64 * 50, dtype=np.uint8)
+    raw = media.encode_payload(payload, most=1024)
+    files = media.files_of(raw)
+    assert len(files) == 4 and b"".join(webp.decode(f).tobytes() for f in files)[: len(payload)] == payload.tobytes()
+    rows = spark.createDataFrame([(1, raw), (2, raw[:-7]), (3, b""), (4, b"RIFFxx")], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.decode_media(rows).collect()}
+    assert bytes(got[1].pixels)[: len(payload)] == payload.tobytes() and got[1].feature.count(";") == 3 and got[1].media_error is None
+    assert all(got[i].pixels is None and got[i].media_error for i in (2, 3, 4))
+
+
+def test_letters_that_look_alike_are_folded_by_their_case():
+    from quillveil.llm import toxicity
+
+    want = {"\u041c\u041eR\u041eN": "moron", "\u0397\u0391\u03a4\u0395": "hate", "\u03b2itch": "bitch", "i\u0501i\u043et": "idiot", "s\u03c4\u03c5p1d": "stupid", "\u03b7it\u0448it": "nitwit", "\u0130diot": "idiot", "id\u200bi\u0301ot": "idiot"}
+    for text, folded in want.items():
+        plain, got = toxicity.fold(text)
+        assert got == folded and len(plain) == len(got), text
