@@ -132,6 +132,26 @@ def without_overlap(spans: Column, others: Column) -> Column:
     return let(both, lambda b: F.when(F.size(b["others"]) == 0, b["spans"]).otherwise(F.filter(b["spans"], lambda s: ~F.exists(b["others"], lambda o: overlaps(s, o)))))
 
 
+def _swept(points: str, spans: str, value: str, step: str) -> str:
+    """For each of the spans, in order of their starts, the fold over the points (structs with a place ``a`` first) up to its start; both are sorted together, so no span looks through all points."""
+    events = f"array_sort(concat(transform({points}, p -> struct(p.a as a, 0 as k, p.b as b)), transform({spans}, y -> struct(y.start as a, 1 as k, y.`end` as b))))"
+    folded = _before(f"transform(events, e -> if(e.k = 0, {value}, 0))", step)
+    return _let(events, "events", f"transform(filter(zip_with(events, {folded}, (e, r) -> struct(e.k as k, r as r)), z -> z.k = 1), z -> z.r)")
+
+
+def inside(spans: str, covers: str) -> Column:
+    """For each of the spans, which are disjoint and in order as the covers are, whether one of the covers holds it."""
+    reach = _swept("transform(covers, c -> struct(c.start as a, c.`end` as b))", "spans", "e.b", _MOST)
+    held = f"zip_with(spans, {reach}, (y, r) -> y.`end` <= r)"
+    return F.expr(_let(_sql(spans), "spans", _let(_sql(covers), "covers", f"if(size(covers) = 0, transform(spans, y -> false), {held})")))
+
+
+def line_numbers(spans: str, starts: str) -> Column:
+    """For each of the spans, in order of their starts, the number of its line from 1; ``starts`` are those of the lines."""
+    count = _swept("transform(starts, a -> struct(a as a, 0 as b))", "spans", "1", _SUM)
+    return F.expr(_let(_sql(spans), "spans", _let(_sql(starts), "starts", f"if(size(spans) = 0, cast(array() as array<int>), {count})")))
+
+
 def within(spans: Column, covers: Column) -> Column:
     """The spans that one of the covers contains: an interval semi join inside the row."""
     both = F.struct(spans.alias("spans"), covers.alias("covers"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,32 +52,49 @@ def _headed(name: str) -> str:
     return rf"(?i)\A[\s*_`]*{_LABELS[name]}[\s*_`]*[:：]?[\s*_`]*\z"
 
 
-def _label_before(name: str, window: int) -> Callable[[Column, Column, Column], Column]:
-    pattern = rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABELS[name]}[^\n]*$"
+#: Lines above that are looked at for a label, beside the span's own.
+ABOVE = 8
 
-    def test(text: Column, cells: Column, span: Column) -> Column:
-        begin = F.greatest(span["start"] - window, F.lit(0))
-        before = F.substring(text, begin + 1, span["start"] - begin)
-        line = F.regexp_extract(before, r"[^\n]*\z", 0)
-        above = F.regexp_extract(before, r"([^\n]{1,80})\n[\s]*\z", 1)
-        headed = F.exists(cells, lambda c: (c["start"] <= span["start"]) & (span["end"] <= c["end"]) & F.regexp_like(c["header"], F.lit(_headed(name))))
-        return F.regexp_like(line, F.lit(pattern)) | ((F.trim(line) == "") & F.regexp_like(above, F.lit(pattern))) | headed
 
-    return test
+def _label_pattern(name: str) -> str:
+    return rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABELS[name]}[^\n]*$"
 
 
-def _card(text: Column, cells: Column, span: Column) -> Column:
+def _labelled(c: Column, name: str) -> Column:
+    """Whether the label stands before a span: on its line, in the nearest short line above where nothing else is before it, or in the header of its cell."""
+    pattern = F.lit(_label_pattern(name))
+    return c["headed"] | F.regexp_like(c["left"], pattern) | ((F.trim(c["left"]) == "") & F.regexp_like(F.regexp_extract(c["before"], r"([^\n]{1,80})\n[\s]*\z", 1), pattern))
+
+
+def _with_context(spans: str, window: int) -> Column:
+    """The spans of a column, each with whether its cell has the header (``{spans}_headed``), what of its line stands before it, its line, and up to ``window`` characters before it, over ``ABOVE`` lines at most."""
+
+    def one(s: Column, headed: Column, number: Column) -> Column:
+        begins = F.element_at("_starts", number)
+        line = F.element_at("_rows", number)
+        skipped = F.greatest(s["start"] - window - begins, F.lit(0))
+        left = F.substring(line, skipped + 1, s["start"] - begins - skipped)
+        first = F.greatest(number - ABOVE, F.lit(1))
+        above = F.concat(F.array_join(F.slice("_rows", first, number - first), "\n"), F.when(number > 1, F.lit("\n")).otherwise(F.lit("")), left)
+        return F.struct(s.alias("span"), headed.alias("headed"), line.alias("line"), left.alias("left"), F.when(F.trim(left) == "", F.right(above, F.lit(window))).otherwise(F.lit("")).alias("before"))
+
+    return F.zip_with(F.arrays_zip(F.col(spans).alias("s"), F.col(f"{spans}_headed").alias("h")), f"{spans}_line", lambda x, number: one(x["s"], x["h"], number))
+
+
+def _card(span: Column) -> Column:
     return luhn_valid(span["text"])
 
 
-def _phone(text: Column, cells: Column, span: Column) -> Column:
-    return calendar_date(span["text"]).isNull() & (F.startswith(span["text"], F.lit("+")) | _label_before("phone", 256)(text, cells, span))
+def _plus(c: Column) -> Column:
+    return F.startswith(c["span"]["text"], F.lit("+"))
 
 
-def _bic(text: Column, cells: Column, span: Column) -> Column:
-    begin = F.substring(text, F.lit(1), span["start"])
-    line = F.concat(F.regexp_extract(begin, r"[^\n]*\z", 0), F.regexp_extract(F.substring(text, span["end"] + 1, F.length(text)), r"\A[^\n]*", 0))
-    return _label_before("bank", 40)(text, cells, span) | F.regexp_like(line, F.lit(_B + _IBAN))
+def _no_date(span: Column) -> Column:
+    return calendar_date(span["text"]).isNull()
+
+
+def _by_iban(c: Column) -> Column:
+    return F.regexp_like(c["line"], F.lit(_B + _IBAN))
 
 
 @dataclass(frozen=True)
@@ -87,9 +103,14 @@ class Detector:
     pattern: str
     placeholder: str
     priority: int
-    accept: Callable[[Column, Column, Column], Column] | None = None
+    #: A test of the match itself.
+    accept: Callable[[Column], Column] | None = None
     needs: str | None = None
     folded: bool = True
+    #: The label that must stand before it, how far off, and what does instead.
+    label: str | None = None
+    window: int = 40
+    instead: Callable[[Column], Column] | None = None
 
 
 # Types, placeholders and priorities of the span model, in the order in which equal spans win.
@@ -103,14 +124,14 @@ DETECTORS = [
     Detector("EMAIL", r"(?i)[\p{L}\p{N}._+-]+%40[\p{L}\p{N}-]+(?:(?:\.|%2e)[\p{L}\p{N}-]+)*(?:\.|%2e)\p{L}{2,}", "[EMAIL_REDACTED]", 90, needs="%40"),
     Detector("IBAN", _B + _IBAN + _A, "[BANK_DATA_REDACTED]", 88),
     Detector("CREDIT_CARD", _B + r"\d(?:[ -]?\d){12,18}" + _A, "[BANK_DATA_REDACTED]", 87, _card),
-    Detector("BIC", _B + r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?" + _A, "[BANK_DATA_REDACTED]", 86, _bic),
+    Detector("BIC", _B + r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?" + _A, "[BANK_DATA_REDACTED]", 86, label="bank", instead=_by_iban),
     Detector("DE_SOCIAL_SECURITY", _B + r"\d{2} ?\d{6} ?[A-Z] ?\d{2} ?\d" + _A, "[ID_REDACTED]", 84),
-    Detector("DE_TAX_ID", _B + r"\d{2} ?\d{3} ?\d{3} ?\d{3}" + _A, "[ID_REDACTED]", 83, _label_before("tax", 40)),
-    Detector("REFERENCE_ID", _B + r"(?=[\p{L}\p{N}/-]{0,20}\d)[\p{L}\p{N}]+(?:[-/.][\p{L}\p{N}]+){0,3}" + _A, "[ID_REDACTED]", 82, _label_before("id", 40)),
-    Detector("DATE_OF_BIRTH", _B + rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.? (?:{_MONTHS}) \d{{4}}|(?:{_MONTHS}) \d{{1,2}}, \d{{4}})" + _A, "[DATE_REDACTED]", 81, _label_before("birth", 40)),
-    Detector("VEHICLE_PLATE", _B + r"[A-ZÄÖÜ]{1,3}-[A-Z]{1,2} \d{1,4}[EH]?" + _A, "[ID_REDACTED]", 81, _label_before("plate", 40)),
-    Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+|\(?0)\d(?:[ ()/.-]{0,2}\d){6,16}" + _A, "[PHONE_REDACTED]", 80, _phone),
-    Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+33[ .-]?|0)\d(?:[ .-]?\d{2}){4}" + _A, "[PHONE_REDACTED]", 80, _phone),
+    Detector("DE_TAX_ID", _B + r"\d{2} ?\d{3} ?\d{3} ?\d{3}" + _A, "[ID_REDACTED]", 83, label="tax"),
+    Detector("REFERENCE_ID", _B + r"(?=[\p{L}\p{N}/-]{0,20}\d)[\p{L}\p{N}]+(?:[-/.][\p{L}\p{N}]+){0,3}" + _A, "[ID_REDACTED]", 82, label="id"),
+    Detector("DATE_OF_BIRTH", _B + rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.? (?:{_MONTHS}) \d{{4}}|(?:{_MONTHS}) \d{{1,2}}, \d{{4}})" + _A, "[DATE_REDACTED]", 81, label="birth"),
+    Detector("VEHICLE_PLATE", _B + r"[A-ZÄÖÜ]{1,3}-[A-Z]{1,2} \d{1,4}[EH]?" + _A, "[ID_REDACTED]", 81, label="plate"),
+    Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+|\(?0)\d(?:[ ()/.-]{0,2}\d){6,16}" + _A, "[PHONE_REDACTED]", 80, _no_date, label="phone", window=256, instead=_plus),
+    Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+33[ .-]?|0)\d(?:[ .-]?\d{2}){4}" + _A, "[PHONE_REDACTED]", 80, _no_date, label="phone", window=256, instead=_plus),
     Detector("IP", rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\d)", "[IP_REDACTED]", 78, needs="."),
     Detector("IPV6", rf"(?<![0-9A-Fa-f:.])(?:(?:(?:{_H}:){{6}}|(?:{_H}(?::{_H}){{0,5}})?::(?:{_H}:){{0,5}})(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)|(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|(?:{_H}:){{1,6}}:{_H}|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|::(?:{_H}:){{0,6}}{_H})(?![0-9A-Fa-f:])", "[IP_REDACTED]", 78, needs=":"),
     Detector("STREET_ADDRESS", _B + rf"(?!Im (?:{_MONTHS}) \d{{4}})(?:[\p{{Lu}}][\p{{L}}-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm)|(?:Am|Im|An der|Auf der) [\p{{Lu}}][\p{{L}}-]+) \d{{1,4}}[a-z]?" + _A, "[LOCATION_REDACTED]", 77, folded=False),
@@ -140,6 +161,14 @@ def _trim_iban(found: Column) -> Column:
     return F.transform(found, lambda s: F.when(F.try_element_at(lengths, F.substring(s["text"], 1, 2)).isNotNull(), cut(s)).otherwise(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))
 
 
+def _under(label: str) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_like(c["header"], F.lit(_headed(label)))
+
+
+def _told(d: Detector) -> Callable[[Column], Column]:
+    return lambda c: _labelled(c, d.label) | d.instead(c) if d.instead else _labelled(c, d.label)
+
+
 def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False) -> DataFrame:
     """``docs`` (with a text column) and all their spans, before overlaps are resolved.
 
@@ -152,22 +181,31 @@ def detect(docs: DataFrame, types: list[str] | None = None, urls: bool = False)
     chosen = [d for d in [*DETECTORS, *([URL] if urls else [])] if types is None or d.type in types]
     folded = sp.hold(docs, _folded=fold_identifiers(F.col("text")))
     secrets = [(i, d) for i, d in enumerate(chosen) if d.type == "CREDENTIAL"]
-    labelled = bool(secrets) or any(d.accept not in (None, _card) for d in chosen)
+    labelled = bool(secrets) or any(d.label for d in chosen)
     if labelled:
         named = F.transform(placed_cells(F.col("text")), lambda c: c.withField("header", fold_identifiers(c["header"])))
         folded = sp.hold(folded, _cells=F.filter(named, lambda c: F.regexp_like(c["header"], F.lit("|".join(_headed(name) for name in _LABELS)))))
     else:
         folded = sp.hold(folded, _cells=F.expr(f"cast(array() as array<{CELL}>)"))
-    found = {}
+    found, headed, tested = {}, {}, {}
     for i, d in enumerate(chosen):
-        view = F.col("_folded") if d.folded else F.col("text")
-        spans = sp.find(view, d.pattern, d.needs)
+        spans = sp.find(F.col("_folded") if d.folded else F.col("text"), d.pattern, d.needs)
         if d.type == "IBAN":
             spans = _trim_iban(spans)
         if d.accept:
-            spans = F.filter(spans, partial(d.accept, view, F.col("_cells")))
-        found[f"_s{i}"] = _typed(spans, d, i)
+            spans = F.filter(spans, d.accept)
+        found[f"_s{i}"] = spans
+        if d.label:
+            headed[f"_h{i}"] = F.filter("_cells", _under(d.label))
     out = sp.hold(folded, **found, _reserved=sp.find(F.col("text"), PLACEHOLDER, "["))
+    with_label = [(f"_s{i}", f"_h{i}", d) for i, d in enumerate(chosen) if d.label]
+    if with_label:
+        out = sp.hold(out, **headed, _rows=F.split("_folded", "\n", -1), _starts=sp.sums_before("transform(split(`_folded`, '\\n', -1), t -> length(t) + 1)"))
+        out = sp.hold(out, **{f"{s}_headed": sp.inside(f"`{s}`", f"`{h}`") for s, h, _ in with_label}, **{f"{s}_line": sp.line_numbers(f"`{s}`", "`_starts`") for s, _, _ in with_label})
+        for s, _, d in with_label:
+            tested[s] = F.transform(F.filter(_with_context(s, d.window), _told(d)), lambda c: c["span"])
+        out = sp.hold(out, **tested).drop("_rows", "_starts", *headed, *[f"{s}_{x}" for s, _, _ in with_label for x in ("headed", "line")])
+    out = sp.hold(out, **{f"_s{i}": _typed(F.col(f"_s{i}"), d, i) for i, d in enumerate(chosen)})
     spans = sp.without_overlap(F.concat(*[F.col(c) for c in found]), F.col("_reserved"))
     for i, d in secrets:
         # no placeholder of another kind vouches for the rest of such a cell
