@@ -291,7 +291,7 @@ def encoded_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKED_UP = "'**Haus** <b>' || l || '</b> &amp;lt;i&gt; `a*b*` _x_ <!-- ' || k || ' -->&auml;<br>q' || chr(10) || '~~~' || chr(10) || '**' || f || '** &amp;' || chr(10) || '~~~~'"
 
 
-@query(f"WITH d AS ({_sql_docs(_MARKED_UP)}) SELECT doc_id, 'Haus ' || l || ' &lt;i> a\*b\* x ä q' || chr(10) || '~~~' || chr(10) || '**' || f || '** &amp;' || chr(10) || '~~~~' AS text FROM d")
+@query(f"WITH d AS ({_sql_docs(_MARKED_UP)}) SELECT doc_id, 'Haus ' || l || ' &lt;i> a\\*b\\* x ä q' || chr(10) || '~~~' || chr(10) || '**' || f || '** &amp;' || chr(10) || '~~~~' AS text FROM d")
 def rendered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.rendered(_docs(spark, sf_dir, _MARKED_UP))
 
