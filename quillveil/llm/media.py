@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,30 @@ def encode_payload(payload: np.ndarray, most: int = MOST_BYTES) -> bytes:
     return b"".join(webp.encode(pixels_of(payload[a : a + most])) for a in range(0, len(payload), most))
 
 
+#: Payloads and files up to so many bytes are remembered by a worker, the latest REMEMBERED of either, as copies of a text are.
+SMALL, REMEMBERED = 1 << 16, 512
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _encoded(payload: bytes) -> bytes:
+    return encode_payload(np.frombuffer(payload, np.uint8))
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _decoded(media: bytes) -> tuple:
+    """(width, height, pixels, feature, error) of a stored form."""
+    try:
+        images = [webp.decode(f) for f in files_of(media)]
+    except webp.WebpError as e:
+        return None, None, None, None, str(e)
+    return images[0].shape[1], images[0].shape[0], b"".join(i.tobytes() for i in images), ";".join(map(feature_of, images)), None
+
+
+def _small(f: Callable, raw: bytes):
+    """``f`` of the bytes, from memory where they are few."""
+    return f(raw) if len(raw) <= SMALL else f.__wrapped__(raw)
+
+
 def files_of(media: bytes) -> list[bytes]:
     """The files that follow one another, each as long as its head says."""
     out, at = [], 0
@@ -88,7 +113,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in tk.slices(batch.column("text")):
                 sizes, media = np.diff(part.offsets), []
                 for a, b in zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist()):
-                    media.append(encode_payload(payload_of(part.buf[a:b])))
+                    media.append(_small(_encoded, payload_of(part.buf[a:b]).tobytes()))
                 padded = np.maximum(1, -(-sizes // UNIT)) * UNIT
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), pa.array(sizes), pa.array(padded), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "payload_bytes", "media"])
 
@@ -117,13 +142,7 @@ def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
                 part = batch.slice(first, step)
                 cols: list[list] = [[], [], [], [], []]
                 for x in part.column(source):
-                    row: tuple = (None,) * 5
-                    if x.is_valid:
-                        try:
-                            images = [webp.decode(f) for f in files_of(x.as_py())]
-                            row = images[0].shape[1], images[0].shape[0], b"".join(i.tobytes() for i in images), ";".join(map(feature_of, images)), None
-                        except webp.WebpError as e:
-                            row = (None, None, None, None, str(e))
+                    row = _small(_decoded, x.as_py()) if x.is_valid else (None,) * 5
                     for col, value in zip(cols, row):
                         col.append(value)
                 kinds = [pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]

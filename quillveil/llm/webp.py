@@ -291,7 +291,7 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, tot
             if len(table) == 1 and found:
                 found.append(table[:1])  # a single symbol takes no bits
                 continue
-            e = table[(ahead[behind] if found else ahead[:size]) & np.int32(len(table) - 1)]
+            e = table.take((ahead.take(behind) if found else ahead[:size]) & np.int32(len(table) - 1))
             found.append(e)
             behind = behind + (e & 15)
         symbol = found[0] >> 4
@@ -309,9 +309,9 @@ def _one_group(bits: _Bits, codes: list[_Code], cache_bits: int, width: int, tot
         # the chain is followed eight places at a time; places behind the chunk stay where they are
         one = np.arange(size + 64)
         one[:size] = behind
-        two = one[one]
-        four = two[two]
-        eight = memoryview(four[four])
+        two = one.take(one)
+        four = two.take(two)
+        eight = memoryview(four.take(four))
         chain, p = [], bits.at - base
         for _ in range((total - done + 7) // 8):
             chain.append(p)
