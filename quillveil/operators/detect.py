@@ -44,7 +44,13 @@ _LABELS = {
 # Units after which five digits are no postcode, and standards before which they are none.
 _UNITS = r"(?:Euro|EUR|kg|km|Stück|Personen|USD|Liter|Tonnen|Meter)"
 # Lengths of account numbers by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "DE": 22, "GB": 22, "NL": 18}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 
 def _headed(name: str) -> str:
@@ -152,13 +158,13 @@ def _trim_iban(found: Column) -> Column:
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
 
     def cut(s: Column) -> Column:
-        want = F.coalesce(F.try_element_at(lengths, F.substring(s["text"], 1, 2)), F.lit(34))
-        bounded = F.array(*[F.regexp_extract(s["text"], rf"\A(?:[A-Z0-9][ -]?){{{n - 1}}}[A-Z0-9]", 0) for n in sorted(set(IBAN_LENGTHS.values()))])
-        own = F.element_at(bounded, F.array_position(F.array(*[F.lit(n) for n in sorted(set(IBAN_LENGTHS.values()))]), want).cast("int"))
-        text = F.when(want < 34, F.when(own != "", own).otherwise(s["text"])).otherwise(s["text"])
+        want = F.try_element_at(lengths, F.substring(s["text"], 1, 2))
+        # so many letters and digits from the beginning on
+        whole = F.call_function("regexp_extract", s["text"], F.concat(F.lit(r"\A(?:[A-Z0-9][ -]?){"), (want - 1).cast("string"), F.lit("}[A-Z0-9]")), F.lit(0))
+        text = F.when(want.isNotNull() & (whole != ""), whole).otherwise(s["text"])
         return F.struct(s["start"].alias("start"), (s["start"] + F.length(text)).alias("end"), text.alias("text"))
 
-    return F.transform(found, lambda s: F.when(F.try_element_at(lengths, F.substring(s["text"], 1, 2)).isNotNull(), cut(s)).otherwise(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))
+    return F.transform(found, cut)
 
 
 def _under(label: str) -> Callable[[Column], Column]:

@@ -76,3 +76,9 @@ def test_table_headers_are_labels(spark):
     assert {r.type for r in residual(df, "text").collect()} == {"CREDENTIAL", "REFERENCE_ID", "PHONE", "DATE_OF_BIRTH"}
     row = release(df).first()
     assert (row.redacted, row.verdict) == (want, "released")
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["FR14 2004 1010 0505 0001 3M02 606 UND MEHR", "CH93-0076-2011-6238-5295-7 ABC", "NO9386011117947 X", "ZZ12 3456 7890 1234 5678", "DE12 5001 0517 0648 4898"]
+    got = [r.redacted for r in redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["IBAN"]).orderBy("doc_id").collect()]
+    assert got == ["[BANK_DATA_REDACTED] UND MEHR", "[BANK_DATA_REDACTED] ABC", "[BANK_DATA_REDACTED] X", "[BANK_DATA_REDACTED]", "[BANK_DATA_REDACTED]"]
