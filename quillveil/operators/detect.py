@@ -22,6 +22,9 @@ SPAN = "struct<type:string,start:int,end:int,text:string,replacement:string,prio
 
 _B, _A = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _IBAN = r"[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}"
+# Neither the first nor the last octet of an address beside a card, nor the local part of a mail address, is part of its number.
+_CARD = r"(?!(?<=\d\.\d{1,3}\.\d{1,3}\.)\d{1,3}[ -])\d(?:[ -]?\d){12,18}"
+_CARD_END = r"(?!(?<=[ -]\d{1,3})\.\d{1,3}\.\d{1,3}\.\d)(?![\p{L}\p{N}._%+-]*@)"
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|January|February|March|May|June|July|October|December|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|noviembre|diciembre"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _H = "[0-9A-Fa-f]{1,4}"
@@ -129,7 +132,7 @@ DETECTORS = [
     Detector("EMAIL", rf"(?i)[\p{{L}}\p{{N}}._+-]+{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)*{_DOT}\p{{L}}{{2,}}", "[EMAIL_REDACTED]", 90, needs="&"),
     Detector("EMAIL", r"(?i)[\p{L}\p{N}._+-]+%40[\p{L}\p{N}-]+(?:(?:\.|%2e)[\p{L}\p{N}-]+)*(?:\.|%2e)\p{L}{2,}", "[EMAIL_REDACTED]", 90, needs="%40"),
     Detector("IBAN", _B + _IBAN + _A, "[BANK_DATA_REDACTED]", 88),
-    Detector("CREDIT_CARD", _B + r"\d(?:[ -]?\d){12,18}" + _A, "[BANK_DATA_REDACTED]", 87, _card),
+    Detector("CREDIT_CARD", _B + _CARD + _A + _CARD_END, "[BANK_DATA_REDACTED]", 87, _card),
     Detector("BIC", _B + r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?" + _A, "[BANK_DATA_REDACTED]", 86, label="bank", instead=_by_iban),
     Detector("DE_SOCIAL_SECURITY", _B + r"\d{2} ?\d{6} ?[A-Z] ?\d{2} ?\d" + _A, "[ID_REDACTED]", 84),
     Detector("DE_TAX_ID", _B + r"\d{2} ?\d{3} ?\d{3} ?\d{3}" + _A, "[ID_REDACTED]", 83, label="tax"),

@@ -82,3 +82,25 @@ def test_account_numbers_end_where_their_country_says(spark):
     texts = ["FR14 2004 1010 0505 0001 3M02 606 UND MEHR", "CH93-0076-2011-6238-5295-7 ABC", "NO9386011117947 X", "ZZ12 3456 7890 1234 5678", "DE12 5001 0517 0648 4898"]
     got = [r.redacted for r in redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["IBAN"]).orderBy("doc_id").collect()]
     assert got == ["[BANK_DATA_REDACTED] UND MEHR", "[BANK_DATA_REDACTED] ABC", "[BANK_DATA_REDACTED] X", "[BANK_DATA_REDACTED]", "[BANK_DATA_REDACTED]"]
+
+
+def test_cards_beside_addresses(spark):
+    """A card takes no octet of an address and no local part beside it, whether or not the longer number would pass, so that a second run changes nothing."""
+    card, lucky = "4665471787434696", "4495589438270767"
+    texts = [f"{card} 42.73.240.87 an", f"an 38.211.12.42 {card}", f"{lucky} 42.73.240.87", f"{card} 70.x@mail.example.com", f"{card}.5 Punkte"]
+    rows = redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r.redacted for r in rows.orderBy("doc_id").collect()]
+    assert got == ["[BANK_DATA_REDACTED] [IP_REDACTED] an", "an [IP_REDACTED] [BANK_DATA_REDACTED]", "[BANK_DATA_REDACTED] [IP_REDACTED]", "[BANK_DATA_REDACTED] [EMAIL_REDACTED]", "[BANK_DATA_REDACTED].5 Punkte"]
+
+
+def test_cards_beside_addresses_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from quillveil.catalog import ORACLE_SQL, identifier_spans
+
+    texts = ["4495589438270767 42.73.240.87", "4495589438270767 42.73.240.87 4665471787434696", "38.211.12.42 4366089147969128 und 4665471787434696 70.x@mail.example.com", "1.2.3.4 4665471787434696-5.6.7.8"]
+    spark.createDataFrame([(i, "de", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = sorted(tuple(r) for r in db.sql(ORACLE_SQL["identifier_spans"]).fetchall())
+    assert sorted(tuple(r) for r in identifier_spans(spark, str(tmp_path)).collect()) == expected
+    assert len(expected) >= 10
