@@ -221,7 +221,7 @@ def identifier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH i AS (SELECT l_orderkey, epoch(l_shipdate)::BIGINT // 86400 AS s, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS e FROM lineitem),
 f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM i),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f)
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS island FROM f)
 SELECT l_orderkey, min(s) AS s, max(e) AS e, count(*) AS parts FROM g GROUP BY l_orderkey, island""")
 def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.unix_date(F.to_date("l_shipdate")).cast("long")

@@ -147,9 +147,10 @@ def placed_cells(text: Column) -> Column:
 
 
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Overlapping intervals of a key as one: an island begins where the start is past every end before it."""
+    """Overlapping intervals of a key as one: an island begins where the start is past every end before it; equal intervals are of one island."""
     ordered = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     fresh = rows.withColumn("fresh", F.when(F.col(start) > reach, 1).otherwise(0))
-    island = fresh.withColumn("island", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    # over ranges, as the first of equal intervals, which alone begins the island, may come later in this window
+    island = fresh.withColumn("island", F.sum("fresh").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return island.groupBy(key, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("island")

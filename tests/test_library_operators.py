@@ -144,3 +144,10 @@ def test_long_aliases_are_found(spark):
     got = sorted(tuple(r) for r in identity.known_aliases(docs, aliases).collect())
     assert got == [(1, "nord ost bank für handel gewerbe ag", 2), (1, "ost bank", 2), (2, "ost bank", 1)]
     assert identity.known_aliases(docs, aliases.limit(0)).count() == 0
+
+
+def test_equal_intervals_are_one_island(spark):
+    """Which of equal intervals comes first is open, so it decides nothing."""
+    rows = [(1, 5, 3), (1, 5, 3), (1, 9, 12), (1, 9, 12), (1, 11, 20)]
+    got = lines.merge_intervals(spark.createDataFrame(rows, "k int, s int, e int"), "k", "s", "e").collect()
+    assert sorted((r.s, r.e, r.parts) for r in got) == [(5, 3, 2), (9, 20, 3)]
