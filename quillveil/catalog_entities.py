@@ -467,7 +467,7 @@ _MORE = [
     ("IPV6", "Netz ", "'2001:db8::' || (1 + c_custkey % 90)"),
     ("STREET_ADDRESS", "Anschrift ", "'Lindenallee ' || (1 + c_custkey % 90)"),
     ("STREET_ADDRESS", "Adresse ", "(1 + c_custkey % 90) || ' rue de Metz'"),
-    ("POSTAL_ADDRESS", "Ort ", "(10000 + c_custkey) || ' Neustadt'"),
+    ("POSTAL_ADDRESS", "Ort ", "(10000 + c_custkey % 90000) || ' Neustadt'"),
     ("EMAIL", "Post ", "'kunde' || c_custkey || '&#64;example.invalid'"),
     ("EMAIL", "Brief ", "'kunde' || c_custkey || '%40example.invalid'"),
 ]

@@ -104,3 +104,11 @@ def test_cards_beside_addresses_as_in_sql(spark, tmp_path):
     expected = sorted(tuple(r) for r in db.sql(ORACLE_SQL["identifier_spans"]).fetchall())
     assert sorted(tuple(r) for r in identifier_spans(spark, str(tmp_path)).collect()) == expected
     assert len(expected) >= 10
+
+
+def test_records_of_many_customers_have_postcodes(spark, tmp_path):
+    from quillveil.catalog_entities import further_identifiers
+
+    spark.createDataFrame([(5,), (104999,), (5400000,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = further_identifiers(spark, str(tmp_path)).filter("type = 'POSTAL_ADDRESS'").collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(5, "10005 Neustadt"), (104999, "24999 Neustadt"), (5400000, "10000 Neustadt")]
