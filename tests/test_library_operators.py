@@ -151,3 +151,17 @@ def test_equal_intervals_are_one_island(spark):
     rows = [(1, 5, 3), (1, 5, 3), (1, 9, 12), (1, 9, 12), (1, 11, 20)]
     got = lines.merge_intervals(spark.createDataFrame(rows, "k int, s int, e int"), "k", "s", "e").collect()
     assert sorted((r.s, r.e, r.parts) for r in got) == [(5, 3, 2), (9, 20, 3)]
+
+
+def test_profile_reads_a_text_once(spark):
+    """A text is put in small letters once for its profile, and once for all of its lines that ask for it."""
+    from quillveil.operators import seeds
+
+    docs = spark.createDataFrame([("Mitarbeiterprofil\nRolle: x\nAusbildung: y\nTeam\tAnna Berger", 1), ("Vertrag mit Haftung", 2), (None, 3)], "text string, n int")
+    profiles = docs.select("n", tx.profile_of(F.col("text")).alias("p"))
+    assert [r.p for r in profiles.orderBy("n").collect()] == ["personnel_profile", "contract", "general"]
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("lower(text")
+    assert times(profiles) == 1
+    found = docs.select(seeds.person_seeds(F.col("text"), seeds.empty("struct<start:int,end:int,header:string,line:int,stack:string>")).alias("s"))
+    assert times(found) == 1
+    assert "Anna Berger" in [s.name for s in found.first().s]
