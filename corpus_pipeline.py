@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillveil.llm.classifier import drop_poor
-from quillveil.llm.common import column, free_names, row_key, settle
+from quillveil.llm.common import column, free_names, grows, row_key, settle
 from quillveil.llm.mixing import mix_sources, repeat_rows
 from quillveil.llm.neardup import drop_near_copies
 from quillveil.llm.packing import pack_documents
@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id_, row, copies, rows = free_names(docs, "id", "row", "copies", "rows")
     mixed = mix_sources(docs.withColumn(row, row_key(docs)), keep=(row,)).filter("copies > 0")
     mixed = settle(mixed.groupBy(F.col("doc_id").alias(id_), row).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)))
-    taken = docs.join(mixed, (row_key(docs) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_, row)
+    taken = docs.join(grows(mixed), (row_key(docs) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_, row)
     # of equal rows some may have no copies, so those that are drawn do not tell whether there are others
     keys = docs.select(F.col("doc_id").alias(id_), row_key(docs).alias(row))
     if not keys.groupBy(id_, row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():

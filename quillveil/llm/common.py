@@ -61,6 +61,11 @@ def discard(*tables: DataFrame) -> None:
             files.delete(where, True)
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is sorted and merged, as broadcasts of many such tables fill the driver."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

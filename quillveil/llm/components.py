@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillveil.llm.common import discard, written
+from quillveil.llm.common import discard, grows, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         degrees = F.lit(0).cast("long")
         if number % 2:
             count = both.groupBy(F.col("a").alias("b")).agg((-F.count(F.lit(1))).alias("degree"))
-            both, degrees = both.join(count, "b"), F.col("degree")
+            both, degrees = both.join(grows(count), "b"), F.col("degree")
         rank = lambda c, d: F.struct(d.alias("degree"), F.xxhash64(c, F.lit(number)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
         best = both.groupBy("a").agg(F.min(rank("b", degrees)).alias("best"), (-F.count(F.lit(1)) if number % 2 else F.lit(0).cast("long")).alias("own"))
         step = written(best.select(F.col("a").alias("node"), F.least(rank("a", F.col("own")), F.col("best"))["id"].alias("to")))
-        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b")
+        ends = edges.join(grows(step.select(F.col("node").alias("a"), F.col("to").alias("ra"))), "a").join(grows(step.select(F.col("node").alias("b"), F.col("to").alias("rb"))), "b")
         before, edges = edges, written(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct())
         discard(before)
         if roots is None:
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             last = step
         else:
             moved = step.withColumnsRenamed({"node": "old"})
-            joined = written(roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("to", "root").alias("root")))
+            joined = written(roots.join(grows(moved), roots["root"] == moved["old"], "left").select("node", F.coalesce("to", "root").alias("root")))
             discard(last, step)
             roots = last = joined
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

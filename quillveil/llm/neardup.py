@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillveil.llm import textkernel as tk
-from quillveil.llm.common import column, discard, free_names, row_key, settle, written
+from quillveil.llm.common import column, discard, free_names, grows, row_key, settle, written
 from quillveil.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -205,7 +205,7 @@ def _match_tile(percent: int):
 def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component) of every node; those without links are their own."""
     roots = connected_components(links)
-    return nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
+    return nodes.join(grows(roots), nodes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -242,26 +242,26 @@ def _grouped(named: DataFrame, shingle_words: int, percent: int, bands: int = BA
     banded = classes.select("id", F.explode("keys").alias("key"))
     priority = F.struct(F.xxhash64("id").alias("p"), "id")
     hubs = banded.groupBy("key").agg(F.min(priority)["id"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    edges = written(banded.join(hubs, "key").filter("id <> hub").select("id", "hub").distinct())
+    edges = written(banded.join(grows(hubs), "key").filter("id <> hub").select("id", "hub").distinct())
     nodes = written(edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct())
-    needed = nodes.join(classes.select("id", "f1", "f2", F.col("first.row").alias("row")), "id")
-    sets = written(full_sets(named.select("row", "text").join(needed, "row"), shingle_words).dropDuplicates(["id"]), SET_ROWS)
-    pairs = edges.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
+    needed = grows(nodes).join(classes.select("id", "f1", "f2", F.col("first.row").alias("row")), "id")
+    sets = written(full_sets(named.select("row", "text").join(grows(needed), "row"), shingle_words).dropDuplicates(["id"]), SET_ROWS)
+    pairs = edges.join(grows(sets), "id").join(grows(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles"))), "hub")
     compared = written(pairs.mapInArrow(_compare(percent), "id long, hub long, linked boolean, size long, hub_size long, lacks binary, extra binary"), SET_ROWS)
     discard(edges, sets)
     found = written(_components(compared.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")), nodes))
 
     # hubs whose classes are in more than one component
-    under = compared.select("id", "hub").join(found, "id").unionByName(found.withColumn("hub", F.col("id")))
+    under = compared.select("id", "hub").join(grows(found), "id").unionByName(found.withColumn("hub", F.col("id")))
     split = under.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"))
     of_hub = found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    split = split.filter("least <> most").join(of_hub, "hub").select("hub", "hub_component", "n")
-    strays = compared.select("id", "hub").join(found, "id").join(of_hub, "hub").groupBy("hub").agg(F.count_if(F.col("component") != F.col("hub_component")).alias("n_strays"))
+    split = split.filter("least <> most").join(grows(of_hub), "hub").select("hub", "hub_component", "n")
+    strays = compared.select("id", "hub").join(grows(found), "id").join(grows(of_hub), "hub").groupBy("hub").agg(F.count_if(F.col("component") != F.col("hub_component")).alias("n_strays"))
     # the classes of one hub are dealt to parts, and what is known of the hub goes to all of them
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("part")
-    split = written(split.join(strays, "hub")).select("*", parts)
-    rows_ = compared.drop("linked").join(found, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT).cast("long")))
-    rows_ = rows_.join(split, ["hub", "part"]).withColumn("stray", F.col("component") != F.col("hub_component"))
+    split = written(split.join(grows(strays), "hub")).select("*", parts)
+    rows_ = compared.drop("linked").join(grows(found), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT).cast("long")))
+    rows_ = rows_.join(grows(split), ["hub", "part"]).withColumn("stray", F.col("component") != F.col("hub_component"))
     # a stray meets every class of its hub: classes in slots of one kind, strays also in slots of the other
     slots, stray_slots = F.ceil(F.col("n") / TILE), F.ceil(F.col("n_strays") / TILE)
     slot = lambda n: F.pmod(F.xxhash64("id"), n)
@@ -272,15 +272,15 @@ def _grouped(named: DataFrame, shingle_words: int, percent: int, bands: int = BA
     joined = written(tiles.applyInPandas(_match_tile(percent), "a long, b long"), SET_ROWS)
     discard(compared)
     merged = connected_components(joined)
-    final = written(found.join(merged, found["component"] == merged["node"], "left").select("id", F.coalesce("root", "component").alias("component")))
+    final = written(found.join(grows(merged), found["component"] == merged["node"], "left").select("id", F.coalesce("root", "component").alias("component")))
     discard(joined, merged, found, nodes)
 
     # the first row of each component, by class
-    placed = classes.select("id", "f1", "f2", "first").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = classes.select("id", "f1", "f2", "first").join(grows(final), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("first"))
-    by_class = placed.drop("first").join(smallest, "component").select("f1", "f2", "first")
+    by_class = placed.drop("first").join(grows(smallest), "component").select("f1", "f2", "first")
     narrow = signed.select("doc_id", "row", "n_shingles", "f1", "f2")
-    grouped = narrow.filter("n_shingles > 0").join(by_class, ["f1", "f2"]).select("doc_id", "row", "n_shingles", "first")
+    grouped = narrow.filter("n_shingles > 0").join(grows(by_class), ["f1", "f2"]).select("doc_id", "row", "n_shingles", "first")
     alone = narrow.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", own_first.alias("first"))
     return grouped.unionByName(alone)
 
@@ -298,7 +298,7 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     kept = _grouped(keyed, shingle_words, percent).filter("row = first.row and doc_id <=> first.doc_id")
     id_, row, times = free_names(docs, "id", "row", "times")
     chosen = settle(kept.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.count(F.lit(1)).alias(times)))
-    out = docs.join(chosen, (row_key(docs) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select([column(c) for c in docs.columns])
+    out = docs.join(grows(chosen), (row_key(docs) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi").select([column(c) for c in docs.columns])
     if not chosen.filter(F.col(times) > 1).isEmpty():
         out = out.dropDuplicates()
     return out
