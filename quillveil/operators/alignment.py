@@ -4,6 +4,7 @@ An alignment costs as little as any. It is sought in a band about the diagonal,
 which is doubled until the cost shows that no cheaper way leaves it. Where a
 band would take more than ``CELLS`` cells, the pair is cut in two where the
 costs of both halves add up to the least, so memory is bounded at any length.
+Short pairs are aligned many at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 COUNTS = "struct<equal:long,replaced:long,deleted:long,inserted:long>"
 #: Cells of a band that is kept for the way back.
 CELLS = 1 << 22
+#: Cells of a pair up to which all of its costs are kept, together with those of other pairs.
+SHORT = 1 << 18
 #: Words: placeholders as one each, else runs of letters and digits.
 WORD = r"\[[A-Z]+(?:_[A-Z0-9]+)*\]|[\p{L}\p{N}]+"
 
@@ -66,9 +69,8 @@ def _way_back(a: np.ndarray, b: np.ndarray, costs: np.ndarray, width: int) -> np
     return counts
 
 
-def operations(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    """Counts of equal, replaced, deleted and inserted symbols of a cheapest alignment of two sequences of numbers."""
-    # what both begin and end with is part of a cheapest alignment
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both without what they begin and end with alike, which is part of a cheapest alignment, and how much that is."""
     short = min(len(a), len(b))
     same = a[:short] == b[:short]
     begin = short if same.all() else int(same.argmin())
@@ -76,8 +78,13 @@ def operations(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
     short = min(len(a), len(b))
     same = a[len(a) - short :][::-1] == b[len(b) - short :][::-1]
     end = short if same.all() else int(same.argmin())
-    a, b = a[: len(a) - end], b[: len(b) - end]
-    out = np.array([begin + end, 0, 0, 0], np.int64)
+    return a[: len(a) - end], b[: len(b) - end], begin + end
+
+
+def operations(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Counts of equal, replaced, deleted and inserted symbols of a cheapest alignment of two sequences of numbers."""
+    a, b, same = _trimmed(a, b)
+    out = np.array([same, 0, 0, 0], np.int64)
     if not len(a) or not len(b):
         return out + [0, 0, len(a), len(b)]
     width = max(8, abs(len(a) - len(b)))
@@ -101,10 +108,68 @@ def operations(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
     return out + operations(a[:half], b[:cut], cells) + operations(a[half:], b[cut:], cells)
 
 
-def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    known: dict[str, int] = {}
-    number = lambda symbols: np.array([known.setdefault(s, len(known)) for s in symbols], np.int64)
-    return number(a), number(b)
+def _padded(sides: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(sides), max(map(len, sides))), fill, np.int64)
+    for row, side in zip(out, sides):
+        row[: len(side)] = side
+    return out
+
+
+def _whole(lefts: list[np.ndarray], rights: list[np.ndarray]) -> np.ndarray:
+    """Counts of several pairs of short sequences, with all costs of all of them, row by row at once; the way back is that of ``_way_back``."""
+    a, b = _padded(lefts, -1), _padded(rights, -2)
+    i, j, pair = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights]), np.arange(len(lefts))
+    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
+    costs = np.empty((a.shape[1] + 1, len(pair), len(steps)), np.int32)
+    costs[0] = steps
+    for k in range(1, len(costs)):
+        row = costs[k - 1] + np.int32(1)
+        np.minimum(row[:, 1:], costs[k - 1][:, :-1] + (b != a[:, k - 1 : k]), out=row[:, 1:])
+        row -= steps
+        np.add(np.minimum.accumulate(row, axis=1), steps, out=costs[k])
+    counts = np.zeros((len(pair), 4), np.int64)
+    while len(pair):
+        here, above, before = costs[i, pair, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        other = a[pair, above] != b[pair, before]
+        both = (i > 0) & (j > 0) & (here == costs[above, pair, before] + other)
+        gone = ~both & (i > 0) & (here == costs[above, pair, j] + 1)
+        counts[pair, np.where(both, other, np.where(gone, 2, 3))] += 1
+        i, j = i - (both | gone), j - ~gone
+        left = (i > 0) | (j > 0)
+        i, j, pair = i[left], j[left], pair[left]
+    return counts
+
+
+def _short_cells(a: np.ndarray, b: np.ndarray) -> int:
+    return (len(a) + 1) * (len(b) + 1)
+
+
+def counts(pairs: list[tuple[np.ndarray, np.ndarray]], short: int = SHORT, cells: int = CELLS) -> np.ndarray:
+    """``operations`` of many pairs. Those with up to ``short`` cells are aligned together, as many of about one size as ``cells`` hold, others one by one."""
+    out = np.zeros((len(pairs), 4), np.int64)
+    waiting = []
+    for at, (a, b) in enumerate(pairs):
+        a, b, same = _trimmed(a, b)
+        if not len(a) or not len(b):
+            out[at] = [same, 0, len(a), len(b)]
+        elif _short_cells(a, b) <= short:
+            out[at, 0] = same
+            waiting.append((len(a), len(b), at, a, b))
+        else:
+            out[at] = operations(a, b, cells) + [same, 0, 0, 0]
+    waiting.sort(key=lambda w: w[:3])
+    begin = 0
+    while begin < len(waiting):
+        end, widest = begin, 0
+        while end < len(waiting):
+            wider = max(widest, waiting[end][1])
+            if end > begin and (waiting[end][0] + 1) * (wider + 1) * (end - begin + 1) > cells:
+                break
+            end, widest = end + 1, wider
+        group = waiting[begin:end]
+        out[[w[2] for w in group]] += _whole([w[3] for w in group], [w[4] for w in group])
+        begin = end
+    return out
 
 
 def edits(left: Column, right: Column, unit: str = "char") -> Column:
@@ -112,8 +177,16 @@ def edits(left: Column, right: Column, unit: str = "char") -> Column:
 
     @F.pandas_udf(COUNTS)
     def count(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [operations(*_codes(list(x), list(y))) for x, y in zip(a, b)]
-        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 4), columns=["equal", "replaced", "deleted", "inserted"])
+        numbers: dict[str, int] = {}
+        if unit == "word":
+            codes = lambda symbols: np.array([numbers.setdefault(s, len(numbers)) for s in symbols], np.int64)
+        else:
+            codes = lambda text: np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        # equal pairs are aligned once
+        places: dict[tuple, int] = {}
+        where = [places.setdefault(pair, len(places)) for pair in (zip(map(tuple, a), map(tuple, b)) if unit == "word" else zip(a, b))]
+        found = counts([(codes(x), codes(y)) for x, y in places])
+        return pd.DataFrame(found[where], columns=["equal", "replaced", "deleted", "inserted"])
 
     text = lambda c: F.coalesce(c, F.lit(""))
     units = (lambda c: F.regexp_extract_all(text(c), F.lit(WORD), F.lit(0))) if unit == "word" else text

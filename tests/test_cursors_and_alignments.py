@@ -58,6 +58,20 @@ def test_alignments_cost_the_edit_distance_in_any_memory(a, b, cells):
     assert equal + replaced + deleted == len(a) and equal + replaced + inserted == len(b)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30)), max_size=12), st.sampled_from([60, 1 << 18]), st.sampled_from([300, 1 << 22]))
+def test_pairs_aligned_together_count_as_one_by_one(pairs, short, cells):
+    pairs = [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs]
+    assert alignment.counts(pairs, short, cells).tolist() == [alignment.operations(a, b).tolist() if (len(a) + 1) * (len(b) + 1) <= short else alignment.operations(a, b, cells).tolist() for a, b in pairs]
+
+
+def test_short_pairs_take_no_band_of_their_own(monkeypatch):
+    monkeypatch.setattr(alignment, "operations", None)
+    pairs = [(np.arange(40) * k % 11, np.arange(50) * (k + 1) % 13) for k in range(2000)]
+    for (a, b), (equal, replaced, deleted, inserted) in zip(pairs, alignment.counts(pairs).tolist()):
+        assert equal + replaced + deleted == len(a) and equal + replaced + inserted == len(b)
+
+
 def test_rates_by_split_and_stage(spark):
     rows = [("dev", "a", "eins zwei drei", "eins drei vier"), ("dev", "a", "[PERSON_001] kam", "Anna kam"), ("dev", "b", None, None), ("hold", "a", "", "neu"), ("hold", "b", "x " * 3000, "x " * 2999 + "y")]
     got = {(r.split, r.stage): r for r in alignment.quality_summary(spark.createDataFrame(rows, "split string, stage string, reference string, output string"), ["split", "stage"]).collect()}
