@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,44 @@ def test_numbers_go_on_over_restarts_and_equal_the_table_form(spark, stream):
     assert ("a", "P", "Bert", 8) in _named(run(restored, "again"))
 
 
+class _Map(dict):
+    """A state of the store that counts the calls."""
+
+    calls = 0
+
+    def _count(self):
+        self.calls += 1
+        return self
+
+    def exists(self):
+        return bool(self._count())
+
+    def containsKey(self, key):
+        return key in self._count()
+
+    def getValue(self, key):
+        return self._count()[key]
+
+    def updateValue(self, key, value):
+        self._count()[key] = value
+
+
+def test_the_store_is_asked_by_page_not_by_name():
+    numbers = registry.Numbers(3600)
+    numbers.known, numbers.highest = _Map(), _Map()
+    numbers._wait_until, numbers.until = lambda ms: None, _Map()
+
+    def seen(names):
+        rows = pd.DataFrame({"kind": "P", "name": names, "at": pd.Timestamp("2024-01-01"), "action": "seen"})
+        return pd.concat(numbers.handleInputRows(("a",), iter([rows[:700], rows[700:]]), None))
+
+    first = seen([f"n{i:06}" for i in range(60_000)])
+    assert first["number"].tolist() == list(range(1, 60_001)) and first["name"].is_monotonic_increasing
+    again = seen([f"n{i:06}" for i in range(30_000, 90_000)])
+    assert again["name"].tolist() == [f"n{i:06}" for i in range(60_000, 90_000)] and again["number"].tolist() == list(range(60_001, 90_001))
+    assert numbers.known.calls + numbers.highest.calls <= 5 * registry.PAGES
+
+
 def test_expired_and_discarded_batches_begin_anew(stream):
     put, run = stream
     put([("a", "P", "Anna", "10:00:00", None), ("a", "P", "Bert", "10:05:00", None), ("b", "P", "Zoe", "10:00:00", None)])
