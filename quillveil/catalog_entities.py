@@ -101,7 +101,7 @@ _OUT = "'Mail [EMAIL_REDACTED], IP [IP_REDACTED], Mail [EMAIL_REDACTED].'"
 
 
 def _traced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_MAIL).alias("text"))
+    docs = spread(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_MAIL).alias("text")))
     return docs, settle(trace.create(detect.redact(docs, ["EMAIL", "IP"])))
 
 

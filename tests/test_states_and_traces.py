@@ -143,3 +143,11 @@ def test_places_after_several_steps_equal_those_of_a_replay(spark):
     df = spark.createDataFrame(rows, f"doc_id long, step int, edits {EDIT}")
     got = trace.composed(df.unionByName(df.filter("doc_id = 3"))).select("doc_id", "step", "type", "replacement", "start", "end", "out_start", "out_end").collect()
     assert set(map(tuple, got)) == want and len(got) == len(want) > 100
+
+
+def test_traces_are_made_on_all_cores(spark):
+    from quillveil import catalog_entities
+
+    docs, made = catalog_entities._traced(spark, "/root/testdata/sf0.001")
+    cores = spark.sparkContext.defaultParallelism
+    assert docs.rdd.getNumPartitions() >= cores and made.rdd.getNumPartitions() >= cores
