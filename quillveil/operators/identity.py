@@ -9,6 +9,9 @@ from pyspark.sql.types import StringType
 
 from quillveil.lineage import settle
 
+#: Aliases up to which they are sent to the documents.
+SMALL = 10_000
+
 
 def first_seen_numbers(mentions: DataFrame, kind: str, name: str, order: str) -> DataFrame:
     """Numbers of the identities of each kind in the order in which they are first seen: (kind, name, number).
@@ -111,13 +114,21 @@ def known_aliases(docs: DataFrame, aliases: DataFrame) -> DataFrame:
 
     N-grams are made inside a document, as long as the longest alias, and meet
     the aliases by an equi-join; the first token of an alias prunes them before.
-    An alias is cut into tokens as the documents are.
+    An alias is cut into tokens as the documents are. Up to ``SMALL`` aliases
+    are sent to the documents, of which only what was found is shuffled then;
+    more of them are met by shuffles of the tokens.
     """
     cut = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     named = aliases.select("alias", cut("alias").alias("tokens")).filter(F.size("tokens") > 0).distinct()
-    longest = named.agg(F.max(F.size("tokens"))).first()[0] or 0
+    longest, count = named.agg(F.max(F.size("tokens")), F.count(F.lit(1))).first()
+    longest = longest or 0
+    if count <= SMALL:
+        # a table made in Python tells Spark no size
+        named = F.broadcast(named)
     tokens = docs.select("doc_id", cut("text").alias("tokens"))
     firsts = named.select(F.element_at("tokens", 1).alias("first")).distinct()
+    if count <= SMALL:
+        firsts = F.broadcast(firsts)
     # each token with the few that follow it, not with the whole text
     windows = F.transform("tokens", lambda t, i: F.slice("tokens", i + 1, F.lit(longest)))
     placed = tokens.select("doc_id", F.explode_outer(windows).alias("window")).filter(F.col("window").isNotNull()).withColumn("first", F.try_element_at("window", F.lit(1))).join(firsts, "first", "left_semi")

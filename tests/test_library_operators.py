@@ -146,6 +146,16 @@ def test_long_aliases_are_found(spark):
     assert identity.known_aliases(docs, aliases.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_tokens_are_shuffled_for_many_aliases_only(spark, monkeypatch, small):
+    monkeypatch.setattr(identity, "SMALL", small)
+    docs = spark.createDataFrame([(1, "eins zwei drei zwei drei"), (2, "drei")], "doc_id long, text string")
+    found = identity.known_aliases(docs, spark.createDataFrame([("zwei drei",), ("eins",)], "alias string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "eins", 1), (1, "zwei drei", 2)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert ("SortMergeJoin" in plan) == (not small)
+
+
 def test_equal_intervals_are_one_island(spark):
     """Which of equal intervals comes first is open, so it decides nothing."""
     rows = [(1, 5, 3), (1, 5, 3), (1, 9, 12), (1, 9, 12), (1, 11, 20)]
