@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Elements of a part of a scan.
 PART = 128
+#: Pairs of spans and lines up to which all are compared, as that takes less than sorting them.
+FEW = 256
 
 
 def let(value: Column, use) -> Column:
@@ -62,9 +64,10 @@ def _parts(values: str) -> str:
 
 
 def _before(values: str, step: str) -> str:
-    """The same over any length: parts are folded, the folds scanned, and each part from there."""
+    """The same over any length: where there are more than ``PART``, parts are folded, the folds scanned, and each part from there."""
     starts = _scan(f"transform(parts, p -> {_fold('p', step)})", "0", step)
-    return _let(_parts(values), "parts", f"flatten(zip_with(parts, {starts}, (p, s) -> {_scan('p', 's', step)}))")
+    parted = _let(_parts("each"), "parts", f"flatten(zip_with(parts, {starts}, (p, s) -> {_scan('p', 's', step)}))")
+    return _let(values, "each", f"if(size(each) <= {PART}, {_scan('each', '0', step)}, {parted})")
 
 
 def sums_before(sizes: Column | str) -> Column:
@@ -148,7 +151,8 @@ def inside(spans: str, covers: str) -> Column:
 
 def line_numbers(spans: str, starts: str) -> Column:
     """For each of the spans, in order of their starts, the number of its line from 1; ``starts`` are those of the lines."""
-    count = _swept("transform(starts, a -> struct(a as a, 0 as b))", "spans", "1", _SUM)
+    swept = _swept("transform(starts, a -> struct(a as a, 0 as b))", "spans", "1", _SUM)
+    count = f"if(size(spans) * size(starts) <= {FEW}, transform(spans, y -> size(filter(starts, a -> a <= y.start))), {swept})"
     return F.expr(_let(_sql(spans), "spans", _let(_sql(starts), "starts", f"if(size(spans) = 0, cast(array() as array<int>), {count})")))
 
 

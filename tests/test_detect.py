@@ -1,7 +1,10 @@
 """One behaviour a case, with plain and full-width forms."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillveil.functions import spans as sp
+from quillveil.functions.text import fold_identifiers
 from quillveil.operators.detect import findings, redact, release, residual
 
 CASES = [
@@ -112,3 +115,20 @@ def test_records_of_many_customers_have_postcodes(spark, tmp_path):
     spark.createDataFrame([(5,), (104999,), (5400000,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     rows = further_identifiers(spark, str(tmp_path)).filter("type = 'POSTAL_ADDRESS'").collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [(5, "10005 Neustadt"), (104999, "24999 Neustadt"), (5400000, "10000 Neustadt")]
+
+
+def test_scans_and_lines_are_the_same_below_and_above_their_bounds(spark):
+    """Short arrays are scanned at once and few lines compared with all spans; longer ones take the parts and the sweep."""
+    for n in (0, 1, 127, 128, 129, 300):
+        sizes = list(range(n))
+        rows = spark.createDataFrame([(sizes,)], "sizes array<int>")
+        assert rows.select(sp.sums_before("sizes").alias("x")).first().x == [sum(sizes[:i]) for i in range(n)]
+    for lines, spans in ((1, 3), (16, 16), (16, 17), (40, 60)):
+        starts, places = [7 * i for i in range(lines)], [5 * i for i in range(spans)]
+        rows = spark.createDataFrame([(starts, [(a, a + 1) for a in places])], "starts array<int>, spans array<struct<start:int,end:int>>")
+        assert rows.select(sp.line_numbers("`spans`", "`starts`").alias("x")).first().x == [sum(s <= a for s in starts) for a in places]
+
+
+def test_only_full_width_texts_are_folded(spark):
+    rows = spark.createDataFrame([("a＠ｂ․de ～",), ("äß €",), ("",), (None,)], "t string")
+    assert [r.x for r in rows.select(fold_identifiers(F.col("t")).alias("x")).collect()] == ["a@b.de ~", "äß €", "", None]
