@@ -27,6 +27,11 @@ _CARD = r"(?!(?<=\d\.\d{1,3}\.\d{1,3}\.)\d{1,3}[ -])\d(?:[ -]?\d){12,18}"
 _CARD_END = r"(?!(?<=[ -]\d{1,3})\.\d{1,3}\.\d{1,3}\.\d)(?![\p{L}\p{N}._%+-]*@)"
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|January|February|March|May|June|July|October|December|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|noviembre|diciembre"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_IP_END = r"(?![\p{N}]|\.\d)"
+_IP = rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}{_IP_END}"
+# A date is no part of an address, and a number that is long enough does not go on into one: else what wins tears it, and what loses is found in a second run.
+_DATE = rf"(?!{_IP}|(?<=(?<![\p{{N}}.]){_OCTET}\.)(?:{_OCTET}\.){{2}}{_OCTET}{_IP_END})"
+_PHONE = rf"\d(?:[ ()/.-]{{0,2}}\d){{6}}(?:[ ()/.-]{{0,2}}(?!{_IP})\d){{0,10}}"
 _H = "[0-9A-Fa-f]{1,4}"
 # How an at sign and a full stop are written as references.
 _AT, _DOT = r"(?:@|&#0*64;|&#x0*40;|&commat;)", r"(?:\.|&#0*46;|&#x0*2e;|&period;)"
@@ -137,11 +142,11 @@ DETECTORS = [
     Detector("DE_SOCIAL_SECURITY", _B + r"\d{2} ?\d{6} ?[A-Z] ?\d{2} ?\d" + _A, "[ID_REDACTED]", 84),
     Detector("DE_TAX_ID", _B + r"\d{2} ?\d{3} ?\d{3} ?\d{3}" + _A, "[ID_REDACTED]", 83, label="tax"),
     Detector("REFERENCE_ID", _B + r"(?=[\p{L}\p{N}/-]{0,20}\d)[\p{L}\p{N}]+(?:[-/.][\p{L}\p{N}]+){0,3}" + _A, "[ID_REDACTED]", 82, label="id"),
-    Detector("DATE_OF_BIRTH", _B + rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.? (?:{_MONTHS}) \d{{4}}|(?:{_MONTHS}) \d{{1,2}}, \d{{4}})" + _A, "[DATE_REDACTED]", 81, label="birth"),
+    Detector("DATE_OF_BIRTH", _B + _DATE + rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.? (?:{_MONTHS}) \d{{4}}|(?:{_MONTHS}) \d{{1,2}}, \d{{4}})" + _A, "[DATE_REDACTED]", 81, label="birth"),
     Detector("VEHICLE_PLATE", _B + r"[A-ZÄÖÜ]{1,3}-[A-Z]{1,2} \d{1,4}[EH]?" + _A, "[ID_REDACTED]", 81, label="plate"),
-    Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+|\(?0)\d(?:[ ()/.-]{0,2}\d){6,16}" + _A, "[PHONE_REDACTED]", 80, _no_date, label="phone", window=256, instead=_plus),
+    Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+|\(?0)" + _PHONE + _A, "[PHONE_REDACTED]", 80, _no_date, label="phone", window=256, instead=_plus),
     Detector("PHONE", r"(?<![\p{L}\p{N}_+])(?:\+33[ .-]?|0)\d(?:[ .-]?\d{2}){4}" + _A, "[PHONE_REDACTED]", 80, _no_date, label="phone", window=256, instead=_plus),
-    Detector("IP", rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\d)", "[IP_REDACTED]", 78, needs="."),
+    Detector("IP", _IP, "[IP_REDACTED]", 78, needs="."),
     Detector("IPV6", rf"(?<![0-9A-Fa-f:.])(?:(?:(?:{_H}:){{6}}|(?:{_H}(?::{_H}){{0,5}})?::(?:{_H}:){{0,5}})(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)|(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|(?:{_H}:){{1,6}}:{_H}|(?:{_H}:){{1,5}}(?::{_H}){{1,2}}|(?:{_H}:){{1,4}}(?::{_H}){{1,3}}|(?:{_H}:){{1,3}}(?::{_H}){{1,4}}|(?:{_H}:){{1,2}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{1,6}}|::(?:{_H}:){{0,6}}{_H})(?![0-9A-Fa-f:])", "[IP_REDACTED]", 78, needs=":"),
     Detector("STREET_ADDRESS", _B + rf"(?!Im (?:{_MONTHS}) \d{{4}})(?:[\p{{Lu}}][\p{{L}}-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm)|(?:Am|Im|An der|Auf der) [\p{{Lu}}][\p{{L}}-]+) \d{{1,4}}[a-z]?" + _A, "[LOCATION_REDACTED]", 77, folded=False),
     Detector("STREET_ADDRESS", _B + r"\d{1,4}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse) (?:de |du |des |de la |d'|l')?[\p{L}'-]+(?: [\p{Lu}][\p{L}'-]+)*", "[LOCATION_REDACTED]", 77, folded=False),

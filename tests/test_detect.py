@@ -109,6 +109,15 @@ def test_cards_beside_addresses_as_in_sql(spark, tmp_path):
     assert len(expected) >= 10
 
 
+def test_numbers_beside_addresses_under_a_label_of_dates(spark):
+    """Neither a date nor a telephone number takes octets of an address, so that a second run finds no number that lost to a date."""
+    texts = ["geben +1 (045) 555-3286 12.34.56.78 an", "geb. 9.12.34.56", "geb. 12.03.1980", "+49 221 98.76.50.12", "Tel 0221 98 76 50 1 10.20.30.40"]
+    once = redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "redacted").orderBy("doc_id").collect()
+    assert [r.redacted for r in once] == ["geben [PHONE_REDACTED] [IP_REDACTED] an", "geb. [IP_REDACTED]", "geb. [DATE_REDACTED]", "[PHONE_REDACTED]", "Tel [PHONE_REDACTED] [IP_REDACTED]"]
+    again = redact(spark.createDataFrame([(r.doc_id, r.redacted) for r in once], "doc_id long, text string"))
+    assert again.filter("redacted <> text").count() == 0
+
+
 def test_records_of_many_customers_have_postcodes(spark, tmp_path):
     from quillveil.catalog_entities import further_identifiers
 
