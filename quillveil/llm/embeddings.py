@@ -26,6 +26,8 @@ from quillveil.llm.components import connected_components
 SHARD_BYTES, SHARD_ROWS = 1 << 26, 1024
 #: Vectors of a shard that its audit turns into probes, and the share of their links that a search must find.
 PROBES, RECALL = 256, 0.995
+#: A graph goes in rows of so many bytes, and so many rows go to Python at once: one row with all of it is held by the JVM of an executor many times over.
+PIECE_BYTES, BATCH_ROWS = 1 << 16, 256
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,41 +56,54 @@ def _build(least: float, probes: int, wanted: float):
         table = table.sort_by("id")
         seed = table.column("shard")[0].as_py() + 1
         g = hnsw.build(table.column("id").to_numpy(), _units(table.column("vec")), table.column("n").to_numpy(), least, probes, wanted, seed)
-        return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "beam": [g.beam], "recall": [g.recall], "graph": pa.array([g.packed()], pa.binary())})
+        dim, shard, raw = table.column("dim")[0].as_py(), table.column("shard")[0].as_py(), g.packed()
+        pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
+
+        def batch(a: int) -> pa.RecordBatch:
+            some = pieces[a : a + BATCH_ROWS]
+            n = len(some)
+            return pa.record_batch({"dim": [dim] * n, "shard": [shard] * n, "beam": [g.beam] * n, "recall": [g.recall] * n, "piece": list(range(a, a + n)), "graph": pa.array(some, pa.binary())})
+
+        return pa.Table.from_batches([batch(a) for a in range(0, len(pieces), BATCH_ROWS)])
 
     return build
 
 
+def _searched(g: hnsw.Graph, queries: pa.Table, least: float, schema: pa.Schema) -> pa.Table:
+    ids = queries.column("id").to_numpy()
+    order = np.argsort(g.ids)
+    at = order[np.minimum(np.searchsorted(g.ids[order], ids), len(order) - 1)]
+    own = np.where(g.ids[at] == ids, at, -1)
+    found, q, node = hnsw.links(g, _units(queries.column("vec")), own, least)
+    label = g.labels[node]
+    # its own group, whichever side found the link
+    here = np.flatnonzero(own >= 0)
+    q = np.concatenate([q, here])
+    label = np.concatenate([label, g.labels[np.searchsorted(g.starts, own[here], "right") - 1]])
+    apart = label != ids[q]
+    pairs = np.unique(np.stack([q[apart], label[apart]], 1), axis=0)
+    rows = np.flatnonzero((found > 0) | np.isin(np.arange(len(ids)), pairs[:, 0]))
+    ends = np.searchsorted(pairs[:, 0], np.append(rows, len(ids)))
+    near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs[:, 1], pa.int64()))
+    return pa.table([pa.array(ids[rows]), pa.array(found[rows]), near], schema=schema)
+
+
 def _search(least: float):
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("near", pa.list_(pa.int64()))])
 
     def search(queries: pa.Table, graphs: pa.Table) -> pa.Table:
         if not len(queries) or not len(graphs):
             return schema.empty_table()
-        g = hnsw.Graph.unpacked(graphs.column("graph")[0].as_py())
-        ids = queries.column("id").to_numpy()
-        order = np.argsort(g.ids)
-        at = order[np.minimum(np.searchsorted(g.ids[order], ids), len(order) - 1)]
-        own = np.where(g.ids[at] == ids, at, -1)
-        found, q, node = hnsw.links(g, _units(queries.column("vec")), own, least)
-        label = g.labels[node]
-        # its own group, whichever side found the link
-        here = np.flatnonzero(own >= 0)
-        q = np.concatenate([q, here])
-        label = np.concatenate([label, g.labels[np.searchsorted(g.starts, own[here], "right") - 1]])
-        apart = label != ids[q]
-        pairs = np.unique(np.stack([q[apart], label[apart]], 1), axis=0)
-        rows = np.flatnonzero((found > 0) | np.isin(np.arange(len(ids)), pairs[:, 0]))
-        ends = np.searchsorted(pairs[:, 0], np.append(rows, len(ids)))
-        near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs[:, 1], pa.int64()))
-        return pa.table([pa.array(ids[rows]), pa.array(found[rows]), near], schema=schema)
+        g = hnsw.Graph.unpacked(b"".join(graphs.sort_by("piece").column("graph").to_pylist()))
+        del graphs
+        return pa.concat_tables([_searched(g, queries.slice(i, hnsw.QUERIES), least, schema) for i in range(0, len(queries), hnsw.QUERIES)])
 
     return search
 
 
 def shards(classes: DataFrame, least: float, probes: int = PROBES, wanted: float = RECALL) -> DataFrame:
-    """(dim, shard, beam, recall, graph) of classes (id, vec, n, dim, shard)."""
-    return classes.groupBy("dim", "shard").applyInArrow(_build(least, probes, wanted), "dim long, shard long, beam long, recall double, graph binary")
+    """(dim, shard, beam, recall, piece, graph) of classes (id, vec, n, dim, shard); a graph is in pieces."""
+    return classes.groupBy("dim", "shard").applyInArrow(_build(least, probes, wanted), "dim long, shard long, beam long, recall double, piece long, graph binary")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -115,12 +130,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     most = max(SHARD_ROWS, SHARD_BYTES // (8 * widest))
     parts = max(1, -(-count // most), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-count // SHARD_ROWS)))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    graphs = written(shards(dealt, least))
+    graphs = written(shards(dealt, least), BATCH_ROWS)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     asking = dealt.select("id", "vec", "dim", F.col("shard").alias("block"), every.alias("shard"))
-    asked = graphs.select("dim", "shard", "graph", every.alias("block"))
+    asked = graphs.select("dim", "shard", "piece", "graph", every.alias("block"))
     keys = ["dim", "shard", "block"]
-    found = written(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(least), "id long, links long, near array<long>"))
+    found = written(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(least), "id long, links long, near array<long>"), BATCH_ROWS)
     discard(graphs)
     roots = connected_components(found.select(F.col("id").alias("a"), F.explode("near").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -25,6 +25,8 @@ BUILD_BEAM = 48
 BALL = np.deg2rad(10.0)
 #: Queries are taken in groups for which marks of visited nodes take so many bytes at most.
 SEEN_BYTES = 1 << 25
+#: Queries whose pairs with nodes are held at once.
+QUERIES = 1 << 12
 #: Vectors compared with members of balls at once.
 PAIRS = 1 << 15
 _SLACK = 1e-4
@@ -47,15 +49,24 @@ class Graph:
     recall: float = 0.0
 
     def packed(self) -> bytes:
+        """Without what follows from the rest: the nodes in single precision, and rows of the upper layers that hold no links."""
         out = io.BytesIO()
-        np.savez(out, nodes=self.nodes, entry=self.entry, ids=self.ids, units=self.units, weights=self.weights, starts=self.starts, radius=self.radius, labels=self.labels, beam=self.beam, recall=self.recall, **{f"layer{i}": x for i, x in enumerate(self.layers)})
+        layers = {"layer0": self.layers[0]} if self.layers else {}
+        for i, x in enumerate(self.layers[1:], 1):
+            at = np.flatnonzero((x >= 0).any(1))
+            layers |= {f"at{i}": at, f"layer{i}": x[at]}
+        np.savez(out, entry=self.entry, ids=self.ids, units=self.units, weights=self.weights, starts=self.starts, radius=self.radius, labels=self.labels, beam=self.beam, recall=self.recall, **layers)
         return out.getvalue()
 
     @staticmethod
     def unpacked(raw: bytes) -> Graph:
         z = np.load(io.BytesIO(raw))
-        layers = [z[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in z.files))]
-        return Graph(z["nodes"], layers, int(z["entry"]), z["ids"], z["units"], z["weights"], z["starts"], z["radius"], z["labels"], int(z["beam"]), float(z["recall"]))
+        nodes = z["units"][z["starts"][:-1]].astype(np.float32)
+        layers = [z["layer0"]] if "layer0" in z.files else []
+        for i in range(1, sum(k.startswith("layer") for k in z.files)):
+            layers.append(np.full((len(nodes), z[f"layer{i}"].shape[1]), -1, np.int32))
+            layers[i][z[f"at{i}"]] = z[f"layer{i}"]
+        return Graph(nodes, layers, int(z["entry"]), z["ids"], z["units"], z["weights"], z["starts"], z["radius"], z["labels"], int(z["beam"]), float(z["recall"]))
 
 
 def best_first(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,6 +342,11 @@ def build(ids: np.ndarray, units: np.ndarray, weights: np.ndarray, least: float
     g.radius[np.diff(g.starts) == 1] = 0
     audit(g, least, probes, wanted, seed)
     firsts = g.starts[:-1]
-    _, q, node = links(g, g.units[firsts], firsts, least)
-    g.labels = g.ids[firsts][_groups(len(g.nodes), q, node)]
+    label = np.arange(len(g.nodes))
+    for i in range(0, len(firsts), QUERIES):
+        some = firsts[i : i + QUERIES]
+        _, q, node = links(g, g.units[some], some, least)
+        grouped = np.flatnonzero(label != np.arange(len(label)))
+        label = _groups(len(label), np.concatenate([grouped, i + q]), np.concatenate([label[grouped], node]))
+    g.labels = g.ids[firsts][label]
     return g

@@ -7,11 +7,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillveil.llm import hnsw
-from quillveil.llm.embeddings import near_vectors
+from quillveil.llm.embeddings import PIECE_BYTES, _search, near_vectors, shards
 from quillveil.llm.middle import Plan, fill_in_middle, original, rearranged, restored
 from quillveil.llm.ordered import running
 from quillveil.llm.trie import prefix_trie
@@ -123,6 +124,31 @@ def test_a_ball_inside_the_range_is_counted_whole():
     assert (found == 3 * 1999).all()
 
 
+def test_a_graph_goes_in_small_pieces_and_comes_back_whole(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((700, 16))
+    rows = spark.createDataFrame([(i, v.tobytes(), 1, 16, 0) for i, v in enumerate(x)], "id long, vec binary, n long, dim long, shard long")
+    pieces = sorted(shards(rows, 0.9).select("piece", "graph").collect())
+    assert len(pieces) > 1 and max(len(p.graph) for p in pieces) <= PIECE_BYTES
+    g = hnsw.build(np.arange(700), x / np.abs(x).max(1, keepdims=True) / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True), np.ones(700, int))
+    back = hnsw.Graph.unpacked(b"".join(p.graph for p in pieces))
+    assert (back.ids == g.ids).all() and (back.nodes == g.nodes).all() and (back.labels == g.labels).all()
+    assert len(back.layers) == len(g.layers) and all((a == b).all() for a, b in zip(back.layers, g.layers))
+
+
+def test_groups_and_searches_are_the_same_in_parts(monkeypatch):
+    rows = [r for r in _vectors() if r[0] is not None and r[0] < 2000]
+    x = np.array([v for _, v in rows]) / 3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    queries = pa.table({"id": np.arange(len(x)), "vec": pa.array([v.tobytes() for v in x], pa.binary())})
+    seen = []
+    for n in (1 << 12, 7):
+        monkeypatch.setattr(hnsw, "QUERIES", n)
+        g = hnsw.build(np.arange(len(x)), x, np.ones(len(x), int))
+        seen.append((g.labels.tolist(), _search(0.9)(queries, pa.table({"piece": [0], "graph": pa.array([g.packed()], pa.binary())})).to_pylist()))
+    assert seen[0] == seen[1] and len(set(seen[0][0])) > 1
+
+
 # running totals
 
 
