@@ -141,3 +141,14 @@ def test_scans_and_lines_are_the_same_below_and_above_their_bounds(spark):
 def test_only_full_width_texts_are_folded(spark):
     rows = spark.createDataFrame([("a＠ｂ․de ～",), ("äß €",), ("",), (None,)], "t string")
     assert [r.x for r in rows.select(fold_identifiers(F.col("t")).alias("x")).collect()] == ["a@b.de ~", "äß €", "", None]
+
+
+def test_texts_without_what_a_match_holds_are_not_searched(spark, monkeypatch):
+    from quillveil.operators import detect
+
+    for d in detect.DETECTORS:
+        for _, label, value, _ in [c for c in CASES if c[0] == d.type]:
+            assert not d.holds or set(d.holds[1:-1].replace("0-9", "0123456789")) & set(label + value)
+    monkeypatch.setattr(detect, "DETECTORS", [detect.Detector("IP", "abc", "[IP]", 78, holds=detect.DIGIT), detect.Detector("IBAN", "xyz", "[IBAN]", 88, holds=detect.COLON)])
+    rows = redact(spark.createDataFrame([(0, "abc xyz"), (1, "abc xyz 1"), (2, "abc xyz ："), (3, "abc xyz １:"), (4, None)], "doc_id long, text string"))
+    assert [r.redacted for r in rows.orderBy("doc_id").collect()] == ["abc xyz", "[IP] xyz 1", "abc [IBAN] ：", "[IP] [IBAN] １:", None]
